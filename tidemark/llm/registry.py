@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontaminate, language_id, license_scan, lm_score, quality_rules
+from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, license_scan, lm_score, quality_rules, suffix_dedup
 
 QUERIES = {
     "op1_language_id": language_id.query,
+    "op2_jaccard_join": jaccard_join.query,
     "op3_license_scan": license_scan.query,
     "op4_byte_bpe": bpe.query,
     "op5_quality_rules": quality_rules.query,
+    "op7_suffix_dedup": suffix_dedup.query,
     "op8_decontamination": decontaminate.query,
     "op9_lm_score": lm_score.query,
 }
