@@ -132,6 +132,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of `docs` without any exact window, all columns kept."""
+    hit = Index(docs, benchmark, size).phrases().select("d", "th").distinct()
+    hit = scratch.stored(hit).select(F.col("d").alias("_d"), F.col("th").alias("_th"))
+    d, th = F.coalesce(docs["doc_id"].cast("bigint"), F.lit(-1)), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(hit, (d == hit["_d"]) & (th == hit["_th"]), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

@@ -218,5 +218,17 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The rows of `docs` whose doc_id is that of their component, all columns kept.
+
+    Rows with a null doc_id stay; of rows that repeat a doc_id all stay or go together. The ids that go
+    are broadcast only if there are at most `rule.max_sent`.
+    """
+    gone = jaccard_components(docs, rule).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = scratch.stored(gone)
+    gone = F.broadcast(gone) if gone.count() <= rule.max_sent else gone
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -180,5 +180,17 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def kept(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of `docs` that pass, with all their columns; no join and no shuffle."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in tk.pieces(batch):
+                yield p.rows.select(names).filter(pa.array(measure(p, limits)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))

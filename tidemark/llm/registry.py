@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, license_scan, lm_score, quality_rules, suffix_dedup
+import corpus_pipeline
+from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, license_scan, lm_score, quality_model, quality_rules, suffix_dedup, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_language_id": language_id.query,
     "op2_jaccard_join": jaccard_join.query,
     "op3_license_scan": license_scan.query,
     "op4_byte_bpe": bpe.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_warc_revisits": warc.query,
     "op7_suffix_dedup": suffix_dedup.query,
     "op8_decontamination": decontaminate.query,
     "op9_lm_score": lm_score.query,
+    "op10_quality_model": quality_model.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_decontamination": decontaminate.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_revisits": warc.ORACLE,
+    "op8_decontamination": decontaminate.ORACLE,
+}

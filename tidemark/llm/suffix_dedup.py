@@ -232,8 +232,10 @@ def repeats(dealt: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("spans"))
 
 
-def cut(dealt: DataFrame, spans: DataFrame) -> DataFrame:
-    """All columns of `dealt`, with n_bytes, n_removed, n_spans and `kept`, the remaining bytes."""
+def cut(dealt: DataFrame, spans: DataFrame, whole: bool = False) -> DataFrame:
+    """All columns of `dealt`, with n_bytes, n_removed, n_spans and `kept`, the remaining bytes.
+
+    whole: a character that loses some of its bytes loses all, so that `kept` is valid UTF-8."""
     fields = [f.name for f in dealt.schema.fields]
     schema = T.StructType([*dealt.schema.fields, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
     names = schema.names
@@ -257,16 +259,28 @@ def cut(dealt: DataFrame, spans: DataFrame) -> DataFrame:
                             out.append(text[at:x])
                             at = y
                     out.append(text[at:])
-                    kept.append(b"".join(out))
+                    rest = b"".join(out)
+                    kept.append(b"".join(x.decode(errors="ignore").encode() for x in out) if whole and len(out) > 1 else rest)
                 yield pa.RecordBatch.from_arrays([*(p.rows.column(k) for k in range(len(fields))), pa.array(p.lengths), pa.array(removed), pa.array(n_spans), pa.array(kept, pa.binary())], names)
 
     return dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").select(*fields, "spans").mapInArrow(run, schema)
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
     """`docs` (doc_id, text and any other columns) with n_bytes, n_removed, n_spans and kept bytes."""
     dealt = keyed(docs)
-    return cut(dealt, repeats(dealt))
+    return cut(dealt, repeats(dealt), whole)
+
+
+def shortened(docs: DataFrame) -> DataFrame:
+    """`docs` with the remaining text (whole characters only) and its n_chars; emptied rows are left out."""
+    whole = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
+    found = suffix_dedup(docs, whole=True).where("n_removed = 0 or n_removed < n_bytes")
+    fields = {"text": whole.cast(docs.schema["text"].dataType), "doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType)}
+    if "n_chars" in docs.columns:
+        fields["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    texts = found.withColumn("text", fields.pop("text"))
+    return texts.withColumns(fields).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
