@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WIDTH = 64
 TOKEN = r"\p{IsHan}|[\p{L}\p{Nd}&&[^\p{IsHan}]]+"
@@ -59,11 +60,16 @@ def features(t) -> Column:
     return F.concat(t, F.when(F.size(t) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
+def let(value, use) -> Column:
+    """`use(value)` with the value computed once for each row."""
+    return F.transform(F.array(c(value)), use)[0]
+
+
 def l2(v) -> Column:
     """A vector over its norm; a zero vector stays (S-25)."""
-    v = c(v)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
+    norm = lambda u: F.sqrt(F.aggregate(u, F.lit(0.0), lambda s, x: s + x * x))
+    over = lambda u, n: F.when(n == 0, u).otherwise(F.transform(u, lambda x: x / n))
+    return let(F.struct(c(v).alias("v")), lambda s: let(F.struct(s["v"].alias("v"), norm(s["v"]).alias("n")), lambda p: over(p["v"], p["n"])))
 
 
 def dot(a, b) -> Column:
@@ -74,8 +80,8 @@ def dot(a, b) -> Column:
 def embed(text) -> Column:
     """64 signed hash buckets of tokens and pairs, L2-normalised (T-12)."""
     hashed = F.transform(features(tokens(text)), lambda f: _slot(fnv64(f)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda k: F.aggregate(F.filter(hashed, lambda h: F.abs(h) - 1 == k), F.lit(0.0), lambda s, h: s + F.signum(h)))
-    return l2(counts)
+    bucket = lambda hs, k: F.aggregate(hs, F.lit(0.0), lambda s, h: s + F.when(F.abs(h) - 1 == k, F.signum(h)).otherwise(0.0))
+    return l2(let(F.struct(hashed.alias("h")), lambda s: F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda k: bucket(s["h"], k))))
 
 
 def _slot(h: Column) -> Column:
@@ -90,7 +96,7 @@ def _fnv64(data: bytes) -> int:
     return h
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def embed_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The same vector from tokens; each distinct feature of a task is hashed once."""
     known: dict[bytes, int] = {}
@@ -114,7 +120,10 @@ def embed_fast(text) -> Column:
     return embed_tokens(tokens(text))
 
 
-def sparse_terms(t) -> Column:
-    """Hashed term counts, colliding terms summed (A-12): entries (index, count)."""
-    h = F.transform(c(t), lambda x: fnv32(x))
-    return F.transform(F.array_sort(F.array_distinct(h)), lambda k: F.struct(k.alias("index"), F.size(F.filter(h, lambda x: x == k)).alias("n")))
+def sparse_terms(df, key: str, t: str):
+    """(key, index, n): hashed term counts of each row's tokens, colliding terms summed (A-12).
+
+    Terms are counted before they are hashed, so each distinct term of a row is hashed once.
+    """
+    counts = df.select(key, F.explode(t).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    return counts.groupBy(key, fnv32("term").alias("index")).agg(F.sum("n").alias("n"))

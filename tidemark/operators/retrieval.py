@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import snippet
-from tidemark.functions.vectors import dot, sparse_terms, tokens
+from tidemark.functions.vectors import dot, let, sparse_terms, tokens
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -57,8 +57,8 @@ def dense_search(chunks: DataFrame, queries: DataFrame, k: int, positive_only: b
 
 def sparse_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank): dot product of hashed term counts (T-16)."""
-    c = chunks.select("chunk_id", F.explode(sparse_terms(tokens("text"))).alias("e")).select("chunk_id", "e.index", F.col("e.n").alias("cn"))
-    q = queries.select("query_id", F.explode(sparse_terms(tokens("text"))).alias("e")).select("query_id", "e.index", F.col("e.n").alias("qn"))
+    c = sparse_terms(chunks.select("chunk_id", tokens("text").alias("t")), "chunk_id", "t").withColumnRenamed("n", "cn")
+    q = sparse_terms(queries.select("query_id", tokens("text").alias("t")), "query_id", "t").withColumnRenamed("n", "qn")
     s = c.join(q, "index").groupBy("query_id", "chunk_id").agg(F.sum(F.col("cn") * F.col("qn")).cast("double").alias("score"))
     return top(s, k, F.desc("score"), "chunk_id")
 
@@ -118,7 +118,11 @@ def parse_query(text: str) -> list[dict]:
 
 
 def text_match(t: Column, query: str) -> Column:
-    """Whether tokens match a web-style query (T-03)."""
+    """Whether tokens match a web-style query (T-03); the tokens are computed once for each row."""
+    return let(F.struct(t.alias("t")), lambda s: _matches(s["t"], query))
+
+
+def _matches(t: Column, query: str) -> Column:
 
     def phrase(p):
         return F.exists(F.sequence(F.lit(1), F.greatest(F.size(t) - len(p) + 1, F.lit(1))), lambda i: F.slice(t, i, len(p)) == F.array(*[F.lit(x) for x in p]))
@@ -137,13 +141,17 @@ def text_match(t: Column, query: str) -> Column:
 
 
 def cover_rank(vector: Column, terms: list[str]) -> Column:
+    """`_cover` of the entries that are among the terms, found once for each row (T-04)."""
+    return let(F.struct(F.filter(vector, lambda e: e["term"].isin(*terms)).alias("hit")), lambda s: _cover(s["hit"], terms))
+
+
+def _cover(hit: Column, terms: list[str]) -> Column:
     """Cover density of the terms in a weighted text (T-04).
 
     Matching entries in order; for every pair of neighbours that are different terms the mean weight over
     their distance counts; a single term counts by its weights. A written definition after the published
     idea, not another system's bits.
     """
-    hit = F.filter(vector, lambda e: e["term"].isin(*terms))
     n = F.size(hit)
     pairs = F.when(n > 1, F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda s, i: s + F.when(F.get(hit, i)["term"] != F.get(hit, i - 1)["term"], (F.get(hit, i)["weight"] + F.get(hit, i - 1)["weight"]) / 2 / (F.get(hit, i)["pos"] - F.get(hit, i - 1)["pos"])).otherwise(0.0))).otherwise(0.0)
     single = F.aggregate(hit, F.lit(0.0), lambda s, e: s + e["weight"])

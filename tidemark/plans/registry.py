@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from tidemark.plans import scalars  # noqa: F401
+    from tidemark.plans import changes, scalars, search  # noqa: F401
