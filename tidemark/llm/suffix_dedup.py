@@ -8,10 +8,13 @@ Suffixes are sorted into buckets only as deep as that needs:
    Only anchors enter the shuffle: the least bucket identifier in every window of `length` bytes, a
    choice that depends on the window's bytes alone, so equal strings meet in equal anchors.
 2. Buckets that lie in one document are final. For the others, each anchor stands for the range of
-   strings that chose it. Ranges are refined by the identifiers at later offsets (up to `length`)
-   within each task first: of equal ranges only the one in the smallest document goes on, the rest are
-   covered already. What goes on is refined per string, and each string's smallest document found.
-3. Covered strings become spans, merged per document.
+   strings that chose it. Buckets are refined by the identifiers at later offsets that name the whole
+   range: of equal ranges the one in the smallest document goes on, the rest are covered. It goes on
+   only if a different range of its bucket has the same bytes before or after the gram, as far as
+   any shared string would need.
+3. What goes on, the ends of repeats for the most part, is refined per string: each string of the
+   range is named by its own identifiers, and its smallest document found.
+4. Covered strings become spans, merged per document.
 
 Buckets are streamed in sorted order; of a bucket that is read only its distinct strings are held.
 Identifiers are 64 bits wide, and strings are compared only within an equal bucket. All texts take part
@@ -86,7 +89,7 @@ def anchors(gram: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _tags(p: tk.Piece) -> np.ndarray:
     """A short digest of each text, to tell rows of one doc_id apart."""
     raw = p.data.tobytes()
-    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) & 0x7FFFFFFF for a, b in zip(p.offs[:-1].tolist(), p.offs[1:].tolist(), strict=True)], np.int64)
+    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) & 0xFFFFF for a, b in zip(p.offs[:-1].tolist(), p.offs[1:].tolist(), strict=True)], np.int64)
 
 
 def _first_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,63 +115,166 @@ def _runs(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return row[at], lo[at], end[np.r_[at[1:], len(row)] - 1] - base[at]
 
 
-RANGES = "g long, doc_id long, tag long, lo long, hi long, x long, bytes binary"
+#: A range: lo, hi - lo, anchor - lo and the text's tag share 64 bits.
+_HI, _X, _TAG = 32, 38, 44
+
+
+def _pack(lo, n, x, tag) -> np.ndarray:
+    return (lo.astype(np.uint64) | n.astype(np.uint64) << np.uint64(_HI) | x.astype(np.uint64) << np.uint64(_X) | tag.astype(np.uint64) << np.uint64(_TAG)).view(np.int64)
+
+
+def _unpack(at: np.ndarray) -> tuple[np.ndarray, ...]:
+    v = at.view(np.uint64)
+    cut = lambda k, bits: ((v >> np.uint64(k)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return cut(0, 32), cut(_HI, 6), cut(_X, 6), cut(_TAG, 20)
+
+
+RANGES = "g long, name long, doc_id long, at long, sides long"
 RANGE_NAMES = [c.split()[0] for c in RANGES.split(", ")]
+SETTLED = "doc_id long, at long, covered boolean"
+HALF = (LENGTH - GRAM) // 2  # a string reaches so far from its anchor's gram on one side at least
+
+
+def _emit(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names)
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ranges that go on (with their bytes), and of spans already known to be covered."""
+    """The ranges of anchors whose bucket several documents share.
+
+    name: identifier of all the range's strings; sides: 32 bits of the identifier of the gram with the
+    HALF bytes before it, and with those after it, each 0 if the range does not reach so far. A range
+    that an earlier document of the batch has too is covered: it goes with name 0 and sides 0.
+    """
     for batch in batches:
-        parts, store, base = [], [], 0
+        parts, base = [], 0
+        all_ids = batch.column(0).fill_null(0).to_numpy()
         for p in tk.pieces(batch, "text"):
             shares = p.rows.column(2)
-            ids = p.rows.column(0).fill_null(0).to_numpy()
             gram, full = identifiers(p.data)
+            wide = _pair(_pair(gram, 16), 1) if len(gram) > 16 else gram[:0]  # GRAM + HALF = 33 bytes: 32, then 1 on
             at, lo, hi = anchors(gram, p.offs)
             g = gram[at]
             cut = np.searchsorted(at, p.offs)
             keep = np.zeros(len(at), bool)
             for d in np.flatnonzero(shares.is_valid().to_numpy(zero_copy_only=False) & (cut[1:] > cut[:-1])).tolist():
-                want = np.sort(shares[d].values.to_numpy(zero_copy_only=False)).view(np.uint64)
-                want = np.sort(want)
+                want = np.sort(shares[d].values.to_numpy(zero_copy_only=False).view(np.uint64))
                 own = g[cut[d] : cut[d + 1]]
                 keep[cut[d] : cut[d + 1]] = want[np.minimum(np.searchsorted(want, own), len(want) - 1)] == own
             at, lo, hi, g = at[keep], lo[keep], hi[keep], g[keep]
             doc = np.searchsorted(p.offs, at, side="right") - 1
             name = tk.mix(full[lo] * _ODD + tk.mix(full[hi] + (at - lo).astype(np.uint64) * np.uint64(64) + (hi - at + LENGTH).astype(np.uint64)) + g)
-            parts.append((name, ids[doc], doc + base, lo - p.offs[doc], hi - p.offs[doc], at - lo, g, lo, np.full(len(at), len(store)), _tags(p)[doc]))
-            store.append(p.data)
+            last = max(len(wide) - 1, 0)
+            side = lambda ok, k: np.where(ok, tk.mix(wide[np.clip(k, 0, last)]) >> np.uint64(32) | np.uint64(1), np.uint64(0))  # noqa: B023, E731
+            sides = side(lo <= at - HALF, at - HALF) << np.uint64(32) | side(hi >= at - HALF + 1, at) if len(wide) else np.zeros(len(at), np.uint64)
+            parts.append((name | np.uint64(1), doc + base, lo - p.offs[doc], hi - lo, at - lo, g, _tags(p)[doc], sides))
             base += len(p)
-        if not parts:
+        name, row, lo, n, x, g, tag, sides = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 8
+        if not len(row):
             continue
-        name, own, row, lo, hi, x, g, place, piece, tag = (np.concatenate(c) for c in zip(*parts, strict=True))
+        own = all_ids[row]
         order = np.lexsort((own, name))
-        head = np.r_[True, name[order][1:] != name[order][:-1]] if len(order) else np.zeros(0, bool)
+        head = np.r_[True, name[order][1:] != name[order][:-1]]
         least = np.empty(len(name), np.int64)
-        least[order] = own[order][np.flatnonzero(head)][np.cumsum(head) - 1] if len(order) else 0
+        least[order] = own[order][np.flatnonzero(head)][np.cumsum(head) - 1]
         done = own > least
-        text_order = np.flatnonzero(done)  # parts are in (row, lo) order already
-        r, a, b = _runs(row[text_order], lo[text_order], hi[text_order] + LENGTH)
-        ids = batch.column(0).fill_null(0).to_numpy()
-        tag_of = np.zeros(base, np.int64)
-        tag_of[row] = tag
-        n = len(r)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(tk.mix(ids[r].astype(np.uint64)).view(np.int64)), pa.array(ids[r]), pa.array(tag_of[r]), pa.array(a), pa.array(b), pa.array(np.full(n, -1, np.int64)), pa.nulls(n, pa.binary())], RANGE_NAMES)
-        on = np.flatnonzero(~done)
-        for at in range(0, len(on), 1 << 17):
-            k = on[at : at + (1 << 17)]
-            size = hi[k] - lo[k] + LENGTH
-            ends = np.cumsum(size)
-            flat = np.empty(int(ends[-1]), np.uint8)
-            for s in np.unique(piece[k]).tolist():
-                m = np.flatnonzero(piece[k] == s)
-                span = size[m]
-                to = np.repeat(ends[m] - span - (np.cumsum(span) - span), span) + np.arange(span.sum())
-                src = np.repeat(place[k][m] - (np.cumsum(span) - span), span) + np.arange(span.sum())
-                flat[to] = store[s][src]
-            held = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([pa.array(g[k].view(np.int64)), *(pa.array(v[k]) for v in (own, tag, lo, hi, x)), held], RANGE_NAMES)
+        on = ~done
+        yield _emit([g[on].view(np.int64), name[on].view(np.int64), own[on], _pack(lo[on], n[on], x[on], tag[on]), sides[on].view(np.int64)], RANGE_NAMES)
+        if done.any():
+            zero = np.zeros(int(done.sum()), np.int64)
+            yield _emit([tk.mix(own[done].astype(np.uint64)).view(np.int64), zero, own[done], _pack(lo[done], n[done], x[done], tag[done]), zero], RANGE_NAMES)
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Covered and open ranges, from ranges sorted by (g, name, doc_id).
+
+    A range is covered if an earlier document has the same range. The earliest of each name stays open
+    if another name of the bucket shares one of its sides; else no other document shares a string of it.
+    Of a bucket being read only the earliest of each name are held.
+    """
+    names = [c.split()[0] for c in SETTLED.split(", ")]
+    held: list[np.ndarray] = []
+
+    def open_ranges(g, name, own, at, sides):
+        """Of complete buckets' earliest rows, those with a shared side."""
+        first = np.r_[True, (g[1:] != g[:-1]) | (name[1:] != name[:-1])]
+        shared_side = np.zeros(len(g), bool)
+        for shift in (32, 0):
+            part = (sides.view(np.uint64) >> np.uint64(shift)) & np.uint64(0xFFFFFFFF)
+            idx = np.flatnonzero(first & (part > 0))
+            key = tk.mix(g[idx].view(np.uint64)) + part[idx]
+            _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+            shared_side[idx] |= count[back] > 1
+        group = np.cumsum(first) - 1
+        keep = shared_side[np.flatnonzero(first)][group] if len(g) else first
+        return _emit([own[keep], at[keep], np.zeros(int(keep.sum()), bool)], names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(k).to_numpy() for k in range(5)]
+        n_held = len(held[0]) if held else 0
+        if held:
+            rows = [np.r_[h, r] for h, r in zip(held, rows, strict=True)]
+        g, name, own, at, sides = rows
+        begin = np.r_[True, (g[1:] != g[:-1]) | (name[1:] != name[:-1])]
+        least = own[np.flatnonzero(begin)][np.cumsum(begin) - 1]
+        covered = (own > least) | (name == 0)
+        fresh = np.arange(len(g)) >= n_held
+        out = covered & fresh
+        if out.any():
+            yield _emit([own[out], at[out], np.ones(int(out.sum()), bool)], names)
+        rest = ~covered
+        g, name, own, at, sides = (v[rest] for v in rows)
+        whole = g != rows[0][-1]
+        if whole.any():
+            yield open_ranges(g[whole], name[whole], own[whole], at[whole], sides[whole])
+        held = [v[~whole] for v in (g, name, own, at, sides)]
+    if held and len(held[0]):
+        yield open_ranges(*held)
+
+
+STRINGS = "g long, doc_id long, tag long, lo long, hi long, bytes binary"
+STRING_NAMES = [c.split()[0] for c in STRINGS.split(", ")]
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open ranges with their bytes, to be refined string by string; and the covered spans, merged."""
+    for batch in batches:
+        known, opened = [], []
+        for p in tk.pieces(batch, "text"):
+            found = p.rows.column(2)
+            ids = p.rows.column(0).fill_null(0).to_numpy()
+            has = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            if not len(has):
+                continue
+            tags = _tags(p)
+            flat = found.filter(pa.array(found.is_valid().to_numpy(zero_copy_only=False)))
+            size = flat.value_lengths().to_numpy()
+            doc = np.repeat(has, size)
+            at, covered = (f.to_numpy(zero_copy_only=False) for f in flat.flatten().flatten())
+            lo, n, x, tag = _unpack(at)
+            mine = tag == tags[doc]
+            doc, lo, n, x, covered = doc[mine], lo[mine], n[mine], x[mine], covered[mine]
+            o = np.flatnonzero(covered)
+            o = o[np.lexsort((lo[o], doc[o]))]
+            r, a, b = _runs(doc[o], lo[o], lo[o] + n[o] + LENGTH)
+            if len(r):
+                known.append((tk.mix(ids[r].astype(np.uint64)).view(np.int64), ids[r], tags[r], a, b))
+            o = np.flatnonzero(~covered)
+            if not len(o):
+                continue
+            place = p.offs[doc[o]] + lo[o]
+            gram, _ = identifiers(p.data)
+            span = n[o] + LENGTH
+            ends = np.cumsum(span)
+            src = np.repeat(place - (ends - span), span) + np.arange(ends[-1])
+            held = pa.Array.from_buffers(pa.binary(), len(o), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(p.data[src]))])
+            opened.append((gram[place + x[o]].view(np.int64), ids[doc[o]], tags[doc[o]], lo[o], lo[o] + n[o], held))
+        for *cols, held in opened:
+            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in cols), held], STRING_NAMES)
+        for cols in known:
+            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in cols), pa.nulls(len(cols[0]), pa.binary())], STRING_NAMES)
 
 
 SPANS = "doc_id long, tag long, lo long, hi long"
@@ -179,7 +285,7 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in SPANS.split(", ")]
     held_g, held_key, held_own = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
-        known = batch.column(6).is_null().to_numpy(zero_copy_only=False)
+        known = batch.column(5).is_null().to_numpy(zero_copy_only=False)
         if known.any():
             part = batch.filter(pa.array(known))
             yield pa.RecordBatch.from_arrays([part.column(k) for k in (1, 2, 3, 4)], names)
@@ -187,7 +293,7 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not part.num_rows:
             continue
         g, own, tag, lo, hi = (part.column(k).to_numpy() for k in range(5))
-        texts = part.column(6)
+        texts = part.column(5)
         offs = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         flat = np.frombuffer(texts.buffers()[2], np.uint8)[offs[0] : offs[-1]]
         offs = offs - offs[0]
@@ -224,12 +330,16 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeats(dealt: DataFrame) -> DataFrame:
     """(doc_id, spans): byte spans of each document that earlier documents hold; spans may overlap."""
     n = scratch.partitions(dealt.sparkSession)
-    first = dealt.select("doc_id", "text").mapInArrow(_first_buckets, "g long, doc_id long")
-    several = shared(first.repartition(n, "g").sortWithinPartitions("g", "doc_id"))
-    shares = several.groupBy("doc_id").agg(F.collect_list("g").alias("shares")).hint("shuffle_hash")
-    ranges = dealt.select("doc_id", "text").join(shares, "doc_id", "left").select("doc_id", "text", "shares").mapInArrow(_ranges, RANGES)
-    spans = ranges.repartition(n, "g").sortWithinPartitions("g", "doc_id").mapInArrow(_refine, SPANS)
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("spans"))
+    texts = dealt.select("doc_id", "text")
+    by_doc = lambda rows, *c: rows.repartition(n, "doc_id").groupBy("doc_id").agg(F.collect_list(c[0] if len(c) == 1 else F.struct(*c)).alias("found")).hint("shuffle_hash")
+    fetch = lambda found: texts.join(found, "doc_id", "left").select("doc_id", "text", "found")
+    first = texts.mapInArrow(_first_buckets, "g long, doc_id long")
+    several = shared(first.repartition(n, "g").sortWithinPartitions("g", "doc_id")).select("doc_id", "g")
+    ranges = fetch(by_doc(several, "g")).mapInArrow(_ranges, RANGES).repartition(n, "g").sortWithinPartitions("g", "name", "doc_id")
+    settled = ranges.mapInArrow(_settle, SETTLED)
+    strings = fetch(by_doc(settled, "at", "covered")).mapInArrow(_strings, STRINGS).repartition(n, "g").sortWithinPartitions("g", "doc_id")
+    spans = strings.mapInArrow(_refine, SPANS)
+    return spans.repartition(n, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("spans"))
 
 
 def cut(dealt: DataFrame, spans: DataFrame, whole: bool = False) -> DataFrame:
