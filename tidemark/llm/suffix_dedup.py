@@ -131,7 +131,7 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 RANGES = "g long, name long, doc_id long, at long, sides long"
 RANGE_NAMES = [c.split()[0] for c in RANGES.split(", ")]
-SETTLED = "doc_id long, at long, covered boolean"
+SETTLED = "doc_id long, at long, covered long"
 HALF = (LENGTH - GRAM) // 2  # a string reaches so far from its anchor's gram on one side at least
 
 
@@ -144,7 +144,8 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     name: identifier of all the range's strings; sides: 32 bits of the identifier of the gram with the
     HALF bytes before it, and with those after it, each 0 if the range does not reach so far. A range
-    that an earlier document of the batch has too is covered: it goes with name 0 and sides 0.
+    that an earlier document of the batch has too is covered: such ranges are merged to spans, which go
+    with name 0 and their length for sides.
     """
     for batch in batches:
         parts, base = [], 0
@@ -180,13 +181,16 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = own > least
         on = ~done
         yield _emit([g[on].view(np.int64), name[on].view(np.int64), own[on], _pack(lo[on], n[on], x[on], tag[on]), sides[on].view(np.int64)], RANGE_NAMES)
-        if done.any():
-            zero = np.zeros(int(done.sum()), np.int64)
-            yield _emit([tk.mix(own[done].astype(np.uint64)).view(np.int64), zero, own[done], _pack(lo[done], n[done], x[done], tag[done]), zero], RANGE_NAMES)
+        r, a, b = _runs(row[done], lo[done], lo[done] + n[done] + LENGTH)  # in (row, lo) order already
+        if len(r):
+            zero, tag_of = np.zeros(len(r), np.int64), np.zeros(base, np.int64)
+            tag_of[row] = tag
+            own = all_ids[r]
+            yield _emit([tk.mix(own.astype(np.uint64)).view(np.int64), zero, own, _pack(a, zero, zero, tag_of[r]), b - a], RANGE_NAMES)
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered and open ranges, from ranges sorted by (g, name, doc_id).
+    """Covered and open ranges, from ranges sorted by (g, name, doc_id); `covered`: bytes, 0 if open.
 
     A range is covered if an earlier document has the same range. The earliest of each name stays open
     if another name of the bucket shares one of its sides; else no other document shares a string of it.
@@ -207,7 +211,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared_side[idx] |= count[back] > 1
         group = np.cumsum(first) - 1
         keep = shared_side[np.flatnonzero(first)][group] if len(g) else first
-        return _emit([own[keep], at[keep], np.zeros(int(keep.sum()), bool)], names)
+        return _emit([own[keep], at[keep], np.zeros(int(keep.sum()), np.int64)], names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -223,7 +227,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = np.arange(len(g)) >= n_held
         out = covered & fresh
         if out.any():
-            yield _emit([own[out], at[out], np.ones(int(out.sum()), bool)], names)
+            yield _emit([own[out], at[out], np.where(name[out] == 0, sides[out], _unpack(at[out])[1] + LENGTH)], names)
         rest = ~covered
         g, name, own, at, sides = (v[rest] for v in rows)
         whole = g != rows[0][-1]
@@ -258,10 +262,10 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, lo, n, x, covered = doc[mine], lo[mine], n[mine], x[mine], covered[mine]
             o = np.flatnonzero(covered)
             o = o[np.lexsort((lo[o], doc[o]))]
-            r, a, b = _runs(doc[o], lo[o], lo[o] + n[o] + LENGTH)
+            r, a, b = _runs(doc[o], lo[o], lo[o] + covered[o])
             if len(r):
                 known.append((tk.mix(ids[r].astype(np.uint64)).view(np.int64), ids[r], tags[r], a, b))
-            o = np.flatnonzero(~covered)
+            o = np.flatnonzero(covered == 0)
             if not len(o):
                 continue
             place = p.offs[doc[o]] + lo[o]
