@@ -331,10 +331,27 @@ def keyed(docs: DataFrame) -> DataFrame:
     return typed.repartition(scratch.partitions(docs.sparkSession), "doc_id")
 
 
-def repeats(dealt: DataFrame) -> DataFrame:
-    """(doc_id, spans): byte spans of each document that earlier documents hold; spans may overlap."""
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, same): digests of texts that a smaller doc_id has whole; all their bytes are covered, and
+    none of their strings is the earliest, so the rest of the work leaves them out."""
+    t = docs.where(F.octet_length("text") >= LENGTH).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("same"), F.xxhash64(F.lit(1), "text").alias("twin"))
+    first = t.groupBy("same", "twin").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    late = t.join(first, ["same", "twin"]).where("doc_id > first")
+    return scratch.stored(late.groupBy("doc_id").agg(F.collect_set("same").alias("same")))
+
+
+def _marked(dealt: DataFrame, marks: DataFrame) -> DataFrame:
+    """`dealt` with `copy`: whether the row is such a copy."""
+    j = dealt.join(marks.hint("shuffle_hash"), "doc_id", "left")
+    return j.select(*dealt.columns, F.coalesce(F.array_contains("same", F.xxhash64("text")), F.lit(False)).alias("copy"))
+
+
+def repeats(dealt: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, spans): byte spans of documents other than whole copies (`marks`) that earlier documents
+    hold; spans may overlap."""
     n = scratch.partitions(dealt.sparkSession)
-    texts = dealt.select("doc_id", "text")
+    marked = _marked(dealt.select("doc_id", "text"), marks)
+    texts = marked.select("doc_id", F.when(~F.col("copy"), F.col("text")).alias("text"))
     by_doc = lambda rows, *c: rows.repartition(n, "doc_id").groupBy("doc_id").agg(F.collect_list(c[0] if len(c) == 1 else F.struct(*c)).alias("found")).hint("shuffle_hash")
     fetch = lambda found: texts.join(found, "doc_id", "left").select("doc_id", "text", "found")
     first = texts.mapInArrow(_first_buckets, "g long, doc_id long")
@@ -346,7 +363,7 @@ def repeats(dealt: DataFrame) -> DataFrame:
     return spans.repartition(n, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("spans"))
 
 
-def cut(dealt: DataFrame, spans: DataFrame, whole: bool = False) -> DataFrame:
+def cut(dealt: DataFrame, spans: DataFrame, marks: DataFrame, whole: bool = False) -> DataFrame:
     """All columns of `dealt`, with n_bytes, n_removed, n_spans and `kept`, the remaining bytes.
 
     whole: a character that loses some of its bytes loses all, so that `kept` is valid UTF-8."""
@@ -358,10 +375,15 @@ def cut(dealt: DataFrame, spans: DataFrame, whole: bool = False) -> DataFrame:
         for batch in batches:
             for p in tk.pieces(batch, "text"):
                 found = p.rows.column(len(fields))
+                copy = p.rows.column(len(fields) + 1).to_numpy(zero_copy_only=False)
                 removed, n_spans, kept = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64), []
                 raw, tags = p.data.tobytes(), _tags(p)
                 for d, (a, b) in enumerate(zip(p.offs[:-1].tolist(), p.offs[1:].tolist(), strict=True)):
                     text, out, at = raw[a:b], [], 0
+                    if copy[d]:
+                        removed[d], n_spans[d] = b - a, 1
+                        kept.append(b"")
+                        continue
                     if found[d].is_valid:
                         flat = found[d].values.flatten()
                         mine = flat[0].to_numpy() == tags[d]
@@ -377,13 +399,14 @@ def cut(dealt: DataFrame, spans: DataFrame, whole: bool = False) -> DataFrame:
                     kept.append(b"".join(x.decode(errors="ignore").encode() for x in out) if whole and len(out) > 1 else rest)
                 yield pa.RecordBatch.from_arrays([*(p.rows.column(k) for k in range(len(fields))), pa.array(p.lengths), pa.array(removed), pa.array(n_spans), pa.array(kept, pa.binary())], names)
 
-    return dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").select(*fields, "spans").mapInArrow(run, schema)
+    return _marked(dealt, marks).join(spans.hint("shuffle_hash"), "doc_id", "left").select(*fields, "spans", "copy").mapInArrow(run, schema)
 
 
 def suffix_dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
     """`docs` (doc_id, text and any other columns) with n_bytes, n_removed, n_spans and kept bytes."""
     dealt = keyed(docs)
-    return cut(dealt, repeats(dealt), whole)
+    marks = copies(docs)
+    return cut(dealt, repeats(dealt, marks), marks, whole)
 
 
 def shortened(docs: DataFrame) -> DataFrame:
