@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import snippet
-from tidemark.functions.vectors import dot, let, sparse_terms, tokens
+from tidemark.functions.vectors import dot, fnv32, let, sparse_terms, tokens
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -56,9 +56,14 @@ def dense_search(chunks: DataFrame, queries: DataFrame, k: int, positive_only: b
 
 
 def sparse_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank): dot product of hashed term counts (T-16)."""
-    c = sparse_terms(chunks.select("chunk_id", tokens("text").alias("t")), "chunk_id", "t").withColumnRenamed("n", "cn")
+    """(query_id, chunk_id, score, rank): dot product of hashed term counts (T-16).
+
+    Each distinct term of the corpus is hashed once; only those that meet a query's index go on.
+    """
     q = sparse_terms(queries.select("query_id", tokens("text").alias("t")), "query_id", "t").withColumnRenamed("n", "qn")
+    words = chunks.select("chunk_id", F.explode(tokens("text")).alias("term"))
+    known = words.select("term").distinct().withColumn("index", fnv32("term")).join(q.select("index").distinct(), "index")
+    c = words.join(known, "term").groupBy("chunk_id", "index").agg(F.count("*").alias("cn"))
     s = c.join(q, "index").groupBy("query_id", "chunk_id").agg(F.sum(F.col("cn") * F.col("qn")).cast("double").alias("score"))
     return top(s, k, F.desc("score"), "chunk_id")
 
@@ -162,9 +167,10 @@ def keyword_arm(index: DataFrame, query: str, window: int = 1000) -> DataFrame:
     """(document_id, score, rank): matches by text or title substring; twice the cover rank plus one for
     a title hit; the first `window` by score then id (F-07, T-04, K-01)."""
     terms = sorted({t for g in parse_query(query) for t in [*g["terms"], *(x for p in g["phrases"] for x in p)]})
-    v = index.select("document_id", "title", positions("title", "summary", "content").alias("v"))
     title = F.contains(F.lower("title"), F.lit(query.lower()))
-    m = v.withColumn("t", F.transform("v", lambda e: e["term"])).where(text_match(F.col("t"), query) | title)
+    every = F.concat(tokens("title"), tokens("summary"), tokens("content"))
+    matched = index.select("document_id", "title", "summary", "content").where(text_match(every, query) | title)
+    m = matched.select("document_id", "title", positions("title", "summary", "content").alias("v"))
     score = F.round(2 * cover_rank(F.col("v"), terms or [""]) + F.when(title, 1.0).otherwise(0.0), 6)
     s = m.select(F.lit(0).alias("query_id"), "document_id", score.alias("score"))
     return top(s, window, F.desc("score"), "document_id")
