@@ -3,9 +3,10 @@
 Documents become sets of word shingles; documents with equal sets form a class and only classes are
 joined. Shingles are put in one global order, estimated commonest last. For a threshold t, two sets
 of at least that similarity share at least l shingles among the first n - ceil(t n) + l of each, for
-every l. Each class picks its l by estimated candidate cost: where its prefix holds common shingles,
-a longer prefix is taken and correspondingly more shared shingles are asked for before a pair is
-verified (of two classes the smaller l holds). Verification compares whole shingle sets.
+every l. Each class picks its l by estimated candidate cost: in proportion to its size, as any two texts
+may share a passage, and where its prefix holds common shingles, a longer prefix is taken and
+correspondingly more shared shingles are asked for before a pair is verified (of two classes the smaller
+l holds). Verification compares whole shingle sets.
 
 Links are wanted only as components, so a first round links each class with the one it shares most
 prefix shingles with among its lists' heads; the second takes all remaining candidate pairs, but only
@@ -37,15 +38,16 @@ from tidemark.llm.components import components
 from tidemark.llm.streams import shared
 
 #: A shingle counts as frequent in a batch from so many of its classes on.
-FREQUENT = 8
+FREQUENT = 4
 
 
 @dataclass(frozen=True)
 class Rule:
     size: int = 5  # words in a shingle
     percent: int = 75  # 100 * intersection >= percent * union
-    max_match: int = 6  # longest prefix extension
-    max_common: int = 1 << 18  # shingles with an estimated count
+    spread: int = 20  # one match for so many shingles at least: texts that share a passage only fail that
+    max_match: int = 8  # how far the number of matches may grow past twice the least
+    max_common: int = 1 << 19  # shingles with an estimated count
     max_sent: int = 1 << 19  # rows of (doc_id, class) that may be broadcast to fetch texts
 
     def floor(self, n):
@@ -116,14 +118,15 @@ def prefix(s: np.ndarray, common: np.ndarray, weight: np.ndarray, rule: Rule) ->
     if len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
         w = np.where(common[at] == s, weight[at], 0)
-    short = n - int(rule.floor(n)) + 1
+    floor = int(rule.floor(n))
+    least = min(1 + n // rule.spread, floor)
     if not w.any():
-        return s[:short], 1
+        return s[: n - floor + least], least
     order = np.lexsort((s, w))
     cost = np.cumsum(2.0 ** w[order] - 1)  # partners expected through the shingles so far
-    tries = np.arange(1, min(rule.max_match, n - short + 1) + 1)
-    k = int(np.argmin((cost[short + tries - 2] + 1) / tries + (short + tries)))
-    return s[order[: short + k]], k + 1
+    tries = np.arange(least, min(2 * least + rule.max_match, floor) + 1)
+    k = int(tries[np.argmin((cost[n - floor + tries - 1] + 1) / tries + tries)])
+    return s[order[: n - floor + k]], k
 
 
 def postings(docs: DataFrame, rule: Rule, seed: int, common: tuple) -> DataFrame:
@@ -197,8 +200,8 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     lists = scratch.stored(shared(index))
 
     ok = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * rule.percent
-    heads = lists.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("h")).select("token", F.col("h.cls").alias("y"), F.col("h.n").alias("pn"))
-    near = lists.join(heads, "token").where("cls <> y").where(ok).groupBy("cls", "y").agg(F.count("*").alias("k"))
+    heads = lists.groupBy("token").agg(F.min(F.struct("cls", "n", "l")).alias("h")).select("token", F.col("h.cls").alias("y"), F.col("h.n").alias("pn"), F.col("h.l").alias("pl"))
+    near = lists.join(heads, "token").where("cls <> y").where(ok).groupBy("cls", "y").agg(F.count("*").alias("k"), F.min(F.least("l", "pl")).alias("l")).where("k >= l")
     best = near.groupBy(F.col("cls").alias("x")).agg(F.max_by("y", F.struct("k", "y")).alias("y"))
     links = scratch.stored(verify(docs, best, reps, rule, seed))
 
