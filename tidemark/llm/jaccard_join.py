@@ -8,9 +8,11 @@ may share a passage, and where its prefix holds common shingles, a longer prefix
 correspondingly more shared shingles are asked for before a pair is verified (of two classes the smaller
 l holds). Verification compares whole shingle sets.
 
+A class whose prefix shares fewer shingles with anyone than its partners would ask for is left out.
+
 Links are wanted only as components, so a first round links each class with the one it shares most
-prefix shingles with among its lists' heads; the second takes all remaining candidate pairs, but only
-between classes that are not connected yet. No link between different components can be lost, and a
+prefix shingles with among its lists' heads, the classes that have most in common with others; the
+second takes all remaining candidate pairs, but only between classes that are not connected yet. No link between different components can be lost, and a
 large group of near copies makes no pairs within itself.
 
 The estimate of common shingles only steers the order: counts of shingles frequent within a task's
@@ -48,6 +50,7 @@ class Rule:
     spread: int = 20  # one match for so many shingles at least: texts that share a passage only fail that
     max_match: int = 8  # how far the number of matches may grow past twice the least
     max_common: int = 1 << 19  # shingles with an estimated count
+    block: int = 1024  # sets held at a time while verifying
     max_sent: int = 1 << 19  # rows of (doc_id, class) that may be broadcast to fetch texts
 
     def floor(self, n):
@@ -155,29 +158,39 @@ def postings(docs: DataFrame, rule: Rule, seed: int, common: tuple) -> DataFrame
 def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, rule: Rule, seed: int) -> DataFrame:
     """Of class pairs (x, y), those that are similar, as (a, b) doc_ids of their representatives.
 
-    Each y's text and those of its x's come together in order, y first; one y's set is held at a time.
+    The y's are dealt to blocks of about `rule.block` sets; an x goes once to each block that holds
+    partners of it, after that block's own sets, with the list of those partners.
     """
     spark = docs.sparkSession
-    want = pairs.select(F.col("y").alias("key"), F.col("x").alias("cls"), F.lit(1).alias("late")).unionByName(pairs.select(F.col("y").alias("key"), F.col("y").alias("cls"), F.lit(0).alias("late")).distinct())
-    want = scratch.stored(want.join(reps.select("cls", "doc_id"), "cls"))
+    pairs = scratch.stored(pairs)
+    blocks = max(1, -(-pairs.select("y").distinct().count() // rule.block))
+    key = F.pmod(F.xxhash64("y"), F.lit(blocks)).alias("key")
+    none = F.array().cast("array<bigint>")
+    own = pairs.select(key, F.col("y").alias("cls")).distinct().select("key", "cls", F.lit(0).alias("late"), none.alias("ys"))
+    late = pairs.groupBy(key, F.col("x").alias("cls")).agg(F.collect_list("y").alias("ys")).select("key", "cls", F.lit(1).alias("late"), "ys")
+    want = scratch.stored(own.unionByName(late).join(reps.select("cls", "doc_id"), "cls"))
     if want.count() <= rule.max_sent:
         want = F.broadcast(want)
-    texts = docs.select("doc_id", "text").join(want, "doc_id").select("key", "late", "cls", "doc_id", "text")
+    texts = docs.select("doc_id", "text").join(want, "doc_id").select("key", "late", "cls", "doc_id", "ys", "text")
     texts = texts.repartition(scratch.partitions(spark), "key").sortWithinPartitions("key", "late", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, head, head_id = None, None, None
+        key, held = None, {}
         for batch in batches:
             for p in tk.pieces(batch):
                 a, b = [], []
-                cols = [p.rows.column(k).to_pylist() for k in range(4)]
-                for (k, late, cls, d), s in zip(zip(*cols, strict=True), sets(p, rule.size), strict=True):
+                cols = [p.rows.column(k).to_pylist() for k in range(5)]
+                for (k, late, cls, d, ys), s in zip(zip(*cols, strict=True), sets(p, rule.size), strict=True):
                     if class_of(s, seed)[0] != cls:  # another row under the same doc_id
                         continue
+                    if k != key:
+                        key, held = k, {}
                     if not late:
-                        key, head, head_id = k, s, d
-                    elif k == key:
-                        both = len(np.intersect1d(head, s, assume_unique=True))
+                        held[cls] = (d, s)
+                        continue
+                    for head_id, head in (held[y] for y in ys if y in held):
+                        at = np.minimum(np.searchsorted(head, s), len(head) - 1)
+                        both = int((head[at] == s).sum())
                         if 100 * both >= rule.percent * (len(head) + len(s) - both):
                             a.append(head_id), b.append(d)
                 if a:
@@ -198,9 +211,13 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
             break
     index = postings(docs, rule, seed, common_shingles(found, rule.max_common)).repartition(n_parts, "token").sortWithinPartitions("token", "cls")
     lists = scratch.stored(shared(index))
+    own = lists.groupBy("cls").agg(F.count("*").alias("s"))
+    asked = F.least("l", F.floor(F.ceil(F.col("n") * rule.percent / 100) / rule.spread) + 1)  # no partner asks for less
+    part = F.col("s") / (F.col("n") - F.ceil(F.col("n") * rule.percent / 100) + F.col("l"))  # of the prefix, what others have too
+    lists = scratch.stored(lists.join(own, "cls").where(F.col("s") >= asked).withColumn("part", part))
 
     ok = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * rule.percent
-    heads = lists.groupBy("token").agg(F.min(F.struct("cls", "n", "l")).alias("h")).select("token", F.col("h.cls").alias("y"), F.col("h.n").alias("pn"), F.col("h.l").alias("pl"))
+    heads = lists.groupBy("token").agg(F.max(F.struct("part", "cls", "n", "l")).alias("h")).select("token", F.col("h.cls").alias("y"), F.col("h.n").alias("pn"), F.col("h.l").alias("pl"))
     near = lists.join(heads, "token").where("cls <> y").where(ok).groupBy("cls", "y").agg(F.count("*").alias("k"), F.min(F.least("l", "pl")).alias("l")).where("k >= l")
     best = near.groupBy(F.col("cls").alias("x")).agg(F.max_by("y", F.struct("k", "y")).alias("y"))
     links = scratch.stored(verify(docs, best, reps, rule, seed))
@@ -209,11 +226,11 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     comp = reps.join(group, reps["doc_id"] == group["node"], "left").select("cls", F.coalesce("component", "doc_id").alias("comp"))
     left = lists.join(comp, "cls")
     open_ = left.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    left = scratch.stored(left.join(open_, "token"))
+    left = scratch.stored(left.join(open_, "token").drop("s", "part"))
     other = left.select("token", F.col("cls").alias("y"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("comp").alias("pc"))
     rest = left.join(other, "token").where("cls < y and comp <> pc").where(ok)
     rest = rest.groupBy(F.col("cls").alias("x"), "y").agg(F.count("*").alias("k"), F.min(F.least("l", "pl")).alias("l")).where("k >= l").select("x", "y")
-    links = scratch.stored(verify(docs, scratch.stored(rest), reps, rule, seed)).unionByName(links)
+    links = scratch.stored(verify(docs, rest, reps, rule, seed)).unionByName(links)
 
     final = components(links)
     member = rows.join(reps.select("cls", "n", F.col("doc_id").alias("rep")), ["cls", "n"], "left")
