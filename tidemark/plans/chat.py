@@ -83,7 +83,7 @@ def t22(spark, d):
     return found.orderBy("rank").limit(3).select("storage_id", "rank")
 
 
-@query("t23_t24_channel_search", f"WITH {X.CH} SELECT to_id, message_id FROM (SELECT *, regexp_extract_all(lower(payload), '[\\p{{L}}\\p{{Nd}}]+') AS t FROM ch) WHERE to_id IN (1, 2, 3, 4, 5, 6) AND list_contains(t, 'the') AND NOT retracted ORDER BY created_at DESC, message_id LIMIT 6")
+@query("t23_channel_search", f"WITH {X.CH} SELECT to_id, message_id FROM (SELECT *, regexp_extract_all(lower(payload), '[\\p{{L}}\\p{{Nd}}]+') AS t FROM ch) WHERE to_id IN (1, 2, 3, 4, 5, 6) AND list_contains(t, 'the') AND NOT retracted ORDER BY created_at DESC, message_id LIMIT 6")
 def t23(spark, d):
     from tidemark.functions.vectors import tokens
 
