@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def _table(spans) -> np.ndarray:
@@ -48,7 +48,7 @@ class Piece:
         return np.diff(self.offs)
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES):
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int | None = None):
     """Cuts a record batch by rows so that each piece holds about `limit` text bytes; null is empty."""
     col = batch.column(batch.schema.get_field_index(column))
     if col.null_count:
@@ -58,7 +58,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES
     raw = np.frombuffer(col.buffers()[2], np.uint8) if len(col) and col.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(col):
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + (limit or PIECE_BYTES), side="right")) - 1)
         yield Piece(raw[offs[at] : offs[to]], offs[at : to + 1] - offs[at], batch.slice(at, to - at))
         at = to
 
