@@ -244,6 +244,48 @@ def test_license_scan(spark, docs, none):
     assert license_scan.license_scan(none).count() == 0 and len(license_scan.rules()) > 300
 
 
+def spelled(node):
+    """Texts of a regex: every alternative and letter of a set, repetitions at their least and one more (at most)."""
+    out = [""]
+    for op, av in node:
+        kind = str(op)
+        if kind == "LITERAL":
+            part = [chr(av)]
+        elif kind == "IN":
+            part = [x for o, v in av for x in ([chr(v)] if str(o) == "LITERAL" else [chr(c) for c in range(v[0], v[1] + 1)] if str(o) == "RANGE" else ["7"])]
+        elif kind == "BRANCH":
+            part = [x for b in av[1] for x in spelled(b)]
+        elif kind == "SUBPATTERN":
+            part = spelled(av[3])
+        elif kind == "MAX_REPEAT":
+            part = [x * n for n in range(av[0], min(av[0] + 1, av[1]) + 1) for x in (spelled(av[2]) if n else [""])]
+        else:
+            assert kind == "ASSERT_NOT", kind
+            part = [""]
+        out = [a + b for a in out for b in part]
+    return out
+
+
+def test_license_keywords_lose_nothing():
+    """Scans with and without the keywords agree on a text of every alternative of every name, way and other rule."""
+    parse = lambda x: spelled(re._parser.parse(x))
+    texts = [t for _, _, name in license_scan.NAMES for t in parse(name)]
+    texts += [a + "mit license" + b for pre, post, *_ in license_scan.WAYS for a in parse(pre) for b in parse(post)]
+    texts += [t + end for r in license_scan.rules()[-4:] for t in parse(r.regex.pattern) for end in ("", "s")]
+    made = license_scan.rules()
+    by_key = license_scan.keyed(made)
+    for t in texts:
+        every = [(a, a + m.group().count(" ") + 1, r) for r in made for m in r.regex.finditer(t) for a in [t.count(" ", 0, m.start())]]
+        assert every and license_scan.scan_words(t, set(t.split(" ")), by_key) == license_scan.resolve(every), t
+    assert len(texts) > 1000
+
+
+def test_license_names_without_their_short_form(spark):
+    rows = ["GNU General Public License v3", "GNU General Public Licence v2", "AGPL v3", "GPLv3", "Library General Public License", "Common Development and Distribution License", "European Union Public Licence", "Creative Commons Attribution ShareAlike", "Alle Rechte vorbehalten"]
+    got = by_id(license_scan.license_scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    assert [got[k]["labels"] for k in range(len(rows))] == ["gpl,gpl-3.0", "gpl-2.0", "agpl", "gpl", "gpl,lgpl", "cddl", "eupl", "cc-by-sa", "reserved"]
+
+
 def test_license_suppression():
     rule = lambda name, p: license_scan.Rule(name, "k", (), p, 0.5, re.compile("x"))
     a, b, c = rule("a", 2), rule("b", 1), rule("c", 1)

@@ -1,8 +1,8 @@
 """License scans by ordered signature rules (operator 3).
 
-A rule is a regex over a text's words (lower-cased A-Z, joined by single spaces), the keywords it
-needs, a priority and a confidence. Keywords are looked up in the words' dictionary, so a text without
-them never meets a regex. Among overlapping detections, one that lies inside a detection of at least
+A rule is a regex over a text's words (lower-cased A-Z, joined by single spaces), keywords of which every
+match holds one, a priority and a confidence. Keywords are looked up in the words' dictionary, so a text
+without them never meets a regex, and loses nothing by that. Among overlapping detections, one that lies inside a detection of at least
 its priority is suppressed. Three base phrases are always counted by word position.
 
 Defined results: null text is empty: no words, no labels, score 0, null positions. Rows are scanned
@@ -24,13 +24,13 @@ from tidemark.llm import textkit as tk
 #: Base phrases and their labels; fixed values.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: label, keyword that must be present, regex of the licence's name over normalised words.
+#: label, keywords (every alternative of the regex holds one of them as a whole word), regex of the licence's name over normalised words.
 NAMES = (
-    ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e(?: version 3| v3)?|agpl(?: ?v?3)?"),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[sc]e(?: version [23](?: 1)?| v[23](?: 1)?)?"),
-    ("gpl-3.0", "3", r"(?:gnu )?general public licen[sc]e (?:version |v)?3(?: 0)?(?: or(?: any)? later)?"),
-    ("gpl-2.0", "2", r"(?:gnu )?general public licen[sc]e (?:version |v)?2(?: 0)?(?: or(?: any)? later)?"),
-    ("gpl", "gpl", r"gpl(?: ?v?[123](?: 0)?)?"),
+    ("agpl", "affero|agpl|agpl3|agplv3", r"(?:gnu )?affero general public licen[sc]e(?: version 3| v3)?|agpl(?: ?v?3)?"),
+    ("lgpl", "lesser|library", r"(?:gnu )?(?:lesser|library) general public licen[sc]e(?: version [23](?: 1)?| v[23](?: 1)?)?"),
+    ("gpl-3.0", "general", r"(?:gnu )?general public licen[sc]e (?:version |v)?3(?: 0)?(?: or(?: any)? later)?"),
+    ("gpl-2.0", "general", r"(?:gnu )?general public licen[sc]e (?:version |v)?2(?: 0)?(?: or(?: any)? later)?"),
+    ("gpl", "gpl|gpl1|gpl2|gpl3|gplv1|gplv2|gplv3", r"gpl(?: ?v?[123](?: 0)?)?"),
     ("gpl", "gnu", r"gnu general public licen[sc]e"),
     ("gfdl", "documentation", r"gnu free documentation licen[sc]e(?: version 1 [0-3])?"),
     ("apache-2.0", "apache", r"apache(?: software)? licen[sc]e(?: version)? 2(?: 0)?"),
@@ -43,9 +43,9 @@ NAMES = (
     ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e(?: version| v)? 2(?: 0)?"),
     ("mpl", "mozilla", r"mozilla public licen[sc]e(?:(?: version)? 1 [01])?"),
     ("epl", "eclipse", r"eclipse public licen[sc]e(?: version| v)?(?: [12](?: 0)?)?"),
-    ("cddl", "cddl", r"common development and distribution licen[sc]e|cddl(?: 1 [01])?"),
+    ("cddl", "cddl|distribution", r"common development and distribution licen[sc]e|cddl(?: 1 [01])?"),
     ("cpl", "common", r"common public licen[sc]e(?: version)?(?: 1 0)?"),
-    ("eupl", "eupl", r"european union public licen[sc]e|eupl(?: 1 [012])?"),
+    ("eupl", "eupl|european", r"european union public licen[sc]e|eupl(?: 1 [012])?"),
     ("isc", "isc", r"isc licen[sc]e"),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e"),
     ("boost", "boost", r"boost software licen[sc]e(?: version)?(?: 1 0)?"),
@@ -55,14 +55,14 @@ NAMES = (
     ("openssl", "openssl", r"openssl licen[sc]e"),
     ("php", "php", r"php licen[sc]e(?: version)?(?: 3 0[01])?"),
     ("ruby", "ruby", r"ruby licen[sc]e"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the f\w+ you want to public licen[sc]e"),
-    ("unlicense", "unlicense", r"(?:the )?unlicen[sc]e"),
+    ("wtfpl", "wtfpl|want", r"wtfpl|do what the f\w+ you want to public licen[sc]e"),
+    ("unlicense", "unlicense|unlicence", r"(?:the )?unlicen[sc]e"),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-nc-nd", "nd", r"(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:nd|noderivatives|noderivs)(?: [1234] \d)?"),
-    ("cc-by-nc-sa", "sa", r"(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:sa|sharealike|share alike)(?: [1234] \d)?"),
-    ("cc-by-nc", "nc", r"(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial|non commercial)(?: [1234] \d)?"),
-    ("cc-by-nd", "nd", r"(?:cc|creative commons) (?:by|attribution) (?:nd|noderivatives|noderivs)(?: [1234] \d)?"),
-    ("cc-by-sa", "sa", r"(?:cc|creative commons) (?:by|attribution) (?:sa|sharealike|share alike)(?: [1234] \d)?"),
+    ("cc-by-nc-nd", "nd|noderivatives|noderivs", r"(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:nd|noderivatives|noderivs)(?: [1234] \d)?"),
+    ("cc-by-nc-sa", "sa|sharealike|alike", r"(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:sa|sharealike|share alike)(?: [1234] \d)?"),
+    ("cc-by-nc", "nc|noncommercial|commercial", r"(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial|non commercial)(?: [1234] \d)?"),
+    ("cc-by-nd", "nd|noderivatives|noderivs", r"(?:cc|creative commons) (?:by|attribution) (?:nd|noderivatives|noderivs)(?: [1234] \d)?"),
+    ("cc-by-sa", "sa|sharealike|alike", r"(?:cc|creative commons) (?:by|attribution) (?:sa|sharealike|share alike)(?: [1234] \d)?"),
     ("cc-by", "cc", r"cc by(?: [1234] \d)?"),
     ("cc", "creative", r"creative commons(?: \w+){0,3} licen[sc]e"),
     ("public-domain", "domain", r"(?:in|into|to) the public domain|public domain dedication"),
@@ -70,13 +70,13 @@ NAMES = (
     ("odbl", "database", r"open (?:data commons )?(?:open )?database licen[sc]e"),
     ("ofl", "font", r"(?:sil )?open font licen[sc]e(?: version)?(?: 1 [01])?"),
     ("ms-pl", "microsoft", r"microsoft (?:public|reciprocal) licen[sc]e"),
-    ("reserved", "rights", r"all rights reserved|alle rechte vorbehalten|tous droits reserves|todos los derechos reservados"),
+    ("reserved", "rights|rechte|droits|derechos", r"all rights reserved|alle rechte vorbehalten|tous droits reserves|todos los derechos reservados"),
 )
 
 #: Ways to state a licence: prefix, suffix, keyword, added priority, confidence. A rule is a name in
 #: one of these ways.
 WAYS = (
-    (r"(?:is |are |been )?(?:re)?licen[sc]ed under (?:the )?(?:terms of (?:the )?)?", r"", ("licensed", "licenced", "relicensed"), 40, 0.99),
+    (r"(?:is |are |been )?(?:re)?licen[sc]ed under (?:the )?(?:terms of (?:the )?)?", r"", ("licensed", "licenced", "relicensed", "relicenced"), 40, 0.99),
     (r"(?:released|distributed|published|provided|available|made available) under (?:the )?(?:terms of (?:the )?)?", r"", ("under",), 40, 0.97),
     (r"(?:spdx )?licen[sc]e identifier ", r"", ("identifier",), 50, 1.0),
     (r"(?:subject to|governed by|in accordance with|under) (?:the )?(?:terms of (?:the )?)?", r"", ("subject", "governed", "accordance", "under"), 30, 0.9),
@@ -89,7 +89,7 @@ WAYS = (
 @dataclass(frozen=True)
 class Rule:
     label: str
-    need: str  # this keyword
+    need: tuple[str, ...]  # one of these keywords
     any_of: tuple[str, ...]  # and one of these, if there are any
     priority: int
     confidence: float
@@ -98,11 +98,11 @@ class Rule:
 
 def rules() -> tuple[Rule, ...]:
     """Every name in every way, most specific names first (their order breaks ties of priority)."""
-    made = [Rule(label, key, any_of, add * 100 + len(NAMES) - k, conf, re.compile(rf"(?<![^ ])(?:{pre}(?:{name}){post})(?![^ ])")) for k, (label, key, name) in enumerate(NAMES) for pre, post, any_of, add, conf in WAYS]
-    made.append(Rule("copyright", "copyright", (), 500, 0.5, re.compile(r"(?<![^ ])copyright(?: c)? (?:19|20)\d\d(?: (?:19|20)\d\d)?(?! [^ ]*licen)")))
-    made.append(Rule("no-warranty", "warranty", (), 400, 0.5, re.compile(r"(?<![^ ])without (?:any )?warranty(?: of any kind)?")))
-    made.append(Rule("mit", "permission", ("granted",), 6000, 0.99, re.compile(r"(?<![^ ])permission is hereby granted free of charge to any person obtaining a copy")))
-    made.append(Rule("bsd", "redistribution", ("permitted",), 6000, 0.95, re.compile(r"(?<![^ ])redistribution and use in source and binary forms with or without modification are permitted")))
+    made = [Rule(label, tuple(keys.split("|")), any_of, add * 100 + len(NAMES) - k, conf, re.compile(rf"(?<![^ ])(?:{pre}(?:{name}){post})(?![^ ])")) for k, (label, keys, name) in enumerate(NAMES) for pre, post, any_of, add, conf in WAYS]
+    made.append(Rule("copyright", ("copyright",), (), 500, 0.5, re.compile(r"(?<![^ ])copyright(?: c)? (?:19|20)\d\d(?: (?:19|20)\d\d)?(?! [^ ]*licen)")))
+    made.append(Rule("no-warranty", ("without",), (), 400, 0.5, re.compile(r"(?<![^ ])without (?:any )?warranty(?: of any kind)?")))
+    made.append(Rule("mit", ("permission",), ("granted",), 6000, 0.99, re.compile(r"(?<![^ ])permission is hereby granted free of charge to any person obtaining a copy")))
+    made.append(Rule("bsd", ("redistribution",), ("modification",), 6000, 0.95, re.compile(r"(?<![^ ])redistribution and use in source and binary forms with or without modification are permitted")))
     return tuple(made)
 
 
@@ -118,15 +118,23 @@ def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
 def scan_words(text: str, words: set[str], by_key: dict[str, list[Rule]]) -> list[tuple[int, int, Rule]]:
     """Resolved detections (first word, word after the last, rule) in space-joined words."""
     found = []
-    for key in words & by_key.keys():
-        for r in by_key[key]:
-            if not r.any_of or any(x in words for x in r.any_of):
-                for m in r.regex.finditer(text):
-                    a = text.count(" ", 0, m.start())
-                    found.append((a, a + m.group().count(" ") + 1, r))
+    for r in {r for key in words & by_key.keys() for r in by_key[key]}:
+        if not r.any_of or any(x in words for x in r.any_of):
+            for m in r.regex.finditer(text):
+                a = text.count(" ", 0, m.start())
+                found.append((a, a + m.group().count(" ") + 1, r))
     return resolve(found)
 
 
+def keyed(made: tuple[Rule, ...]) -> dict[str, list[Rule]]:
+    """Rules by each of their keywords."""
+    by_key: dict[str, list[Rule]] = {}
+    for r in made:
+        for key in r.need:
+            by_key.setdefault(key, []).append(r)
+    return by_key
+
+
 def _phrases(codes: np.ndarray, doc: np.ndarray, names: dict[bytes, int], phrase: str) -> np.ndarray:
     """Word positions where the phrase's words stand consecutively in one document."""
     want = [names.get(x.encode(), -1) for x in phrase.split()]
@@ -146,9 +154,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """One row for each row of `docs` (doc_id, text), with all kept detections; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_key: dict[str, list[Rule]] = {}
-        for r in rules():
-            by_key.setdefault(r.need, []).append(r)
+        by_key = keyed(rules())
         gates = {x.encode() for x in by_key}
         for batch in batches:
             for p in tk.pieces(batch):
