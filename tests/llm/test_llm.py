@@ -217,6 +217,24 @@ def test_lm_scores(docs, none):
     assert lm_score.lm_score(none).count() == 0
 
 
+def test_lm_word_starts_of_any_length(spark):
+    """A symbol that only bytes further back than DEPTH tell is scored by them; every state counts, by both ways."""
+    r = random.Random(4)
+    learned = [k for k in range(3000) if zlib.crc32(str(k).encode()) % 7 != 2]
+    rows = [(k, " ".join(r.choice(["qabcdefgh1x", "wabcdefgh2y"]) for _ in range(8))) for k in learned]
+    rows += [(k, t) for k, t in zip((k for k in range(3000) if zlib.crc32(str(k).encode()) % 7 == 2), ["qabcdefghx", "qabcdefghy", "qabcdefgh1x", "qabcdefgh1y", "wabcdefgh2x", "wabcdefgh2y", "wabcdefgh2y qabcdefgh1x", ""], strict=False)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got, rare = by_id(lm_score.lm_score(d)), by_id(lm_score.lm_score(d, max_common=0))
+    assert all(got[k]["score"] == pytest.approx(rare[k]["score"]) for k, _ in rows)
+    score = {t: got[k]["score"] for k, t in rows if got[k]["held_out"]}
+    assert score["qabcdefgh1x"] > score["qabcdefgh1y"] + 2 and score["wabcdefgh2y"] > score["wabcdefgh2x"] + 2
+
+    count = Counter((w[:i], (w + " ")[i]) for _, t in rows[: len(learned)] for w in t.split() for i in range(4, len(w)))
+    tree = lm_score.grow(stats := lm_score.statistics(d))
+    kept = lm_score.starts(lm_score.scratch.stored(lm_score.reaching(stats.where("kind = 0")).mapInArrow(lambda bs: (lm_score.places(b, tree, tree.table()) for b in bs if len(b)), "h long, p long, x int, last int, n long, s double"))).collect()
+    assert sorted(x["t"] for x in kept)[-2:] == sorted([count["qabcdefgh", "1"], count["wabcdefgh", "2"]])
+
+
 def test_language_id(spark, none):
     r = random.Random(1)
     words = {"en": "the of and to in is that for with".split(), "de": "der die und von mit ist das ein nicht".split()}
