@@ -152,3 +152,19 @@ def test_registered_queries_have_names_and_sql():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 90
+
+
+def test_document_vectors_cover_whole_texts(spark, tmp_path):
+    from tidemark.functions import vectors as V
+    from tidemark.plans import search
+
+    first, later, tail = "a " * 300, "bee " * 150, "cat. dog " * 100
+    rows = [(0, "\n".join([first, later, tail])), (1, "short. text"), (2, None)]
+    spark.createDataFrame([(k, t, "en", "s") for k, t in rows], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["document_id"], r["position"]): r["vector"] for r in search.t13(spark, str(tmp_path)).collect()}
+    texts = {(0, 0): "\n".join([first[:40], first[:100], first.strip()]), (0, 1): later.strip(), (0, 2): tail.strip()[:800], (0, 3): tail.strip()[800:], (1, 0): "\n".join([rows[1][1]] * 3)}
+    want = spark.createDataFrame([(*k, t) for k, t in texts.items()], "d long, p int, t string").select("d", "p", V.embed("t").alias("v"))
+    assert got == {(r["d"], r["p"]): [round(x, 6) for x in r["v"]] for r in want.collect()}
+    whole = {r["doc_id"]: r for r in search.t12(spark, str(tmp_path)).collect()}
+    text = spark.createDataFrame([(rows[0][1],)], "t string").select(V.embed("t").alias("v")).first()["v"]
+    assert whole[0]["vector"] == [round(x, 6) for x in text] and whole[0]["same"] == 1

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 WIDTH = 64
 TOKEN = r"\p{IsHan}|[\p{L}\p{Nd}&&[^\p{IsHan}]]+"
 M32 = 0xFFFFFFFF
+KNOWN = 1 << 17
 #: FNV-1a parameters; fixed values.
 BASIS32, PRIME32 = 0x811C9DC5, 0x01000193
 BASIS64 = 0xCBF29CE484222325
@@ -98,7 +99,7 @@ def _fnv64(data: bytes) -> int:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def embed_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The same vector from tokens; each distinct feature of a task is hashed once."""
+    """The same vector from tokens; hashes of features are kept, up to KNOWN at a time."""
     known: dict[bytes, int] = {}
     for batch in batches:
         out = []
@@ -108,6 +109,8 @@ def embed_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for f in [*words, *(a + b"\0" + b for a, b in zip(words, words[1:], strict=False))]:
                 h = known.get(f)
                 if h is None:
+                    if len(known) >= KNOWN:
+                        known.clear()
                     h = known[f] = _fnv64(f)
                 v[h % WIDTH] += -1.0 if h >> 63 else 1.0
             n = np.sqrt((v * v).sum())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.vectors import embed, tokens
+from tidemark.functions.vectors import embed_fast, tokens
 
 LIMIT, MOST, WINDOW, OVERLAP = 800, 200, 180, 20
 
@@ -96,4 +96,4 @@ def document_vectors(docs: DataFrame) -> DataFrame:
     text = F.when(F.coalesce("position", F.lit(0)) == 0, F.concat_ws("\n", head, "chunk")).otherwise(F.col("chunk"))
     whole = F.concat_ws("\n", head, "content")
     chosen = F.when(F.size(tokens(text)) > 0, text).otherwise(whole)
-    return chunks.select("document_id", F.coalesce("position", F.lit(0)).alias("position"), chosen.alias("text")).where(F.size(tokens("text")) > 0).select("document_id", "position", embed("text").alias("vector"))
+    return chunks.select("document_id", F.coalesce("position", F.lit(0)).alias("position"), chosen.alias("text")).where(F.size(tokens("text")) > 0).select("document_id", "position", embed_fast("text").alias("vector"))
