@@ -118,9 +118,36 @@ def test_jaccard_components(docs, spread):
 
 
 def test_jaccard_odd_rows(spark, none):
-    assert jaccard_join.jaccard_components(none).count() == 0
+    assert jaccard_join.jaccard_components(none).count() == 0 and jaccard_join.one_of_each(none).columns == none.columns
     rows = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, "A B C D E F")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in jaccard_join.jaccard_components(rows).collect()) == [(0, 7), (7, 7), (7, 7), (9, 7)]
+    w = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    rows = spark.createDataFrame([(None, " ".join(w)), (3, " ".join([*w[:-1], "Ä"])), (4, " ".join(["Ä", *w[1:-1], "Ö"])), (None, "1 2 3"), (None, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard_join.jaccard_components(rows).collect()) == [(0, 0, 0), (0, 1, 0), (0, 22, 3), (3, 22, 3), (4, 22, 3)]
+
+
+def family(n, changes):
+    """Near copies of one text of 80 words, each with some words changed, with similarities around the threshold."""
+    r = random.Random(5)
+    base = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(80)]
+    rows = []
+    for k in range(n):
+        w = list(base)
+        for _ in range(r.randrange(changes + 1)):
+            w[r.randrange(80)] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+def test_jaccard_large_family(spark):
+    rows = family(160, 5)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    s, label = components_of(rows)
+    assert len(set(label.values())) > 5
+    assert {k: r["component_id"] for k, r in by_id(jaccard_join.jaccard_components(d, jaccard_join.Rule(block=16))).items()} == label
+    got, pairs = jaccard_join.jaccard_links(d, jaccard_join.Rule(block=16))
+    want = {a: sum(100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b]) for b in s) - 1 for a in s}
+    assert {k: r["n_links"] for k, r in by_id(got).items()} == want and pairs.count() <= sum(want.values()) // 2
 
 
 @pytest.mark.parametrize("seed", range(4))
