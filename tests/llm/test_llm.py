@@ -55,24 +55,53 @@ def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
+def library():
+    import base64
+
+    import tiktoken
+
+    path, pattern = bpe.public_ranks()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb").read().splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def test_bpe_equals_library_and_round_trips(docs, none):
-    codec = bpe.Codec(open(bpe.public_ranks()[0], "rb").read(), bpe.public_ranks()[1], leaf_chars=7)
+    want = library()
     got = by_id(bpe.digests(docs, *bpe.public_ranks()))
     for k, t, *_ in corpus():
-        ids = codec.leaf(t or "")
-        assert codec.encode(t or "") == ids and codec.decode(ids) == (t or "").encode()
+        ids = want(t or "")
         assert tuple(got[k][1:]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
     assert by_id(bpe.decode(bpe.encode(docs, *bpe.public_ranks()), *bpe.public_ranks()))[3]["text"] == corpus()[3][1]
     assert bpe.digests(none, *bpe.public_ranks()).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_bpe_joins_any_text(seed):
-    codec = bpe.Codec(open(bpe.public_ranks()[0], "rb").read(), bpe.public_ranks()[1], leaf_chars=3)
-    r = random.Random(seed)
-    for _ in range(60):
-        t = "".join(r.choice(" \n\t'slltre12.é漢\x1c aB") for _ in range(r.randrange(60)))
-        assert codec.encode(t) == codec.leaf(t), t
+@pytest.mark.parametrize("leaf_chars,leaf_bytes", [(1, 1), (3, 4), (40, 16), (bpe.LEAF_CHARS, bpe.LEAF_BYTES)])
+def test_bpe_joins_any_text(leaf_chars, leaf_bytes):
+    codec, want = bpe.Codec(open(bpe.public_ranks()[0], "rb").read(), bpe.public_ranks()[1], leaf_chars, leaf_bytes), library()
+    r = random.Random(leaf_chars)
+    for n in [60] * 60 + [900] * 6:
+        t = "".join(r.choice(" \n\t'slltre12.é漢\x1c\x85\u3000-- aB") for _ in range(r.randrange(n)))
+        assert codec.encode(t) == want(t) and codec.decode(want(t)) == t.encode(), t
+    han = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(2000))
+    mixed = "".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(3000))
+    word = "".join(r.choice("etaoinshrdlu") for _ in range(3000))
+    for t in (han, mixed, word, "a" * 1000, "=" * 777 + "x", " " * 500 + "x" + " " * 300, "\n" * 100, "ab" * 700, " " + word, "'s" * 300, "don't'll've" * 60, "1" * 400):
+        assert codec.encode(t) == want(t) and codec.decode(want(t)) == t.encode(), t[:20]
+
+
+def test_bpe_long_texts_take_time_in_proportion():
+    """A text without any safe cut costs about as much for each character, however long."""
+    import time
+
+    codec = bpe.Codec(open(bpe.public_ranks()[0], "rb").read(), bpe.public_ranks()[1])
+    r = random.Random(1)
+    took = []
+    for n in (20_000, 160_000):
+        t = "".join(r.choice("etaoinshrdlu") for _ in range(n))
+        began = time.process_time()
+        codec.encode(t)
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * max(took[0], 0.05)
 
 
 def test_quality_rules_counts(docs, none):
@@ -387,5 +416,5 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     windows = {tuple(v[p : p + 10]) for p in range(len(v) - 9)}
     held = lambda w: any(tuple(w[p : p + 10]) in windows for p in range(len(w) - 9))
     left = [(k, t) for k, t in left if not held(ALNUM.findall(lower(t)))]
-    codec = bpe.Codec(open(bpe.public_ranks()[0], "rb").read(), bpe.public_ranks()[1])
-    assert {k: list(r["ids"]) for k, r in got.items()} == {k: codec.leaf(t) for k, t in left}
+    want = library()
+    assert {k: (list(r["ids"]), r["decoded_sha256"]) for k, r in got.items()} == {k: (want(t), hashlib.sha256(t.encode()).hexdigest()) for k, t in left}
