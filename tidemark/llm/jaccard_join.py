@@ -180,12 +180,12 @@ def postings(docs: DataFrame, rule: Rule, seed: int, common: tuple) -> DataFrame
 def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, rule: Rule, seed: int) -> tuple[DataFrame, int]:
     """Of class pairs (x, y), those that are similar, as (a, b); and the number of pairs.
 
-    The y's are dealt to blocks of about `rule.block` sets and a few times as many pairs, a y with more
-    pairs to several. An x goes once to each block that holds partners of it, after that block's own
+    The y's are dealt to blocks of about `rule.block` sets and as many pairs, a y with more pairs to
+    several. An x goes once to each block that holds partners of it, after that block's own
     sets, and after the list of those partners.
     """
     pairs = scratch.stored(pairs)
-    load = 8 * rule.block
+    load = rule.block
     degree = pairs.groupBy("y").agg(F.count("*").alias("c"))
     many, n_pairs = degree.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     blocks = max(1, -(-many // rule.block), min(many, -(-n_pairs // load)))
@@ -263,10 +263,8 @@ def prepare(docs: DataFrame, rule: Rule) -> Lists:
     index = postings(docs, rule, seed, common_shingles(found, rule.max_common)).repartition(n_parts, "token").sortWithinPartitions("token", "cls")
     raw = scratch.stored(shared(index))
     own = raw.groupBy("cls").agg(F.count("*").alias("s"))
-    floor = F.ceil(F.col("n") * rule.percent / 100)
-    asked = F.least("l", F.floor(floor / rule.spread) + 1)  # no partner asks for less
-    part = F.col("s") / (F.col("n") - floor + F.col("l"))  # of the prefix, what others have too
-    lists = scratch.stored(raw.join(own, "cls").where(F.col("s") >= asked).select("token", "cls", "n", "l", part.alias("part")))
+    part = F.col("s") / (F.col("n") - F.ceil(F.col("n") * rule.percent / 100) + F.col("l"))  # of the prefix, what others have too
+    lists = scratch.stored(raw.join(own, "cls").where(F.col("s") >= _asked(rule)).select("token", "cls", "n", "l", part.alias("part")))
     scratch.free(raw)
     return Lists(docs, rows.select("doc_id", "n", "cls"), reps.drop("t0", "t1"), lists, seed)
 
@@ -284,10 +282,17 @@ def _partners(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("token", F.col("cls").alias("y"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("comp").alias("pc"), *[F.col(c).alias(f"p{c}") for c in more])
 
 
-def _open(lists: DataFrame) -> DataFrame:
-    """The lists that more than one component takes part in."""
+def _asked(rule: Rule) -> F.Column:
+    """Of a class, the least number of matches that any partner asks for."""
+    return F.least("l", F.floor(F.ceil(F.col("n") * rule.percent / 100) / rule.spread) + 1)
+
+
+def _open(lists: DataFrame, rule: Rule) -> DataFrame:
+    """The lists that more than one component takes part in, without classes that are in too few of them."""
     several = lists.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    return lists.join(several, "token")
+    rows = lists.join(several, "token")
+    enough = rows.groupBy("cls").agg(F.count("*").alias("s"), F.min("n").alias("n"), F.min("l").alias("l")).where(F.col("s") >= _asked(rule)).select("cls")
+    return rows.join(enough, "cls")
 
 
 def heads_of(lists: DataFrame, rule: Rule) -> DataFrame:
@@ -320,7 +325,7 @@ def component_classes(found: Lists, rule: Rule) -> DataFrame:
             whole = reduce(DataFrame.unionByName, links)
             group = scratch.stored(components(whole))
             comp = F.coalesce("component", "cls")
-            lists = scratch.stored(_open(found.lists.join(group, found.lists["cls"] == group["node"], "left").select(*found.lists.columns, comp.alias("comp"))))
+            lists = scratch.stored(_open(found.lists.join(group, found.lists["cls"] == group["node"], "left").select(*found.lists.columns, comp.alias("comp")), rule))
         if 100 * n <= rule.yield_percent * tried:
             break
     last, _ = verify(found.docs, remaining(lists, found.reps, rule), found.reps, rule, found.seed)
