@@ -118,6 +118,9 @@ def test_quality_rules_counts(docs, none):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
     assert quality_rules.quality_rules(none).count() == 0
     assert quality_rules.kept(docs).columns == docs.columns
+    assert quality_rules.quality_rules(docs).columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    twice = docs.unionByName(docs)
+    assert sorted(map(str, quality_rules.quality_rules(twice).collect())) == sorted(2 * [str(r) for r in got.values()])
 
 
 def shingles(t):
@@ -232,6 +235,24 @@ def test_suffix_dedup_odd_rows(spark):
     assert all(r["text"] is None or r["text"].encode() for r in suffix_dedup.shortened(rows).collect())
 
 
+def test_suffix_dedup_rows_of_one_id_and_clashing_columns(spark):
+    """Of many rows of one doc_id, each loses what itself shares with an earlier document, and no other."""
+    r = random.Random(9)
+    first = "".join(r.choice("abcdefghij") for _ in range(200))
+    texts = [first[20:80]] + ["".join(r.choice("klmnopq") for _ in range(60)) + (first[k : k + 52] if k % 3 == 0 else "") for k in range(60)]
+    names = ["copy", "spans", "same", "n_bytes", "kept", "n_removed", "tag", "rest", "found", "g"]
+    rows = [(1, first)] + [(2, t) for t in texts + texts[:2]]
+    d = spark.createDataFrame([(*x, *range(len(names))) for x in rows], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names)).repartition(3)
+    held = lambda t: [any(t[q : q + 50] in first for q in range(max(0, p - 49), min(p, len(t) - 50) + 1)) for p in range(len(t))]
+    want = sorted((k, t, "".join(c for c, g in zip(t, held(t), strict=True) if not g) if k == 2 else t) for k, t in rows)
+    got = suffix_dedup.suffix_dedup(d)
+    assert sorted((x["doc_id"], x["text"], bytes(x["kept"]).decode()) for x in got.collect()) == want
+    assert got.columns == ["doc_id", "text", "copy", "spans", "same", "tag", "rest", "found", "g", "n_bytes", "n_removed", "n_spans", "kept"]
+    left = suffix_dedup.shortened(d)
+    assert left.schema == d.schema and sorted((x["doc_id"], x["text"]) for x in left.collect()) == sorted((k, x) for k, _, x in want if x)
+    assert all([x[n] for n in names] == list(range(len(names))) for x in left.collect())
+
+
 def test_decontamination(spark, docs, none):
     items = [("b", " ".join(corpus()[31][1].split()[32:50])), ("a", "one"), ("c", None), ("d", "nothing of this stands anywhere at all in these texts"), ("b", "a b c d")]
     bench = spark.createDataFrame(items, "item_id string, text string")
@@ -250,7 +271,30 @@ def test_decontamination(spark, docs, none):
         assert tuple(got[k][1:]) == want, (k, t)
     assert decontaminate.contamination(none, bench).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.contamination(docs, bench.limit(0)).collect())
-    assert decontaminate.Index(docs, bench).proximity(40).columns == ["uid", "d", "th"]
+
+
+def test_decontamination_proximity(spark):
+    """The two rarest terms of a window at most `slop` words apart, but not as in the window."""
+    r = random.Random(8)
+    w = [f"w{k}" for k in range(40)]
+    texts = [[r.choice(w) for _ in range(r.randrange(1, 60))] for _ in range(40)] + [w[:14], w[5:3:-1]]
+    items = [w[:12], w[4:6], w[3:30:3], ["w9"]]
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame([(str(k), " ".join(t)) for k, t in enumerate(items)], "item_id string, text string")
+    index = decontaminate.Index(d, b)
+    names = {x["uid"]: x["item_id"] for x in index.items.select("uid", "item_id").distinct().collect()}
+    f = Counter(x for t in texts for x in t)
+    for slop in (1, 4, 30):
+        want = set()
+        for i, t in enumerate(items):
+            size = min(10, len(t))
+            for s in range(len(t) - size + 1):
+                places = sorted(range(s, s + size), key=lambda j: (f[t[j]], j))[:2]
+                if len(places) < 2 or not f[t[places[0]]]:
+                    continue
+                j, k = places
+                want |= {(str(i), n) for n, x in enumerate(texts) for p in range(len(x)) for q in range(len(x)) if x[p] == t[j] and x[q] == t[k] and 0 < abs(q - p) <= slop and q - p != k - j}
+        assert {(names[x["uid"]], x["d"]) for x in index.proximity(slop).collect()} == want
 
 
 def test_decontamination_plan_is_native(spark, docs):
@@ -395,6 +439,13 @@ def test_warc_revisits(spark):
     r = {x["record_id"]: x for x in warc.resolve_revisits(d.where("record_id <> 0")).collect()}
     assert r[2]["outcome"] == "resolved" and r[2]["headers"] == {"content-type": "text/html", "server": "s", "cache-control": "b"} and r[4]["source_digest"] == "d1"
     assert warc.resolve_revisits(d.limit(0)).count() == 0
+    odd = [(1, "example.com/a", 10, "response", None, None, h, "d1"), (2, "other.org/zzz", 20, "revisit", None, None, {}, None), (3, "", 30, "revisit", None, None, {}, None), (4, "http://", 40, "revisit", None, None, {}, None), (5, "http://a.b/", 5, "response", None, None, h, "d5"), (6, "http://a.b", 50, "revisit", None, None, {}, None), (6, "http://a.b", 50, "revisit", None, None, {}, None)]
+    names = ["block", "near", "far", "o", "rest", "Outcome"]
+    d = spark.createDataFrame([(*x, *range(len(names))) for x in odd], "record_id long, url string, ts long, kind string, etag string, last_modified long, headers map<string,string>, digest string, " + ", ".join(f"{n} long" for n in names))
+    got = warc.resolve_revisits(d)
+    assert got.columns == [*d.columns[:-1], "canonical_url", "outcome", "source_id", "source_digest"]
+    assert sorted((r["record_id"], r["canonical_url"], r["outcome"], r["source_id"]) for r in got.collect()) == [(1, None, "full", 1), (2, None, "no_earlier", None), (3, None, "no_earlier", None), (4, None, "no_earlier", None), (5, "a.b", "full", 5), (6, "a.b", "unvalidated", 5), (6, "a.b", "unvalidated", 5)]
+    assert all([r[n] for n in names[:-1]] == [0, 1, 2, 3, 4] for r in got.collect())
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):

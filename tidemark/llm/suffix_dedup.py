@@ -22,7 +22,8 @@ whole; a document shorter than `length` keeps all.
 
 Defined results: null text is empty; a row with a null doc_id keeps its bytes and removes none elsewhere;
 rows that repeat a doc_id are the same document for the rule (neither removes bytes of the other) and
-are cut one by one; extra columns pass through `cut`.
+are cut one by one, told apart by numbers that different texts of one doc_id get (2^20 at most; more
+raise an error); other columns pass, whatever their names, but one named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -31,8 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,12 +86,6 @@ def anchors(gram: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return chosen[new], at[new], at[np.r_[new[1:], len(at)] - 1]
 
 
-def _tags(p: tk.Piece) -> np.ndarray:
-    """A short digest of each text, to tell rows of one doc_id apart."""
-    raw = p.data.tobytes()
-    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) & 0xFFFFF for a, b in zip(p.offs[:-1].tolist(), p.offs[1:].tolist(), strict=True)], np.int64)
-
-
 def _first_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for p in tk.pieces(batch, "text"):
@@ -115,7 +109,7 @@ def _runs(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return row[at], lo[at], end[np.r_[at[1:], len(row)] - 1] - base[at]
 
 
-#: A range: lo, hi - lo, anchor - lo and the text's tag share 64 bits.
+#: A range: lo, hi - lo, anchor - lo and the text's number within its doc_id share 64 bits.
 _HI, _X, _TAG = 32, 38, 44
 
 
@@ -151,7 +145,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, base = [], 0
         all_ids = batch.column(0).fill_null(0).to_numpy()
         for p in tk.pieces(batch, "text"):
-            shares = p.rows.column(2)
+            shares, tags = p.rows.column(3), p.rows.column(2).to_numpy()
             gram, full = identifiers(p.data)
             wide = _pair(_pair(gram, 16), 1) if len(gram) > 16 else gram[:0]  # GRAM + HALF = 33 bytes: 32, then 1 on
             at, lo, hi = anchors(gram, p.offs)
@@ -168,7 +162,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = max(len(wide) - 1, 0)
             side = lambda ok, k: np.where(ok, tk.mix(wide[np.clip(k, 0, last)]) >> np.uint64(32) | np.uint64(1), np.uint64(0))  # noqa: B023, E731
             sides = side(lo <= at - HALF, at - HALF) << np.uint64(32) | side(hi >= at - HALF + 1, at) if len(wide) else np.zeros(len(at), np.uint64)
-            parts.append((name | np.uint64(1), doc + base, lo - p.offs[doc], hi - lo, at - lo, g, _tags(p)[doc], sides))
+            parts.append((name | np.uint64(1), doc + base, lo - p.offs[doc], hi - lo, at - lo, g, tags[doc], sides))
             base += len(p)
         name, row, lo, n, x, g, tag, sides = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 8
         if not len(row):
@@ -247,12 +241,12 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         known, opened = [], []
         for p in tk.pieces(batch, "text"):
-            found = p.rows.column(2)
+            found = p.rows.column(3)
             ids = p.rows.column(0).fill_null(0).to_numpy()
             has = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
             if not len(has):
                 continue
-            tags = _tags(p)
+            tags = p.rows.column(2).to_numpy()
             flat = found.filter(pa.array(found.is_valid().to_numpy(zero_copy_only=False)))
             size = flat.value_lengths().to_numpy()
             doc = np.repeat(has, size)
@@ -325,16 +319,38 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(tag[r]), pa.array(a), pa.array(b)], names)
 
 
+TEXTS = 1 << 20  # different texts of one doc_id that its numbers can tell apart
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with `tag`: which of its doc_id's different texts a row has; 0 where there is one."""
+    digest = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(2), "text").alias("h2")]
+    seen = docs.select("doc_id", *digest)
+    many = seen.groupBy("doc_id").agg(*[f(c).alias(f"{n}{c}") for c in ("h1", "h2") for n, f in (("a", F.min), ("b", F.max))]).where("ah1 <> bh1 or ah2 <> bh2").select("doc_id")
+    texts = seen.join(many, "doc_id", "left_semi").distinct()
+    tags = scratch.stored(texts.withColumn("tag", F.row_number().over(Window.partitionBy("doc_id").orderBy("h1", "h2")).cast("bigint") - 1))
+    most = tags.agg(F.max("tag")).first()[0]
+    if most is None:
+        return docs.withColumn("tag", F.lit(0).cast("bigint"))
+    if most >= TEXTS:
+        raise ValueError(f"a doc_id has {most + 1} different texts; {TEXTS} can be told apart")
+    found = docs.select("*", *digest).join(tags, ["doc_id", "h1", "h2"], "left")
+    return found.select(*docs.columns, F.coalesce("tag", F.lit(0)).alias("tag"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` dealt by doc_id, with its text and doc_id types fixed; one exchange serves all steps."""
-    typed = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return typed.repartition(scratch.partitions(docs.sparkSession), "doc_id")
+    """(doc_id, text, tag, rest) of the rows with a doc_id, dealt by it; one exchange serves all steps.
+    `rest` holds the other columns, so that no name of theirs can clash."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    typed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", rest.alias("rest")).where("doc_id is not null")
+    return numbered(typed).repartition(scratch.partitions(docs.sparkSession), "doc_id")
 
 
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, same): digests of texts that a smaller doc_id has whole; all their bytes are covered, and
     none of their strings is the earliest, so the rest of the work leaves them out."""
-    t = docs.where(F.octet_length("text") >= LENGTH).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("same"), F.xxhash64(F.lit(1), "text").alias("twin"))
+    t = docs.where(F.octet_length("text") >= LENGTH).where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("same"), F.xxhash64(F.lit(1), "text").alias("twin"))
     first = t.groupBy("same", "twin").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     late = t.join(first, ["same", "twin"]).where("doc_id > first")
     return scratch.stored(late.groupBy("doc_id").agg(F.collect_set("same").alias("same")))
@@ -350,10 +366,10 @@ def repeats(dealt: DataFrame, marks: DataFrame) -> DataFrame:
     """(doc_id, spans): byte spans of documents other than whole copies (`marks`) that earlier documents
     hold; spans may overlap."""
     n = scratch.partitions(dealt.sparkSession)
-    marked = _marked(dealt.select("doc_id", "text"), marks)
-    texts = marked.select("doc_id", F.when(~F.col("copy"), F.col("text")).alias("text"))
+    marked = _marked(dealt.select("doc_id", "text", "tag"), marks)
+    texts = marked.select("doc_id", F.when(~F.col("copy"), F.col("text")).alias("text"), "tag")
     by_doc = lambda rows, *c: rows.repartition(n, "doc_id").groupBy("doc_id").agg(F.collect_list(c[0] if len(c) == 1 else F.struct(*c)).alias("found")).hint("shuffle_hash")
-    fetch = lambda found: texts.join(found, "doc_id", "left").select("doc_id", "text", "found")
+    fetch = lambda found: texts.join(found, "doc_id", "left").select("doc_id", "text", "tag", "found")
     first = texts.mapInArrow(_first_buckets, "g long, doc_id long")
     several = shared(first.repartition(n, "g").sortWithinPartitions("g", "doc_id")).select("doc_id", "g")
     ranges = fetch(by_doc(several, "g")).mapInArrow(_ranges, RANGES).repartition(n, "g").sortWithinPartitions("g", "name", "doc_id")
@@ -363,21 +379,24 @@ def repeats(dealt: DataFrame, marks: DataFrame) -> DataFrame:
     return spans.repartition(n, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("spans"))
 
 
+MEASURES = ("n_bytes", "n_removed", "n_spans")
+
+
 def cut(dealt: DataFrame, spans: DataFrame, marks: DataFrame, whole: bool = False) -> DataFrame:
-    """All columns of `dealt`, with n_bytes, n_removed, n_spans and `kept`, the remaining bytes.
+    """(doc_id, text, rest) of `dealt`, with n_bytes, n_removed, n_spans and `kept`, the remaining bytes.
 
     whole: a character that loses some of its bytes loses all, so that `kept` is valid UTF-8."""
-    fields = [f.name for f in dealt.schema.fields]
-    schema = T.StructType([*dealt.schema.fields, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    own = ["doc_id", "text", "rest"]
+    schema = T.StructType([*(dealt.schema[c] for c in own), *(T.StructField(c, T.LongType()) for c in MEASURES), T.StructField("kept", T.BinaryType())])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in tk.pieces(batch, "text"):
-                found = p.rows.column(len(fields))
-                copy = p.rows.column(len(fields) + 1).to_numpy(zero_copy_only=False)
+                found, tags = p.rows.column(4), p.rows.column(3).to_numpy()
+                copy = p.rows.column(5).to_numpy(zero_copy_only=False)
                 removed, n_spans, kept = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64), []
-                raw, tags = p.data.tobytes(), _tags(p)
+                raw = p.data.tobytes()
                 for d, (a, b) in enumerate(zip(p.offs[:-1].tolist(), p.offs[1:].tolist(), strict=True)):
                     text, out, at = raw[a:b], [], 0
                     if copy[d]:
@@ -397,27 +416,38 @@ def cut(dealt: DataFrame, spans: DataFrame, marks: DataFrame, whole: bool = Fals
                     out.append(text[at:])
                     rest = b"".join(out)
                     kept.append(b"".join(x.decode(errors="ignore").encode() for x in out) if whole and len(out) > 1 else rest)
-                yield pa.RecordBatch.from_arrays([*(p.rows.column(k) for k in range(len(fields))), pa.array(p.lengths), pa.array(removed), pa.array(n_spans), pa.array(kept, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*(p.rows.column(k) for k in range(3)), pa.array(p.lengths), pa.array(removed), pa.array(n_spans), pa.array(kept, pa.binary())], names)
+
+    return _marked(dealt, marks).join(spans.hint("shuffle_hash"), "doc_id", "left").select(*own, "tag", "spans", "copy").mapInArrow(run, schema)
+
 
-    return _marked(dealt, marks).join(spans.hint("shuffle_hash"), "doc_id", "left").select(*fields, "spans", "copy").mapInArrow(run, schema)
+def _measured(docs: DataFrame, whole: bool) -> DataFrame:
+    """(doc_id, text, rest, n_bytes, n_removed, n_spans, kept) of all rows."""
+    dealt, marks = keyed(docs), copies(docs)
+    found = cut(dealt, repeats(dealt, marks), marks, whole)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    text = F.coalesce("text", F.lit(""))
+    without = docs.where("doc_id is null").select(F.lit(None).cast("bigint").alias("doc_id"), "text", rest.alias("rest"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), text.cast("binary").alias("kept"))
+    return found.unionByName(without)
 
 
 def suffix_dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
     """`docs` (doc_id, text and any other columns) with n_bytes, n_removed, n_spans and kept bytes."""
-    dealt = keyed(docs)
-    marks = copies(docs)
-    return cut(dealt, repeats(dealt, marks), marks, whole)
+    results = [*MEASURES, "kept"]
+    columns = [c for c in docs.columns if c.lower() not in results]
+    return _measured(docs, whole).select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in columns], *results)
 
 
 def shortened(docs: DataFrame) -> DataFrame:
     """`docs` with the remaining text (whole characters only) and its n_chars; emptied rows are left out."""
-    whole = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
-    found = suffix_dedup(docs, whole=True).where("n_removed = 0 or n_removed < n_bytes")
-    fields = {"text": whole.cast(docs.schema["text"].dataType), "doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType)}
-    if "n_chars" in docs.columns:
-        fields["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    texts = found.withColumn("text", fields.pop("text"))
-    return texts.withColumns(fields).select(docs.columns)
+    found = _measured(docs, whole=True).where("n_removed = 0 or n_removed < n_bytes")
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept").cast("string")).otherwise(F.col("text"))
+    columns = {c: F.col("rest")[c] for c in docs.columns if c not in ("doc_id", "text")} | {"text": text, "doc_id": F.col("doc_id")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(changed, F.char_length(text)).otherwise(columns["n_chars"])
+    return found.select(*[columns[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
