@@ -8,9 +8,11 @@ The as-of join works in two levels, so that a URL with very many captures is no
 blocks of time by a window, and between blocks by a window over one row for each block. Payloads are
 not moved: a resolved record names the response that holds its payload.
 
-Defined results: a record with a null URL or time is never matched (a revisit is then `no_earlier`);
-of captures at one time, the smaller record_id counts as earlier; repeated rows are resolved alike; null
-headers are empty; a revisit without validators is `unvalidated` but resolved; other columns pass.
+Defined results: a URL without a scheme, an empty and a null one have a null canonical_url; a record
+without a canonical URL or time is never matched (a revisit is then `no_earlier`), and takes no part in
+windows or joins; of captures at one time, the smaller record_id counts as earlier; repeated rows are
+resolved alike; null headers are empty; a revisit without validators is `unvalidated` but resolved; other
+columns pass, whatever their names, but one named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -26,36 +28,45 @@ TRACKING = r"^(utm_[a-z]+|ref)="
 
 def canonical_url(url) -> F.Column:
     """Host without www. and default port, lower-cased; path without a last slash; sorted query without
-    tracking parameters; no scheme and no fragment."""
+    tracking parameters; no scheme and no fragment. Null for what has no scheme and host."""
     bare = F.regexp_replace(F.col(url), r"#.*$", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[A-Za-z]+://([^/?]*)", 1)), r"^www\.|:(80|443)$", "")
     rest = F.regexp_extract(bare, r"^[A-Za-z]+://[^/?]*(.*)$", 1)
     path = F.regexp_replace(F.regexp_extract(rest, r"^([^?]*)", 1), r"/+$", "")
     query = F.array_sort(F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&"), lambda x: (x != "") & ~x.rlike(TRACKING)))
-    return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
+    whole = F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
+    return F.when(host != "", whole)
 
 
 def _etag(c) -> F.Column:
     return F.regexp_replace(c, r"^W/", "")
 
 
-def resolve_revisits(records: DataFrame, block_seconds: int = 7 * 86400) -> DataFrame:
+NEEDED = ("record_id", "url", "ts", "kind", "etag", "last_modified", "headers", "digest")
+RESULTS = ("canonical_url", "outcome", "source_id", "source_digest")
+
+
+def resolve_revisits(records: DataFrame, block_seconds: int = 3600) -> DataFrame:
     """Adds canonical_url, outcome, source_id, source_digest and merged headers to each record.
 
     `records`: record_id, url, ts (seconds), kind (response or revisit), etag, last_modified,
     headers map<string,string> (lower-case names), digest.
     """
-    r = records.withColumn("canonical_url", canonical_url("url")).withColumn("block", F.floor(F.col("ts") / block_seconds))
-    r = r.withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>")))
-    able = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
-    full = F.when(able & (F.col("kind") == "response"), F.struct("ts", "record_id", "etag", "last_modified", "headers", "digest"))
+    others = [c for c in records.columns if c not in NEEDED and c.lower() not in RESULTS]
+    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    r = records.select(*NEEDED, rest.alias("rest")).withColumn("canonical_url", canonical_url("url"))
+    r = r.withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>"))).withColumn("block", F.floor(F.col("ts") / block_seconds))
+    placed = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
+    able, unable = r.where(placed), r.where(~placed)
+    response = F.struct("ts", "record_id", "etag", "last_modified", "headers", "digest")
     within = Window.partitionBy("canonical_url", "block").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("near", F.last(full, ignorenulls=True).over(within))
-    last = r.where(able & (F.col("kind") == "response")).groupBy("canonical_url", "block").agg(F.max_by(F.struct("ts", "record_id", "etag", "last_modified", "headers", "digest"), F.struct("ts", "record_id")).alias("o"))
-    blocks = r.where(able).select("canonical_url", "block").distinct().join(last, ["canonical_url", "block"], "left")
+    near = able.withColumn("near", F.last(F.when(F.col("kind") == "response", response), ignorenulls=True).over(within))
+    last = able.where("kind = 'response'").groupBy("canonical_url", "block").agg(F.max_by(response, F.struct("ts", "record_id")).alias("o"))
+    blocks = able.select("canonical_url", "block").distinct().join(last, ["canonical_url", "block"], "left")
     before = Window.partitionBy("canonical_url").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("canonical_url", "block", F.last("o", ignorenulls=True).over(before).alias("far"))
-    r = r.join(blocks, ["canonical_url", "block"], "left").withColumn("o", F.when(able, F.coalesce("near", "far")))
+    found = near.join(blocks, ["canonical_url", "block"], "left").withColumn("o", F.coalesce("near", "far")).select(*r.columns, "o")
+    r = found.unionByName(unable.withColumn("o", F.lit(None).cast(found.schema["o"].dataType)))
     has_etag, has_date = F.col("etag").isNotNull(), F.col("last_modified").isNotNull()
     same = F.when(has_etag, F.coalesce(_etag(F.col("etag")) == _etag(F.col("o.etag")), F.lit(False))).when(has_date, F.coalesce(F.col("last_modified") == F.col("o.last_modified"), F.lit(False)))
     outcome = (
@@ -69,12 +80,13 @@ def resolve_revisits(records: DataFrame, block_seconds: int = 7 * 86400) -> Data
     joined = F.col("outcome").isin("resolved", "unvalidated")
     update = F.map_filter("headers", lambda k, _: k.isin(*PERMITTED))
     kept = F.map_filter(F.col("o.headers"), lambda k, _: ~F.array_contains(F.map_keys(update), k))
-    return (
-        r.withColumn("source_id", F.when(F.col("kind") == "response", F.col("record_id")).when(joined, F.col("o.record_id")))
-        .withColumn("source_digest", F.when(F.col("kind") == "response", F.col("digest")).when(joined, F.col("o.digest")))
-        .withColumn("headers", F.when(joined, F.map_concat(kept, update)).otherwise(F.col("headers")))
-        .drop("near", "far", "o", "block")
-    )
+    results = {
+        "headers": F.when(joined, F.map_concat(kept, update)).otherwise(F.col("headers")),
+        "source_id": F.when(F.col("kind") == "response", F.col("record_id")).when(joined, F.col("o.record_id")),
+        "source_digest": F.when(F.col("kind") == "response", F.col("digest")).when(joined, F.col("o.digest")),
+    }
+    passed = [F.col("rest")[c].alias(c) if c in others else results.get(c, F.col(c)).alias(c) for c in records.columns if c in others or c in NEEDED]
+    return r.select(*passed, *[results.get(c, F.col(c)).alias(c) for c in RESULTS])
 
 
 def captures(pages: DataFrame) -> DataFrame:
@@ -119,8 +131,8 @@ r AS (SELECT page_id * 4 + c AS record_id,
 u AS (SELECT *, regexp_replace(url, '#.*$', '') AS bare FROM r),
 v AS (SELECT *, regexp_replace(lower(regexp_extract(bare, '^[A-Za-z]+://([^/?]*)', 1)), '^www\.|:(80|443)$', '', 'g') AS host, regexp_extract(bare, '^[A-Za-z]+://[^/?]*(.*)$', 1) AS rest FROM u),
 w AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)='))) AS q, regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') AS path FROM v),
-x AS (SELECT *, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url FROM w),
-y AS (SELECT *, last_value(CASE WHEN kind = 'response' THEN record_id END IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS oid FROM x),
+x AS (SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canonical_url FROM w),
+y AS (SELECT *, CASE WHEN canonical_url IS NOT NULL THEN last_value(CASE WHEN kind = 'response' THEN record_id END IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS oid FROM x),
 z AS (SELECT y.*, o.tag AS otag, o.lm AS olm, o.ct AS oct, o.cc AS occ, o.sv AS osv, o.digest AS odigest FROM y LEFT JOIN r o ON y.oid = o.record_id),
 s AS (SELECT *, CASE WHEN kind = 'response' THEN 'full' WHEN oid IS NULL THEN 'no_earlier' WHEN tag IS NOT NULL THEN CASE WHEN tag = otag THEN 'resolved' ELSE 'validator_mismatch' END
  WHEN lm IS NOT NULL THEN CASE WHEN lm = olm THEN 'resolved' ELSE 'validator_mismatch' END ELSE 'unvalidated' END AS outcome FROM z)
