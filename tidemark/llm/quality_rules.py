@@ -165,7 +165,8 @@ def measure(p: tk.Piece, lim: Limits) -> dict[str, np.ndarray]:
     return out
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered_words long, longest_repeat long, base_failed boolean, kept boolean"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered_words long, longest_repeat long"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")[1:]]
 
 
 def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -175,7 +176,7 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         for batch in batches:
             for p in tk.pieces(batch):
                 m = measure(p, limits)
-                yield pa.RecordBatch.from_arrays([p.rows.column(0), *(pa.array(v) for v in m.values())], ["doc_id", *m])
+                yield pa.RecordBatch.from_arrays([p.rows.column(0), *(pa.array(m[c]) for c in COLUMNS)], ["doc_id", *COLUMNS])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
 
