@@ -83,11 +83,11 @@ class Index:
         self.docs, self.size = keyed(docs), size
         terms = item_terms(benchmark).withColumn("tid", F.xxhash64("term"))
         self.items = scratch.stored(terms)
-        self.vocabulary = scratch.stored(self.items.select("term", "tid").distinct().coalesce(1))
+        self.vocabulary = scratch.stored(self.items.select("term", "tid").distinct())
         counted = self.docs.select(F.explode(words("text")).alias("term")).join(self.vocabulary, "term").groupBy("tid").agg(F.count("*").alias("f"))
-        self.rare = scratch.stored(rare_terms(self.items, counted, size).coalesce(1))
+        self.rare = scratch.stored(rare_terms(self.items, counted, size))
         needed = self.rare.select(F.explode(F.array("t1", "t2", "t3")).alias("tid")).distinct()
-        needed = scratch.stored(self.vocabulary.join(needed, "tid", "left_semi").coalesce(1))
+        needed = scratch.stored(self.vocabulary.join(needed, "tid", "left_semi"))
         self.lists = scratch.stored(postings(self.docs, needed))
 
     def phrases(self) -> DataFrame:
