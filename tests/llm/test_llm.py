@@ -343,6 +343,15 @@ def test_language_id(spark, none):
     assert all(got[k]["lang_pred"] == x and 0 <= got[k]["score"] <= 1 for k, _, x in rows[:120])
     assert [got[k]["lang_pred"] for k in (500, 501, 502)] == ["und", "und", "de"] and got[500]["score"] == 0
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got.values())
+    x, y, z = [k for k in range(20) if zlib.crc32(str(k).encode()) % 3 != 1][:3]
+    many = spark.createDataFrame([(x, "der die und", "de", 0)] * 3000 + [(y, "the of and", "en", 0), (z, None, "en", 0), (None, "le la", "fr", 0), (98, "und die der " * 9000, None, 0)], "doc_id long, text string, lang string, score long")
+    taken = language_id.sample(many, 400, 1000)
+    assert taken.count() == 401 and {r["lang"]: r["n"] for r in taken.groupBy("lang").agg(F.count("*").alias("n")).collect()} == {"de": 400, "en": 1}
+    assert {(r["doc_id"], r["lang_pred"]) for r in language_id.predict(many, language_id.fit(many)).collect() if r["doc_id"] in (x, z, 98)} == {(x, "de"), (z, "und"), (98, "de")}
+    p = language_id.tk.Piece(np.frombuffer(b"abcabx", np.uint8), np.array([0, 6]), None)
+    model = language_id.Model((), np.array([], np.int64), np.zeros((0, 1), np.float32), np.zeros((1, 0), np.float32))
+    grams = {b"abcabx"[k : k + n] for n, _ in language_id.SPECTRUM for k in range(7 - n)}
+    assert language_id.presence(p).sum() == len(grams) and language_id.kernel(p, model).shape == (1, 1)
     empty = none.select("doc_id", "text", "lang")
     assert language_id.fit(empty) is None and language_id.predict(d, None).where("lang_pred <> 'und'").count() == 0
 
@@ -419,6 +428,34 @@ def test_quality_model(spark, none):
     right = sum(got[k]["kept"] == (k % 10 != 0) for k in range(400))
     assert right >= 390 and not got[900]["kept"] and got[901]["score"] == 0 and all(0 <= x["score"] <= 1 for x in got.values())
     assert quality_model.quality_scores(none).count() == 0
+    odd = spark.createDataFrame([(7, "x " * 9, 1, 2)] * 3000 + [(None, "the end. " * 9000, 1, 2)], "doc_id long, text string, score long, kept long")
+    assert quality_model.quality_scores(odd, fit_rows=50).groupBy("doc_id", "score", "kept").count().count() == 2
+
+
+def test_quality_model_finds_each_labellers_rates():
+    """Votes drawn from known rates: posteriors and rates against those, and one round against sums by hand."""
+    r = np.random.default_rng(4)
+    n, k = 40_000, len(quality_model.LABELLERS)
+    kind = np.where(r.random(n) < 0.1, r.integers(0, k, n), -1)
+    u = r.random((n, k))
+    bad_rate = np.where(kind[:, None] == np.arange(k), 0.9, np.where(kind[:, None] >= 0, 0.05, 0.002))
+    v = np.where(u < bad_rate, -1, np.where(u < bad_rate + 0.05, 0, 1))
+    patterns, back, counts = np.unique(quality_model.pattern(v), return_inverse=True, return_counts=True)
+    rates, good = quality_model.expectation_maximisation(patterns, counts.astype(float))
+    assert ((good[back] > 0.5) == (kind < 0)).mean() > 0.98
+    for c, own in ((0, kind >= 0), (1, kind < 0)):
+        true = np.stack([(v[own] == x).mean(0) for x in (-1, 0, 1)], 1)
+        assert np.abs(rates[c] - true).max() < 0.06
+    rates, good = quality_model.expectation_maximisation(patterns, counts.astype(float), rounds=1)
+    weight = quality_model.PRIOR_SHARE * n
+    share = np.zeros((k + 1, n))
+    for i in range(n):
+        objects = np.flatnonzero(v[i] == -1)
+        share[0, i] = 0.05 if len(objects) else 1.0
+        share[1 + objects, i] = 0.95 / max(1, len(objects))
+    own = lambda c, j, x: share[c][v[:, j] == x].sum() + weight * (quality_model.ON_OWN if c == j + 1 else quality_model.ON_OTHER)[x + 1]
+    want = [[sum((share[c].sum() + weight) * own(c, j, x) / sum(own(c, j, y) for y in (-1, 0, 1)) for c in range(1, k + 1)) for x in (-1, 0, 1)] for j in range(k)]
+    assert np.allclose(rates[0], np.array(want) / (share[1:].sum() + weight * k))
 
 
 def test_warc_revisits(spark):

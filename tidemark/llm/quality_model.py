@@ -1,14 +1,17 @@
 """Quality classifier from weak labels (operator 10).
 
 Heuristic labellers vote good, bad or nothing on every text. Expectation-maximisation over the counts
-of vote patterns (at most 3 to the number of labellers) estimates each labeller's accuracy without
-true labels; the posterior of a text's pattern is its soft label. A hashed linear scorer over words,
-word ends, word shapes and the votes is trained on the soft labels of a bounded sample (`fit_rows`), and scores every
-whole text.
-
-Defined results: a null or wordless text has score 0 and is not kept; rows are scored one by one, so
-ties and repeated rows need no rule; a null doc_id is kept as null; extra columns are ignored. The
-sample is the rows of least doc_id hash, so it does not depend on row order.
+of vote patterns (at most 3 to the number of labellers) estimates, without true labels, how often each
+labeller votes good, bad or nothing on good and on bad texts; the posterior of a text's pattern is its soft
+label. A hashed linear scorer over words, word ends, word shapes and words that return at once, which does not
+see the votes, is
+trained on the soft labels of a bounded sample and scores every whole text.
+
+The sample is the `fit_rows` rows of least hash of doc_id and text; repeated rows count against the bound.
+
+Defined results: a null or wordless text has score 0 and is not kept, and is not learned from; rows are
+scored one by one, so ties and repeated rows need no rule; a null doc_id is kept as null; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ from pyspark.sql import functions as F
 from tidemark.llm import textkit as tk
 
 WIDTH = 1 << 12
-#: Weight of a vote as a feature of the scorer, next to words' shares.
-VOTE = 0.25
-#: Prior of (bad, good); of a labeller's rate of bad votes on (bad, good) texts, and its weight as a share of all texts.
-CLASS_PRIOR = np.array([0.2, 0.8])
-FIRES, RATE_PRIOR = np.array([0.2, 0.001]), 0.2
+FINE = 1 << 40
+#: Priors of how often a labeller votes (bad, nothing, good): on good texts, on the kind of bad text that it
+#: is there for, and on other kinds. They are worth PRIOR_SHARE of all texts, and so is each class. That
+#: good texts seldom get a bad vote is worth GOOD_SHARE times all texts: a kind that one labeller alone objects
+#: to could as well be good texts on which it errs, which votes cannot tell.
+ON_GOOD, ON_OWN, ON_OTHER = (0.002, 0.1, 0.898), (0.8, 0.1, 0.1), (0.1, 0.2, 0.7)
+PRIOR_SHARE, GOOD_SHARE = 0.005, 3.0
 LABELLERS = ("strings", "symbols", "upper", "variety", "stutter", "shouts", "pipes", "endings")
 
 
@@ -77,20 +82,34 @@ def pattern(v: np.ndarray) -> np.ndarray:
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """How often each labeller votes bad on (bad, good) texts, and each pattern's posterior of good.
+    """(class, labeller, vote) rates of (bad, nothing, good) votes on (bad, good) texts, and each pattern's
+    posterior of good.
 
-    Only a vote for bad is evidence: kinds of bad text differ, so a labeller that does not object says
-    nothing about the others' kinds. A prior keeps labellers better than chance.
+    Kinds of bad text differ, and most labellers do not object to most of them, so labellers are not
+    independent on bad texts as a whole. Bad is therefore a mixture of one latent kind for each labeller, in
+    each of which votes are independent; a labeller's rates on bad texts are those over all kinds.
     """
-    bad = (patterns[:, None] // 3 ** np.arange(len(LABELLERS))) % 3 == 0
-    total = counts.sum()
-    good = 0.95 * 0.05 ** bad.sum(1)
+    n = len(LABELLERS)
+    vote = (patterns[:, None] // 3 ** np.arange(n)) % 3
+    is_vote = np.stack([vote == v for v in range(3)], 2).astype(float)  # pattern, labeller, vote
+    prior = np.tile(np.array(ON_OTHER), (n + 1, n, 1))
+    prior[0] = ON_GOOD
+    prior[np.arange(n) + 1, np.arange(n)] = ON_OWN
+    weight = PRIOR_SHARE * counts.sum()
+    objects = (vote == 0).astype(float)
+    bad = 0.95 * objects / np.maximum(objects.sum(1, keepdims=True), 1)
+    post = np.c_[1 - bad.sum(1), bad].T  # class (good, kinds of bad), pattern
     for _ in range(rounds):
-        share = np.stack([1 - good, good]) * counts
-        fires = (share @ bad + total * RATE_PRIOR * FIRES[:, None]) / (share.sum(1, keepdims=True) + total * RATE_PRIOR)
-        log = np.log(CLASS_PRIOR)[:, None] + np.log(fires) @ bad.T
-        good = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
-    return fires, good
+        share = post * counts
+        size = share.sum(1) + weight
+        rates = np.einsum("cp,plv->clv", share, is_vote) + weight * prior
+        rates /= rates.sum(2, keepdims=True)
+        seldom = (share[0] @ objects + GOOD_SHARE * counts.sum() * ON_GOOD[0]) / (share[0].sum() + GOOD_SHARE * counts.sum())
+        rates[0] = np.c_[seldom, rates[0, :, 1:] / rates[0, :, 1:].sum(1, keepdims=True) * (1 - seldom)[:, None]]
+        log = np.log(size / size.sum())[:, None] + np.einsum("clv,plv->cp", np.log(rates), is_vote)
+        post = np.exp(log - log.max(0))
+        post /= post.sum(0)
+    return np.stack([np.einsum("c,clv->lv", size[1:] / size[1:].sum(), rates[1:]), rates[0]]), post[0]
 
 
 def features(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -102,9 +121,16 @@ def features(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.stack([(by_code % np.uint64(WIDTH)).astype(np.int64), end % WIDTH, shape % WIDTH], 1) if len(names) else np.zeros((0, 3), np.int64)
 
 
-def vote_slots(v: np.ndarray) -> np.ndarray:
-    """The scorer's features for votes, after the hashed ones: one for each labeller and vote."""
-    return WIDTH + 3 * np.arange(v.shape[1]) + v + 1
+def echoes(w: tk.Words) -> np.ndarray:
+    """Documents x 2: the shares of words that equal the word before, and one of the seven before that."""
+    codes, _ = w.encode()
+    doc, out = w.doc, []
+    for backs in ((1,), range(2, 9)):
+        hit = np.zeros(len(codes), bool)
+        for k in backs:
+            hit[k:] |= (codes[k:] == codes[:-k]) & (doc[k:] == doc[:-k])
+        out.append(tk.per_doc_sum(hit, w.first) / np.maximum(w.counts, 1))
+    return np.stack(out, 1)
 
 
 def hash_bytes(x: bytes, seed: int) -> int:
@@ -128,7 +154,10 @@ def fit(docs: DataFrame, fit_rows: int) -> tuple[np.ndarray, float] | None:
         return None
     _, good = expectation_maximisation(rows["pattern"].to_numpy(np.int64), rows["n"].to_numpy(np.float64))
     label = dict(zip(rows["pattern"].tolist(), good.tolist(), strict=True))
-    picked = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    n_texts = int(rows["n"].sum())
+    cut = FINE if n_texts <= 4 * fit_rows else int((2 * fit_rows + 20) / n_texts * FINE)
+    hashed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(FINE)).alias("h")).where(F.col("h") < cut)
+    picked = hashed.where(F.octet_length("text") > 0).orderBy("h", "doc_id").limit(fit_rows).select("doc_id", "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,26 +165,25 @@ def fit(docs: DataFrame, fit_rows: int) -> tuple[np.ndarray, float] | None:
                 w = tk.Words(p, tk.NOT_SPACE)
                 codes, f = features(w)
                 v = votes(p, w)
-                slots, v = vote_slots(v).astype(np.int32), pattern(v)
+                v, again = pattern(v), echoes(w)
                 at, n = [], []
                 for d in range(len(p)):
                     k, c = np.unique(f[codes[w.first[d] : w.first[d + 1]]], return_counts=True)
-                    at.append(np.r_[k.astype(np.int32), slots[d]]), n.append(np.r_[c / max(1, w.counts[d]), np.full(slots.shape[1], VOTE)].astype(np.float32))
+                    at.append(np.r_[k, WIDTH, WIDTH + 1].astype(np.int32)), n.append(np.r_[c / max(1, w.counts[d]), again[d]].astype(np.float32))
                 yield pa.RecordBatch.from_arrays([p.rows.column(0), pa.array(v), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], ["doc_id", "pattern", "at", "n"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(describe, "doc_id long, pattern long, at array<int>, n array<float>").toPandas().sort_values(["doc_id", "pattern"])
+    sample = picked.mapInArrow(describe, "doc_id long, pattern long, at array<int>, n array<float>").toPandas().sort_values(["doc_id", "pattern"])
     if not len(sample):
         return None
-    size = WIDTH + 3 * len(LABELLERS)
-    x = np.zeros((len(sample), size), np.float32)
+    x = np.zeros((len(sample), WIDTH + 2), np.float32)
     for i, (at, n) in enumerate(zip(sample["at"], sample["n"], strict=True)):
         x[i, at] = n
     y = np.array([label.get(k, 0.5) for k in sample["pattern"]], np.float32)
     weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum())).astype(np.float32)
-    beta, bias, speed, was = np.zeros(size, np.float32), np.float32(0), np.zeros(size, np.float32), 0.0
-    for _ in range(400):  # momentum descent of the weighted logistic loss
+    beta, bias, speed, was = np.zeros(WIDTH + 2, np.float32), np.float32(0), np.zeros(WIDTH + 2, np.float32), 0.0
+    for _ in range(1500):  # momentum descent of the weighted logistic loss
         g = weight * (1 / (1 + np.exp(-(x @ beta + bias))) - y)
-        speed = 0.9 * speed - 8.0 * (x.T @ g + 1e-5 * beta)
+        speed = 0.9 * speed - 40.0 * (x.T @ g + 1e-6 * beta)
         was = 0.9 * was - 0.5 * float(g.sum())
         beta, bias = beta + speed, bias + np.float32(was)
     return beta, float(bias)
@@ -176,7 +204,7 @@ def quality_scores(docs: DataFrame, fit_rows: int = 2000, threshold: float = 0.5
                 w = tk.Words(p, tk.NOT_SPACE)
                 codes, f = features(w)
                 each = beta[f].sum(1, dtype=np.float64)[codes] if len(codes) else np.zeros(0)
-                z = np.bincount(w.doc, weights=each, minlength=len(p)) / np.maximum(w.counts, 1) + VOTE * beta[vote_slots(votes(p, w))].sum(1) + bias
+                z = np.bincount(w.doc, weights=each, minlength=len(p)) / np.maximum(w.counts, 1) + echoes(w) @ beta[WIDTH:] + bias
                 score = np.where(w.counts > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
                 yield pa.RecordBatch.from_arrays([p.rows.column(0), pa.array(score), pa.array(score >= threshold)], ["doc_id", "score", "kept"])
 
