@@ -1,17 +1,18 @@
 """Language identification with a string kernel (operator 1).
 
 The kernel is a blended spectrum over byte n-grams: two texts are as similar as the n-grams present in
-both (presence, not counts), cosine-normalised. A few landmark texts (Nystroem) turn it into a feature
-map, on which one-versus-rest kernel ridge regression is solved in closed form. Scoring multiplies a
-batch's presence matrix with the landmarks' presence matrix and the folded weights.
-
-Training reads a bounded sample (`per_lang` labelled texts for each language, `landmarks` of them as
-landmarks); what is sent to the driver is that sample's kernel values and the landmarks' n-gram
-buckets. Every text is scored whole.
-
-Defined results: a null text or one without a letter is `und` with score 0; a null lang is never
-learned from; without any labelled text all rows are `und`; repeated doc_ids are scored row by row;
-extra columns are ignored.
+both (presence, not counts), cosine-normalised by the number of n-grams of each. A few landmark texts
+(Nystroem) turn it into a feature map, on which one-versus-rest kernel ridge regression is solved in closed
+form. Scoring multiplies a batch's presence matrix with the landmarks' presence matrix and the folded weights.
+
+Training reads a bounded sample of labelled texts, those of least hash: at most `per_lang` of each language
+and, with very many languages, so many fewer that they are at most `most` together (but one of each);
+`landmarks` of them are landmarks. What is sent to the driver is that sample's kernel values and the
+landmarks' n-gram buckets. Every text is scored whole.
+
+Defined results: a null text or one without a letter is `und` with score 0, and is not learned from; a null
+lang or doc_id is never learned from; without any labelled text all rows are `und`; rows that repeat a doc_id
+are scored row by row and count against the bounds of the sample; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import scratch
 from tidemark.llm import textkit as tk
 
 #: n-gram lengths and the bits of their hashed presence spaces; part of the kernel's definition.
@@ -34,7 +36,7 @@ WIDTH = sum(1 << bits for _, bits in SPECTRUM)
 @dataclass(frozen=True)
 class Model:
     langs: tuple[str, ...]
-    column: np.ndarray  # bucket -> column of the landmark matrix, or its width for buckets no landmark has
+    used: np.ndarray  # buckets that a landmark has; the landmark matrix has a row for each
     landmarks: np.ndarray  # columns x landmarks, each column normalised
     weights: np.ndarray  # landmarks x languages
 
@@ -55,24 +57,24 @@ def buckets(data: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         base += 1 << bits
 
 
-def presence(p: tk.Piece, column: np.ndarray, width: int) -> np.ndarray:
-    """Documents x columns: which n-gram columns are present."""
+def presence(p: tk.Piece) -> np.ndarray:
+    """Documents x buckets: which n-grams are present."""
     doc = np.repeat(np.arange(len(p), dtype=np.int64), p.lengths)
-    seen = np.zeros(len(p) * (width + 1), bool)
+    seen = np.zeros(len(p) * WIDTH, bool)
     for own, b in buckets(tk.LOWER[p.data], doc):
-        seen[own * (width + 1) + column[b]] = True
-    return seen.reshape(len(p), width + 1)[:, :width]
+        seen[own * WIDTH + b] = True
+    return seen.reshape(len(p), WIDTH)
 
 
 def kernel(p: tk.Piece, model: Model) -> np.ndarray:
-    """Documents x landmarks kernel values."""
+    """Documents x landmarks kernel values: shared n-grams over the root of both numbers of n-grams."""
     out = []
-    for at in range(0, len(p), 128):
-        to = min(len(p), at + 128)
+    for at in range(0, len(p), 64):
+        to = min(len(p), at + 64)
         part = tk.Piece(p.data[p.offs[at] : p.offs[to]], p.offs[at : to + 1] - p.offs[at], p.rows)
-        x = presence(part, model.column, model.landmarks.shape[0]).astype(np.float32)
-        norm = np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        out.append((x @ model.landmarks) / norm)
+        seen = presence(part)
+        norm = np.sqrt(np.maximum(np.count_nonzero(seen, axis=1), 1)).astype(np.float32)
+        out.append((seen[:, model.used].astype(np.float32) @ model.landmarks) / norm[:, None])
     return np.concatenate(out) if out else np.zeros((0, model.landmarks.shape[1]), np.float32)
 
 
@@ -80,17 +82,28 @@ def held_out() -> F.Column:
     return (F.crc32(F.col("doc_id").cast("string")) % 3) == 1
 
 
-def sample(docs: DataFrame, per_lang: int) -> DataFrame:
-    """The labelled training sample: for each language, the `per_lang` rows of least hash."""
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    rows = docs.where(F.col("lang").isNotNull() & ~F.coalesce(held_out(), F.lit(True))).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    picked = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang).select("doc_id", F.col("k").alias("k"))
-    return docs.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id").where(F.col("text").isNotNull())
+FINE = 1 << 40
+
+
+def sample(docs: DataFrame, per_lang: int, most: int) -> DataFrame:
+    """The labelled training sample (doc_id, lang, text, k): of each language the rows of least hash.
+
+    A first pass counts each language, which tells below what hash about twice the rows wanted lie; only
+    those go into the shuffle that ranks them, however many rows a language has."""
+    able = F.col("lang").isNotNull() & ~F.coalesce(held_out(), F.lit(True)) & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.where(able).select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(FINE)).alias("h"))
+    counts = scratch.stored(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    n_langs = counts.count()
+    wanted = max(1, min(per_lang, most // max(1, n_langs)))
+    cut = counts.select("lang", F.when(F.col("n") <= 4 * wanted, F.lit(FINE)).otherwise((2 * wanted + 20) / F.col("n") * FINE).cast("bigint").alias("cut"))
+    near = rows.join(F.broadcast(cut) if n_langs <= most else cut, "lang").where("h < cut")
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+    return scratch.stored(ranked.where(F.col("k") <= wanted).select("doc_id", "lang", "text", "k"))
 
 
-def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 120, ridge: float = 1e-2) -> Model | None:
-    """Fits on a bounded sample; per_lang rows of each language at most."""
-    taken = sample(docs, per_lang)
+def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 120, ridge: float = 1e-2, most: int = 20_000) -> Model | None:
+    """Fits on a bounded sample: `per_lang` rows of each language at most, and `most` rows in all."""
+    taken = sample(docs, per_lang, most)
     first = max(1, landmarks // max(1, taken.select("lang").distinct().count()))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,17 +116,15 @@ def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 120, ridge: float
                 sets = [(pairs[cut[i] : cut[i + 1]] % WIDTH).astype(np.int32) for i in range(len(p))]
                 yield pa.RecordBatch.from_arrays([p.rows.column(0), p.rows.column(1), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "lang", "grams"])
 
-    marks = taken.where(F.col("k") <= first).select("doc_id", "lang", "text").where("length(text) > 0").mapInArrow(spell, "doc_id long, lang string, grams array<int>").toPandas().sort_values(["lang", "doc_id"])
+    marks = taken.where(F.col("k") <= first).select("doc_id", "lang", "text").mapInArrow(spell, "doc_id long, lang string, grams array<int>").toPandas().sort_values(["lang", "doc_id"])
     marks = [np.asarray(g) for g in marks["grams"] if len(g)]
     if not marks:
         return None
     used = np.unique(np.concatenate(marks))
-    column = np.full(WIDTH, len(used), np.int64)
-    column[used] = np.arange(len(used))
     basis = np.zeros((len(used), len(marks)), np.float32)
     for j, g in enumerate(marks):
-        basis[column[g], j] = 1 / np.sqrt(len(g))
-    blank = Model((), column, basis, np.zeros((len(marks), 0), np.float32))
+        basis[np.searchsorted(used, g), j] = 1 / np.sqrt(len(g))
+    blank = Model((), used, basis, np.zeros((len(marks), 0), np.float32))
     at = docs.sparkSession.sparkContext.broadcast(blank)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +143,7 @@ def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 120, ridge: float
     weight = 1 / np.bincount(np.argmax(y, 1), minlength=len(langs))[np.argmax(y, 1)]  # languages count alike
     zw = z * weight[:, None]
     beta = np.linalg.solve(z.T @ zw + ridge * np.eye(z.shape[1]) / max(1, z.shape[1]), zw.T @ y)
-    return Model(langs, column, basis, (root @ beta).astype(np.float32))
+    return Model(langs, used, basis, (root @ beta).astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
