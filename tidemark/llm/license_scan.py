@@ -1,6 +1,7 @@
 """License scans by ordered signature rules (operator 3).
 
-A rule is a regex over a text's words (lower-cased A-Z, joined by single spaces), keywords of which every
+Rules are names of licences in the ways to state one, and over eighty written sentences of licence texts and
+notices. A rule is a regex over a text's words (lower-cased A-Z, joined by single spaces), keywords of which every
 match holds one, a priority and a confidence. Keywords are looked up in the words' dictionary, so a text
 without them never meets a regex, and loses nothing by that. Among overlapping detections, one that lies inside a detection of at least
 its priority is suppressed. Three base phrases are always counted by word position.
@@ -12,8 +13,10 @@ one by one, so ties, repeated rows and extra columns need no rule; texts are sca
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +76,92 @@ NAMES = (
     ("reserved", "rights|rechte|droits|derechos", r"all rights reserved|alle rechte vorbehalten|tous droits reserves|todos los derechos reservados"),
 )
 
+#: Signature sentences of licence texts and notices: label, keywords (one of which every match holds), regex over normalised words.
+SENTENCES = (
+    ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "substantial", r"(?:the )?above copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    ("mit-0", "deal", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("isc", "permission", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions", r"redistributions (?:of source code|in binary form) must (?:retain|reproduce) the above copyright notice"),
+    ("bsd-3-clause", "endorse", r"neither the name of .{1,60} (?:nor the names of its contributors )?may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display"),
+    ("no-warranty", "merchantability", r"(?:the )?implied warranties of merchantability(?: and)? fitness for a particular purpose"),
+    ("no-warranty", "kind", r"provided (?:by the copyright holders and contributors )?as is without warrant(?:y|ies) of any kind"),
+    ("no-warranty", "liable", r"in no event shall the (?:authors|copyright holders?|regents)(?: or (?:copyright holders?|contributors))? be liable"),
+    ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
+    ("gpl-2.0", "either", r"general public licen[sc]e as published by the free software foundation either version 2"),
+    ("gpl-3.0", "either", r"general public licen[sc]e as published by the free software foundation either version 3"),
+    ("gpl", "useful", r"in the hope that it will be useful but without any warranty"),
+    ("gpl", "received", r"you should have received a copy of the gnu general public licen[sc]e"),
+    ("lgpl", "received", r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e"),
+    ("agpl", "received", r"you should have received a copy of the gnu affero general public licen[sc]e"),
+    ("agpl", "remotely", r"users interacting with it remotely through a computer network"),
+    ("gfdl", "invariant", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("apache-2.0", "compliance", r"you may not use this file except in compliance with the licen[sc]e"),
+    ("apache-2.0", "www", r"www apache org licenses license 2 0"),
+    ("apache-2.0", "agreed", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e"),
+    ("apache-1.1", "includes", r"this product includes software developed by the apache (?:software foundation|group)"),
+    ("mpl", "mozilla", r"subject to the mozilla public licen[sc]e version 1 1"),
+    ("mpl-2.0", "source", r"this source code form is subject to the terms of the mozilla public licen[sc]e v(?:ersion)? 2 0"),
+    ("mpl-2.0", "incompatible", r"this source code form is incompatible with secondary licenses"),
+    ("epl", "accompanying", r"(?:this program and the )?accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
+    ("cddl", "cddl", r"the contents of this file are subject to the terms of the (?:common development and distribution licen[sc]e )?cddl"),
+    ("cpl", "recipient", r"any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("boost", "boost", r"distributed under the boost software licen[sc]e version 1 0"),
+    ("boost", "organization", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "dedicate|dedication", r"we make this dedication for the benefit of the public at large|dedicate any and all copyright interest in the software to the public domain"),
+    ("wtfpl", "0", r"0 you just do what the f\w+ you want to"),
+    ("artistic", "artistic", r"you may distribute under the terms of either the gnu general public licen[sc]e or the artistic licen[sc]e"),
+    ("artistic", "perl", r"same terms as perl itself"),
+    ("python", "psf", r"psf is making python available to licensee"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
+    ("postgresql", "agreement", r"without fee and without a written agreement is hereby granted"),
+    ("x11", "consortium", r"the name of the x consortium shall not be used in advertising"),
+    ("ncsa", "ncsa", r"university of illinois ncsa open source licen[sc]e"),
+    ("ofl", "font", r"this font software is licensed under the sil open font licen[sc]e"),
+    ("ofl", "reserved", r"with reserved font names?"),
+    ("eupl", "eupl", r"licensed under the eupl"),
+    ("ms-pl", "contribution", r"each contributor grants you a non exclusive worldwide royalty free (?:copyright|patent) licen[sc]e to (?:reproduce )?its contribution"),
+    ("cc-by", "appropriate", r"free to share (?:.{1,60} )?adapt (?:.{1,80} )?appropriate credit"),
+    ("cc-by", "attribution", r"creative commons attribution(?: 4 0| 3 0)?(?: international| unported)? licen[sc]e"),
+    ("cc-by-sa", "sharealike|alike", r"creative commons attribution share ?alike(?: 4 0| 3 0)?(?: international| unported)? licen[sc]e"),
+    ("cc-by-nc", "noncommercial|commercial", r"creative commons attribution non ?commercial(?: 4 0| 3 0)?(?: international| unported)? licen[sc]e"),
+    ("cc-by-nc-sa", "sharealike|alike", r"creative commons attribution non ?commercial share ?alike(?: 4 0| 3 0)?(?: international| unported)? licen[sc]e"),
+    ("cc-by-nd", "noderivatives|derivatives|noderivs|derivs", r"creative commons attribution no ?(?:derivatives|derivs)(?: 4 0| 3 0)?(?: international| unported)? licen[sc]e"),
+    ("cc0", "waived", r"waived all copyright and related or neighboring rights"),
+    ("cc", "creativecommons", r"creativecommons org licenses by(?: nc| nd| sa)*(?: \d \d)?"),
+    ("cc0", "creativecommons", r"creativecommons org publicdomain zero(?: 1 0)?"),
+    ("public-domain", "domain", r"(?:has been|is hereby|was) (?:placed|released|put) (?:in|into) the public domain"),
+    ("public-domain", "domain|claimed", r"no copyright is claimed|this (?:work|file|code|text) is in the public domain"),
+    ("odbl", "odbl|database", r"open database licen[sc]e odbl|made available under the open database licen[sc]e"),
+    ("ogl", "government", r"contains public sector information licensed under the open government licen[sc]e"),
+    ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
+    ("proprietary", "unauthorized", r"unauthorized (?:copying|use|reproduction|distribution) (?:of this (?:file|work|document) |or distribution )?(?:via any medium )?is (?:strictly )?prohibited"),
+    ("proprietary", "permission", r"may not be (?:reproduced|copied|published|broadcast|rewritten|redistributed)(?: or \w+)* without (?:the )?(?:prior )?(?:express )?(?:written )?permission"),
+    ("proprietary", "trade", r"contains trade secrets of"),
+    ("proprietary", "evaluation", r"for evaluation purposes only"),
+    ("non-commercial", "commercial|noncommercial", r"for non ?commercial (?:use|purposes) only|free for non ?commercial use"),
+    ("non-commercial", "personal", r"for personal (?:and non ?commercial )?use only"),
+    ("academic", "academic", r"for academic (?:and research )?(?:use|purposes) only"),
+    ("academic", "research", r"for research (?:use|purposes) only"),
+    ("reserved", "reserved", r"(?:some|no) rights reserved"),
+    ("reserved", "reserves", r"the author reserves all rights"),
+    ("reserved", "vorbehalten", r"alle rechte (?:sind )?vorbehalten|nachdruck (?:auch auszugsweise )?(?:nur mit genehmigung|verboten) (?:ist )?vorbehalten"),
+    ("reserved", "reserves", r"tous droits (?:de reproduction )?reserves"),
+    ("reserved", "reservados", r"(?:todos los derechos|direitos|todos os direitos) reservados"),
+    ("proprietary", "reproduction", r"toute reproduction (?:meme partielle )?(?:est )?interdite"),
+    ("proprietary", "prohibida", r"prohibida (?:la|su) reproduccion(?: total o parcial)?"),
+    ("proprietary", "vervielfaltigung|vervielfältigung", r"(?:vervielfaltigung|vervielfältigung) (?:ist )?(?:nicht gestattet|untersagt|verboten)"),
+    ("copyright", "copr", r"copr (?:19|20)\d\d"),
+    ("copyright", "copyrighted", r"this (?:work|material|text|article) is copyrighted"),
+    ("no-ai", "training", r"may not be used (?:for|in) (?:the )?training (?:of )?(?:artificial intelligence|machine learning|language models?)"),
+    ("no-ai", "mining", r"text and data mining (?:is|are) (?:not permitted|prohibited|reserved)"),
+)
+
 #: Ways to state a licence: prefix, suffix, keyword, added priority, confidence. A rule is a name in
 #: one of these ways.
 WAYS = (
@@ -96,33 +185,52 @@ class Rule:
     regex: re.Pattern
 
 
+def sentences() -> tuple[Rule, ...]:
+    """The written signature rules; earlier ones win ties of priority."""
+    return tuple(Rule(label, tuple(keys.split("|")), (), 6000 + len(SENTENCES) - k, 0.95, re.compile(rf"(?<![^ ])(?:{text})(?![^ ])")) for k, (label, keys, text) in enumerate(SENTENCES))
+
+
 def rules() -> tuple[Rule, ...]:
-    """Every name in every way, most specific names first (their order breaks ties of priority)."""
+    """Every name in every way, most specific names first (their order breaks ties of priority), the written
+    sentences, and two notices."""
     made = [Rule(label, tuple(keys.split("|")), any_of, add * 100 + len(NAMES) - k, conf, re.compile(rf"(?<![^ ])(?:{pre}(?:{name}){post})(?![^ ])")) for k, (label, keys, name) in enumerate(NAMES) for pre, post, any_of, add, conf in WAYS]
+    made += sentences()
     made.append(Rule("copyright", ("copyright",), (), 500, 0.5, re.compile(r"(?<![^ ])copyright(?: c)? (?:19|20)\d\d(?: (?:19|20)\d\d)?(?! [^ ]*licen)")))
     made.append(Rule("no-warranty", ("without",), (), 400, 0.5, re.compile(r"(?<![^ ])without (?:any )?warranty(?: of any kind)?")))
-    made.append(Rule("mit", ("permission",), ("granted",), 6000, 0.99, re.compile(r"(?<![^ ])permission is hereby granted free of charge to any person obtaining a copy")))
-    made.append(Rule("bsd", ("redistribution",), ("modification",), 6000, 0.95, re.compile(r"(?<![^ ])redistribution and use in source and binary forms with or without modification are permitted")))
     return tuple(made)
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Drops detections that lie inside one of higher priority, or of equal priority and greater length."""
+    """Drops detections that lie inside one of higher priority, or of equal priority and greater length.
+
+    In order of priority, each looks up how far detections before it that start no later reach: the
+    greatest end over a prefix of the starts, kept in a tree of partial maxima."""
+    starts = {a: k + 1 for k, a in enumerate(sorted({a for a, _, _ in found}))}
+    reach = [-1] * (len(starts) + 1)
     kept: list[tuple[int, int, Rule]] = []
     for a, b, r in sorted(set(found), key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label)):
-        if not any(x <= a and b <= y for x, y, _ in kept):
-            kept.append((a, b, r))
+        k, far = starts[a], -1
+        while k:
+            far = max(far, reach[k])
+            k &= k - 1
+        if far >= b:
+            continue
+        kept.append((a, b, r))
+        k = starts[a]
+        while k < len(reach):
+            reach[k] = max(reach[k], b)
+            k += k & -k
     return sorted(kept, key=lambda x: (x[0], x[1]))
 
 
-def scan_words(text: str, words: set[str], by_key: dict[str, list[Rule]]) -> list[tuple[int, int, Rule]]:
-    """Resolved detections (first word, word after the last, rule) in space-joined words."""
-    found = []
-    for r in {r for key in words & by_key.keys() for r in by_key[key]}:
-        if not r.any_of or any(x in words for x in r.any_of):
+def scan_words(words: list[str], by_key: dict[str, list[Rule]]) -> list[tuple[int, int, Rule]]:
+    """Resolved detections (first word, word after the last, rule)."""
+    text, there, found = " ".join(words), set(words), []
+    at = list(accumulate((len(w) + 1 for w in words), initial=0))  # where each word begins
+    for r in {r for key in there & by_key.keys() for r in by_key[key]}:
+        if not r.any_of or any(x in there for x in r.any_of):
             for m in r.regex.finditer(text):
-                a = text.count(" ", 0, m.start())
-                found.append((a, a + m.group().count(" ") + 1, r))
+                found.append((bisect_right(at, m.start()) - 1, bisect_left(at, m.end()), r))
     return resolve(found)
 
 
@@ -182,7 +290,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
                 spans: list[list] = [[] for _ in range(n)]
                 for d in np.unique(doc[gate[codes]]).tolist() if len(codes) else []:
                     text = [listed[c].decode() for c in codes[first[d] : first[d + 1]].tolist()]
-                    for a, b, r in scan_words(" ".join(text), set(text), by_key):
+                    for a, b, r in scan_words(text, by_key):
                         all_labels[d].add(r.label)
                         score[d] = max(score[d], r.confidence)
                         spans[d].append({"label": r.label, "start": a, "end": b, "confidence": r.confidence})
