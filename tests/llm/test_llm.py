@@ -317,6 +317,79 @@ def test_lm_scores(docs, none):
     assert lm_score.lm_score(none).count() == 0
 
 
+def tree_score(rows):
+    """The model by hand: contexts as tuples of symbols, word starts as bytes, all counts in dictionaries."""
+    learned = [(lower(t).encode() if t else b"") for k, t in rows if k is not None and zlib.crc32(str(k).encode()) % 7 != 2]
+    split = lambda b: [x for x in re.split(rb"[\x20\x09-\x0d]+", b) if x]
+    line = lambda b: b" ".join(split(b)) + b"\n"
+    cls = lambda b: tuple(lm_score.CLASS_OF[list(b)].tolist())
+    depth, end, space = lm_score.DEPTH, lm_score.END, lm_score.SPACE
+    grams, n_byte = Counter(), Counter()
+    for b in map(line, learned):
+        n_byte.update(b)
+        x = (end,) * depth + cls(b)
+        grams.update((x[p - d : p], x[p]) for p in range(depth, len(x)) for d in range(depth + 1))
+    nxt = {}
+    for (c, x), n in grams.items():
+        nxt.setdefault(c, {})[x] = n
+    total = {c: sum(v.values()) for c, v in nxt.items()}
+    passes = lambda c: total[c] >= lm_score.MIN_COUNT and sum(n * math.log2(n / total[c] / (nxt[c[1:]][x] / total[c[1:]])) for x, n in nxt[c].items()) > len(nxt[c]) * math.log2(total[c]) / 2
+    states = {c for c in nxt if c and passes(c)}
+
+    def share(c, x):
+        if not c:
+            return (nxt.get(c, {}).get(x, 0) + 0.5) / (total.get(c, 0) + 0.5 * lm_score.CLASSES)
+        if c not in states:
+            return share(c[1:], x)
+        m = len(nxt[c])
+        return (nxt[c].get(x, 0) + m * share(c[1:], x)) / (total[c] + m)
+
+    after = lambda w, p, last: lm_score.CLASS_OF[w[p]] if p < len(w) else end if last else space
+    begun = {}
+    for b in learned:
+        w = split(b)
+        for i, y in enumerate(w):
+            for p in range(depth, len(y) + 1):
+                begun.setdefault(y[:p], Counter())[int(after(y, p, i == len(w) - 1))] += 1
+    starts = {}
+    for y, n in begun.items():
+        t, m = sum(n.values()), len(n)
+        if t >= lm_score.START_COUNT and sum(c * math.log2(c / share(cls(y[-depth:]), x)) for x, c in n.items()) - t * math.log2(t) > m * math.log2(t) / 2:
+            starts[y] = n
+    in_class = Counter()
+    for b in range(256):
+        in_class[int(lm_score.CLASS_OF[b])] += n_byte[b] + 0.5
+
+    def score(text):
+        b = lower(text).encode() if text else b""
+        w, x = split(b), line(b)
+        s = (end,) * depth + cls(x)
+        out = sum(math.log10(share(s[p : p + depth], s[p + depth])) + math.log10((n_byte[x[p]] + 0.5) / in_class[s[p + depth]]) for p in range(len(x)))
+        for i, y in enumerate(w):
+            for p in range(depth, len(y) + 1):
+                if y[:p] in starts:
+                    n, z = starts[y[:p]], int(after(y, p, i == len(w) - 1))
+                    own = share(cls(y[p - depth : p]), z)
+                    out += math.log10((n[z] + len(n) * own) / (sum(n.values()) + len(n)) / own)
+        return out
+
+    return score, len(states), len(starts)
+
+
+def test_lm_score_equals_the_tree_by_hand(spark):
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice(["ta", "ri", "no", "sel", "ém", "x", "4"]) for _ in range(r.randrange(1, 6))) for _ in range(60)]
+    rows = [(k, " ".join(r.choice(vocabulary[: 20 + k % 40]) for _ in range(r.randrange(40)))) for k in range(120)]
+    rows += [(200, None), (201, ""), (None, "tari nosel"), (5, rows[5][1]), (202, "\n Unknown  WORDS\t" + vocabulary[0]), (203, " ".join(vocabulary) * 30)]
+    d = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, n long, h long").repartition(3)
+    score, n_states, n_starts = tree_score(rows)
+    assert n_states > 50 and n_starts > 50
+    got = sorted((-1 if x["doc_id"] is None else x["doc_id"], x["n_tokens"], round(x["score"], 2)) for x in lm_score.lm_score(d, max_common=30).collect())
+    want = sorted((-1 if k is None else k, len(WORD.findall(lower(t))) + 1, round(score(t), 2)) for k, t in rows)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(abs(a[2] - b[2]) <= 0.02 + 1e-5 * abs(b[2]) for a, b in zip(got, want, strict=True))
+
+
 def test_lm_word_starts_of_any_length(spark):
     """A symbol that only bytes further back than DEPTH tell is scored by them; every state counts, by both ways."""
     r = random.Random(4)

@@ -3,7 +3,8 @@
 Tokens are lower-cased words and one end per text. The base score is an add-one unigram model over
 tokens. The model itself is a suffix tree over the text's bytes (words joined by one space, then the
 end), in `CLASSES` byte classes: a context becomes a state if its next-symbol distribution diverges from
-that of its suffix by more than a description-length penalty; next-symbol distributions are smoothed with
+that of its suffix by more than a description-length penalty (and occurs `MIN_COUNT` times, a word start
+`START_COUNT` times); next-symbol distributions are smoothed with
 those of the longest retained shorter suffix; a symbol is scored in the longest suffix that is a state.
 Contexts are the last symbols, up to `DEPTH`, across words, and a word's bytes from its start, of any
 length over that. Every context that passes the test is a state.
@@ -37,7 +38,8 @@ from tidemark.llm import textkit as tk
 DEPTH = 4
 CLASSES = 64
 SPACE, END = 26, 27
-MIN_COUNT = 32
+MIN_COUNT = 32  # for contexts of up to DEPTH symbols
+START_COUNT = 8  # for word starts
 COUNTED = ["kind", "key", "word", "n", "ends"]
 #: For hashes of word starts: a value of each byte, and the base of the polynomial over places.
 BYTE_VALUE = tk.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -218,7 +220,7 @@ def grow(stats: DataFrame, min_count: int = MIN_COUNT) -> Tree:
 PLACE = ["h", "p", "x", "last", "n", "s"]
 
 
-def reaching(words: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+def reaching(words: DataFrame, min_count: int = START_COUNT) -> DataFrame:
     """Adds `reach`, the bytes of a word's start that may be a state. A start is at most as frequent as a
     shorter one of it, so none that `starts` keeps is lost; it keeps the rarest starts out of the shuffle.
     Words that begin alike come to one place, where their starts are counted together first."""
@@ -263,7 +265,7 @@ def places(batch: pa.RecordBatch, tree: Tree, table: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row]), pa.array(p), pa.array(x.astype(np.int32)), pa.array(last), pa.array(count), pa.array(share)], PLACE)
 
 
-def starts(found: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+def starts(found: DataFrame, min_count: int = START_COUNT) -> DataFrame:
     """(p, t, unseen, seen): the word starts that are states, by the test of `grow` against the tree, and the
     logarithms of what they multiply the tree's shares by: of symbols never seen there, and of each seen one."""
     n = found.where("n > 0").groupBy("p", "x").agg(F.sum("n").alias("n"), F.max("s").alias("s"))
