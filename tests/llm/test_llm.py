@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, license_scan, lm_score, quality_model, quality_rules, streams, suffix_dedup, warc
+from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, license_scan, lm_score, pipeline, quality_model, quality_rules, streams, suffix_dedup, warc
 
 WORD, ALNUM = re.compile("[^\x20\x09-\x0d]+"), re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, g long, key string, late int"
@@ -594,13 +594,11 @@ def test_warc_revisits(spark):
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
-    import corpus_pipeline
-
     rows = [x[:5] for x in corpus()]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     item = " ".join(corpus()[30][1].split()[:14])
     spark.createDataFrame([("i", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r for r in pipeline.run(spark, str(tmp_path)).collect()}
     verdict = by_id(quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")))
     left = [(k, t) for k, t, *_ in rows if verdict[k]["kept"]]
     _, label = components_of(left)
@@ -614,3 +612,21 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     left = [(k, t) for k, t in left if not held(ALNUM.findall(lower(t)))]
     want = library()
     assert {k: (list(r["ids"]), r["decoded_sha256"]) for k, r in got.items()} == {k: (want(t), hashlib.sha256(t.encode()).hexdigest()) for k, t in left}
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """No rows; rows without or with repeated doc_id, and columns named like the stages' own."""
+    names = ["kept", "spans", "tag", "cls", "node", "_gone", "ids", "rest"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names)
+    prose = [t for _, t, *_ in corpus()[:30] if len((t or "").split()) > 60]
+    rows = [(k, t, "en", "s", 0) for k, t in [(None, prose[0]), (1, prose[1]), (1, prose[2]), (2, prose[3]), (3, prose[3]), (3, prose[3]), (4, None), (None, None), (None, prose[0])]]
+    for name, data in (("none", []), ("odd", rows)):
+        spark.createDataFrame([(*x, *range(len(names))) for x in data], schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "item_id string, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    docs = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path / "odd"))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    want = library()
+    assert sorted((r["doc_id"] or 0, list(r["ids"])) for r in pipeline.run(spark, str(tmp_path / "odd")).collect()) == sorted((k, want(t)) for k, t in [(0, prose[0]), (0, prose[0]), (1, prose[1]), (1, prose[2]), (2, prose[3])])

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, license_scan, lm_score, quality_model, quality_rules, suffix_dedup, warc
+from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, license_scan, lm_score, pipeline, quality_model, quality_rules, suffix_dedup, warc
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
     "op1_language_id": language_id.query,
     "op2_jaccard_join": jaccard_join.query,
     "op3_license_scan": license_scan.query,
