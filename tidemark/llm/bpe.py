@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-LEAF_CHARS = 512
+LEAF_CHARS = 1024
 LEAF_BYTES = 48
 #: Entries at which a worker's cache of matches or of token pairs starts anew.
 CACHE = 1 << 18
@@ -53,25 +53,28 @@ class Codec:
             self.bytes_of[k] = token
         self.size_of = [len(x) for x in self.bytes_of]
         self.text_of = [str(k) for k in range(len(self.bytes_of))]
+        self.byte_id = [self.ranks[bytes([x])] for x in range(256)]
+        n = len(self.bytes_of)
+        self.union = {self.ranks[t[:c]] * n + self.ranks[t[c:]]: k for t, k in self.ranks.items() for c in range(1, len(t)) if t[:c] in self.ranks and t[c:] in self.ranks}
         self.known: dict[str, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, b: bytes) -> list[int]:
         """The tokens of a few bytes: of neighbours whose union has a rank, those of the least are united first."""
-        if b in self.ranks:
-            return [self.ranks[b]]
-        rank, parts = self.ranks.get, [b[k : k + 1] for k in range(len(b))]
-        none = len(self.bytes_of)
-        cost = [rank(x + y, none) for x, y in zip(parts, parts[1:])]
-        while cost and (least := min(cost)) < none:
-            k = cost.index(least)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            del cost[k]
-            if k < len(cost):
-                cost[k] = rank(parts[k] + parts[k + 1], none)
+        if (whole := self.ranks.get(b)) is not None:
+            return [whole]
+        union, none = self.union.get, len(self.bytes_of)
+        ids = [self.byte_id[x] for x in b]
+        made = [union(x * none + y, none) for x, y in zip(ids, ids[1:])]  # what each pair would become
+        while made and (least := min(made)) < none:
+            k = made.index(least)
+            ids[k] = least
+            del ids[k + 1], made[k]
+            if k < len(made):
+                made[k] = union(least * none + ids[k + 1], none)
             if k:
-                cost[k - 1] = rank(parts[k - 1] + parts[k], none)
-        return [self.ranks[x] for x in parts]
+                made[k - 1] = union(ids[k - 1] * none + least, none)
+        return ids
 
     def merged_long(self, b: bytes) -> list[int]:
         """The same for any number of bytes, with a queue of pairs; for seams whose windows grow over all."""
