@@ -168,3 +168,127 @@ def test_document_vectors_cover_whole_texts(spark, tmp_path):
     whole = {r["doc_id"]: r for r in search.t12(spark, str(tmp_path)).collect()}
     text = spark.createDataFrame([(rows[0][1],)], "t string").select(V.embed("t").alias("v")).first()["v"]
     assert whole[0]["vector"] == [round(x, 6) for x in text] and whole[0]["same"] == 1
+
+
+def _commands(spark, columns, types, rows):
+    full = [{**dict.fromkeys(columns), "operation_id": f"op{n}", "seq": n, **r} for n, r in enumerate(rows)]
+    return spark.createDataFrame([tuple(r[c] for c in columns) for r in full], ", ".join(f"{c} {t}" for c, t in zip(columns, types, strict=True))).repartition(3)
+
+
+def test_versioned_corpus_fold(spark):
+    from tidemark.operators import corpus as V
+
+    def one(kind, version=None, life=0, rev=0, **more):
+        return {"document_id": 1, "kind": kind, "version_id": version, "owner_space": "s", "digest": f"d{version}", "lifecycle": life, "revision": rev, "is_public": False, "spaces": []} | more
+
+    rows = [
+        (one("index", "a", 1), "indexed"),
+        (one("index", "a", 1, operation_id="op0"), "replayed_indexed"),
+        (one("index", "b", 1, operation_id="op0"), "conflict"),
+        (one("index", "a", 2), "unchanged"),
+        (one("index", "a", 2, digest="other"), "conflict"),
+        (one("index", "b", 2, owner_space="t"), "conflict"),
+        (one("index", "b", 1), "stale_lifecycle"),
+        (one("activate", "c", 2, 5), "not_found"),
+        (one("activate", "a", 2, 5), "activated"),
+        (one("activate", "a", 2, 4), "stale_activation"),
+        (one("activate", "a", 2, 5), "unchanged"),
+        (one("index", "b", 2), "indexed"),
+        (one("activate", "b", 2, 5), "conflict"),
+        (one("activate", "b", 2, 6, expected_version="x"), "conflict"),
+        (one("activate", "b", 2, 6, expected_version="a"), "activated"),
+        (one("share", None, 2, 3, is_public=True, spaces=["y", " x", "y"]), "shared"),
+        (one("share", None, 2, 3, is_public=True, spaces=["x", "y"]), "unchanged"),
+        (one("share", None, 2, 3, spaces=["x"]), "conflict"),
+        (one("share", None, 2, 2, spaces=["x"]), "stale_access"),
+        (one("drop", "b", 2), "dropped_active"),
+        (one("drop", "b", 2), "dropped_active"),
+        (one("drop", "z", 3), "absent"),
+        (one("delete", None, 3), "conflict"),
+        (one("delete", None, 2), "stale_lifecycle"),
+        (one("delete", None, 4), "deleted"),
+        (one("index", "c", 4), "stale_lifecycle"),
+        (one("index", "c", 5), "indexed"),
+        (one("activate", "c", 5, 7), "activated"),
+        (one("delete", None, 4), "deleted"),
+        ({**one("index", "q", 1), "document_id": 2}, "indexed"),
+    ]
+    types = ["long", "long", "string", "string", "string", "string", "string", "long", "long", "string", "boolean", "array<string>"]
+    got = V.apply_corpus_commands(_commands(spark, V.COMMANDS, types, [r for r, _ in rows])).collect()
+    assert [r["outcome"] for r in sorted((r for r in got if r["seq"] is not None), key=lambda r: r["seq"])] == [x for _, x in rows]
+    state = {(r["document_id"], r["version_id"]): r for r in got if r["seq"] is None}
+    assert set(state) == {(1, None), (1, "c"), (2, None), (2, "q")}
+    r = state[1, "c"]
+    assert (r["is_active"], r["activation"], r["access"], r["lifecycle"], r["tombstone"], r["dead"], r["is_public"], r["spaces"]) == (True, 7, 3, 5, 4, False, True, ["x", "y"])
+    assert V.apply_corpus_commands(_commands(spark, V.COMMANDS, types, [])).count() == 0
+
+
+def test_chat_corpus_fold(spark):
+    from tidemark.operators import corpus as V
+
+    def one(kind, ids=(), life=0, rev=0, **more):
+        return {"conversation_id": 1, "kind": kind, "message_ids": list(ids), "digests": [f"d{x}" for x in ids], "owner_scope": "s", "lifecycle": life, "revision": rev, "scopes": []} | more
+
+    rows = [
+        (one("archive", (), 1, 1), "not_found"),
+        (one("index", "ab", 1), "indexed"),
+        (one("index", "aa", 1), "invalid"),
+        (one("index", "bc", 1), "indexed"),
+        (one("index", "cd", 1, digests=["x", "dd"]), "conflict"),
+        (one("index", "e", 1, owner_scope="t"), "conflict"),
+        (one("archive", (), 1, 2), "archived"),
+        (one("archive", (), 1, 1), "stale_archive"),
+        (one("share", (), 1, 2, scopes=["q", "p"]), "shared"),
+        (one("share", (), 1, 2, scopes=["q"]), "conflict"),
+        (one("share", (), 1, 1, scopes=["q"]), "stale_access"),
+        (one("retract", "a", 2, 3), "retracted"),
+        (one("retract", "a", 2, 2), "stale_retract"),
+        (one("retract", "z", 2, 2), "not_found"),
+        (one("retract", "b", 1, 2), "stale_lifecycle"),
+        (one("delete", (), 2), "conflict"),
+        (one("delete", (), 3), "deleted"),
+        (one("delete", (), 3), "deleted"),
+        (one("index", "a", 3), "stale_lifecycle"),
+        (one("index", "a", 4), "indexed"),
+        (one("delete", (), 3), "stale_lifecycle"),
+        (one("archive", (), 4, 5), "archived"),
+    ]
+    types = ["long", "long", "string", "string", "array<string>", "array<string>", "string", "long", "long", "array<string>"]
+    got = V.apply_chat_commands(_commands(spark, V.CHAT_COMMANDS, types, [r for r, _ in rows])).collect()
+    assert [r["outcome"] for r in sorted((r for r in got if r["seq"] is not None), key=lambda r: r["seq"])] == [x for _, x in rows]
+    state = {r["message_id"]: r for r in got if r["seq"] is None}
+    assert set(state) == {None, "a"} and not state["a"]["retracted"]
+    assert (state["a"]["archived"], state["a"]["archive"], state["a"]["access"], state["a"]["lifecycle"], state["a"]["tombstone"], state["a"]["dead"], state["a"]["scopes"]) == (True, 5, 2, 4, 3, False, ["p", "q"])
+
+
+def test_search_total_counts_matches_beyond_the_window(spark):
+    """50 matches and a window of 10: the page is full, the total exact, and pages neither skip nor repeat."""
+    from tidemark.operators import retrieval as R
+
+    ix = spark.createDataFrame([(k, "t", "s", "found " + "x " * k) for k in range(50)], "document_id long, title string, summary string, content string")
+    points = spark.createDataFrame([(k, 0, [1.0, k / 10]) for k in range(45, 50)], "document_id long, position int, vector array<double>")
+    pages = [R.search_documents(ix, points, "found", [1.0, 0.0], F.lit(True), offset=o, limit=10, window=10).collect() for o in (0, 8, 18, 28, 38, 48)]
+    assert [len(p) for p in pages] == [10, 10, 10, 10, 10, 2] and {r["total"] for p in pages for r in p} == {50}
+    assert [p[0]["truncated"] for p in pages] == [True, True, True, True, True, False]
+    assert sorted({r["document_id"] for p in pages for r in p}) == list(range(50))
+
+
+def test_windows_percentiles_profiles(spark):
+    from tidemark.functions import vectors as V
+    from tidemark.operators import chunking as C
+    from tidemark.operators import evaluate as E
+
+    texts = ["", "  ", "a", "x" * 180, "x" * 181, "äb\n" * 200, "\U0001f600y " * 150, None]
+    d = spark.createDataFrame(list(enumerate(texts)), "document_id long, content string")
+    got = {r["document_id"]: r["w"] for r in d.select("document_id", C.windows("content").alias("w")).collect()}
+    for k, t in enumerate(texts):
+        x = (t or "").strip()
+        n = max(0, -(-(len(x) - 180) // 160)) + 1 if x else 0
+        assert (got[k] or []) == [x[i * 160 : i * 160 + 180] for i in range(n)], k
+    samples = [("a", v / 7) for v in [3, 1, 2, 2, 2, 9, 100, 45]] + [("b", 5.0)] + [("c", None)]
+    rows = {r["k"]: r for r in E.latency(spark.createDataFrame(samples, "k string, latency double"), "k", 1.0).collect()}
+    v = sorted(x for k, x in samples if k == "a")
+    assert (rows["a"]["n"], rows["a"]["p50"], rows["a"]["p95"], rows["b"]["p95"], rows["c"]["n"], rows["c"]["p50"]) == (8, v[3], v[7], 5.0, 0, None)
+    with pytest.raises(ValueError):
+        V.embed_with("other", "text")
+    assert len(spark.range(1).select(V.embed_with("local-hash-v1", F.lit("a b")).alias("v")).first()["v"]) > 0

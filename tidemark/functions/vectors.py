@@ -130,3 +130,14 @@ def sparse_terms(df, key: str, t: str):
     """
     counts = df.select(key, F.explode(t).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
     return counts.groupBy(key, fnv32("term").alias("index")).agg(F.sum("n").alias("n"))
+
+
+#: The closed set of embedding profiles, each a function from a text column to a vector column (X-02).
+EMBEDDERS = {"local-hash-v1": embed_fast}
+
+
+def embed_with(profile: str, text) -> Column:
+    """Vectors of a text column by a named profile; an unknown profile is refused."""
+    if profile not in EMBEDDERS:
+        raise ValueError(f"unknown embedding profile {profile!r}; known: {', '.join(sorted(EMBEDDERS))}")
+    return EMBEDDERS[profile](text)

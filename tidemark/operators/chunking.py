@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.vectors import embed_fast, tokens
+from tidemark.functions.vectors import embed_fast, let, tokens
 
 LIMIT, MOST, WINDOW, OVERLAP = 800, 200, 180, 20
 
@@ -48,12 +48,25 @@ def chunk_paragraphs(docs: DataFrame, limit: int = LIMIT, most: int = MOST) -> D
     return docs.select("document_id", F.posexplode(packed("content", limit, most)).alias("position", "chunk"))
 
 
+def message_blocks(messages: DataFrame) -> DataFrame:
+    """A chat message as a document of one paragraph block (X-04). messages: document_id, text."""
+    return messages.select("document_id", F.lit(0).alias("position"), F.lit("paragraph").alias("kind"), F.lit("").alias("section"), F.trim("text").alias("text")).where("text <> ''")
+
+
 def windows(x, size: int = WINDOW, overlap: int = OVERLAP) -> Column:
     """Windows of `size` characters, each `overlap` into the last (T-07)."""
-    x = F.regexp_replace(F.col(x) if isinstance(x, str) else x, r"^\s+|\s+$", "")
     step = size - overlap
-    last = F.greatest(F.ceil((F.char_length(x) - size) / step), F.lit(0)).cast("int")
-    return F.when(F.char_length(x) > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(x, k * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    assert 0 <= overlap <= step, "a window may reach into the next one only"
+    x = F.regexp_replace(F.col(x) if isinstance(x, str) else x, r"^\s+|\s+$", "")
+
+    def cut(s: Column) -> Column:
+        """From pieces of `step` characters, found in one pass: each with the beginning of the next."""
+        p, n = s["p"], (F.size(s["p"]) - 1) * step + F.char_length(F.element_at(s["p"], -1))
+        last = F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.concat(F.get(p, k), F.coalesce(F.substring(F.get(p, k + 1), 1, overlap), F.lit(""))))
+
+    pieces = F.regexp_extract_all(x, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    return let(F.struct(pieces.alias("p")), lambda s: F.when(F.size(s["p"]) > 0, cut(s)).otherwise(F.array().cast("array<string>")))
 
 
 def chunk_windows(docs: DataFrame, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:

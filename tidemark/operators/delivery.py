@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import trigram_similarity
+from tidemark.functions.vectors import tokens
+from tidemark.operators.retrieval import cover_rank, parse_query, text_match
+
 
 def fan_out(messages: DataFrame, members: DataFrame) -> DataFrame:
     """One delivery for each message and member of its group, if the sender is a member (J-16).
@@ -70,6 +74,46 @@ def visible(hits: DataFrame, control: DataFrame) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
 
 
+def _ranked(rows: DataFrame, score: Column, at: str, ident: str, limit: int) -> DataFrame:
+    """The first rows by score, then `at` with nulls last, then `ident`, and whether one more follows
+    (K-07, K-08, W-09)."""
+    order = [F.desc("score"), F.desc_nulls_last(at), ident]
+    probe = rows.withColumn("score", score).orderBy(*order).limit(limit + 1)
+    place = F.row_number().over(Window.orderBy(*order))  # limit + 1 rows
+    return probe.withColumn("rank", place).withColumn("more", F.count("*").over(Window.partitionBy()) > limit).where(F.col("rank") <= limit)
+
+
+#: Weight of a word in a text without fields.
+PLAIN = 0.1
+
+
+def _plain(text: str) -> Column:
+    return F.transform(tokens(text), lambda x, i: F.struct(x.alias("term"), (i + 1).alias("pos"), F.lit(PLAIN).alias("weight")))
+
+
+def _words(query: str) -> list[str]:
+    return sorted({t for g in parse_query(query) for t in [*g["terms"], *(x for p in g["phrases"] for x in p)]})
+
+
+def search_channel_messages(messages: DataFrame, query: str, scope: Column, limit: int) -> DataFrame:
+    """Messages of a channel scope that match, by cover rank, newest first among equals (T-23).
+
+    messages: record_id, text, sent_at and the columns of the scope; adds score, rank and more."""
+    found = messages.where(scope).where(text_match(tokens("text"), query))
+    return _ranked(found, F.round(cover_rank(_plain("text"), _words(query) or [""]), 6), "sent_at", "record_id", limit)
+
+
+def search_channel_files(files: DataFrame, query: str, scope: Column, limit: int) -> DataFrame:
+    """Files of a channel scope whose name and type match, or whose name holds the query (F-18); the score is
+    the greater of the cover rank of name and type and the name's trigram similarity (T-05), the latest upload
+    first among equals (K-08, T-24). files: record_id, file_name, mime, uploaded_at and scope columns."""
+    rows = files.where(scope).withColumn("_both", F.concat_ws(" ", F.coalesce("file_name", F.lit("")), F.coalesce("mime", F.lit(""))))
+    name = F.coalesce("file_name", F.lit(""))
+    found = rows.where(text_match(tokens("_both"), query) | F.contains(F.lower(name), F.lit(query.lower())))
+    score = F.greatest(cover_rank(_plain("_both"), _words(query) or [""]), trigram_similarity(name, F.lit(query)))
+    return _ranked(found, F.round(score, 6), "uploaded_at", "record_id", limit).drop("_both")
+
+
 def authorised(hits: DataFrame, start: int, end: int, scopes: Column) -> DataFrame:
     """Hits inside inclusive time bounds (0: open) and a conversation scope (F-10)."""
     return hits.where(((F.lit(start) == 0) | (F.col("created_at") >= start)) & ((F.lit(end) == 0) | (F.col("created_at") <= end)) & F.array_contains(scopes, F.col("to_id")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,20 +32,28 @@ def violations(hits: DataFrame, index: DataFrame, spaces: list[str], owner: str)
     )
 
 
-def percentile(values: Column, p: float, mode: str = "ceil") -> Column:
-    """The p-th value by rank of sorted values: position ceil(p n), or floor(p n), 1 at least (A-15)."""
-    n = F.size(values) * F.lit(p)
-    at = F.greatest((F.ceil(n) if mode == "ceil" else F.floor(n)).cast("int"), F.lit(1))
-    return F.element_at(values, at)
+def percentiles(samples: DataFrame, by: str, shares: dict[str, float], mode: str = "ceil", width: float = 1.0) -> DataFrame:
+    """The values at rank ceil(p n), or floor(p n), 1 at least, of each source (A-15), without gathering them.
 
+    Values are counted; counts by ranges of `width` tell in which range a rank lies, and only that range's
+    distinct values are put in order.
+    """
+    v = samples.where("latency is not null").groupBy(by, "latency").agg(F.count("*").alias("c")).withColumn("range", F.floor(F.col("latency") / width))
+    ranges = v.groupBy(by, "range").agg(F.sum("c").alias("size"))
+    own = Window.partitionBy(by)
+    ranges = ranges.withColumn("upto", F.sum("size").over(own.orderBy("range"))).withColumn("n", F.sum("size").over(own))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in shares.items()]))
+    at = F.col("n") * F.col("a.p")
+    place = F.greatest(F.ceil(at) if mode == "ceil" else F.floor(at), F.lit(1))
+    wanted = ranges.withColumn("a", asked).withColumn("place", place).where("place <= upto and place > upto - size").select(by, "range", F.col("a.name").alias("name"), (F.col("place") - F.col("upto") + F.col("size")).alias("place"))
+    inside = v.join(wanted, [by, "range"]).withColumn("upto", F.sum("c").over(Window.partitionBy(by, "range", "name").orderBy("latency"))).where("upto >= place")
+    return inside.groupBy(by).agg(*[F.min(F.when(F.col("name") == name, F.col("latency"))).alias(name) for name in shares])
 
-def latency(samples: DataFrame, by: str, timeout: float, mode: str = "ceil") -> DataFrame:
-    """Counts, rank percentiles, mean, maximum and timeouts of evaluation runs by source (A-15, A-18).
 
-    Samples of one run are few; a source's samples are sorted in one place.
-    """
-    s = samples.groupBy(by).agg(F.array_sort(F.collect_list("latency")).alias("v"), F.round(F.avg("latency"), 6).alias("mean"), F.max("latency").alias("most"), F.count(F.when(F.col("latency") > timeout, 1)).alias("timeouts"))
-    return s.select(by, F.size("v").cast("bigint").alias("n"), percentile(F.col("v"), 0.5, mode).alias("p50"), percentile(F.col("v"), 0.95, mode).alias("p95"), "mean", "most", "timeouts")
+def latency(samples: DataFrame, by: str, timeout: float, mode: str = "ceil") -> DataFrame:
+    """Counts, rank percentiles, mean, maximum and timeouts of evaluation runs by source (A-15, A-18)."""
+    s = samples.groupBy(by).agg(F.count("latency").alias("n"), F.round(F.avg("latency"), 6).alias("mean"), F.max("latency").alias("most"), F.count(F.when(F.col("latency") > timeout, 1)).alias("timeouts"))
+    return s.join(percentiles(samples, by, {"p50": 0.5, "p95": 0.95}, mode), by, "left").select(by, "n", "p50", "p95", "mean", "most", "timeouts")
 
 
 def decide(limits: dict[str, float]) -> Column:

@@ -24,6 +24,12 @@ def scan(log: DataFrame, after: int, limit: int = 100) -> DataFrame:
     return log.where(F.col("sequence") > after).orderBy("sequence").limit(limit)
 
 
+def advance_cursors(cursors: DataFrame, applied: DataFrame) -> DataFrame:
+    """(consumer, position) after applied sequences (consumer, sequence): a cursor never moves back (E-05)."""
+    moved = applied.select("consumer", F.col("sequence").alias("position"))
+    return cursors.select("consumer", "position").unionByName(moved).groupBy("consumer").agg(F.max("position").alias("position"))
+
+
 def append_new(log: DataFrame, new: DataFrame, key: str = "dedupe_key") -> DataFrame:
     """The rows of `new` that the log lacks, each key once (IO-03, IO-05)."""
     return new.dropDuplicates([key]).join(log.select(key), key, "left_anti")

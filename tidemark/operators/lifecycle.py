@@ -52,6 +52,11 @@ def last_action(actions: DataFrame, key: list[str], *order) -> DataFrame:
     return actions.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def active_bindings(bindings: DataFrame) -> DataFrame:
+    """Bindings of each space in creation order, with their place (K-17); revoked ones are left out before."""
+    return bindings.withColumn("place", F.row_number().over(Window.partitionBy("space_id").orderBy("created_at", "binding_id")))
+
+
 def reduce_reviews(decisions: DataFrame) -> DataFrame:
     """The first decision of each request holds; of approved ones the earliest of a username gets it (E-23)."""
     first = last_action(decisions, ["request_id"], "seq")

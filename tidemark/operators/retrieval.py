@@ -45,13 +45,18 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b
     return top(scored, k, F.desc("score"), "chunk_id")
 
 
+def dense_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of a stated set of query vectors against all chunks."""
+    q = queries.select("query_id", F.col("vector").alias("qv"))
+    return chunks.select("chunk_id", "vector").crossJoin(q).select("query_id", "chunk_id", F.round(dot("vector", "qv"), 6).alias("score"))
+
+
 def dense_search(chunks: DataFrame, queries: DataFrame, k: int, positive_only: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact cosine scan of unit vectors, ties by id (T-14).
 
     Only ids and vectors meet the queries; the top k are pruned in each task before the shuffle.
     """
-    q = queries.select("query_id", F.col("vector").alias("qv"))
-    s = chunks.select("chunk_id", "vector").crossJoin(q).select("query_id", "chunk_id", F.round(dot("vector", "qv"), 6).alias("score"))
+    s = dense_scores(chunks, queries)
     return top(s.where("score > 0") if positive_only else s, k, F.desc("score"), "chunk_id")
 
 
@@ -163,17 +168,37 @@ def _cover(hit: Column, terms: list[str]) -> Column:
     return single if len(terms) == 1 else pairs
 
 
-def keyword_arm(index: DataFrame, query: str, window: int = 1000) -> DataFrame:
-    """(document_id, score, rank): matches by text or title substring; twice the cover rank plus one for
-    a title hit; the first `window` by score then id (F-07, T-04, K-01)."""
+def keyword_matches(index: DataFrame, query: str) -> DataFrame:
+    """(query_id, document_id, score) of all matches by text or title substring: twice the cover rank plus one
+    for a title hit (F-07, T-04)."""
     terms = sorted({t for g in parse_query(query) for t in [*g["terms"], *(x for p in g["phrases"] for x in p)]})
     title = F.contains(F.lower("title"), F.lit(query.lower()))
     every = F.concat(tokens("title"), tokens("summary"), tokens("content"))
     matched = index.select("document_id", "title", "summary", "content").where(text_match(every, query) | title)
     m = matched.select("document_id", "title", positions("title", "summary", "content").alias("v"))
     score = F.round(2 * cover_rank(F.col("v"), terms or [""]) + F.when(title, 1.0).otherwise(0.0), 6)
-    s = m.select(F.lit(0).alias("query_id"), "document_id", score.alias("score"))
-    return top(s, window, F.desc("score"), "document_id")
+    return m.select(F.lit(0).alias("query_id"), "document_id", score.alias("score"))
+
+
+def keyword_arm(index: DataFrame, query: str, window: int = 1000) -> DataFrame:
+    """(query_id, document_id, score, rank): the first `window` matches by score then id (K-01)."""
+    return top(keyword_matches(index, query), window, F.desc("score"), "document_id")
+
+
+def any_word(query: str) -> str:
+    """A query that matches texts with any of its words: the sorted distinct tokens joined by OR (T-17)."""
+    import re
+
+    return " OR ".join(sorted(set(re.findall(r"[^\W_]+", query.lower())) - {"or"}))
+
+
+def or_search(chunks: DataFrame, query: str, k: int, text: str = "text") -> DataFrame:
+    """(query_id, chunk_id, score, rank): chunks with any word of the query; the score is the share of the
+    chunk's tokens that are words of the query, so a chunk full of them comes first, ties by id (T-17)."""
+    words = F.array(*[F.lit(w) for w in any_word(query).split(" OR ") if w]).cast("array<string>")
+    t = chunks.select("chunk_id", tokens(text).alias("t"))
+    hits = t.select("chunk_id", F.size("t").alias("length"), F.size(F.filter("t", lambda x: F.array_contains(words, x))).alias("n")).where("n > 0")
+    return top(hits.select(F.lit(0).alias("query_id"), "chunk_id", F.round(F.col("n") / F.col("length"), 6).alias("score")), k, F.desc("score"), "chunk_id")
 
 
 def fused_page(fused: DataFrame, keyword: DataFrame, offset: int, limit: int) -> DataFrame:
@@ -195,17 +220,18 @@ def to_hits(hits: DataFrame, index: DataFrame, queries: DataFrame) -> DataFrame:
 
 def search_documents(index: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], scope: Column, offset: int = 0, limit: int = 10, window: int = 1000, recall: int = 100) -> DataFrame:
     """Hybrid document search (T-20): scoped keyword window and scoped vector arm, fused, one page, with
-    the exact total and whether more follows."""
+    the exact total and whether more follows. Only the `window` best keyword matches are fused; the others
+    count for the total and follow as the tail."""
     inside = index.where(scope)
-    keyword = keyword_arm(inside, query, window)
+    matches = keyword_matches(inside, query)
     allowed = inside.select("document_id")
     q = index.sparkSession.createDataFrame([(0, query_vector)], "query_id int, vector array<double>")
     points = vectors.join(allowed, "document_id", "left_semi").select(F.struct("document_id", "position").alias("chunk_id"), "document_id", "vector")
     near = dense_search(points, q, recall).withColumn("document_id", F.col("chunk_id.document_id"))
     vector = best_per_document(near)
-    fused = fuse({"keyword": keyword, "vector": vector})
-    page = fused_page(fused, keyword, offset, limit)
-    total = keyword.select("document_id").unionByName(vector.select("document_id")).distinct().agg(F.least(F.count("*"), F.lit(2**31 - 1)).alias("total"))
+    fused = fuse({"keyword": top(matches, window, F.desc("score"), "document_id"), "vector": vector})
+    page = fused_page(fused, matches, offset, limit)
+    total = matches.select("document_id").unionByName(vector.select("document_id")).distinct().agg(F.least(F.count("*"), F.lit(2**31 - 1)).alias("total"))
     out = page.crossJoin(total)
     returned = F.count("*").over(Window.partitionBy("query_id"))
     return out.withColumn("truncated", offset + returned < F.col("total"))

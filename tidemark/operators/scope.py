@@ -74,6 +74,37 @@ def readable_pairs(docs: DataFrame, grants: DataFrame, members: DataFrame, subje
     return out.distinct()
 
 
+def readable_counts(docs: DataFrame, grants: DataFrame, members: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(subject_key, n, first, last): how many documents each subject may read, and the least and greatest
+    (F-14), for all subjects without making their pairs.
+
+    Subjects with the same spaces read the same documents through them, so those are counted once for each
+    set of spaces; public documents are counted once for all active subjects; only documents that a subject
+    owns or was granted in person are pairs, and of those the ones already counted are left out.
+    """
+    grants = grants.where("not revoked")
+    m = members.where("not revoked").select("space_id", "subject_key").distinct()
+    flags = docs.select("document_id", "is_public")
+    by_space = docs.select("document_id", F.col("owner_space_id").alias("space_id")).unionByName(grants.where("grantee_space_id is not null").select("document_id", F.col("grantee_space_id").alias("space_id"))).distinct()
+    by_space = by_space.where("space_id is not null").join(flags, "document_id", "left").withColumn("is_public", F.coalesce("is_public", F.lit(False)))
+    own = m.groupBy("subject_key").agg(F.array_sort(F.collect_set("space_id")).alias("spaces"))
+    personal = docs.select("document_id", F.col("owner_subject_key").alias("subject_key")).unionByName(grants.where("grantee_subject_key is not null").select("document_id", F.col("grantee_subject_key").alias("subject_key"))).distinct()
+    active = subjects.where("active").select("subject_key").distinct().withColumn("active", F.lit(True))
+    who = own.select("subject_key").unionByName(personal.select("subject_key")).unionByName(active.select("subject_key")).distinct()
+    who = who.join(own, "subject_key", "left").join(active, "subject_key", "left").na.fill(False, ["active"])
+    measure = [F.count("*").alias("n"), F.min("document_id").alias("first"), F.max("document_id").alias("last")]
+    left = ~(F.col("active") & F.col("is_public"))
+    kinds = who.where("spaces is not null").select("spaces", "active").distinct()
+    in_sets = kinds.withColumn("space_id", F.explode("spaces")).join(by_space, "space_id").where(left).select("spaces", "active", "document_id").distinct().groupBy("spaces", "active").agg(*measure)
+    counted = personal.join(m, "subject_key").join(by_space.select("document_id", "space_id"), ["document_id", "space_id"], "left_semi").select("document_id", "subject_key")
+    alone = personal.join(counted, ["document_id", "subject_key"], "left_anti").join(who.select("subject_key", "active"), "subject_key").join(flags, "document_id", "left").withColumn("is_public", F.coalesce("is_public", F.lit(False)))
+    alone = alone.where(left).groupBy("subject_key").agg(*measure)
+    public = docs.where("is_public").agg(*measure).where("n > 0")
+    rows = who.where("spaces is not null").join(in_sets, ["spaces", "active"]).select("subject_key", "n", "first", "last")
+    rows = rows.unionByName(alone).unionByName(active.select("subject_key").crossJoin(public))  # public is one row
+    return rows.groupBy("subject_key").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 def access_facts(pairs: DataFrame, docs: DataFrame, grants: DataFrame, members: DataFrame, subjects: DataFrame) -> DataFrame:
     """The facts of the read decision as columns for given (document_id, subject_key) pairs, and
     `may_read` (F-16)."""

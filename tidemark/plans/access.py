@@ -18,8 +18,7 @@ rp AS (SELECT document_id, owner_subject_key AS subject_key FROM ad UNION SELECT
 @query("f14_j02_j05_readable_pairs", f"WITH {PAIRS} SELECT subject_key, count(*) AS n, min(document_id) AS first, max(document_id) AS last FROM rp GROUP BY subject_key")
 def f14(spark, d):
     f = X.access(spark, d)
-    p = scope.readable_pairs(f["docs"], f["grants"], f["members"], f["subjects"])
-    return p.groupBy("subject_key").agg(F.count("*").alias("n"), F.min("document_id").alias("first"), F.max("document_id").alias("last"))
+    return scope.readable_counts(f["docs"], f["grants"], f["members"], f["subjects"])
 
 
 @query("f15_a02_readable_list", f"WITH {PAIRS} SELECT lifecycle, owner_space_id, count(*) AS n FROM ad WHERE document_id IN (SELECT document_id FROM rp WHERE subject_key = 'web:user:7') AND (owner_space_id IN ('3', '4') OR is_public) GROUP BY ALL")
@@ -29,13 +28,13 @@ def f15(spark, d):
     return f["docs"].join(p, "document_id", "left_semi").where("owner_space_id in ('3', '4') or is_public").groupBy("lifecycle", "owner_space_id").agg(F.count("*").alias("n"))
 
 
-@query("f16_access_facts", f"""WITH {X.AC}, mb AS (SELECT DISTINCT space_id, subject_key FROM c WHERE NOT revoked), g AS (SELECT * FROM ag WHERE NOT revoked), pr AS (SELECT document_id, 'web:user:' || (document_id % 150)::VARCHAR AS subject_key FROM ad WHERE document_id % 5 = 0),
+@query("f16_access_facts", f"""WITH {X.AC}, mb AS (SELECT DISTINCT space_id, subject_key FROM c WHERE NOT revoked), g AS (SELECT * FROM ag WHERE NOT revoked), pr AS (SELECT document_id, 'web:user:' || (document_id % 150)::VARCHAR AS subject_key FROM ad),
 z AS (SELECT document_id, pr.subject_key, owner_subject_key = pr.subject_key AS is_owner, EXISTS (SELECT 1 FROM g WHERE g.document_id = pr.document_id AND grantee_subject_key = pr.subject_key) AS has_grant, EXISTS (SELECT 1 FROM g JOIN mb ON grantee_space_id = space_id WHERE g.document_id = pr.document_id AND mb.subject_key = pr.subject_key) AS in_granted_space,
  EXISTS (SELECT 1 FROM mb WHERE mb.space_id = owner_space_id AND mb.subject_key = pr.subject_key) AS in_owner_space, is_public, coalesce(active, FALSE) AS is_active FROM pr JOIN ad USING (document_id) LEFT JOIN c ON c.subject_key = pr.subject_key)
 SELECT *, is_owner OR has_grant OR in_granted_space OR in_owner_space OR (is_public AND is_active) AS may_read FROM z""")
 def f16(spark, d):
     f = X.access(spark, d)
-    pairs = f["docs"].where("document_id % 5 = 0").select("document_id", F.concat(F.lit("web:user:"), (F.col("document_id") % 150).cast("string")).alias("subject_key"))
+    pairs = f["docs"].select("document_id", F.concat(F.lit("web:user:"), (F.col("document_id") % 150).cast("string")).alias("subject_key"))
     return scope.access_facts(pairs, f["docs"], f["grants"], f["members"], f["subjects"])
 
 
@@ -54,11 +53,11 @@ def j07(spark, d):
     return j.select("document_id", F.when(put, "upsert").otherwise("delete").alias("kind"), F.coalesce("revision", F.lit(0)).alias("revision"), F.coalesce("spaces", F.array().cast("array<string>")).alias("spaces"), F.when(put, F.col("price")).alias("content"))
 
 
-@query("j14_j15_a06_a13_scope_facts", "SELECT n_nationkey AS space_id, coalesce(members, []) AS members, coalesce(any_revoked, FALSE) AS any_revoked, coalesce(active_members, 0) AS active_members FROM nation LEFT JOIN (SELECT c_nationkey AS n_nationkey, list_sort(list_distinct(list(c_custkey) FILTER (c_acctbal >= 0 AND c_custkey % 100 = 0))) AS members, bool_or(c_acctbal < 0) AS any_revoked, count(*) FILTER (c_acctbal >= 0) AS active_members FROM customer GROUP BY 1) USING (n_nationkey)")
+@query("j14_j15_a06_a13_scope_facts", "SELECT n_nationkey AS space_id, coalesce(members, []) AS members, coalesce(any_revoked, FALSE) AS any_revoked, coalesce(active_members, 0) AS active_members FROM nation LEFT JOIN (SELECT c_nationkey AS n_nationkey, list_sort(list_distinct(list(c_custkey) FILTER (c_acctbal >= 0))) AS members, bool_or(c_acctbal < 0) AS any_revoked, count(*) FILTER (c_acctbal >= 0) AS active_members FROM customer GROUP BY 1) USING (n_nationkey)")
 def j14(spark, d):
     c = X.table(spark, d, "customer")
     live = F.col("c_acctbal") >= 0
-    g = c.groupBy(F.col("c_nationkey").alias("space_id")).agg(F.array_sort(F.collect_set(F.when(live & (F.col("c_custkey") % 100 == 0), F.col("c_custkey")))).alias("members"), F.max(~live).alias("any_revoked"), F.count(F.when(live, 1)).alias("active_members"))
+    g = c.groupBy(F.col("c_nationkey").alias("space_id")).agg(F.array_sort(F.collect_set(F.when(live, F.col("c_custkey")))).alias("members"), F.max(~live).alias("any_revoked"), F.count(F.when(live, 1)).alias("active_members"))
     n = X.table(spark, d, "nation").select(F.col("n_nationkey").alias("space_id"))
     return n.join(g, "space_id", "left").select("space_id", F.coalesce("members", F.array().cast("array<bigint>")).alias("members"), F.coalesce("any_revoked", F.lit(False)).alias("any_revoked"), F.coalesce("active_members", F.lit(0)).alias("active_members"))
 
@@ -70,13 +69,33 @@ def k11(spark, d):
     return docs.where(F.struct("created_at", "document_id") < F.struct(at.alias("created_at"), F.lit(5000).cast("bigint").alias("document_id"))).orderBy(F.desc("created_at"), F.desc("document_id")).limit(50).select("document_id", "created_at")
 
 
-@query("k13_k14_k16_k17_listings", "SELECT c_custkey, c_nationkey, place FROM (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY (CASE WHEN c_acctbal < 0 THEN c_acctbal END) ASC NULLS FIRST, c_custkey) AS place FROM customer) WHERE place <= 7")
-def k13(spark, d):
+@query("k14_revoked_listing", "SELECT c_custkey, c_nationkey, place FROM (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY (CASE WHEN c_acctbal < 0 THEN c_acctbal END) ASC NULLS FIRST, c_custkey) AS place FROM customer) WHERE place <= 7")
+def k14(spark, d):
     c = X.table(spark, d, "customer").withColumn("revoked", F.when(F.col("c_acctbal") < 0, F.col("c_acctbal")))
     w = Window.partitionBy("c_nationkey").orderBy(F.asc_nulls_first("revoked"), "c_custkey")
     return c.withColumn("place", F.row_number().over(w)).where("place <= 7").select("c_custkey", "c_nationkey", "place")
 
 
+@query("k13_review_page", "SELECT c_custkey, c_name, total FROM (SELECT c_custkey, c_name, count(*) OVER () AS total, row_number() OVER (ORDER BY c_custkey DESC) AS k FROM customer WHERE c_mktsegment = 'MACHINERY') WHERE k BETWEEN 21 AND 40")
+def k13_page(spark, d):
+    """One offset page of a review queue, newest first, with the count of the whole queue."""
+    queue = X.table(spark, d, "customer").where("c_mktsegment = 'MACHINERY'").select("c_custkey", "c_name")
+    return queue.orderBy(F.desc("c_custkey")).offset(20).limit(20).crossJoin(queue.agg(F.count("*").alias("total")))
+
+
+@query("k16_subject_directory", f"WITH {X.AC} SELECT subject_key, active FROM c WHERE subject_key > 'web:user:2' ORDER BY subject_key LIMIT 50")
+def k16(spark, d):
+    """A page of the subject directory by key, after a cursor."""
+    return X.access(spark, d)["subjects"].where("subject_key > 'web:user:2'").orderBy("subject_key").limit(50)
+
+
+@query("k17_space_bindings", "SELECT o_custkey % 25 AS space_id, o_orderkey AS binding_id, row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus <> 'F'")
+def k17(spark, d):
+    """The active bindings of each space in creation order."""
+    o = X.table(spark, d, "orders").where("o_orderstatus <> 'F'").select((F.col("o_custkey") % 25).alias("space_id"), F.col("o_orderkey").alias("binding_id"), "o_orderdate")
+    return L.active_bindings(o.withColumnRenamed("o_orderdate", "created_at")).select("space_id", "binding_id", "place")
+
+
 @query("w10_latest_binding", "SELECT o_custkey AS group_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS binding_id FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
 def w10(spark, d):
     o = X.table(spark, d, "orders").where("o_orderstatus <> 'F'")

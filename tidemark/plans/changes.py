@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import corpus as V8
 from tidemark.operators import events as EV
 from tidemark.operators import lifecycle as L
 from tidemark.plans import fixtures as X
@@ -180,3 +181,40 @@ def io14(spark, d):
     held = EV.sync_controls(EV.replace_chunks(s, new), s.select("document_id", (F.col("document_id") % 3).alias("access")).distinct())
     stale = spark.createDataFrame([(3,), (4,)], "generation int")
     return EV.prune_generations(held.withColumn("generation", F.col("v")), stale).drop("generation")
+
+
+@query("e05_consumer_cursors", "SELECT consumer, max(position) AS position FROM (SELECT event_type AS consumer, 500 AS position FROM events UNION ALL SELECT event_type, event_id + 1 FROM events WHERE event_type <> 'click') GROUP BY 1")
+def e05(spark, d):
+    e = X.table(spark, d, "events").select(F.col("event_type").alias("consumer"), (F.col("event_id") + 1).alias("sequence"))
+    return EV.advance_cursors(e.select("consumer", F.lit(500).cast("bigint").alias("position")).distinct(), e.where("consumer <> 'click'"))
+
+
+@query("e08_corpus_commands", None)
+def e08(spark, d):
+    """Commands of the events: five versions a user, with late and equal revisions and repeated operations."""
+    e = X.table(spark, d, "events")
+    i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("bigint")
+    kinds = F.array(*[F.lit(x) for x in ("index", "index", "activate", "activate", "share", "share", "index", "activate", "drop", "delete")])
+    kind = F.get(kinds, (F.floor("value").cast("int") + k.cast("int")) % 10)
+    version = F.concat(F.lit("v"), (k % 5).cast("string"))
+    log = e.select(
+        F.col("user_id").alias("document_id"), i.alias("seq"), F.concat(F.lit("op"), F.when(i % 50 == 7, i - 1).otherwise(i).cast("string")).alias("operation_id"), kind.alias("kind"), version.alias("version_id"),
+        F.lit("s1").alias("owner_space"), F.sha2(F.concat(version, (i % 40 == 3).cast("string")), 256).alias("digest"), F.floor(i / 400).alias("lifecycle"), (1 + F.floor(i / 150) + k % 2).alias("revision"),
+        F.when(i % 30 == 1, version).alias("expected_version"), (k % 2 == 0).alias("is_public"), F.array(F.concat(F.lit("s"), (k % 3).cast("string"))).alias("spaces"),
+    )
+    return V8.apply_corpus_commands(log)
+
+
+@query("e09_chat_commands", None)
+def e09(spark, d):
+    """Commands of the events: messages of a user's conversation indexed, archived, shared, retracted, deleted."""
+    e = X.table(spark, d, "events")
+    i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("bigint")
+    kinds = F.array(*[F.lit(x) for x in ("index", "index", "index", "index", "archive", "share", "share", "retract", "retract", "delete")])
+    message = F.concat(F.lit("m"), (k % 9).cast("string"))
+    log = e.select(
+        F.col("user_id").alias("conversation_id"), i.alias("seq"), F.concat(F.lit("op"), F.when(i % 50 == 7, i - 1).otherwise(i).cast("string")).alias("operation_id"),
+        F.get(kinds, (F.floor("value").cast("int") + k.cast("int")) % 10).alias("kind"), F.array(message).alias("message_ids"), F.array(F.sha2(F.concat(message, (i % 40 == 3).cast("string")), 256)).alias("digests"),
+        F.lit("s1").alias("owner_scope"), F.floor(i / 400).alias("lifecycle"), (1 + F.floor(i / 150) + k % 2).alias("revision"), F.array(F.concat(F.lit("s"), (k % 3).cast("string"))).alias("scopes"),
+    )
+    return V8.apply_chat_commands(log)

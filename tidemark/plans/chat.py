@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import storage_key
+from tidemark.operators import chunking as C
 from tidemark.operators import delivery as D
 from tidemark.operators import retrieval as R
 from tidemark.plans import fixtures as X
@@ -83,9 +84,34 @@ def t22(spark, d):
     return found.orderBy("rank").limit(3).select("storage_id", "rank")
 
 
-@query("t23_channel_search", f"WITH {X.CH} SELECT to_id, message_id FROM (SELECT *, regexp_extract_all(lower(payload), '[\\p{{L}}\\p{{Nd}}]+') AS t FROM ch) WHERE to_id IN (1, 2, 3, 4, 5, 6) AND list_contains(t, 'the') AND NOT retracted ORDER BY created_at DESC, message_id LIMIT 6")
+MATCHED = f"{X.CH}, m AS (SELECT *, regexp_extract_all(lower(payload), '\\p{{Han}}|[\\p{{L}}\\p{{Nd}}]+') AS t FROM ch WHERE to_id % 3 <> 0 AND NOT retracted)"
+
+
+@query("t23_channel_search", f"""WITH {MATCHED}, h AS (SELECT to_id, message_id, created_at, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM m WHERE list_contains(t, 'the') AND list_contains(t, 'of')),
+w AS (SELECT *, lag(term) OVER o AS pt, lag(pos) OVER o AS pp FROM h WHERE term IN ('the', 'of') WINDOW o AS (PARTITION BY to_id, message_id ORDER BY pos)),
+s AS (SELECT to_id * 1000 + message_id AS record_id, any_value(created_at) AS sent_at, round(coalesce(sum(CASE WHEN term <> pt THEN 0.1::DOUBLE / (pos - pp) END), 0), 6) AS score FROM w GROUP BY to_id, message_id),
+r AS (SELECT record_id, score, row_number() OVER (ORDER BY score DESC, CASE WHEN record_id % 4 <> 0 THEN sent_at END DESC NULLS LAST, record_id) AS rank, count(*) OVER () > 20 AS more FROM s) SELECT * FROM r WHERE rank <= 20""")
 def t23(spark, d):
-    from tidemark.functions.vectors import tokens
+    """Some messages have no time, which puts them last among equal scores."""
+    record = F.col("to_id") * 1000 + F.col("message_id")
+    m = X.chat(spark, d).select(record.alias("record_id"), F.col("payload").alias("text"), F.when(record % 4 != 0, F.col("created_at")).alias("sent_at"), "to_id", "retracted")
+    return D.search_channel_messages(m, "the of", (F.col("to_id") % 3 != 0) & ~F.col("retracted"), 20).select("record_id", "score", "rank", "more")
+
+
+GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> ''), lambda w: list_transform(range(1, length('  ' || w || ' ') - 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query("t24_t05_k08_file_search", f"""WITH f AS (SELECT p_partkey AS record_id, p_name AS file_name, p_type AS mime, CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS uploaded_at FROM part WHERE p_partkey % 7 <> 0),
+m AS (SELECT *, regexp_extract_all(lower(file_name || ' ' || mime), '[\\p{{L}}\\p{{Nd}}]+') AS t, {GRAMS.format('file_name')} AS a, {GRAMS.format("'ring'")} AS b FROM f),
+s AS (SELECT record_id, uploaded_at, round(greatest(0.1::DOUBLE * len(list_filter(t, lambda x: x = 'ring')), len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE), 6) AS score FROM m WHERE list_contains(t, 'ring') OR contains(lower(file_name), 'ring'))
+SELECT record_id, score, rank, more FROM (SELECT *, row_number() OVER (ORDER BY score DESC, uploaded_at DESC NULLS LAST, record_id) AS rank, count(*) OVER () > 30 AS more FROM s) WHERE rank <= 30""")
+def t24(spark, d):
+    k = F.col("p_partkey")
+    files = X.table(spark, d, "part").select(k.alias("record_id"), F.col("p_name").alias("file_name"), F.col("p_type").alias("mime"), F.when(k % 5 != 0, F.col("p_size")).alias("uploaded_at"))
+    return D.search_channel_files(files, "ring", F.col("record_id") % 7 != 0, 30).select("record_id", "score", "rank", "more")
+
 
-    c = X.chat(spark, d).where("to_id in (1, 2, 3, 4, 5, 6) and not retracted")
-    return c.where(R.text_match(tokens("payload"), "the")).orderBy(F.desc("created_at"), "message_id").limit(6).select("to_id", "message_id")
+@query("x04_message_blocks", "SELECT conv_id * 1000 + turn AS document_id, 0 AS position, 'paragraph' AS kind, '' AS section, trim(text) AS text FROM conversations WHERE trim(text) <> ''")
+def x04(spark, d):
+    m = X.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("document_id"), "text")
+    return C.message_blocks(m)

@@ -110,8 +110,8 @@ def access(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         F.col("o_orderdate").alias("created_at"),
     )
     s = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("string").alias("grantee_space_id"))
-    by_space = line.where("l_suppkey % 10 = 0").join(s, "l_suppkey").select(F.col("l_orderkey").alias("document_id"), F.lit(None).cast("string").alias("grantee_subject_key"), "grantee_space_id", (F.col("l_linenumber") % 3 == 0).alias("revoked"))
-    by_subject = line.where("l_suppkey % 10 = 1").select(F.col("l_orderkey").alias("document_id"), F.concat(F.lit("web:user:"), F.col("l_suppkey").cast("string")).alias("grantee_subject_key"), F.lit(None).cast("string").alias("grantee_space_id"), (F.col("l_linenumber") % 3 == 0).alias("revoked"))
+    by_space = line.where("l_suppkey % 2 = 0").join(s, "l_suppkey").select(F.col("l_orderkey").alias("document_id"), F.lit(None).cast("string").alias("grantee_subject_key"), "grantee_space_id", (F.col("l_linenumber") % 3 == 0).alias("revoked"))
+    by_subject = line.where("l_suppkey % 2 = 1").select(F.col("l_orderkey").alias("document_id"), F.concat(F.lit("web:user:"), F.col("l_suppkey").cast("string")).alias("grantee_subject_key"), F.lit(None).cast("string").alias("grantee_space_id"), (F.col("l_linenumber") % 3 == 0).alias("revoked"))
     return {
         "docs": docs,
         "members": c.select("space_id", "subject_key", "revoked"),
@@ -122,7 +122,7 @@ def access(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 AC = """c AS (SELECT c_custkey AS k, 'web:user:' || c_custkey::VARCHAR AS subject_key, c_nationkey::VARCHAR AS space_id, c_acctbal < 0 AS revoked, c_mktsegment <> 'MACHINERY' AS active FROM customer),
 ad AS (SELECT o_orderkey AS document_id, 'web:user:' || o_custkey::VARCHAR AS owner_subject_key, space_id AS owner_space_id, o_orderkey % 200 = 0 AS is_public, CASE WHEN o_orderstatus = 'F' THEN 'archived' ELSE 'active' END AS lifecycle, o_orderdate AS created_at FROM orders JOIN c ON o_custkey = k),
-ag AS (SELECT l_orderkey AS document_id, CASE WHEN l_suppkey % 10 = 1 THEN 'web:user:' || l_suppkey::VARCHAR END AS grantee_subject_key, CASE WHEN l_suppkey % 10 = 0 THEN s_nationkey::VARCHAR END AS grantee_space_id, l_linenumber % 3 = 0 AS revoked FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE l_suppkey % 10 = 1 OR (l_suppkey % 10 = 0 AND s_suppkey IS NOT NULL))"""
+ag AS (SELECT l_orderkey AS document_id, CASE WHEN l_suppkey % 2 = 1 THEN 'web:user:' || l_suppkey::VARCHAR END AS grantee_subject_key, CASE WHEN l_suppkey % 2 = 0 THEN s_nationkey::VARCHAR END AS grantee_space_id, l_linenumber % 3 = 0 AS revoked FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE l_suppkey % 2 = 1 OR (l_suppkey % 2 = 0 AND s_suppkey IS NOT NULL))"""
 
 
 def versions(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
 from tidemark.operators import chunking as C
+from tidemark.operators import corpus as V8
 from tidemark.operators import evaluate as E
 from tidemark.operators import retrieval as R
 from tidemark.operators import scope
@@ -65,7 +66,7 @@ def t16(spark, d):
     return R.sparse_search(corpus(spark, d), asked(spark), 10)
 
 
-DENSE = "ev AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings), ds AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label, round(list_dot_product(c.v, q.v) / (sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(q.v, q.v))), 6) AS score FROM ev c, ev q WHERE q.vec_id < 5)"
+DENSE = "ev AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings), ds AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label, round(list_dot_product(c.v, q.v) / (sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(q.v, q.v))), 6) AS score FROM ev c, ev q WHERE q.vec_id % 100 = 0)"
 
 
 def vectors(spark, d):
@@ -73,7 +74,7 @@ def vectors(spark, d):
 
 
 def vector_queries(spark, d):
-    return vectors(spark, d).where("chunk_id < 5").select(F.col("chunk_id").alias("query_id"), "vector")
+    return vectors(spark, d).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
 
 
 @query("t14_k02_dense_search", f"WITH {DENSE} SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds WHERE score > 0) WHERE rank <= 10")
@@ -251,9 +252,9 @@ def t25(spark, d):
     return E.per_query(found, rel, 5)
 
 
-@query("t26_violations", f"WITH {X.IX}, {DENSE} SELECT count(*) AS n, count(*) FILTER (lifecycle <> 'active') AS lifecycle, count(*) FILTER (publication <> 'published') AS version, count(*) FILTER (NOT is_public AND owner_space_id <> 'en') AS permission, count(*) FILTER (owner_subject_key <> 'src0') AS owner FROM (SELECT query_id, chunk_id AS document_id FROM ds WHERE chunk_id < 200) JOIN ix USING (document_id)")
+@query("t26_violations", f"WITH {X.IX}, {DENSE} SELECT count(*) AS n, count(*) FILTER (lifecycle <> 'active') AS lifecycle, count(*) FILTER (publication <> 'published') AS version, count(*) FILTER (NOT is_public AND owner_space_id <> 'en') AS permission, count(*) FILTER (owner_subject_key <> 'src0') AS owner FROM (SELECT query_id, chunk_id AS document_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds) WHERE rank <= 50) JOIN ix USING (document_id)")
 def t26(spark, d):
-    hits = vectors(spark, d).where("chunk_id < 200").select(F.col("chunk_id").alias("document_id")).crossJoin(vector_queries(spark, d).select("query_id"))
+    hits = R.dense_search(vectors(spark, d), vector_queries(spark, d), 50).withColumnRenamed("chunk_id", "document_id")
     return E.violations(hits, X.index(spark, d), ["en"], "src0")
 
 
@@ -272,3 +273,51 @@ def t27(spark, d):
     again = R.fuse({k: v.repartition(3) for k, v in parts.items()})
     same = E.compare(once, again).select("query_id", "identical")
     return once.groupBy("query_id").agg(F.count("k_rank").alias("from_keyword"), F.count("v_rank").alias("from_vector")).join(same, "query_id")
+
+
+KEYWORD = f"""{X.IX}, v AS (SELECT document_id, lower(title) AS lt, {TOK.format('title')} AS a, {TOK.format('summary')} AS b, {TOK.format('content')} AS c FROM ix), e AS (SELECT document_id, lt, list_concat(a, b, c) AS t, len(a) AS la, len(b) AS lb FROM v),
+h AS (SELECT document_id, lt, unnest(t) AS term, generate_subscripts(t, 1) AS pos, la, lb FROM e WHERE (list_contains(t, 'is') AND list_contains(t, 'ering')) OR contains(lt, 'is ering')), w AS (SELECT *, CASE WHEN pos <= la THEN 1.0 WHEN pos <= la + lb THEN 0.4 ELSE 0.2 END AS weight FROM h WHERE term IN ('is', 'ering')),
+p AS (SELECT document_id, lt, term, pos, weight, lag(term) OVER o AS pt, lag(pos) OVER o AS pp, lag(weight) OVER o AS pw FROM w WINDOW o AS (PARTITION BY document_id ORDER BY pos)),
+s AS (SELECT document_id, round(2 * coalesce(sum(CASE WHEN term <> pt THEN (weight + pw) / 2 / (pos - pp) END), 0) + CASE WHEN contains(any_value(lt), 'is ering') THEN 1 ELSE 0 END, 6)::DOUBLE AS score FROM p GROUP BY document_id)"""
+
+
+@query("t20_search_page", f"""WITH {KEYWORD.replace("FROM ix)", "FROM ix WHERE lifecycle = 'active' AND publication = 'published')")}, en AS (SELECT vec_id AS document_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), qv AS (SELECT v AS q FROM en WHERE document_id = 0),
+vs AS (SELECT document_id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))), 6) AS score FROM en JOIN ix USING (document_id), qv WHERE lifecycle = 'active' AND publication = 'published'), vr AS (SELECT *, row_number() OVER (ORDER BY score DESC, document_id) AS rank FROM vs),
+kr AS (SELECT *, row_number() OVER (ORDER BY score DESC, document_id) AS rank FROM s), ar AS (SELECT document_id, rank FROM kr WHERE rank <= 10 UNION ALL SELECT document_id, rank FROM vr WHERE rank <= 12), fu AS (SELECT document_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused FROM ar GROUP BY 1),
+al AS (SELECT document_id, 0 AS part, fused AS hit_score, fused AS score FROM fu UNION ALL SELECT document_id, 1, 0.0, score FROM s WHERE document_id NOT IN (SELECT document_id FROM fu)), nu AS (SELECT *, row_number() OVER (ORDER BY part, score DESC, document_id) AS position, count(*) OVER () AS total FROM al)
+SELECT document_id, hit_score, position, total, total > 38 AS truncated FROM nu WHERE position BETWEEN 9 AND 38""")
+def t20_page(spark, d):
+    """A page that runs from the fused window into the tail of keyword matches: the window of 10 is smaller than the matches."""
+    points = vectors(spark, d).select(F.col("chunk_id").alias("document_id"), F.lit(0).alias("position"), "vector")
+    q = points.where("document_id = 0").first()["vector"]
+    page = R.search_documents(X.index(spark, d), points, "is ering", list(q), scope.live(), offset=8, limit=30, window=10, recall=12)
+    return page.select("document_id", "hit_score", "position", "total", "truncated")
+
+
+@query("t17_or_search", f"WITH t AS (SELECT doc_id AS chunk_id, {TOK.format('text')} AS t FROM documents), s AS (SELECT 0 AS query_id, chunk_id, round(len(list_filter(t, lambda x: x IN ('license', 'der', 'public'))) / len(t)::DOUBLE, 6) AS score FROM t WHERE list_has_any(t, ['license', 'der', 'public'])) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 50")
+def t17(spark, d):
+    return R.or_search(corpus(spark, d), "Public der license, der", 50)
+
+
+VERSIONS = """vf AS (SELECT doc_id AS document_id, 'v' || (doc_id % 3)::VARCHAR AS version_id, doc_id % 4 <> 1 AS is_active, doc_id % 11 = 0 AS dead, doc_id % 7 = 0 AS is_public, lang AS owner_space, CASE WHEN doc_id % 5 = 0 THEN ['en', 'x'] ELSE ['x'] END AS spaces FROM documents),
+ma AS (SELECT document_id, version_id FROM vf WHERE is_active AND NOT dead AND (is_public OR document_id IN (8, 10, 12) OR coalesce(owner_space = 'en', FALSE) OR list_contains(spaces, 'en')))"""
+
+
+def version_facts(spark, d):
+    k = F.col("doc_id")
+    return X.table(spark, d, "documents").select(k.alias("document_id"), F.concat(F.lit("v"), (k % 3).cast("string")).alias("version_id"), (k % 4 != 1).alias("is_active"), (k % 11 == 0).alias("dead"), (k % 7 == 0).alias("is_public"), F.col("lang").alias("owner_space"), F.when(k % 5 == 0, F.array(F.lit("en"), F.lit("x"))).otherwise(F.array(F.lit("x"))).alias("spaces"))
+
+
+@query("f09_authorised_versions", f"WITH {VERSIONS} SELECT * FROM ma")
+def f09(spark, d):
+    return version_facts(spark, d).where(V8.authorised(["en"], [8, 10, 12])).select("document_id", "version_id")
+
+
+@query("t21_k15_version_search", f"""WITH {VERSIONS}, ev AS (SELECT vec_id // 2 AS document_id, 'v' || ((vec_id // 2) % 3)::VARCHAR AS version_id, (vec_id % 2) * 7 AS position, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+ds AS (SELECT q.vec_id AS query_id, format('{{:d}}@{{}}#{{:03d}}', c.document_id, c.version_id, c.position) AS id, c.document_id, c.version_id, round(list_dot_product(c.v, q.v) / (sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(q.v, q.v))), 6) AS score FROM ev c JOIN ma USING (document_id, version_id), ev q WHERE q.vec_id % 100 = 0)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ds) WHERE rank <= 8""")
+def t21(spark, d):
+    v = vectors(spark, d)
+    doc = F.floor(F.col("chunk_id") / 2)
+    chunks = v.select("chunk_id", doc.alias("document_id"), F.concat(F.lit("v"), (doc % 3).cast("string")).alias("version_id"), (F.col("chunk_id") % 2 * 7).alias("position"), "vector")
+    return V8.search_versions(chunks, version_facts(spark, d), vector_queries(spark, d), 8, ["en"], [8, 10, 12])
