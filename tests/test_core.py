@@ -292,3 +292,13 @@ def test_windows_percentiles_profiles(spark):
     with pytest.raises(ValueError):
         V.embed_with("other", "text")
     assert len(spark.range(1).select(V.embed_with("local-hash-v1", F.lit("a b")).alias("v")).first()["v"]) > 0
+
+
+def test_payload_fingerprint_bytes(spark):
+    import hashlib
+
+    rows = [("d1", "tïtle", "text", "md", None), ("d1", "", "text", "md", True), ("d1", "t", "", "md", False)]
+    d = spark.createDataFrame(rows, "a string, b string, c string, d string, p boolean")
+    got = [r["f"] for r in d.select(S.payload_fingerprint("a", "b", "c", "d", public="p").alias("f")).collect()]
+    flag = {None: "absent", True: "true", False: "false"}
+    assert got == [hashlib.sha256(b"".join(f"{len(x.encode())}:{x}".encode() for x in [*r[:4], f"authenticated_public:{flag[r[4]]}"])).hexdigest() for r in rows]

@@ -160,9 +160,11 @@ def storage_key(*parts) -> Column:
     return F.concat(*[_sized(p) for p in parts])
 
 
-def payload_fingerprint(*fields) -> Column:
-    """SHA-256 over length-prefixed fields; an absent field differs from an empty one (S-18)."""
-    return F.sha2(F.concat(*[F.when(c(f).isNull(), F.lit("-;")).otherwise(F.concat(_sized(f), F.lit(";"))) for f in fields]), 256)
+def payload_fingerprint(*fields, public) -> Column:
+    """SHA-256 over length-prefixed fields, the last of which says whether the nullable flag `public` is absent,
+    true or false (S-18); a null field counts as empty."""
+    flag = F.concat(F.lit("authenticated_public:"), F.coalesce(c(public).cast("string"), F.lit("absent")))
+    return F.sha2(F.concat(*[_sized(F.coalesce(c(f), F.lit(""))) for f in fields], _sized(flag)), 256)
 
 
 def operation_fingerprint(*fields: str) -> Column:

@@ -99,10 +99,10 @@ def s14(spark, d):
     return X.table(spark, d, "documents").select("doc_id", S.ledger_event_id(k).alias("ledger_id"), S.chunk_point_id(k, F.lit(3)).alias("point_id"), S.derived_event_id(F.lit("qq:1:private:7"), "message", k).alias("derived"))
 
 
-@query("s17_s18_s19_s21_keys", """SELECT doc_id, strlen(lang)::VARCHAR || ':' || lang || strlen(source)::VARCHAR || ':' || source AS storage_key, sha256(strlen(lang)::VARCHAR || ':' || lang || ';' || CASE WHEN doc_id % 2 = 0 THEN '-;' ELSE '0:;' END) AS payload, sha256('{"doc_id":' || doc_id::VARCHAR || ',"lang":"' || lang || '"}') AS operation, source || '@' || lang || '#' || lpad((doc_id % 250)::VARCHAR, 3, '0') AS label FROM documents""")
+@query("s17_s18_s19_s21_keys", """SELECT doc_id, strlen(lang)::VARCHAR || ':' || lang || strlen(source)::VARCHAR || ':' || source AS storage_key, sha256(strlen(lang)::VARCHAR || ':' || lang || strlen(text)::VARCHAR || ':' || text || CASE doc_id % 3 WHEN 0 THEN '27:authenticated_public:absent' WHEN 1 THEN '25:authenticated_public:true' ELSE '26:authenticated_public:false' END) AS payload, sha256('{"doc_id":' || doc_id::VARCHAR || ',"lang":"' || lang || '"}') AS operation, source || '@' || lang || '#' || lpad((doc_id % 250)::VARCHAR, 3, '0') AS label FROM documents""")
 def s17(spark, d):
-    t = X.table(spark, d, "documents").withColumn("opt", F.when(F.col("doc_id") % 2 == 1, ""))
-    return t.select("doc_id", S.storage_key("lang", "source").alias("storage_key"), S.payload_fingerprint("lang", "opt").alias("payload"), S.operation_fingerprint("doc_id", "lang").alias("operation"), S.chunk_label("source", "lang", F.col("doc_id") % 250).alias("label"))
+    t = X.table(spark, d, "documents").withColumn("opt", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 3 == 1))
+    return t.select("doc_id", S.storage_key("lang", "source").alias("storage_key"), S.payload_fingerprint("lang", "text", public="opt").alias("payload"), S.operation_fingerprint("doc_id", "lang").alias("operation"), S.chunk_label("source", "lang", F.col("doc_id") % 250).alias("label"))
 
 
 @query("s20_s30_subject_keys", """SELECT c_custkey, raw, CASE c_custkey % 6 WHEN 2 THEN 'origin' WHEN 3 THEN 'type' WHEN 4 THEN 'bot' WHEN 5 THEN 'shape' END AS problem, CASE WHEN c_custkey % 6 = 0 THEN c_custkey END AS number FROM (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'web:user:' || k WHEN 1 THEN 'qq:user:1/' || k WHEN 2 THEN 'irc:user:' || k WHEN 3 THEN 'web:robot:' || k WHEN 4 THEN 'qq:user:' || k ELSE 'web' || k END AS raw FROM (SELECT c_custkey, c_custkey::VARCHAR AS k FROM customer))""")
