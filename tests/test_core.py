@@ -81,9 +81,19 @@ def test_record_events_table(spark):
 
 def test_lifecycle_rejections(spark):
     rows = [(1, 1, "publish", 7, False, 0), (1, 2, "access", 0, False, 0), (1, 3, "access", 0, True, 9), (1, 4, "archive", 0, False, 2), (1, 5, "publish", 8, False, 0), (1, 6, "trash", 0, False, 0), (1, 7, "trash", 0, False, 0)]
-    r = L.reduce_documents(spark.createDataFrame(rows, "document_id long, seq long, op string, version long, flag boolean, expected long")).collect()[0]
-    assert [o["result"] for o in r["out"]] == ["applied", "unchanged", "revision_conflict", "applied", "precondition", "applied", "precondition"]
-    assert (r["status"], r["active"], r["agg"], r["act"], r["life"]) == ("trashed", 7, 4, 1, 3)
+    r = L.reduce_documents(spark.createDataFrame(rows, "document_id long, seq long, op string, version long, flag boolean, expected long")).orderBy("seq").collect()
+    assert [o["result"] for o in r[1:]] == ["applied", "unchanged", "revision_conflict", "applied", "precondition", "applied", "precondition"]
+    assert (r[0]["status"], r[0]["active"], r[0]["agg"], r[0]["act"], r[0]["life"]) == ("trashed", 7, 4, 1, 3)
+
+
+def test_combined_saves(spark):
+    """A replay reports the first attempt's version and the present revisions; a refused save leaves nothing."""
+    rows = [(1, 1, "a", "me", "x", None, 0), (1, 2, "b", "me", "y", True, 3), (1, 3, "a", "me", "x", None, 9), (1, 4, "a", "me", "z", None, 0), (1, 5, "c", "you", "x", None, 0), (1, 6, "d", "me", "x", True, 9), (1, 7, "d", "me", "x", True, 0), (1, 8, "", "me", "x", False, 0), (1, 9, "", "me", "x", False, 0), (2, 1, "a", "me", "x", None, 0), (3, 1, "a", "me", "x", None, 0)]
+    c = spark.createDataFrame(rows, "document_id long, seq long, request_id string, subject_key string, content string, public boolean, expected long").withColumns({"title": F.lit("t"), "format": F.lit("plain")})
+    docs = spark.createDataFrame([(1, "me", "active", 1, 0, 1, 0), (2, "me", "trashed", 1, 0, 1, 0)], "document_id long, owner_subject_key string, status string, aggregate long, activation long, access long, latest long")
+    got = [tuple(r)[2:] for r in L.save_documents(c, docs).orderBy("document_id", "seq").collect()]
+    no = (None,) * 5
+    assert got == [("applied", 1, 3, 1, 1, False), ("applied", 2, 6, 2, 2, True), ("replayed", 1, 6, 2, 2, True), ("conflict", *no), ("not_owner", *no), ("revision_conflict", *no), ("applied", 3, 8, 3, 2, True), ("applied", 4, 11, 4, 3, False), ("applied", 5, 13, 5, 3, False), ("precondition", *no), ("not_found", *no)]
 
 
 def test_tokens_and_embedding(spark):

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.retrieval import dense_scores, top
+from tidemark.operators.walk import walk
 
 COMMANDS = ["document_id", "seq", "operation_id", "kind", "version_id", "owner_space", "digest", "lifecycle", "revision", "expected_version", "is_public", "spaces"]
 FOLDED = "document_id long, seq long, outcome string, version_id string, owner_space string, digest string, is_active boolean, activation long, access long, lifecycle long, tombstone long, dead boolean, is_public boolean, spaces array<string>"
@@ -145,35 +145,6 @@ def apply_corpus_commands(log: DataFrame) -> DataFrame:
     return walk(log, COMMANDS, Document, FOLDED)
 
 
-def walk(log: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
-    """Rows of a sorted walk over commands: the first of `columns` is the key, the second the order. `make`
-    gives a key's empty state, with `apply(command) -> outcome` and `rows(key)`; a command's row has the key,
-    the order, the outcome and nulls."""
-    key_of, order = columns[:2]
-    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
-    fields = [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
-
-    def packed(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, (_, kind) in enumerate(fields)], [name for name, _ in fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, None
-        for batch in batches:
-            out: list[tuple] = []
-            for c in batch.to_pylist():
-                if c[key_of] != key:
-                    out += state.rows(key) if state else ()
-                    key, state = c[key_of], make()
-                out.append((key, c[order], state.apply(c), *[None] * (len(fields) - 3)))
-            yield packed(out)
-        if state:
-            yield packed(list(state.rows(key)))
-
-    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = log.where(F.col(key_of).isNotNull()).select(*columns).repartition(n, key_of)
-    return rows.sortWithinPartitions(key_of, order).mapInArrow(run, schema)
-
-
 CHAT_COMMANDS = ["conversation_id", "seq", "operation_id", "kind", "message_ids", "digests", "owner_scope", "lifecycle", "revision", "scopes"]
 CHAT_FOLDED = "conversation_id long, seq long, outcome string, message_id string, owner_scope string, digest string, retracted boolean, retract long, archived boolean, archive long, access long, lifecycle long, tombstone long, dead boolean, scopes array<string>"
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STATE = "struct<live:boolean,agg:bigint,acc:bigint,life:bigint,dead:boolean,t_agg:bigint,t_acc:bigint,t_life:bigint,last:bigint,out:array<struct<sequence:bigint,outcome:string>>>"
+from tidemark.operators.walk import walk
+
+EVENT = ["document_id", "sequence", "kind", "aggregate_revision", "access_revision", "lifecycle_revision"]
+FOLDED = "document_id long, sequence long, outcome string, live boolean, agg long, acc long, life long, dead boolean, t_agg long, t_acc long, t_life long, last long"
 
 
 def dedupe(log: DataFrame, key: str, *arrival) -> DataFrame:
@@ -35,61 +41,65 @@ def append_new(log: DataFrame, new: DataFrame, key: str = "dedupe_key") -> DataF
     return new.dropDuplicates([key]).join(log.select(key), key, "left_anti")
 
 
-def fence(s: Column, e: Column) -> Column:
-    """Outcome of a document event against the stored row and tombstone (E-01)."""
-    delete = e["kind"] == "delete"
-    return (
-        F.when(s["dead"] & (s["t_life"] >= e["life"]), "stale_lifecycle")
-        .when(~s["live"], "applied")
-        .when(delete & (e["agg"] > 0) & (e["agg"] < s["agg"]), "stale_revision")
-        .when(~delete & (e["agg"] < s["agg"]), "stale_revision")
-        .when(~delete & (e["acc"] < s["acc"]), "stale_access")
-        .when(e["life"] < s["life"], "stale_lifecycle")
-        .otherwise("applied")
-    )
-
-
-def _step(s: Column, e: Column) -> Column:
-    def after(o: Column) -> Column:
-        ok, delete = o == "applied", e["kind"] == "delete"
-        put, gone = ok & ~delete, ok & delete
-        keep = lambda new, old: F.when(put, new).when(gone, F.lit(0)).otherwise(old)
-        tomb = lambda new, old: F.when(gone, F.greatest(new, F.when(s["dead"], old).otherwise(0))).when(put, F.lit(0)).otherwise(old)
-        return F.struct(
-            F.when(put, True).when(gone, False).otherwise(s["live"]).alias("live"),
-            keep(e["agg"], s["agg"]).alias("agg"),
-            keep(e["acc"], s["acc"]).alias("acc"),
-            keep(e["life"], s["life"]).alias("life"),
-            F.when(gone, True).when(put, False).otherwise(s["dead"]).alias("dead"),
-            tomb(e["agg"], s["t_agg"]).alias("t_agg"),
-            tomb(e["acc"], s["t_acc"]).alias("t_acc"),
-            tomb(e["life"], s["t_life"]).alias("t_life"),
-            F.when(ok, e["sequence"]).otherwise(s["last"]).alias("last"),
-            F.concat(s["out"], F.array(F.struct(e["sequence"].alias("sequence"), o.alias("outcome")))).alias("out"),
-        ).cast(STATE)
-
-    return F.transform(F.array(fence(s, e)), after)[0]
+@dataclass
+class Fenced:
+    """A document's stored row and tombstone: what its events have left so far."""
+
+    live: bool = False
+    agg: int = 0
+    acc: int = 0
+    life: int = 0
+    dead: bool = False
+    t_agg: int = 0
+    t_acc: int = 0
+    t_life: int = 0
+    last: int = 0
+
+    def outcome(self, delete: bool, agg: int, acc: int, life: int) -> str:
+        """Of a document event against the stored row and tombstone (E-01)."""
+        if self.dead and self.t_life >= life:
+            return "stale_lifecycle"
+        if not self.live:
+            return "applied"
+        if agg < self.agg and (agg > 0 or not delete):
+            return "stale_revision"
+        if not delete and acc < self.acc:
+            return "stale_access"
+        return "stale_lifecycle" if life < self.life else "applied"
+
+    def apply(self, e: dict) -> str:
+        delete, revisions = e["kind"] == "delete", (e["aggregate_revision"], e["access_revision"], e["lifecycle_revision"])
+        outcome = self.outcome(delete, *revisions)
+        if outcome == "applied":
+            tomb = tuple(map(max, revisions, (self.t_agg, self.t_acc, self.t_life))) if delete else (0, 0, 0)
+            self.live, self.dead, self.last = not delete, delete, e["sequence"]
+            self.agg, self.acc, self.life = (0, 0, 0) if delete else revisions
+            self.t_agg, self.t_acc, self.t_life = tomb
+        return outcome
+
+    def stored(self) -> tuple:
+        return self.live, self.agg, self.acc, self.life, self.dead, self.t_agg, self.t_acc, self.t_life
+
+    def rows(self, document_id: int) -> Iterator[tuple]:
+        yield document_id, None, None, *self.stored(), self.last
 
 
 def fold_document_events(log: DataFrame) -> DataFrame:
-    """(document_id, s): each document's events in sequence order folded to its state and outcomes.
+    """Each document's events in sequence order, folded: a row with `sequence` and `outcome` for each event,
+    and one without `sequence` for the state of each document.
 
-    Only ids and revisions are gathered per document (about 48 bytes an event); contents join later by
-    the winning sequence. log: distinct event ids.
+    Only ids and revisions are walked; contents join later by the winning sequence. log: distinct event ids.
     """
-    e = F.struct("sequence", "kind", F.col("aggregate_revision").alias("agg"), F.col("access_revision").alias("acc"), F.col("lifecycle_revision").alias("life"))
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(F.lit(False).alias("live"), zero.alias("agg"), zero.alias("acc"), zero.alias("life"), F.lit(False).alias("dead"), zero.alias("t_agg"), zero.alias("t_acc"), zero.alias("t_life"), zero.alias("last"), F.array().cast("array<struct<sequence:bigint,outcome:string>>").alias("out")).cast(STATE)
-    return log.groupBy("document_id").agg(F.array_sort(F.collect_list(e)).alias("es")).select("document_id", F.aggregate("es", start, _step).alias("s"))
+    return walk(log, EVENT, Fenced, FOLDED)
 
 
 def apply_document_events(log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(state, tombstones, outcomes) of a log of distinct events (E-01, IO-12, IO-13)."""
     f = fold_document_events(log)
-    state = f.where("s.live").select("document_id", F.col("s.last").alias("sequence"), F.col("s.agg").alias("aggregate_revision"), F.col("s.acc").alias("access_revision"), F.col("s.life").alias("lifecycle_revision"))
-    tombs = f.where("s.dead").select("document_id", F.col("s.t_agg").alias("aggregate_revision"), F.col("s.t_acc").alias("access_revision"), F.col("s.t_life").alias("lifecycle_revision"))
-    outcomes = f.select("document_id", F.explode("s.out").alias("o")).select("document_id", "o.sequence", "o.outcome")
-    return state, tombs, outcomes
+    end = f.where("sequence is null")
+    state = end.where("live").select("document_id", F.col("last").alias("sequence"), F.col("agg").alias("aggregate_revision"), F.col("acc").alias("access_revision"), F.col("life").alias("lifecycle_revision"))
+    tombs = end.where("dead").select("document_id", F.col("t_agg").alias("aggregate_revision"), F.col("t_acc").alias("access_revision"), F.col("t_life").alias("lifecycle_revision"))
+    return state, tombs, f.where("sequence is not null").select("document_id", "sequence", "outcome")
 
 
 def decide_record_events(log: DataFrame) -> DataFrame:

@@ -147,12 +147,35 @@ f AS (SELECT document_id, 0::BIGINT AS i, 0::BIGINT AS seq, NULL::VARCHAR AS res
 
 @query("e12_e13_document_lifecycle", f"{LIFE} SELECT document_id, status, active, agg, act, acc, life, public FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY i DESC) AS k FROM f) WHERE k = 1")
 def e12(spark, d):
-    return L.reduce_documents(commands(spark, d)).drop("out")
+    return L.reduce_documents(commands(spark, d)).where("seq is null").drop("seq", "result")
 
 
 @query("e12_command_results", f"{LIFE} SELECT document_id, seq, result FROM f WHERE i > 0")
 def e12_results(spark, d):
-    return L.reduce_documents(commands(spark, d)).select("document_id", F.explode("out").alias("o")).select("document_id", "o.seq", "o.result")
+    return L.reduce_documents(commands(spark, d)).where("seq is not null").select("document_id", "seq", "result")
+
+
+SAVES = """sv AS (SELECT user_id AS document_id, event_id AS seq, CASE WHEN event_id % 6 = 0 THEN '' ELSE 'r' || (event_id % 11)::VARCHAR END AS request_id, CASE WHEN event_id % 19 = 0 THEN 'other' ELSE 'web:user:' || (user_id % 3)::VARCHAR END AS subject_key, event_type AS content,
+ CASE WHEN event_id % 4 < 2 THEN NULL ELSE event_id % 4 = 2 END AS public, CASE WHEN event_id % 13 = 0 THEN 7 ELSE 0 END AS expected, CASE WHEN user_id % 23 <> 0 THEN 'web:user:' || (user_id % 3)::VARCHAR END AS owner, CASE WHEN user_id % 17 = 0 THEN 'archived' ELSE 'active' END AS status FROM events),
+fp AS (SELECT *, sha256(strlen(document_id::VARCHAR)::VARCHAR || ':' || document_id::VARCHAR || '1:t' || strlen(content)::VARCHAR || ':' || content || '8:markdown' || CASE WHEN public IS NULL THEN '27:authenticated_public:absent' WHEN public THEN '25:authenticated_public:true' ELSE '26:authenticated_public:false' END) AS f FROM sv)"""
+
+
+@query("e14_saves", f"""WITH RECURSIVE {SAVES}, o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seq) AS i FROM fp),
+w AS (SELECT document_id, 0::BIGINT AS i, 0::BIGINT AS seq, NULL::VARCHAR AS outcome, NULL::BIGINT AS version, 1::BIGINT AS aggregate, 0::BIGINT AS activation, 1::BIGINT AS access, 3::BIGINT AS latest, NULL::BOOLEAN AS public, []::VARCHAR[] AS ids, []::VARCHAR[] AS fs, []::BIGINT[] AS vs FROM (SELECT DISTINCT document_id FROM sv)
+ UNION ALL SELECT document_id, ni, ns, r, CASE WHEN r = 'applied' THEN latest + 1 WHEN r = 'replayed' THEN vs[place] END, aggregate + ok * (2 + moved), activation + ok, access + ok * moved, latest + ok, CASE WHEN ok * moved = 1 THEN np ELSE public END,
+  CASE WHEN ok = 1 AND rid <> '' THEN list_append(ids, rid) ELSE ids END, CASE WHEN ok = 1 AND rid <> '' THEN list_append(fs, nf) ELSE fs END, CASE WHEN ok = 1 AND rid <> '' THEN list_append(vs, latest + 1) ELSE vs END
+ FROM (SELECT *, (r = 'applied')::BIGINT AS ok, (np IS NOT NULL AND np IS DISTINCT FROM public)::BIGINT AS moved FROM (SELECT w.*, o.i AS ni, o.seq AS ns, o.request_id AS rid, o.f AS nf, o.public AS np, list_position(w.ids, o.request_id) AS place,
+  CASE WHEN o.owner IS NULL THEN 'not_found' WHEN o.owner <> o.subject_key THEN 'not_owner' WHEN o.request_id <> '' AND list_contains(w.ids, o.request_id) THEN CASE WHEN w.fs[list_position(w.ids, o.request_id)] = o.f THEN 'replayed' ELSE 'conflict' END WHEN o.expected NOT IN (0, w.aggregate) THEN 'revision_conflict' WHEN o.status <> 'active' THEN 'precondition' ELSE 'applied' END AS r
+  FROM w JOIN o ON o.document_id = w.document_id AND o.i = w.i + 1)))
+SELECT document_id, seq, outcome, version, CASE WHEN version IS NOT NULL THEN aggregate END AS aggregate, CASE WHEN version IS NOT NULL THEN activation END AS activation, CASE WHEN version IS NOT NULL THEN access END AS access, CASE WHEN version IS NOT NULL THEN coalesce(public, FALSE) END AS public FROM w WHERE i > 0""")
+def e14(spark, d):
+    e = X.table(spark, d, "events")
+    i, u = F.col("event_id"), F.col("user_id")
+    owner = F.concat(F.lit("web:user:"), (u % 3).cast("string"))
+    saves = e.select(u.alias("document_id"), i.alias("seq"), F.when(i % 6 == 0, "").otherwise(F.concat(F.lit("r"), (i % 11).cast("string"))).alias("request_id"), F.when(i % 19 == 0, "other").otherwise(owner).alias("subject_key"), F.lit("t").alias("title"), F.col("event_type").alias("content"), F.lit("markdown").alias("format"), F.when(i % 4 >= 2, i % 4 == 2).alias("public"), F.when(i % 13 == 0, 7).otherwise(0).alias("expected"))
+    one = F.lit(1).cast("bigint")
+    documents = e.where(u % 23 != 0).select(u.alias("document_id"), owner.alias("owner_subject_key"), F.when(u % 17 == 0, "archived").otherwise("active").alias("status")).distinct().select("*", one.alias("aggregate"), (one - 1).alias("activation"), one.alias("access"), (one + 2).alias("latest"))
+    return L.save_documents(saves, documents)
 
 
 @query("e15_membership_intervals", "SELECT space_id, subject, created_at, revoked_at FROM (SELECT *, lead(event_id) OVER (PARTITION BY space_id, subject ORDER BY event_id) AS revoked_at, event_id AS created_at FROM (SELECT *, lag(a) OVER (PARTITION BY space_id, subject ORDER BY event_id) AS b FROM (SELECT event_id, user_id % 10 AS space_id, user_id AS subject, CASE WHEN event_type = 'error' THEN 'revoke' ELSE 'grant' END AS a FROM events)) WHERE b IS NULL OR b <> a) WHERE a = 'grant'")

@@ -9,41 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.events import Fenced
+
 STATE = "live boolean, agg long, acc long, life long, dead boolean, t_agg long, t_acc long, t_life long, seen long"
 OUTCOME = "document_id long, sequence long, outcome string, kind string"
 
 
-def _outcome(s: list, kind: str, agg: int, acc: int, life: int) -> str:
-    live, r_agg, r_acc, r_life, dead, _, _, t_life, _ = s
-    if dead and t_life >= life:
-        return "stale_lifecycle"
-    if not live:
-        return "applied"
-    if (kind == "delete" and 0 < agg < r_agg) or (kind == "upsert" and agg < r_agg):
-        return "stale_revision"
-    if kind == "upsert" and acc < r_acc:
-        return "stale_access"
-    return "stale_lifecycle" if life < r_life else "applied"
-
-
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One document's new events against its state of nine numbers; sequences seen before are skipped,
     so a redelivered batch changes nothing."""
-    s = list(state.get) if state.exists else [False, 0, 0, 0, False, 0, 0, 0, 0]
-    rows = pd.concat(list(batches)).sort_values("sequence")
+    *stored, seen = state.get if state.exists else (*Fenced().stored(), 0)
+    fenced = Fenced(*stored)
     out = []
-    for e in rows.itertuples():
-        if e.sequence <= s[8]:
-            continue
-        o = _outcome(s, e.kind, e.aggregate_revision, e.access_revision, e.lifecycle_revision)
-        revs = [e.aggregate_revision, e.access_revision, e.lifecycle_revision]
-        if o == "applied" and e.kind == "upsert":
-            s[:8] = [True, *revs, False, 0, 0, 0]
-        elif o == "applied":
-            s[:8] = [False, 0, 0, 0, True, *(max(a, b) for a, b in zip(revs, s[5:8], strict=True))]
-        s[8] = e.sequence
-        out.append((key[0], e.sequence, o, e.kind))
-    state.update(tuple(s))
+    for e in pd.concat(list(batches)).sort_values("sequence").to_dict("records"):
+        if e["sequence"] > seen:
+            seen = e["sequence"]
+            out.append((key[0], seen, fenced.apply(e), e["kind"]))
+    state.update((*fenced.stored(), seen))
     yield pd.DataFrame(out, columns=["document_id", "sequence", "outcome", "kind"])
 
 
