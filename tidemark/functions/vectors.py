@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +17,6 @@ from pyspark.sql import types as T
 WIDTH = 64
 TOKEN = r"\p{IsHan}|[\p{L}\p{Nd}&&[^\p{IsHan}]]+"
 M32 = 0xFFFFFFFF
-KNOWN = 1 << 17
 #: FNV-1a parameters; fixed values.
 BASIS32, PRIME32 = 0x811C9DC5, 0x01000193
 BASIS64 = 0xCBF29CE484222325
@@ -90,32 +90,42 @@ def _slot(h: Column) -> Column:
     return (h["lo"].bitwiseAND(WIDTH - 1) + 1) * F.when(F.shiftright(h["hi"], 31) == 1, -1).otherwise(1)
 
 
-def _fnv64(data: bytes) -> int:
-    h = BASIS64
-    for b in data:
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+def _hashed(h: np.ndarray, code: np.ndarray, offs: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """FNV-1a states carried on over the bytes of a word each: one step for each place, for all words at once."""
+    h, size = h.copy(), np.diff(offs)
+    left, k = np.flatnonzero(size[code] > 0), 0
+    while len(left):
+        h[left] = (h[left] ^ data[offs[code[left]] + k]) * np.uint64(0x100000001B3)
+        k += 1
+        left = left[size[code[left]] > k]
     return h
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def embed_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The same vector from tokens; hashes of features are kept, up to KNOWN at a time."""
-    known: dict[bytes, int] = {}
-    for batch in batches:
-        out = []
-        for t in batch:
-            words = [] if t is None else [x.encode() for x in t]
-            v = np.zeros(WIDTH)
-            for f in [*words, *(a + b"\0" + b for a, b in zip(words, words[1:], strict=False))]:
-                h = known.get(f)
-                if h is None:
-                    if len(known) >= KNOWN:
-                        known.clear()
-                    h = known[f] = _fnv64(f)
-                v[h % WIDTH] += -1.0 if h >> 63 else 1.0
-            n = np.sqrt((v * v).sum())
-            out.append(v / n if n else v)
-        yield pd.Series(out)
+def _embedded(t: pa.Array) -> pa.Array:
+    size = pc.fill_null(pc.list_value_length(t), 0).to_numpy()
+    words = t.flatten().dictionary_encode()
+    code, known = words.indices.to_numpy(), words.dictionary.cast(pa.large_binary())
+    _, offs, data = known.buffers()
+    offs = np.frombuffer(offs, np.int64)[known.offset : known.offset + len(known) + 1] if len(known) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8).astype(np.uint64) if data else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(len(t)), size)
+    alone = _hashed(np.full(len(known), BASIS64, np.uint64), np.arange(len(known)), offs, data)
+    first = np.flatnonzero(row[1:] == row[:-1])
+    joint = alone * np.uint64(0x100000001B3)  # the separator is a zero byte
+    h = np.r_[alone[code], _hashed(joint[code[first]], code[first + 1], offs, data)]
+    slot = np.r_[row, row[first]] * WIDTH + (h % np.uint64(WIDTH)).astype(np.int64)
+    v = np.bincount(slot, np.where(h >> np.uint64(63), -1.0, 1.0), len(t) * WIDTH).astype(float).reshape(-1, WIDTH)
+    norm = np.sqrt((v * v).sum(1, keepdims=True))
+    v = np.divide(v, norm, out=v, where=norm > 0)
+    ends = np.arange(len(t) + 1, dtype=np.int32) * WIDTH
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(v.ravel()), mask=t.is_null())
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def embed_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The same vector from tokens; null tokens have none."""
+    for t in batches:
+        yield _embedded(t)
 
 
 def embed_fast(text) -> Column:

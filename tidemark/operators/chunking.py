@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.vectors import embed_fast, let, tokens
+from tidemark.functions.vectors import embed_tokens, let, tokens
 
 LIMIT, MOST, WINDOW, OVERLAP = 800, 200, 180, 20
 
@@ -104,9 +104,13 @@ def plain_blocks(x) -> Column:
 def document_vectors(docs: DataFrame) -> DataFrame:
     """(document_id, position, vector): the first chunk is embedded with title and summary; a chunk
     without tokens takes the whole text; a document without any has no vector (T-13)."""
-    chunks = docs.select("document_id", "title", "summary", "content", F.posexplode_outer(packed("content")).alias("position", "chunk"))
-    head = F.concat_ws("\n", "title", "summary")
-    text = F.when(F.coalesce("position", F.lit(0)) == 0, F.concat_ws("\n", head, "chunk")).otherwise(F.col("chunk"))
-    whole = F.concat_ws("\n", head, "content")
-    chosen = F.when(F.size(tokens(text)) > 0, text).otherwise(whole)
-    return chunks.select("document_id", F.coalesce("position", F.lit(0)).alias("position"), chosen.alias("text")).where(F.size(tokens("text")) > 0).select("document_id", "position", embed_fast("text").alias("vector"))
+    head, none = F.concat_ws("\n", "title", "summary"), F.array().cast("array<string>")
+    first = tokens(head)
+
+    def of(chunk: Column, i: Column) -> Column:
+        """A chunk's tokens, those of title and summary before the first one's."""
+        return let(F.when(i == 0, F.concat(first, tokens(chunk))).otherwise(tokens(chunk)), lambda t: F.when(F.size(t) > 0, t).otherwise(F.concat(first, tokens("content"))))
+
+    chunks = let(packed("content"), lambda p: F.when(F.size(p) > 0, F.transform(p, of)).otherwise(F.array(F.concat(first, tokens("content")))))
+    t = docs.select("document_id", F.posexplode(F.coalesce(chunks, F.array(first), F.array(none))).alias("position", "t"))
+    return t.select("document_id", "position", embed_tokens(F.when(F.size("t") > 0, F.col("t"))).alias("vector")).where("vector is not null")

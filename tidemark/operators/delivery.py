@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import trigram_similarity
 from tidemark.functions.vectors import tokens
-from tidemark.operators.retrieval import cover_rank, parse_query, text_match
+from tidemark.operators.retrieval import bm25_scores, cover_rank, dense_scores, fuse, parse_query, text_match, top
 
 
 def fan_out(messages: DataFrame, members: DataFrame) -> DataFrame:
@@ -66,12 +66,37 @@ def controls(messages: DataFrame, conversations: DataFrame, pending_deletes: Dat
     return live.unionByName(gone)
 
 
-def visible(hits: DataFrame, control: DataFrame) -> DataFrame:
-    """The first visible chunk of each stored message, in rank order (F-20, T-22)."""
-    ok = hits.join(control.where("archived and not retracted and not dead").select("storage_id"), "storage_id")
-    w = Window.partitionBy("query_id", "storage_id").orderBy("rank")
-    one = ok.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+def visible(control: DataFrame) -> DataFrame:
+    """(storage_id) of messages that may be found: archived, neither retracted nor dead (F-20)."""
+    return control.where("archived and not retracted and not dead").select("storage_id").distinct()
+
+
+#: What an arm recalls at most.
+RECALL = 800
+
+
+def search_chat(chunks: DataFrame, control: DataFrame, queries: DataFrame, allowed: Column, k: int = 3, recall: int = RECALL) -> DataFrame:
+    """(query_id, storage_id, rank, fused and each arm's rank and score): the k best messages by keyword and
+    vector ranks fused (T-22, T-19).
+
+    Both arms recall visible chunks only (F-20), the best of each message counts (one hit a message), and the
+    rule of time and scope (F-10) comes after the fusion and before the limit, so a page is full whenever enough
+    recalled messages are allowed (K-15). chunks: chunk_id, storage_id, text, vector (null: in no vector arm)
+    and the columns of `allowed`; queries: query_id, text, vector.
+    """
+    may = chunks.join(visible(control), "storage_id", "left_semi")
+    owner = may.select("chunk_id", "storage_id")
+    scored = {
+        "sparse": bm25_scores(chunks.select("chunk_id", "text"), queries.select("query_id", "text")).join(owner, "chunk_id"),
+        "dense": dense_scores(may.where("vector is not null").select(F.struct("chunk_id", "storage_id").alias("chunk_id"), "vector"), queries.select("query_id", "vector")).select("query_id", "chunk_id.*", "score"),
+    }
+    arms = {}
+    for name, rows in scored.items():
+        best = rows.groupBy("query_id", "storage_id").agg(F.max("score").alias("score"))
+        arms[name] = top(best, recall, F.desc("score"), "storage_id")
+    found = chunks.where(allowed).select("storage_id").distinct()
+    hits = fuse(arms, key="storage_id").drop("rank").join(found, "storage_id", "left_semi")
+    return top(hits, k, F.desc("fused"), "storage_id")
 
 
 def _ranked(rows: DataFrame, score: Column, at: str, ident: str, limit: int) -> DataFrame:
@@ -114,6 +139,6 @@ def search_channel_files(files: DataFrame, query: str, scope: Column, limit: int
     return _ranked(found, F.round(score, 6), "uploaded_at", "record_id", limit).drop("_both")
 
 
-def authorised(hits: DataFrame, start: int, end: int, scopes: Column) -> DataFrame:
-    """Hits inside inclusive time bounds (0: open) and a conversation scope (F-10)."""
-    return hits.where(((F.lit(start) == 0) | (F.col("created_at") >= start)) & ((F.lit(end) == 0) | (F.col("created_at") <= end)) & F.array_contains(scopes, F.col("to_id")))
+def authorised(start: int, end: int, scopes: Column) -> Column:
+    """Messages inside inclusive time bounds (0: open) and a conversation scope (F-10)."""
+    return ((F.lit(start) == 0) | (F.col("created_at") >= start)) & ((F.lit(end) == 0) | (F.col("created_at") <= end)) & F.array_contains(scopes, F.col("to_id"))

@@ -33,16 +33,20 @@ def corpus_statistics(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens("text"))).alias("avg_length"))
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, chunk_id, score, rank): BM25 over distinct query terms, ties by id (T-15)."""
+def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, chunk_id, score): BM25 over distinct query terms of all chunks that hold one."""
     terms = query_terms(queries)
     tf = term_counts(chunks, terms)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     s = tf.join(df, "term").join(terms, "term").crossJoin(corpus_statistics(chunks))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    scored = s.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored, k, F.desc("score"), "chunk_id")
+    return s.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, chunk_id, score, rank): BM25 over distinct query terms, ties by id (T-15)."""
+    return top(bm25_scores(chunks, queries, k1, b), k, F.desc("score"), "chunk_id")
 
 
 def dense_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:

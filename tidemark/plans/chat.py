@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import storage_key
+from tidemark.functions.vectors import l2
 from tidemark.operators import chunking as C
 from tidemark.operators import delivery as D
-from tidemark.operators import retrieval as R
 from tidemark.plans import fixtures as X
 from tidemark.plans.registry import query
 
@@ -73,15 +73,21 @@ def f21(spark, d):
 
 
 @query("t22_f10_f20_chat_search", f"""WITH {CONTROLS}, t AS (SELECT storage_id, to_id, created_at, regexp_extract_all(lower(payload), '\\p{{Han}}|[\\p{{L}}\\p{{Nd}}]+') AS t FROM st), n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t), tf AS (SELECT storage_id, len(t) AS len, term, count(*) AS tf FROM (SELECT storage_id, t, unnest(t) AS term FROM t) WHERE term IN ('the', 'of', 'der') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-s AS (SELECT storage_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM tf JOIN df USING (term), n GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, storage_id) AS rank FROM s),
-v AS (SELECT r.storage_id, row_number() OVER (ORDER BY rank) AS rank FROM r JOIN ct USING (storage_id) WHERE archived AND NOT retracted AND NOT dead) SELECT v.storage_id, v.rank FROM v JOIN st USING (storage_id) WHERE created_at >= 200000 AND to_id IN (SELECT unnest(range(1, 60))) ORDER BY v.rank LIMIT 3""")
+s AS (SELECT storage_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM tf JOIN df USING (term), n GROUP BY 1), vi AS (SELECT storage_id FROM ct WHERE archived AND NOT retracted AND NOT dead),
+kr AS (SELECT *, row_number() OVER (ORDER BY score DESC, storage_id) AS rank FROM s WHERE storage_id IN (SELECT storage_id FROM vi)),
+en AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), qv AS (SELECT v AS q FROM en WHERE vec_id = 0),
+ds AS (SELECT storage_id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))), 6) AS score FROM st JOIN en ON vec_id = to_id * 8 + message_id, qv WHERE storage_id IN (SELECT storage_id FROM vi)), dr AS (SELECT *, row_number() OVER (ORDER BY score DESC, storage_id) AS rank FROM ds),
+fu AS (SELECT storage_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused, max(rank) FILTER (arm = 's') AS sparse_rank, max(score) FILTER (arm = 's') AS sparse_score, max(rank) FILTER (arm = 'd') AS dense_rank, max(score) FILTER (arm = 'd') AS dense_score FROM (SELECT 's' AS arm, * FROM kr WHERE rank <= 40 UNION ALL SELECT 'd', * FROM dr WHERE rank <= 40) GROUP BY storage_id)
+SELECT fu.*, row_number() OVER (ORDER BY fused DESC, storage_id) AS rank FROM fu JOIN st USING (storage_id) WHERE created_at >= 200000 AND to_id IN (SELECT unnest(range(1, 60))) ORDER BY rank LIMIT 10""")
 def t22(spark, d):
-    """Ranks are taken after the visibility filter and before time and scope, as the service takes them."""
-    s = X.chat(spark, d).withColumn("storage_id", storage_key("to_id", "message_id"))
-    hits = R.bm25_search(s.select(F.col("storage_id").alias("chunk_id"), F.col("payload").alias("text")), spark.createDataFrame([(0, "the of der")], "query_id int, text string"), 1 << 30)
-    seen = D.visible(hits.withColumnRenamed("chunk_id", "storage_id"), controls(spark, d))
-    found = D.authorised(seen.join(s.select("storage_id", "to_id", "created_at"), "storage_id"), 200000, 0, F.sequence(F.lit(1).cast("bigint"), F.lit(59).cast("bigint")))
-    return found.orderBy("rank").limit(3).select("storage_id", "rank")
+    """Keyword and vector arms over visible messages; time and scope are asked after the fusion, as the service
+    asks them. A message's vector is one of the given ones, by number; some messages have none."""
+    s = X.chat(spark, d).withColumn("storage_id", storage_key("to_id", "message_id")).withColumn("vec_id", F.col("to_id") * 8 + F.col("message_id"))
+    v = X.table(spark, d, "embeddings").select("vec_id", l2(F.transform("embedding", lambda x: x.cast("double"))).alias("vector"))
+    chunks = s.join(v, "vec_id", "left").select(F.col("storage_id").alias("chunk_id"), "storage_id", F.col("payload").alias("text"), "vector", "to_id", "created_at")
+    asked = v.where("vec_id = 0").select(F.lit(0).alias("query_id"), F.lit("the of der").alias("text"), "vector")
+    scopes = F.sequence(F.lit(1).cast("bigint"), F.lit(59).cast("bigint"))
+    return D.search_chat(chunks, controls(spark, d), asked, D.authorised(200000, 0, scopes), 10, 40).drop("query_id")
 
 
 MATCHED = f"{X.CH}, m AS (SELECT *, regexp_extract_all(lower(payload), '\\p{{Han}}|[\\p{{L}}\\p{{Nd}}]+') AS t FROM ch WHERE to_id % 3 <> 0 AND NOT retracted)"
