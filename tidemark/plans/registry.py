@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from tidemark.plans import access, changes, chat, scalars, search  # noqa: F401
+    from tidemark.plans import access, changes, chat, ingest, scalars, search  # noqa: F401

@@ -89,11 +89,11 @@ def s13(spark, d):
     return _conversations(spark, d).select("event_id", "conversation", S.conversation_kind("group").alias("kind"), S.conversation_problem("conversation", S.conversation_kind("group"), bot, user, group).alias("problem"))
 
 
-def _uuid_sql(h):
+def uuid_sql(h):
     return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr({h}, 17, 1))::INT, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
 
 
-@query("s14_s15_s16_event_ids", f"SELECT doc_id, {_uuid_sql('h')} AS ledger_id, {_uuid_sql('p')} AS point_id, sha256('qq:1:private:7:message:' || doc_id::VARCHAR) AS derived FROM (SELECT doc_id, sha256(unhex('{S.LEDGER_NAMESPACE}') || doc_id::VARCHAR::BLOB) AS h, sha256(doc_id::VARCHAR || '#3') AS p FROM documents)")
+@query("s14_s15_s16_event_ids", f"SELECT doc_id, {uuid_sql('h')} AS ledger_id, {uuid_sql('p')} AS point_id, sha256('qq:1:private:7:message:' || doc_id::VARCHAR) AS derived FROM (SELECT doc_id, sha256(unhex('{S.LEDGER_NAMESPACE}') || doc_id::VARCHAR::BLOB) AS h, sha256(doc_id::VARCHAR || '#3') AS p FROM documents)")
 def s14(spark, d):
     k = F.col("doc_id").cast("string")
     return X.table(spark, d, "documents").select("doc_id", S.ledger_event_id(k).alias("ledger_id"), S.chunk_point_id(k, F.lit(3)).alias("point_id"), S.derived_event_id(F.lit("qq:1:private:7"), "message", k).alias("derived"))
