@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, license_scan, lm_score, pipeline, quality_model, quality_rules, suffix_dedup, warc
+from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, license_scan, lm_score, periodic_runs, pipeline, quality_model, quality_rules, ranked_search, secret_scan, suffix_dedup, warc
 
 QUERIES = {
     "pipeline": pipeline.run,
@@ -16,9 +16,13 @@ QUERIES = {
     "op8_decontamination": decontaminate.query,
     "op9_lm_score": lm_score.query,
     "op10_quality_model": quality_model.query,
+    "op11_secret_scan": secret_scan.query,
+    "op12_periodic_runs": periodic_runs.query,
+    "op13_ranked_search": ranked_search.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc_revisits": warc.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
+    "op13_ranked_search": ranked_search.ORACLE,
 }
