@@ -16,8 +16,9 @@ Suffixes are sorted into buckets only as deep as that needs:
    range is named by its own identifiers, and its smallest document found.
 4. Covered strings become spans, merged per document.
 
-Buckets are streamed in sorted order; of a bucket that is read only its distinct strings are held.
-Identifiers are 64 bits wide, and strings are compared only within an equal bucket. All texts take part
+Buckets are streamed in sorted order; of a bucket that is read only its distinct ranges or strings are held.
+Identifiers are 64 bits wide. Strings count as equal if they lie in one bucket and both of two identifiers agree:
+of a range the name and its sides, of a string names from two tables of bytes. All texts take part
 whole; a document shorter than `length` keeps all.
 
 Defined results: null text is empty; a row with a null doc_id keeps its bytes and removes none elsewhere;
@@ -45,19 +46,30 @@ LENGTH = 50
 REACH = LENGTH - GRAM + 1  # grams in a string
 
 _FIRST = tk.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_OTHER = tk.mix(_FIRST + np.uint64(0x2545F4914F6CDD1D))  # for second names of strings
 _ODD = np.uint64(0x9FB21C651E98DF25)
 _PLACE = np.uint64(34)  # bits for a place in a piece
 
 
-def _pair(x: np.ndarray, apart: int) -> np.ndarray:
-    """Identifiers of twice the content from those at two offsets."""
-    n = len(x) - apart
-    return (x[:n] * _ODD + x[apart:] * np.uint64(2 * apart + 1)) if n > 0 else x[:0]
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def identifiers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket identifiers of the GRAM and of the LENGTH bytes from each place on."""
-    x = _FIRST[data]
+def _pair(x: np.ndarray, apart: int) -> np.ndarray:
+    """Identifiers of twice the content from those at two offsets. The shifted half and the product keep each
+    level from being linear in the last one, so no exchange of bytes between offsets cancels out."""
+    n = len(x) - apart
+    if n <= 0:
+        return x[:0]
+    out = x[:n] * _ODD
+    out += x[apart:]
+    out ^= out >> np.uint64(32)
+    out *= _SPREAD
+    return out
+
+
+def identifiers(data: np.ndarray, first: np.ndarray = _FIRST) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket identifiers of the GRAM and of the LENGTH bytes from each place on; `first` names single bytes."""
+    x = first[data]
     for h in (1, 2, 4, 8):
         x = _pair(x, h)
     return x, _pair(_pair(x, 16), LENGTH - 32)
@@ -168,8 +180,8 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(row):
             continue
         own = all_ids[row]
-        order = np.lexsort((own, name))
-        head = np.r_[True, name[order][1:] != name[order][:-1]]
+        order = np.lexsort((own, sides, name))
+        head = np.r_[True, (name[order][1:] != name[order][:-1]) | (sides[order][1:] != sides[order][:-1])]
         least = np.empty(len(name), np.int64)
         least[order] = own[order][np.flatnonzero(head)][np.cumsum(head) - 1]
         done = own > least
@@ -184,18 +196,20 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered and open ranges, from ranges sorted by (g, name, doc_id); `covered`: bytes, 0 if open.
+    """Covered and open ranges, from ranges sorted by (g, name, sides, doc_id); `covered`: bytes, 0 if open.
 
     A range is covered if an earlier document has the same range. The earliest of each name stays open
     if another name of the bucket shares one of its sides; else no other document shares a string of it.
-    Of a bucket being read only the earliest of each name are held.
+    Of a bucket being read only the earliest rows of each name are held, each once.
     """
     names = [c.split()[0] for c in SETTLED.split(", ")]
-    held: list[np.ndarray] = []
+    held: list[list[np.ndarray]] = []  # earliest rows of the bucket being read
+    last: tuple | None = None  # (g, name, sides) of the last row, and the earliest document that has it
 
-    def open_ranges(g, name, own, at, sides):
+    def open_ranges(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         """Of complete buckets' earliest rows, those with a shared side."""
-        first = np.r_[True, (g[1:] != g[:-1]) | (name[1:] != name[:-1])]
+        g, name, own, at, sides = (np.concatenate(c) for c in zip(*parts))
+        first = np.r_[True, (g[1:] != g[:-1]) | (name[1:] != name[:-1]) | (sides[1:] != sides[:-1])]
         shared_side = np.zeros(len(g), bool)
         for shift in (32, 0):
             part = (sides.view(np.uint64) >> np.uint64(shift)) & np.uint64(0xFFFFFFFF)
@@ -204,32 +218,32 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, back, count = np.unique(key, return_inverse=True, return_counts=True)
             shared_side[idx] |= count[back] > 1
         group = np.cumsum(first) - 1
-        keep = shared_side[np.flatnonzero(first)][group] if len(g) else first
+        keep = shared_side[np.flatnonzero(first)][group]
         return _emit([own[keep], at[keep], np.zeros(int(keep.sum()), np.int64)], names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(k).to_numpy() for k in range(5)]
-        n_held = len(held[0]) if held else 0
-        if held:
-            rows = [np.r_[h, r] for h, r in zip(held, rows, strict=True)]
-        g, name, own, at, sides = rows
-        begin = np.r_[True, (g[1:] != g[:-1]) | (name[1:] != name[:-1])]
+        g, name, own, at, sides = (batch.column(k).to_numpy() for k in range(5))
+        begin = np.r_[True, (g[1:] != g[:-1]) | (name[1:] != name[:-1]) | (sides[1:] != sides[:-1])]
         least = own[np.flatnonzero(begin)][np.cumsum(begin) - 1]
-        covered = (own > least) | (name == 0)
-        fresh = np.arange(len(g)) >= n_held
-        out = covered & fresh
+        if last is not None and (g[0], name[0], sides[0]) == last[:3]:
+            least[np.cumsum(begin) == 1] = last[3]
+        last = (g[-1], name[-1], sides[-1], least[-1])
+        out = (own > least) | (name == 0)
         if out.any():
             yield _emit([own[out], at[out], np.where(name[out] == 0, sides[out], _unpack(at[out])[1] + LENGTH)], names)
-        rest = ~covered
-        g, name, own, at, sides = (v[rest] for v in rows)
-        whole = g != rows[0][-1]
-        if whole.any():
-            yield open_ranges(g[whole], name[whole], own[whole], at[whole], sides[whole])
-        held = [v[~whole] for v in (g, name, own, at, sides)]
-    if held and len(held[0]):
-        yield open_ranges(*held)
+        rest = [v[~out] for v in (g, name, own, at, sides)]
+        ended = int((rest[0] != g[-1]).sum())  # the bucket still read comes last
+        if held and held[-1][0][-1] != g[-1] or ended:
+            held.append([v[:ended] for v in rest])
+            if sum(len(h[0]) for h in held):
+                yield open_ranges(held)
+            held = []
+        if ended < len(rest[0]):
+            held.append([v[ended:] for v in rest])
+    if held:
+        yield open_ranges(held)
 
 
 STRINGS = "g long, doc_id long, tag long, lo long, hi long, bytes binary"
@@ -281,7 +295,8 @@ SPANS = "doc_id long, tag long, lo long, hi long"
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covered spans from ranges sorted by (g, doc_id): those whose strings a smaller document has too."""
     names = [c.split()[0] for c in SPANS.split(", ")]
-    held_g, held_key, held_own = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    none = np.zeros(0, np.uint64)
+    held_g, held_key, held_twin, held_own = None, none, none, np.zeros(0, np.int64)
     for batch in batches:
         known = batch.column(5).is_null().to_numpy(zero_copy_only=False)
         if known.any():
@@ -301,18 +316,20 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(len(g)), count)
         k = np.arange(len(row)) - first[row]
         key = tk.mix(full[offs[row] + k] * _ODD + g.view(np.uint64)[row])
+        twin = identifiers(flat, _OTHER)[1][offs[row] + k]
         doc = own[row]
         n = len(key)
         if held_g is not None and g[0] == held_g:
-            key, doc = np.r_[key, held_key], np.r_[doc, held_own]
-        order = np.lexsort((doc, key))
-        head = np.r_[True, key[order][1:] != key[order][:-1]]
+            key, twin, doc = np.r_[key, held_key], np.r_[twin, held_twin], np.r_[doc, held_own]
+        order = np.lexsort((doc, twin, key))
+        head = np.r_[True, (key[order][1:] != key[order][:-1]) | (twin[order][1:] != twin[order][:-1])]
         least = np.empty(len(key), np.int64)
         least[order] = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
         covered = doc[:n] > least[:n]
         tail = np.flatnonzero(np.r_[g[row] == g[-1], np.full(len(key) - n, held_g is not None and g[-1] == held_g)])
-        held_key, at = np.unique(key[tail], return_index=True)
-        held_g, held_own = g[-1], least[tail][at]
+        one = tail[np.lexsort((twin[tail], key[tail]))]
+        one = one[np.r_[True, (key[one][1:] != key[one][:-1]) | (twin[one][1:] != twin[one][:-1])]]
+        held_g, held_key, held_twin, held_own = g[-1], key[one], twin[one], least[one]
         hit = np.flatnonzero(covered)
         r, a, b = _runs(row[hit], lo[row[hit]] + k[hit], lo[row[hit]] + k[hit] + LENGTH)
         if len(r):
@@ -372,7 +389,7 @@ def repeats(dealt: DataFrame, marks: DataFrame) -> DataFrame:
     fetch = lambda found: texts.join(found, "doc_id", "left").select("doc_id", "text", "tag", "found")
     first = texts.mapInArrow(_first_buckets, "g long, doc_id long")
     several = shared(first.repartition(n, "g").sortWithinPartitions("g", "doc_id")).select("doc_id", "g")
-    ranges = fetch(by_doc(several, "g")).mapInArrow(_ranges, RANGES).repartition(n, "g").sortWithinPartitions("g", "name", "doc_id")
+    ranges = fetch(by_doc(several, "g")).mapInArrow(_ranges, RANGES).repartition(n, "g").sortWithinPartitions("g", "name", "sides", "doc_id")
     settled = ranges.mapInArrow(_settle, SETTLED)
     strings = fetch(by_doc(settled, "at", "covered")).mapInArrow(_strings, STRINGS).repartition(n, "g").sortWithinPartitions("g", "doc_id")
     spans = strings.mapInArrow(_refine, SPANS)
