@@ -53,20 +53,19 @@ def narrow(granted: Column, requested: Column) -> Column:
     return F.when(F.size(requested) == 0, granted).when((F.size(granted) == 0) | contains_all(granted, requested), requested)
 
 
-def readable_pairs(docs: DataFrame, grants: DataFrame, members: DataFrame, subjects: DataFrame) -> DataFrame:
-    """(document_id, subject_key) of every way in: owner, grant, granted or owner space, public (F-14).
-
-    docs: document_id, owner_subject_key, owner_space_id, is_public; grants: document_id,
-    grantee_subject_key, grantee_space_id, revoked; members: space_id, subject_key, revoked; subjects:
-    subject_key, active. One union of equi-joins, so no OR turns into a nested loop.
-    """
-    grants, members = grants.where("not revoked"), members.where("not revoked").select("space_id", "subject_key")
+def readable_by(asked: DataFrame, docs: DataFrame, grants: DataFrame, members: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(subject_key, document_id) of what each asked subject may read (F-15): the subjects drive the joins, from
+    their spaces to the documents, so that nobody else's pairs are made. asked: subject_key."""
+    who = asked.select("subject_key").distinct()
+    given = grants.where("not revoked")
+    spaces = members.where("not revoked").select("space_id", "subject_key").join(who, "subject_key", "left_semi").distinct()
+    seen = who.join(subjects.where("active").select("subject_key"), "subject_key", "left_semi")
     ways = [
-        docs.select("document_id", F.col("owner_subject_key").alias("subject_key")),
-        grants.where("grantee_subject_key is not null").select("document_id", F.col("grantee_subject_key").alias("subject_key")),
-        grants.join(members, grants["grantee_space_id"] == members["space_id"]).select("document_id", "subject_key"),
-        docs.join(members, docs["owner_space_id"] == members["space_id"]).select("document_id", "subject_key"),
-        docs.where("is_public").select("document_id").crossJoin(subjects.where("active").select("subject_key")),
+        docs.select(F.col("owner_subject_key").alias("subject_key"), "document_id").join(who, "subject_key", "left_semi"),
+        given.select(F.col("grantee_subject_key").alias("subject_key"), "document_id").join(who, "subject_key", "left_semi"),
+        spaces.join(given.select(F.col("grantee_space_id").alias("space_id"), "document_id"), "space_id").select("subject_key", "document_id"),
+        spaces.join(docs.select(F.col("owner_space_id").alias("space_id"), "document_id"), "space_id").select("subject_key", "document_id"),
+        seen.crossJoin(docs.where("is_public").select("document_id")),  # the answer itself: all public documents for each asked subject
     ]
     out = ways[0]
     for w in ways[1:]:
@@ -107,13 +106,21 @@ def readable_counts(docs: DataFrame, grants: DataFrame, members: DataFrame, subj
 
 def access_facts(pairs: DataFrame, docs: DataFrame, grants: DataFrame, members: DataFrame, subjects: DataFrame) -> DataFrame:
     """The facts of the read decision as columns for given (document_id, subject_key) pairs, and
-    `may_read` (F-16)."""
-    grants, members = grants.where("not revoked"), members.where("not revoked").select("space_id", "subject_key").distinct()
-    p = pairs.join(docs.select("document_id", "owner_subject_key", "owner_space_id", "is_public"), "document_id")
-    by_grant = grants.select("document_id", F.col("grantee_subject_key").alias("subject_key")).where("subject_key is not null").distinct().withColumn("has_grant", F.lit(True))
-    by_space = grants.join(members, grants["grantee_space_id"] == members["space_id"]).select("document_id", "subject_key").distinct().withColumn("in_granted_space", F.lit(True))
-    own = members.withColumnRenamed("space_id", "owner_space_id").withColumn("in_owner_space", F.lit(True))
-    f = p.join(by_grant, ["document_id", "subject_key"], "left").join(by_space, ["document_id", "subject_key"], "left").join(own, ["owner_space_id", "subject_key"], "left")
+    `may_read` (F-16); one row a pair of an existing document.
+
+    The asked pairs drive both hops (J-03): a pair meets its own document's grants only, and the spaces that
+    come of them, with the owner's, are looked up as (space, subject), which no space of many members skews.
+    """
+    asked = pairs.select("document_id", "subject_key").distinct()
+    p = asked.join(docs.select("document_id", "owner_subject_key", "owner_space_id", "is_public"), "document_id")
+    given = grants.where("not revoked").select("document_id", "grantee_subject_key", "grantee_space_id")
+    by_grant = asked.join(given, "document_id")
+    direct = by_grant.where(F.col("grantee_subject_key") == F.col("subject_key")).select("document_id", "subject_key").distinct().withColumn("has_grant", F.lit(True))
+    ways = by_grant.where("grantee_space_id is not null").select("document_id", "subject_key", F.col("grantee_space_id").alias("space_id"), F.lit(False).alias("own"))
+    ways = ways.unionByName(p.where("owner_space_id is not null").select("document_id", "subject_key", F.col("owner_space_id").alias("space_id"), F.lit(True).alias("own")))
+    met = ways.join(members.where("not revoked").select("space_id", "subject_key"), ["space_id", "subject_key"], "left_semi")
+    inside = met.groupBy("document_id", "subject_key").agg(F.max(~F.col("own")).alias("in_granted_space"), F.max("own").alias("in_owner_space"))
+    f = p.join(direct, ["document_id", "subject_key"], "left").join(inside, ["document_id", "subject_key"], "left")
     f = f.join(subjects.select("subject_key", F.col("active").alias("is_active")), "subject_key", "left")
     no = F.lit(False)
     f = f.select("document_id", "subject_key", F.coalesce(F.col("owner_subject_key") == F.col("subject_key"), no).alias("is_owner"), *[F.coalesce(x, no).alias(x) for x in ("has_grant", "in_granted_space", "in_owner_space", "is_public", "is_active")])

@@ -24,7 +24,8 @@ def f14(spark, d):
 @query("f15_a02_readable_list", f"WITH {PAIRS} SELECT lifecycle, owner_space_id, count(*) AS n FROM ad WHERE document_id IN (SELECT document_id FROM rp WHERE subject_key = 'web:user:7') AND (owner_space_id IN ('3', '4') OR is_public) GROUP BY ALL")
 def f15(spark, d):
     f = X.access(spark, d)
-    p = scope.readable_pairs(f["docs"], f["grants"], f["members"], f["subjects"]).where("subject_key = 'web:user:7'")
+    asked = spark.createDataFrame([("web:user:7",)], "subject_key string")
+    p = scope.readable_by(asked, f["docs"], f["grants"], f["members"], f["subjects"])
     return f["docs"].join(p, "document_id", "left_semi").where("owner_space_id in ('3', '4') or is_public").groupBy("lifecycle", "owner_space_id").agg(F.count("*").alias("n"))
 
 
