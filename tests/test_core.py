@@ -312,3 +312,49 @@ def test_payload_fingerprint_bytes(spark):
     got = [r["f"] for r in d.select(S.payload_fingerprint("a", "b", "c", "d", public="p").alias("f")).collect()]
     flag = {None: "absent", True: "true", False: "false"}
     assert got == [hashlib.sha256(b"".join(f"{len(x.encode())}:{x}".encode() for x in [*r[:4], f"authenticated_public:{flag[r[4]]}"])).hexdigest() for r in rows]
+
+
+def widened_by_hand(ranked, k):
+    """One query's page by rounds, one after the other: ranked {arm: [(key, may)]} best first."""
+    limit, most = max(2 * k, 16), min(max(16 * k, 128), 800)
+    while True:
+        score = {}
+        for rows in ranked.values():
+            for r, (key, may) in enumerate(rows[:limit], 1):
+                score[key, may] = score.get((key, may), 0) + 1 / (60 + r)
+        raw = sorted(score, key=lambda x: (-round(score[x], 9), x[0]))[:limit]
+        hits, exhausted = [key for key, may in raw if may][:k], len(raw) < limit
+        if len(hits) == k or exhausted or limit >= most:
+            return limit, len(hits) < k and not exhausted, hits
+        limit = min(2 * limit, most)
+
+
+def test_widening_rounds(spark):
+    """Each query stops at a limit of its own; the first round of some is all forbidden, others stay open."""
+    import random
+
+    from tidemark.operators.delivery import candidate_limits, widened
+
+    r, rows, want, ks = random.Random(1), [], {}, {}
+    for q in range(60):
+        k = r.choice([1, 3, 8, 10, 40, 60, 100])
+        n = r.choice([0, 5, 15, 16, 17, 60, 300, 900])
+        share = r.choice([0, 0.005, 0.05, 0.5, 1])
+        first = r.choice([0, 0, 20, 100])  # forbidden at the head
+        keys = [f"m{i:04d}" for i in range(n)]
+        may = {x: i >= first and r.random() < share for i, x in enumerate(keys)}
+        arms = {"sparse": keys[: r.randrange(n + 1)], "dense": sorted(keys, key=lambda x: (r.random() < 0.3, x))}
+        ranked = {a: [(x, may[x]) for x in xs] for a, xs in arms.items()}
+        want[q], ks[q] = widened_by_hand(ranked, k), k
+        rows += [(q, k, a, x, i, 1.0 / i, m) for a, xs in ranked.items() for i, (x, m) in enumerate(xs[:800], 1)]
+    queries = spark.createDataFrame(list(ks.items()), "query_id int, k int")
+    ranked = spark.createDataFrame(rows, "query_id int, k int, arm string, storage_id string, rank int, score double, may boolean").repartition(5)
+    got = {}
+    for x in widened(ranked, queries).orderBy("query_id", "rank").collect():
+        limit, open_, hits = got.setdefault(x.query_id, (x.candidates, x.truncated, []))
+        assert (limit, open_) == (x.candidates, x.truncated)
+        hits += [x.storage_id] if x.storage_id else []
+    assert got == want
+    assert len({w[0] for w in want.values()}) > 8 and sum(w[1] for w in want.values()) > 3
+    limits = {x.k: x.c for x in queries.select("k", candidate_limits("k").alias("c")).distinct().collect()}
+    assert limits[3] == [16, 32, 64, 128] and limits[60] == [120, 240, 480, 800] and limits[100] == [200, 400, 800]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import trigram_similarity
 from tidemark.functions.vectors import tokens
-from tidemark.operators.retrieval import bm25_scores, cover_rank, dense_scores, fuse, parse_query, text_match, top
+from tidemark.operators.retrieval import bm25_scores, cover_rank, dense_scores, fuse_by, parse_query, text_match, top
 
 
 def fan_out(messages: DataFrame, members: DataFrame) -> DataFrame:
@@ -71,18 +71,58 @@ def visible(control: DataFrame) -> DataFrame:
     return control.where("archived and not retracted and not dead").select("storage_id").distinct()
 
 
-#: What an arm recalls at most.
-RECALL = 800
+#: Candidates of a search of k hits: at first, and at most by k and in all (K-15).
+FIRST, MOST, RECALL = (2, 16), (16, 128), 800
 
 
-def search_chat(chunks: DataFrame, control: DataFrame, queries: DataFrame, allowed: Column, k: int = 3, recall: int = RECALL) -> DataFrame:
-    """(query_id, storage_id, rank, fused and each arm's rank and score): the k best messages by keyword and
-    vector ranks fused (T-22, T-19).
+def candidate_limits(k) -> Column:
+    """The candidate limits that a search of k hits goes through: twice k, 16 at least, doubled up to 16 times k,
+    128 at least and 800 at most."""
+    k = F.col(k) if isinstance(k, str) else k
+    first, most = F.greatest(k * FIRST[0], F.lit(FIRST[1])), F.least(F.greatest(k * MOST[0], F.lit(MOST[1])), F.lit(RECALL))
+    doublings = F.sequence(F.lit(0), F.ceil(F.log2(most / first)).cast("int"))
+    return F.array_distinct(F.transform(doublings, lambda i: F.least(first * F.pow(F.lit(2), i), most).cast("int")))
 
-    Both arms recall visible chunks only (F-20), the best of each message counts (one hit a message), and the
-    rule of time and scope (F-10) comes after the fusion and before the limit, so a page is full whenever enough
-    recalled messages are allowed (K-15). chunks: chunk_id, storage_id, text, vector (null: in no vector arm)
-    and the columns of `allowed`; queries: query_id, text, vector.
+
+def widened(ranked: DataFrame, queries: DataFrame, key: str = "storage_id") -> DataFrame:
+    """Pages of fused searches whose candidates are allowed or not, each query by its own candidate limit (K-15).
+
+    With a limit, each arm gives as many of its best, they are fused, and as many of the fused are
+    candidates; of the allowed ones the first k are the page. A query takes the least of its
+    `candidate_limits` that fills its page or exhausts the candidates, else the last. All limits of a query
+    are tried together over its ranked rows (800 an arm at most), so no search is run twice.
+
+    ranked: query_id, k, arm, key, rank, score, may (whether it is allowed); queries: query_id, k. Gives for each
+    hit query_id, key, rank, fused, each arm's rank and score, `candidates` (the limit) and `truncated`: the
+    page is not full although candidates were left. A query without hits has one row with null key and rank.
+    """
+    tried = F.explode(F.filter(candidate_limits("k"), lambda x: x >= F.col("rank"))).alias("candidates")
+    rows = ranked.select("query_id", "k", "arm", key, "rank", "score", "may", tried)
+    arms = ("sparse", "dense")
+    one = Window.partitionBy("query_id", "candidates")
+    fused = fuse_by(rows, ["query_id", "candidates", "k", key, "may"], arms)
+    c = fused.withColumn("place", F.row_number().over(one.orderBy(F.desc("fused"), key))).where(F.col("place") <= F.col("candidates"))
+    c = c.select("*", F.count("*").over(one).alias("n"), F.count(F.when(F.col("may"), 1)).over(one).alias("n_may"), F.element_at(candidate_limits("k"), -1).alias("most"))
+    full, exhausted = F.col("n_may") >= F.col("k"), F.col("n") < F.col("candidates")
+    done = F.when(full | exhausted | (F.col("candidates") == F.col("most")), F.col("candidates"))
+    c = c.withColumn("chosen", F.min(done).over(Window.partitionBy("query_id"))).where(F.col("candidates") == F.col("chosen"))
+    c = c.withColumn("rank", F.row_number().over(one.orderBy(F.desc("may"), "place")))
+    told = [key, "rank", "fused", *[f"{a}_{x}" for a in arms for x in ("rank", "score")]]
+    hits = c.where((F.col("may") & (F.col("rank") <= F.col("k"))) | ((F.col("n_may") == 0) & (F.col("rank") == 1)))
+    hits = hits.select("query_id", "candidates", (~full & ~exhausted).alias("truncated"), *[F.when(F.col("may"), F.col(x)).alias(x) for x in told])
+    asked = queries.select("query_id", F.get(candidate_limits("k"), F.lit(0)).alias("_first"))
+    out = asked.join(hits, "query_id", "left")
+    return out.withColumn("candidates", F.coalesce("candidates", "_first")).withColumn("truncated", F.coalesce("truncated", F.lit(False))).drop("_first")
+
+
+def search_chat(chunks: DataFrame, control: DataFrame, queries: DataFrame, allowed: Column) -> DataFrame:
+    """The k best messages of each query by keyword and vector ranks fused (T-22, T-19), as `widened` gives them.
+
+    Both arms recall visible chunks only (F-20), and the best of each message counts (one hit a message). The
+    rule of time and scope (F-10), which may use columns of queries and messages, comes after the
+    fusion; a query whose page it leaves open takes more candidates (K-15, see `widened`).
+    chunks: chunk_id, storage_id, text, vector (null: in no vector arm) and the messages' columns of `allowed`;
+    queries: query_id, text, vector, k (1 to 100) and columns of `allowed`.
     """
     may = chunks.join(visible(control), "storage_id", "left_semi")
     owner = may.select("chunk_id", "storage_id")
@@ -90,13 +130,14 @@ def search_chat(chunks: DataFrame, control: DataFrame, queries: DataFrame, allow
         "sparse": bm25_scores(chunks.select("chunk_id", "text"), queries.select("query_id", "text")).join(owner, "chunk_id"),
         "dense": dense_scores(may.where("vector is not null").select(F.struct("chunk_id", "storage_id").alias("chunk_id"), "vector"), queries.select("query_id", "vector")).select("query_id", "chunk_id.*", "score"),
     }
-    arms = {}
+    ranked = None
     for name, rows in scored.items():
         best = rows.groupBy("query_id", "storage_id").agg(F.max("score").alias("score"))
-        arms[name] = top(best, recall, F.desc("score"), "storage_id")
-    found = chunks.where(allowed).select("storage_id").distinct()
-    hits = fuse(arms, key="storage_id").drop("rank").join(found, "storage_id", "left_semi")
-    return top(hits, k, F.desc("fused"), "storage_id")
+        arm = top(best, RECALL, F.desc("score"), "storage_id").withColumn("arm", F.lit(name))
+        ranked = arm if ranked is None else ranked.unionByName(arm)
+    messages = chunks.drop("chunk_id", "text", "vector").distinct()
+    ruled = ranked.join(queries.drop("text", "vector"), "query_id").join(messages, "storage_id").withColumn("may", F.coalesce(allowed, F.lit(False)))
+    return widened(ruled, queries.select("query_id", "k"))
 
 
 def _ranked(rows: DataFrame, score: Column, at: str, ident: str, limit: int) -> DataFrame:
@@ -139,6 +180,8 @@ def search_channel_files(files: DataFrame, query: str, scope: Column, limit: int
     return _ranked(found, F.round(score, 6), "uploaded_at", "record_id", limit).drop("_both")
 
 
-def authorised(start: int, end: int, scopes: Column) -> Column:
-    """Messages inside inclusive time bounds (0: open) and a conversation scope (F-10)."""
-    return ((F.lit(start) == 0) | (F.col("created_at") >= start)) & ((F.lit(end) == 0) | (F.col("created_at") <= end)) & F.array_contains(scopes, F.col("to_id"))
+def authorised(start, end, scopes) -> Column:
+    """Messages inside inclusive time bounds (0: open) and a conversation scope (F-10); bounds and scopes are
+    columns, or numbers."""
+    start, end = (x if isinstance(x, Column) else F.lit(x) for x in (start, end))
+    return ((start == 0) | (F.col("created_at") >= start)) & ((end == 0) | (F.col("created_at") <= end)) & F.array_contains(scopes, F.col("to_id"))

@@ -90,11 +90,16 @@ def fuse(arms: dict[str, DataFrame], k: int = RRF, key: str = "document_id") ->
     for name, arm in arms.items():
         r = arm.select("query_id", key, F.lit(name).alias("arm"), "rank", "score")
         rows = r if rows is None else rows.unionByName(r)
-    kept = [F.max(F.when(F.col("arm") == name, F.col(what))).alias(f"{name}_{what}") for name in arms for what in ("rank", "score")]
-    fused = rows.groupBy("query_id", key).agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("fused"), *kept)
+    fused = fuse_by(rows, ["query_id", key], arms, k)
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fused"), key)))
 
 
+def fuse_by(rows: DataFrame, by: list[str], arms, k: int = RRF) -> DataFrame:
+    """`fused`, the sum of 1 / (k + rank), and each arm's rank and score, for ranked rows (arm, rank, score)."""
+    kept = [F.max(F.when(F.col("arm") == name, F.col(what))).alias(f"{name}_{what}") for name in arms for what in ("rank", "score")]
+    return rows.groupBy(*by).agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("fused"), *kept)
+
+
 def page_size(x, default: int = 10, most: int = 100) -> Column:
     """A requested size, or the default if none, at most `most` (K-06)."""
     x = F.col(x) if isinstance(x, str) else x

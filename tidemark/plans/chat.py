@@ -72,22 +72,34 @@ def f21(spark, d):
     return controls(spark, d)
 
 
-@query("t22_f10_f20_chat_search", f"""WITH {CONTROLS}, t AS (SELECT storage_id, to_id, created_at, regexp_extract_all(lower(payload), '\\p{{Han}}|[\\p{{L}}\\p{{Nd}}]+') AS t FROM st), n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t), tf AS (SELECT storage_id, len(t) AS len, term, count(*) AS tf FROM (SELECT storage_id, t, unnest(t) AS term FROM t) WHERE term IN ('the', 'of', 'der') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-s AS (SELECT storage_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM tf JOIN df USING (term), n GROUP BY 1), vi AS (SELECT storage_id FROM ct WHERE archived AND NOT retracted AND NOT dead),
-kr AS (SELECT *, row_number() OVER (ORDER BY score DESC, storage_id) AS rank FROM s WHERE storage_id IN (SELECT storage_id FROM vi)),
-en AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), qv AS (SELECT v AS q FROM en WHERE vec_id = 0),
-ds AS (SELECT storage_id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))), 6) AS score FROM st JOIN en ON vec_id = to_id * 8 + message_id, qv WHERE storage_id IN (SELECT storage_id FROM vi)), dr AS (SELECT *, row_number() OVER (ORDER BY score DESC, storage_id) AS rank FROM ds),
-fu AS (SELECT storage_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused, max(rank) FILTER (arm = 's') AS sparse_rank, max(score) FILTER (arm = 's') AS sparse_score, max(rank) FILTER (arm = 'd') AS dense_rank, max(score) FILTER (arm = 'd') AS dense_score FROM (SELECT 's' AS arm, * FROM kr WHERE rank <= 40 UNION ALL SELECT 'd', * FROM dr WHERE rank <= 40) GROUP BY storage_id)
-SELECT fu.*, row_number() OVER (ORDER BY fused DESC, storage_id) AS rank FROM fu JOIN st USING (storage_id) WHERE created_at >= 200000 AND to_id IN (SELECT unnest(range(1, 60))) ORDER BY rank LIMIT 10""")
+@query("t22_f10_f20_chat_search", f"""WITH {CONTROLS}, qs AS (SELECT vec_id AS query_id, ['the of der', 'tion', 'ering und la'][1 + vec_id // 100 % 3] AS text, list_transform(embedding, lambda x: x::DOUBLE) AS q, [3, 10, 60, 20][1 + vec_id // 100 % 4] AS k, CASE WHEN vec_id % 500 = 0 THEN 0 ELSE 200000 END AS start, CASE WHEN vec_id % 700 = 0 THEN 5000000 ELSE 0 END AS stop, [59, 5, 100000, 20][1 + vec_id // 100 % 4] AS upto FROM embeddings WHERE vec_id % 100 = 0),
+t AS (SELECT storage_id, regexp_extract_all(lower(payload), '\\p{{Han}}|[\\p{{L}}\\p{{Nd}}]+') AS t FROM st), n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t), qt AS (SELECT query_id, unnest(string_split(text, ' ')) AS term FROM qs), tf AS (SELECT storage_id, len(t) AS len, term, count(*) AS tf FROM (SELECT storage_id, t, unnest(t) AS term FROM t) WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query_id, storage_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), n GROUP BY ALL), vi AS (SELECT storage_id FROM ct WHERE archived AND NOT retracted AND NOT dead),
+en AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), ds AS (SELECT query_id, storage_id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))), 6) AS score FROM st JOIN en ON vec_id = to_id * 8 + message_id, qs WHERE storage_id IN (SELECT storage_id FROM vi)),
+ar AS (SELECT arm, query_id, storage_id, score, row_number() OVER (PARTITION BY arm, query_id ORDER BY score DESC, storage_id) AS rank FROM (SELECT 's' AS arm, * FROM s WHERE storage_id IN (SELECT storage_id FROM vi) UNION ALL SELECT 'd', * FROM ds)),
+lm AS (SELECT query_id, k, least(greatest(2 * k, 16) * 2 ** i, least(greatest(16 * k, 128), 800))::INT AS l FROM qs, range(0, 8) r(i) GROUP BY ALL),
+fu AS (SELECT query_id, l, k, storage_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused, max(rank) FILTER (arm = 's') AS sparse_rank, max(score) FILTER (arm = 's') AS sparse_score, max(rank) FILTER (arm = 'd') AS dense_rank, max(score) FILTER (arm = 'd') AS dense_score FROM ar JOIN lm USING (query_id) WHERE rank <= l GROUP BY ALL),
+ca AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, l ORDER BY fused DESC, storage_id) AS place FROM fu) WHERE place <= l),
+ok AS (SELECT ca.*, row_number() OVER (PARTITION BY query_id, l ORDER BY place) AS rank FROM ca JOIN st USING (storage_id) JOIN qs USING (query_id) WHERE created_at >= start AND (stop = 0 OR created_at <= stop) AND to_id BETWEEN 1 AND upto),
+ro AS (SELECT lm.query_id, lm.l, lm.k, (SELECT count(*) FROM ca WHERE ca.query_id = lm.query_id AND ca.l = lm.l) AS n, (SELECT count(*) FROM ok WHERE ok.query_id = lm.query_id AND ok.l = lm.l) AS m FROM lm),
+ch2 AS (SELECT query_id, k, min(l) AS candidates, arg_min(m < k AND n >= l, l) AS truncated FROM ro WHERE m >= k OR n < l OR l = least(greatest(16 * k, 128), 800) GROUP BY ALL)
+SELECT query_id, candidates, truncated, storage_id, fused, sparse_rank, sparse_score, dense_rank, dense_score, rank FROM ch2 LEFT JOIN (SELECT * FROM ok) o USING (query_id) WHERE (o.l = candidates AND rank <= ch2.k) OR (o.l IS NULL) UNION ALL SELECT query_id, candidates, truncated, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM ch2 WHERE query_id IN (SELECT query_id FROM ok) AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.query_id = ch2.query_id AND ok.l = candidates)""")
 def t22(spark, d):
-    """Keyword and vector arms over visible messages; time and scope are asked after the fusion, as the service
-    asks them. A message's vector is one of the given ones, by number; some messages have none."""
+    """Searches with every vector whose id is divisible by 100, each with a text, a page size, a time range and
+    conversations of its own; some find their page among the first candidates, others widen or stay open. A
+    message's vector is one of the given ones, by number; some messages have none."""
     s = X.chat(spark, d).withColumn("storage_id", storage_key("to_id", "message_id")).withColumn("vec_id", F.col("to_id") * 8 + F.col("message_id"))
     v = X.table(spark, d, "embeddings").select("vec_id", l2(F.transform("embedding", lambda x: x.cast("double"))).alias("vector"))
     chunks = s.join(v, "vec_id", "left").select(F.col("storage_id").alias("chunk_id"), "storage_id", F.col("payload").alias("text"), "vector", "to_id", "created_at")
-    asked = v.where("vec_id = 0").select(F.lit(0).alias("query_id"), F.lit("the of der").alias("text"), "vector")
-    scopes = F.sequence(F.lit(1).cast("bigint"), F.lit(59).cast("bigint"))
-    return D.search_chat(chunks, controls(spark, d), asked, D.authorised(200000, 0, scopes), 10, 40).drop("query_id")
+    n = F.floor(F.col("vec_id") / 100).cast("int")
+    one_of = lambda *xs: F.get(F.array(*[F.lit(x) for x in xs]), n % len(xs))
+    asked = v.where("vec_id % 100 = 0").select(
+        F.col("vec_id").alias("query_id"), one_of("the of der", "tion", "ering und la").alias("text"), "vector", one_of(3, 10, 60, 20).alias("k"),
+        F.when(F.col("vec_id") % 500 == 0, 0).otherwise(200000).alias("start"), F.when(F.col("vec_id") % 700 == 0, 5000000).otherwise(0).alias("stop"), one_of(59, 5, 100000, 20).alias("upto"),
+    )
+    scopes = F.col("to_id").between(1, F.col("upto"))
+    rule = D.authorised(F.col("start"), F.col("stop"), F.array("to_id")) & scopes
+    return D.search_chat(chunks, controls(spark, d), asked, rule)
 
 
 MATCHED = f"{X.CH}, m AS (SELECT *, regexp_extract_all(lower(payload), '\\p{{Han}}|[\\p{{L}}\\p{{Nd}}]+') AS t FROM ch WHERE to_id % 3 <> 0 AND NOT retracted)"
