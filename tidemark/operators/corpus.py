@@ -2,37 +2,87 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.retrieval import dense_scores, top
 from tidemark.operators.walk import walk
+from tidemark.sources.tables import shared_path
 
 COMMANDS = ["document_id", "seq", "operation_id", "kind", "version_id", "owner_space", "digest", "lifecycle", "revision", "expected_version", "is_public", "spaces"]
 FOLDED = "document_id long, seq long, outcome string, version_id string, owner_space string, digest string, is_active boolean, activation long, access long, lifecycle long, tombstone long, dead boolean, is_public boolean, spaces array<string>"
 
 
+#: How outcomes of refused commands begin; what was refused is not remembered and may come again.
+REFUSED = ("stale", "conflict", "not_found", "invalid")
+
+
 @dataclass
 class Commanded:
     """State that commands change, one operation id at a time; a command's kind names the method for it."""
 
-    done: dict = field(default_factory=dict)  # operation -> its command and outcome
+    done: MutableMapping = field(default_factory=dict)  # operation -> its command, outcome and time
+    keep: int | None = None  # how long an operation is remembered, in the unit of `at`; None: for ever
 
     def apply(self, c: dict) -> str:
-        """Outcome of a command; a repeated operation repeats its outcome, another one under its id conflicts."""
-        said = tuple(str(v) for k, v in c.items() if k not in ("seq", "operation_id"))
+        """Outcome of a command; a repeated operation repeats its outcome, another one under its id, or one that
+        another key's command has `taken`, conflicts."""
+        if c.get("taken"):
+            return "conflict"
+        said = "\x1f".join(str(v) for k, v in c.items() if k not in ("seq", "operation_id", "taken", "at"))
+        at = c.get("at") or 0
         if c["operation_id"] in self.done:
-            first, outcome = self.done[c["operation_id"]]
-            return f"replayed_{outcome}" if first == said else "conflict"
+            first, outcome, since = self.done[c["operation_id"]]
+            if self.keep is None or at - since < self.keep:
+                return f"replayed_{outcome}" if first == said else "conflict"
         outcome = getattr(self, c["kind"])(c)
-        if not outcome.startswith(("stale", "conflict", "not_found")):  # a refused command may come again
-            self.done[c["operation_id"]] = said, outcome
+        if not outcome.startswith(REFUSED):
+            self.done[c["operation_id"]] = said, outcome, at
         return outcome
 
 
+def fold_commands(log: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
+    """A walk over each key's commands with one ledger of operation ids for the whole store (E-10): of an id that
+    several keys use, the first command that succeeds, by seq and key, takes it, and those of other keys conflict.
+
+    Whether a command succeeds hangs on the commands before it, also by way of ids that other keys took. So
+    the keys that share ids are walked until no id changes its taker: each round settles the next
+    commands in order, and rounds end when the outcomes agree with the takers they were made with. Keys
+    without shared ids are walked once.
+    """
+    key, seq = columns[:2]
+    log = log.select(*columns).where(F.col(key).isNotNull())
+    spark = log.sparkSession
+    ids = log.where("operation_id is not null").groupBy("operation_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("operation_id")
+    path = shared_path(spark)
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    def marked(rows: DataFrame, takers: DataFrame | None) -> DataFrame:
+        if takers is None:
+            return rows.withColumn("taken", F.lit(False))
+        t = takers.select("operation_id", F.col("first.seq").alias("_seq"), F.col("first.key").alias("_key"))
+        other = (F.col(key) != F.col("_key")) & (F.struct(F.col(seq), F.col(key)) > F.struct("_seq", "_key"))
+        return rows.join(t, "operation_id", "left").select(*columns, F.coalesce(other, F.lit(False)).alias("taken"))
+
+    shared = stored(log.join(ids, "operation_id", "left_semi").select(key, seq, "operation_id"), "shared")
+    keys = shared.select(key).distinct()
+    concerned, takers, state = log.join(keys, key, "left_semi"), None, (0, None)
+    for n in count():
+        told = walk(marked(concerned, takers), [*columns, "taken"], make, schema).where(F.col(seq).isNotNull()).select(key, seq, "outcome")
+        won = told.where(~F.col("outcome").rlike("^(replayed|" + "|".join(REFUSED) + ")")).join(shared, [key, seq])
+        takers = stored(won.groupBy("operation_id").agg(F.min(F.struct(F.col(seq).alias("seq"), F.col(key).alias("key"))).alias("first")), f"takers{n}")
+        before, state = state, tuple(takers.agg(F.count("*"), F.sum(F.xxhash64("operation_id", "first").cast("decimal(38,0)"))).first())
+        if before == state:
+            return walk(marked(log, takers), [*columns, "taken"], make, schema)
+
+
 @dataclass
 class Document(Commanded):
     """What the commands of one document have left so far."""
@@ -138,11 +188,11 @@ def apply_corpus_commands(log: DataFrame) -> DataFrame:
 
     Each document's commands pass one task in order of `seq`; only the state of the document at hand is held:
     its versions and the operations done, not its commands. Kinds: index, activate, share (a policy snapshot),
-    drop (a version), delete (the document). A repeated operation id of a document with the same command
-    repeats its outcome. Other columns are ignored; commands without a document_id are left out.
+    drop (a version), delete (the document). A repeated operation id with the same command repeats its
+    outcome, also across the store, see `fold_commands`. Other columns are ignored; commands without a
+    document_id are left out.
     """
-
-    return walk(log, COMMANDS, Document, FOLDED)
+    return fold_commands(log, COMMANDS, Document, FOLDED)
 
 
 CHAT_COMMANDS = ["conversation_id", "seq", "operation_id", "kind", "message_ids", "digests", "owner_scope", "lifecycle", "revision", "scopes"]
@@ -161,7 +211,7 @@ class Conversation(Commanded):
     archive_revision: int = 0
     access: int = 0
     scopes: tuple = ()
-    messages: dict = field(default_factory=dict)  # id -> [digest, retract revision; None if not retracted]
+    messages: MutableMapping = field(default_factory=dict)  # id -> digest, retract revision (None if not retracted)
     deletes: set = field(default_factory=set)
 
     def _late(self, life: int) -> bool:
@@ -186,7 +236,8 @@ class Conversation(Commanded):
         self.owner = c["owner_scope"]
         self.lifecycle = max(self.lifecycle, c["lifecycle"])
         for m, x in new.items():
-            self.messages.setdefault(m, [x, None])
+            if m not in self.messages:
+                self.messages[m] = x, None
         return "indexed"
 
     def archive(self, c: dict) -> str:
@@ -223,7 +274,7 @@ class Conversation(Commanded):
             return "stale_retract"
         if self._late(c["lifecycle"]):
             return "stale_lifecycle"
-        message[1] = c["revision"]
+        self.messages[c["message_ids"][0]] = message[0], c["revision"]
         self.lifecycle = max(self.lifecycle, c["lifecycle"])
         return "retracted"
 
@@ -252,7 +303,7 @@ def apply_chat_commands(log: DataFrame) -> DataFrame:
     """The chat corpus fold (E-09), with rows as `apply_corpus_commands` has them: outcomes, then the state of
     each conversation and of its messages. Kinds: index (messages, whose contents never change), archive, share
     (a scope snapshot), retract (a message), delete (the conversation)."""
-    return walk(log, CHAT_COMMANDS, Conversation, CHAT_FOLDED)
+    return fold_commands(log, CHAT_COMMANDS, Conversation, CHAT_FOLDED)
 
 
 def authorised(spaces: list[str], documents: list[int]) -> Column:

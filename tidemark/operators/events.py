@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.walk import walk
+from tidemark.sources.tables import BatchTable
 
 EVENT = ["document_id", "sequence", "kind", "aggregate_revision", "access_revision", "lifecycle_revision"]
 FOLDED = "document_id long, sequence long, outcome string, live boolean, agg long, acc long, life long, dead boolean, t_agg long, t_acc long, t_life long, last long"
@@ -102,6 +103,61 @@ def apply_document_events(log: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     return state, tombs, f.where("sequence is not null").select("document_id", "sequence", "outcome")
 
 
+STATE = "document_id long, live boolean, agg long, acc long, life long, dead boolean, t_agg long, t_acc long, t_life long, last long, seen long, content string"
+
+
+@dataclass
+class Resumed(Fenced):
+    """A document that goes on from its stored row; events up to the last one it saw change nothing."""
+
+    seen: int = 0
+
+    def apply(self, e: dict) -> str:
+        if e["kind"] == "stored":
+            for name in (c.split()[0] for c in STATE.split(", ")[1:-1]):
+                setattr(self, name, e[name])
+            return "stored"
+        if e["sequence"] <= self.seen:
+            return "seen"
+        self.seen = e["sequence"]
+        return super().apply(e)
+
+    def rows(self, document_id: int) -> Iterator[tuple]:
+        yield document_id, None, None, *self.stored(), self.last, self.seen
+
+
+def resume_document_events(stored: DataFrame, events: DataFrame) -> DataFrame:
+    """Rows of `STATE` after events (E-01) on top of stored rows (IO-12, IO-13): the documents of both.
+
+    The content of a live document is that of its winning event, new or stored."""
+    numbers = [c.split() for c in STATE.split(", ")[1:-1]]
+    before = stored.select("document_id", F.lit(-1).cast("bigint").alias("sequence"), F.lit("stored").alias("kind"), *[F.lit(None).cast("bigint").alias(c) for c in EVENT[3:]], *[n for n, _ in numbers])
+    after = events.select(*EVENT, *[F.lit(None).cast(kind).alias(n) for n, kind in numbers])
+    f = walk(before.unionByName(after), [*EVENT, *(n for n, _ in numbers)], Resumed, f"{FOLDED}, seen long").where("sequence is null")
+    won = events.select("document_id", F.col("sequence").alias("last"), F.col("content").alias("fresh"))
+    j = f.drop("sequence", "outcome").join(won, ["document_id", "last"], "left").join(stored.select("document_id", "content"), "document_id", "left")
+    return j.withColumn("content", F.when(F.col("live"), F.coalesce("fresh", "content"))).select(*[c.split()[0] for c in STATE.split(", ")])
+
+
+def merge_batch(table: BatchTable, batch: int, events: DataFrame) -> bool:
+    """Folds a batch of distinct events into a stored state table and rewrites the buckets it touches only.
+
+    A batch that is done, and events the documents have seen, change nothing."""
+    if batch in table.batches():
+        return False
+    touched = table.touched(events)
+    return table.write(batch, resume_document_events(table.current(touched), events), touched)
+
+
+def clean_chunks(chunks: BatchTable, batch: int, state: DataFrame) -> bool:
+    """Removes the chunks of documents that the state says are dead, some time after their delete (E-21); buckets
+    without such chunks stay as they are. Until then readers join the state, which hides them."""
+    dead = state.where("dead").select("document_id")
+    stale = chunks.current().join(dead, "document_id", "left_semi")
+    touched = chunks.touched(stale)
+    return bool(touched) and chunks.write(batch, chunks.current(touched).join(dead, "document_id", "left_anti"), touched)
+
+
 def decide_record_events(log: DataFrame) -> DataFrame:
     """Adds `decision` to record events (E-02): windows only.
 

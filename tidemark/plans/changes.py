@@ -9,6 +9,7 @@ from tidemark.operators import events as EV
 from tidemark.operators import lifecycle as L
 from tidemark.plans import fixtures as X
 from tidemark.plans.registry import query
+from tidemark.sources.tables import BatchTable, shared_path
 
 FOLD = f"""WITH RECURSIVE {X.DE}, o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY sequence) AS i FROM de),
 f AS (SELECT document_id, 0::BIGINT AS i, 0::BIGINT AS sequence, NULL::VARCHAR AS outcome, FALSE AS live, 0::BIGINT AS agg, 0::BIGINT AS acc, 0::BIGINT AS life, FALSE AS dead, 0::BIGINT AS t_agg, 0::BIGINT AS t_acc, 0::BIGINT AS t_life, 0::BIGINT AS last FROM (SELECT DISTINCT document_id FROM de)
@@ -40,6 +41,20 @@ def e01_tombs(spark, d):
     return EV.apply_document_events(log(spark, d))[1]
 
 
+@query("io12_io13_merged_state", f"{FOLD} SELECT document_id, live, agg, acc, life, dead, t_agg, t_acc, t_life, last, CASE WHEN live THEN event_type END AS content FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY i DESC) AS k FROM f) JOIN events ON event_id + 1 = last WHERE k = 1")
+def io12(spark, d):
+    """The log in five slices, each merged into a stored state table; the third is delivered twice, once under
+    its old number and once under a new one."""
+    table = BatchTable(spark, shared_path(spark), EV.STATE, "document_id", buckets=16)
+    low, high = log(spark, d).agg(F.min("sequence"), F.max("sequence")).first()
+    step = F.floor((F.col("sequence") - (low or 0)) * 5 / ((high or 0) - (low or 0) + 1))
+    for number, piece in enumerate((0, 1, 2, 3, 2, 4)):
+        EV.merge_batch(table, number, log(spark, d).where(step == piece))
+    EV.merge_batch(table, 2, log(spark, d).where(step == 2))
+    table.sweep()
+    return table.current().drop("seen")
+
+
 @query("e06_a05_rebuild_counts", f"{FOLD} SELECT count(DISTINCT document_id) FILTER (outcome = 'applied') AS rebuilt, count(*) FILTER (outcome <> 'applied') AS skipped, count(*) FILTER (outcome IS NULL) AS failed, max(sequence) AS cursor FROM f WHERE i > 0")
 def e06(spark, d):
     o = EV.apply_document_events(log(spark, d))[2]
