@@ -169,3 +169,48 @@ def test_chat_operation_ids_count_for_the_whole_store(spark):
     rows = [(r.randrange(8), i, f"op{r.randrange(180)}", r.choice(["index", "index", "archive", "share", "retract", "delete"]), [f"m{r.randrange(5)}"], ["x"], "s", i // 80, 1 + i // 40, ["s1"]) for i in range(400)]
     got = C.apply_chat_commands(spark.createDataFrame(rows, schema)).where("seq is not null").collect()
     assert {(x.conversation_id, x.seq): x.outcome for x in got} == by_one_ledger(rows, C.Conversation, C.CHAT_COMMANDS)
+
+
+CHAT = "conversation_id long, seq long, operation_id string, kind string, message_ids array<string>, digests array<string>, owner_scope string, lifecycle long, revision long, scopes array<string>"
+
+
+def chat_commands(n=360, seed=3):
+    """Commands a minute apart; ids come again in a conversation, some within the ledger's hour and some after."""
+    r, rows = random.Random(seed), []
+    for i in range(n):
+        again = rows and r.random() < 0.3
+        row = r.choice(rows[-250:])[:1] + (i,) + r.choice(rows[-250:])[2:10] if again and r.random() < 0.3 else None
+        if again and row is None:
+            old = r.choice(rows[-250:])
+            row = (old[0], i, *old[2:10])
+        row = row or (r.randrange(6), i, f"op{i}", r.choice(["index", "index", "index", "archive", "share", "retract", "delete"]), [f"m{r.randrange(6)}"], [f"x{r.randrange(3) // 2}"], "s", i // 60, 1 + i // 30, [f"s{r.randrange(2)}"])
+        rows.append((*row, 60_000 * (i + 1)))
+    return rows
+
+
+def test_chat_stream_forgets_as_the_batch_does(spark, tmp_path):
+    """Over a restart, and with operations that come again after the ledger's hour has passed."""
+    from tidemark.streaming import chat
+    from tidemark.streaming.apply import run_available
+
+    rows, keep = chat_commands(), 3_600_000
+    log = spark.createDataFrame(rows, CHAT + ", at long")
+    want = {(x.conversation_id, x.seq): x.outcome for x in C.apply_chat_commands(log, keep).where("seq is not null").collect()}
+    for_ever = {(x.conversation_id, x.seq): x.outcome for x in C.apply_chat_commands(log, 10**15).where("seq is not null").collect()}
+    assert want != for_ever and sum(o.startswith("replayed") for o in want.values()) > 3
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", chat.ROCKS)
+    source, timed = tmp_path / "in", log.withColumn("time", F.timestamp_millis("at"))
+    try:
+        for k in range(4):
+            timed.where(F.floor(F.col("seq") / 90) == k).coalesce(1).write.mode("append").parquet(str(source))
+            if k in (1, 3):  # a stop between the second file and the third
+                stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+                run_available(chat.apply_chat_commands(stream, keep), str(tmp_path / "out"), str(tmp_path / "cp"))
+        out = spark.read.parquet(str(tmp_path / "out"))
+        assert {(x.conversation_id, x.seq): x.outcome for x in out.collect()} == want
+        assert out.count() == len(rows)
+        ledger = spark.read.format("statestore").option("stateVarName", "done").load(str(tmp_path / "cp"))
+        held = {x.operation_id for x in ledger.select("user_map_key.operation_id").distinct().collect()}
+        assert 0 < len(held) < 110  # an hour's operations, and those behind the watermark's delay
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

@@ -33,7 +33,7 @@ class Commanded:
         another key's command has `taken`, conflicts."""
         if c.get("taken"):
             return "conflict"
-        said = "\x1f".join(str(v) for k, v in c.items() if k not in ("seq", "operation_id", "taken", "at"))
+        said = "\x1f".join(str(v) for k, v in c.items() if k not in ("seq", "operation_id", "taken", "at", "time"))
         at = c.get("at") or 0
         if c["operation_id"] in self.done:
             first, outcome, since = self.done[c["operation_id"]]
@@ -299,11 +299,16 @@ class Conversation(Commanded):
             yield conversation_id, None, None, m, self.owner, digest, retract is not None, retract, self.archived, self.archive_revision, self.access, self.lifecycle, self.tombstone, self.dead, list(self.scopes)
 
 
-def apply_chat_commands(log: DataFrame) -> DataFrame:
+def apply_chat_commands(log: DataFrame, keep: int | None = None) -> DataFrame:
     """The chat corpus fold (E-09), with rows as `apply_corpus_commands` has them: outcomes, then the state of
     each conversation and of its messages. Kinds: index (messages, whose contents never change), archive, share
-    (a scope snapshot), retract (a message), delete (the conversation)."""
-    return fold_commands(log, CHAT_COMMANDS, Conversation, CHAT_FOLDED)
+    (a scope snapshot), retract (a message), delete (the conversation).
+
+    keep: an operation is remembered for so long after its time, the log's further column `at` (E-11); its id is
+    then its conversation's own."""
+    if keep is None:
+        return fold_commands(log, CHAT_COMMANDS, Conversation, CHAT_FOLDED)
+    return walk(log, [*CHAT_COMMANDS, "at"], lambda: Conversation(keep=keep), CHAT_FOLDED)
 
 
 def authorised(spaces: list[str], documents: list[int]) -> Column:
