@@ -70,3 +70,33 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     j = listed(a, "a").join(listed(b, "b"), "query_id")
     size = lambda x: F.size(x).cast("bigint")
     return j.select("query_id", size(F.array_except("a", "b")).alias("only_left"), size(F.array_except("b", "a")).alias("only_right"), size(F.array_intersect("a", "b")).alias("common"), (F.col("a") == F.col("b")).alias("identical"))
+
+
+#: Passages of fewer characters are compared with every text.
+SHORT = 12
+
+
+def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, document_id) of the documents whose body contains a passage, as `contains` says (T-25).
+
+    A passage is anchored by the inner one of its whole words, between single characters that are none, that the
+    fewest documents hold: an equi-join finds the documents with that word, and only those are compared. A
+    passage without an inner word, or a short one, has no anchor and is compared with all.
+    docs: document_id, body; passages: query_id, passage.
+    """
+    inner = F.regexp_extract_all("passage", F.lit(r"(?<=[^\p{L}\p{Nd}])[\p{L}\p{Nd}]+(?=[^\p{L}\p{Nd}])"), F.lit(0))
+    p = passages.where("passage is not null").withColumn("words", F.array_distinct(inner))
+    anchored = (F.size("words") > 0) & (F.char_length("passage") >= SHORT)
+    words = p.where(anchored).select("query_id", "passage", F.explode("words").alias("word"))
+    held = docs.where("body is not null").select("document_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)))).alias("word"))
+    held = held.join(words.select("word").distinct(), "word")
+    df = held.groupBy("word").agg(F.count("*").alias("df"))
+    rare = words.join(df, "word").groupBy("query_id", "passage").agg(F.min(F.struct("df", "word")).alias("r"), F.count("*").alias("n"))
+    all_known = words.groupBy("query_id", "passage").agg(F.count("*").alias("n"))  # a passage with a word that no document holds is in none
+    anchors = rare.join(all_known, ["query_id", "passage", "n"]).select("query_id", "passage", F.col("r.word").alias("word"))
+    near = held.join(anchors, "word").select("query_id", "passage", "document_id")
+    found = near.join(docs, "document_id").where(F.contains("body", "passage")).select("query_id", "document_id")
+    others = p.where(~anchored).select("query_id", "passage")
+    if others.isEmpty():
+        return found.distinct()
+    return found.unionByName(docs.join(others, F.contains("body", "passage")).select("query_id", "document_id")).distinct()

@@ -33,17 +33,21 @@ def corpus_statistics(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens("text"))).alias("avg_length"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, chunk_id, score): BM25 over distinct query terms of all chunks that hold one."""
-    terms = query_terms(queries)
-    tf = term_counts(chunks, terms)
+def bm25_parts(tf: DataFrame, terms: DataFrame, statistics: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, chunk_id, score) from term counts, the queries' terms and the one row of corpus statistics."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    s = tf.join(df, "term").join(terms, "term").crossJoin(corpus_statistics(chunks))
+    s = tf.join(df, "term").join(terms, "term").crossJoin(statistics)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     return s.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, chunk_id, score): BM25 over distinct query terms of all chunks that hold one."""
+    terms = query_terms(queries)
+    return bm25_parts(term_counts(chunks, terms), terms, corpus_statistics(chunks), k1, b)
+
+
 def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, chunk_id, score, rank): BM25 over distinct query terms, ties by id (T-15)."""
     return top(bm25_scores(chunks, queries, k1, b), k, F.desc("score"), "chunk_id")
@@ -64,15 +68,27 @@ def dense_search(chunks: DataFrame, queries: DataFrame, k: int, positive_only: b
     return top(s.where("score > 0") if positive_only else s, k, F.desc("score"), "chunk_id")
 
 
+#: So many terms, short strings, may go to every task as a filter of tokens.
+FEW_TERMS = 10_000
+
+
 def sparse_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank): dot product of hashed term counts (T-16).
 
-    Each distinct term of the corpus is hashed once; only those that meet a query's index go on.
+    Each distinct term of the corpus is hashed once. The terms that meet a query's index are few more than the
+    queries' own; if they are at most `FEW_TERMS`, texts give only tokens among them to the shuffle, else all.
     """
     q = sparse_terms(queries.select("query_id", tokens("text").alias("t")), "query_id", "t").withColumnRenamed("n", "qn")
-    words = chunks.select("chunk_id", F.explode(tokens("text")).alias("term"))
-    known = words.select("term").distinct().withColumn("index", fnv32("term")).join(q.select("index").distinct(), "index")
-    c = words.join(known, "term").groupBy("chunk_id", "index").agg(F.count("*").alias("cn"))
+    t = chunks.select("chunk_id", tokens("text").alias("t"))
+    known = t.select(F.explode("t").alias("term")).distinct().withColumn("index", fnv32("term")).join(q.select("index").distinct(), "index")
+    few = known.select("term", "index").limit(FEW_TERMS + 1).collect()
+    words = t.select("chunk_id", F.explode("t").alias("term"))
+    if len(few) <= FEW_TERMS:
+        known = chunks.sparkSession.createDataFrame(few, "term string, index long")
+        words = words.join(F.broadcast(known), "term")  # bounded above
+    else:
+        words = words.join(known, "term")
+    c = words.groupBy("chunk_id", "index").agg(F.count("*").alias("cn"))
     s = c.join(q, "index").groupBy("query_id", "chunk_id").agg(F.sum(F.col("cn") * F.col("qn")).cast("double").alias("score"))
     return top(s, k, F.desc("score"), "chunk_id")
 

@@ -11,8 +11,10 @@ from tidemark.operators import corpus as V8
 from tidemark.operators import evaluate as E
 from tidemark.operators import retrieval as R
 from tidemark.operators import scope
+from tidemark.operators.terms import TermStore
 from tidemark.plans import fixtures as X
 from tidemark.plans.registry import query
+from tidemark.sources.tables import shared_path
 
 ASKED = [(1, "the tion of erth"), (2, "unter verein der"), (3, "General Public License")]
 ASKED_SQL = "q(query_id, text) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in ASKED) + ")"
@@ -66,6 +68,39 @@ def t16(spark, d):
     return R.sparse_search(corpus(spark, d), asked(spark), 10)
 
 
+#: Each tenth of the documents, thrice: their texts end in another's first 300 characters, come back, or are gone.
+REPLACED = """rc AS (SELECT doc_id, doc_id % 10 AS turn, text FROM documents), now AS (SELECT doc_id, text FROM rc WHERE turn NOT IN (1, 2) UNION ALL SELECT a.doc_id, a.text || ' ' || substr(coalesce(b.text, ''), 1, 300) FROM rc a LEFT JOIN rc b ON b.doc_id = a.doc_id - 1 WHERE a.turn = 1)"""
+
+
+def term_store(spark, d):
+    """The documents' term statistics after three replacements: tenths 1 to 3 get longer texts, 3 comes back and 2 goes."""
+    t = X.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), "text")
+    tenth = F.col("document_id") % 10
+    before = t.select((F.col("document_id") + 1).alias("document_id"), F.substring("text", 1, 300).alias("head"))
+    longer = t.where(tenth.between(1, 3)).join(before, "document_id", "left").withColumn("text", F.concat_ws(" ", "text", F.coalesce("head", F.lit("")))).drop("head")
+    store = TermStore(spark, shared_path(spark), buckets=32)
+    store.replace(0, t)
+    store.replace(1, longer)
+    store.replace(2, t.where(tenth == 3))
+    store.replace(3, t.limit(0), t.where(tenth == 2).select("document_id"))
+    return store
+
+
+KEPT = BM25.replace("FROM documents)", "FROM now)", 1).replace("ch0 AS", f"{REPLACED}, ch0 AS", 1)
+
+
+@query("t15_io14_maintained_search", f"WITH {KEPT} SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm) WHERE rank <= 10")
+def t15_maintained(spark, d):
+    return term_store(spark, d).bm25_search(asked(spark), 10)
+
+
+@query("a09_a11_maintained_statistics", f"WITH {KEPT} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, sum(len)::BIGINT AS lengths, (SELECT n FROM st) AS n, round((SELECT a FROM st), 6) AS avg_length FROM tf GROUP BY term")
+def a09_maintained(spark, d):
+    store = term_store(spark, d)
+    counts = store.term_counts(R.query_terms(asked(spark))).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.sum("length").alias("lengths"))
+    return counts.crossJoin(store.statistics()).withColumn("avg_length", F.round("avg_length", 6))
+
+
 DENSE = "ev AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings), ds AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label, round(list_dot_product(c.v, q.v) / (sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(q.v, q.v))), 6) AS score FROM ev c, ev q WHERE q.vec_id % 100 = 0)"
 
 
@@ -237,7 +272,7 @@ def relevance(spark, d):
     b = X.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     asks = b.select("query_id", F.array_join(F.slice(F.split(F.replace("passage", F.lit("\n"), F.lit(" ")), " "), 1, 6), " ").alias("text"))
     docs = X.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("body"))
-    return asks, docs.join(b, F.contains("body", "passage")).select("query_id", "document_id")
+    return asks, E.holding(docs, b)
 
 
 @query("t25_retrieval_quality", f"""WITH {QREL}, ch0 AS (SELECT doc_id AS chunk_id, {TOK.format('text')} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM ch0),
