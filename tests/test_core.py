@@ -148,14 +148,10 @@ def test_files(spark, tmp_path):
     assert t == {"guide": "Top", "memo": "Head"}
 
 
-def test_inbound_and_history(spark, tmp_path):
+def test_inbound(spark, tmp_path):
     (tmp_path / "in.json").write_text('{"comment": "c", "events": [{"bot_id": "1", "user_id": "u", "message_id": "m1", "text": "t", "group_id": null, "mentioned": false}, {"bot_id": "1", "user_id": "u", "message_id": "m2", "text": "t", "group_id": "g", "mentioned": true}]}')
     r = logs.ingest_inbound(spark, str(tmp_path / "in.json")).collect()
     assert [x["conversation_id"] for x in r] == ["qq:1:private:u", "qq:1:group:g"] and all(x["problem"] is None for x in r) and r[0]["ledger_id"][14] == "5"
-    m = spark.createDataFrame([(k, "group", k % 3, k * 40000) for k in range(10)], "message_id long, group_type string, to_id long, created_at long")
-    logs.write_messages(m, str(tmp_path / "h"))
-    logs.compact(spark, str(tmp_path / "h"), str(tmp_path / "c"), 3)
-    assert spark.read.parquet(str(tmp_path / "c")).count() == 7
 
 
 def test_registered_queries_have_names_and_sql():

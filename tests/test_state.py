@@ -214,3 +214,124 @@ def test_chat_stream_forgets_as_the_batch_does(spark, tmp_path):
         assert 0 < len(held) < 110  # an hour's operations, and those behind the watermark's delay
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+# ---- term statistics
+
+
+def test_term_store_equals_a_fresh_count(spark, tmp_path):
+    """After replacements, removals and a lost batch, searches equal those over the chunks' texts."""
+    from tidemark.operators import retrieval as R
+    from tidemark.operators.terms import TermStore
+
+    r = random.Random(4)
+    text = lambda: " ".join(r.choice("alpha beta gamma delta eps zeta eta Ünïcode 中文".split()) for _ in range(r.randrange(30)))
+    held = {(d, 10 * d + k): text() for d in range(40) for k in range(3)}
+    held[0, 0] = ""
+    frame = lambda rows: spark.createDataFrame([(*k, t) for k, t in rows.items()], "document_id long, chunk_id long, text string")
+    store = TermStore(spark, str(tmp_path / "t"), buckets=5)
+    store.replace(0, frame(held))
+    for batch in (1, 2, 3):
+        chosen = r.sample(range(45), 12)  # some are new
+        new = {(d, 10 * d + k): text() for d in chosen if r.random() < 0.8 for k in range(r.randrange(1, 4))}
+        named = spark.createDataFrame([(d,) for d in chosen], "document_id long")
+        if batch == 2:  # lost after the postings were written: they count for the batch when it goes on
+            write, store.owners.write = store.owners.write, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+            with pytest.raises(RuntimeError, match="lost"):
+                store.replace(batch, frame(new), named)
+            store.owners.write = write
+        assert store.replace(batch, frame(new), named)
+        assert not store.replace(batch, frame(new), named)
+        held = {k: t for k, t in held.items() if k[0] not in chosen} | new
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "中 eta eta"), (3, "absent"), (4, "Ünïcode zeta gamma")], "query_id int, text string")
+    chunks = frame(held).select("chunk_id", "text")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(store.statistics()) == rows(R.corpus_statistics(chunks))
+    assert rows(store.bm25_search(queries, 7)) == rows(R.bm25_search(chunks, queries, 7).select("query_id", "chunk_id", "score", "rank"))
+    assert rows(store.sparse_search(queries, 7)) == rows(R.sparse_search(chunks, queries, 7).select("query_id", "chunk_id", "score", "rank"))
+    plan = store.bm25_search(queries, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in "".join(x for x in plan.split("\n") if "ReadSchema" in x or "Scan parquet" in x)
+    empty = TermStore(spark, str(tmp_path / "e"))
+    assert empty.bm25_search(queries, 3).count() == 0 and empty.statistics().first().n == 0
+
+
+def test_sparse_search_without_few_terms(spark, monkeypatch):
+    from tidemark.operators import retrieval as R
+
+    chunks = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 17}" for j in range(20))) for k in range(30)], "chunk_id long, text string")
+    queries = spark.createDataFrame([(1, "w3 w4 w4"), (2, "w16")], "query_id int, text string")
+    few = sorted(map(tuple, R.sparse_search(chunks, queries, 50).collect()))
+    monkeypatch.setattr(R, "FEW_TERMS", 1)
+    assert sorted(map(tuple, R.sparse_search(chunks, queries, 50).collect())) == few and few
+
+
+def test_passages_are_found_as_contains_finds_them(spark):
+    from tidemark.operators.evaluate import holding
+
+    r = random.Random(6)
+    words = ["uno", "dos", "tres", "Años", "x1", "中文", "a-b", "it's"]
+    bodies = [" ".join(r.choice(words) + r.choice(["", ",", ".", "\n"]) for _ in range(60)) for _ in range(40)] + [None, "", "uno"]
+    asks = [b[k : k + n] for b in bodies[:20] for k, n in ((3, 40), (11, 25), (0, 9))] + ["not here at all, ever", "unknownword between uno dos", "uno", "", None, "-------------", "no"]
+    docs, passages = spark.createDataFrame(list(enumerate(bodies)), "document_id long, body string"), spark.createDataFrame(list(enumerate(asks)), "query_id long, passage string")
+    want = {(q, d) for q, a in enumerate(asks) if a is not None for d, b in enumerate(bodies) if b is not None and a in b}
+    assert {tuple(x) for x in holding(docs, passages).collect()} == want
+    long = passages.where("length(passage) >= 25 and passage not like '----%'")
+    found = holding(docs, long)
+    assert {tuple(x) for x in found.collect()} <= want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+# ---- history and snapshots
+
+
+def test_history_is_compacted_and_skips(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from tidemark.sources.history import DAY, History
+
+    schema = "to_id long, group_type string, message_id long, created_at long, payload string"
+    r = random.Random(2)
+    rows = [(k % 40, "group", k, r.randrange(4 * DAY), "p" * r.randrange(50)) for k in range(6000)] + [(1, "group", 9000, -5, "before")]
+    table = History(spark, str(tmp_path / "h"), schema, tasks=2, row_group_bytes=4096)
+    table.options["parquet.page.size"] = "1024"
+    for n in range(5):
+        table.write(n, spark.createDataFrame([x for x in rows if x[2] % 5 == n], schema))
+    every = sorted(rows)
+    assert sorted(map(tuple, table.current().collect())) == every and table.days() == [-1, 0, 1, 2, 3]
+
+    def groups(to_id, day):
+        """Row groups of a day that the statistics of to_id do not rule out, and all."""
+        files = [f for v, b in table.parts([day]) for f in glob.glob(f"{table._folder(v, b)}/*.parquet")]
+        meta = [pq.ParquetFile(f).metadata for f in files]
+        stats = [m.row_group(k).column(0).statistics for m in meta for k in range(m.num_row_groups)]
+        return sum(s.min <= to_id <= s.max for s in stats), len(stats)
+
+    before = groups(7, 1)
+    hot = {f for v, b in table.parts([3]) for f in glob.glob(f"{table._folder(v, b)}/*.parquet")}
+    assert table.compact(5, before_day=3) and not table.compact(6, before_day=3)
+    after = groups(7, 1)
+    assert after[0] < before[0] and after[0] < after[1] and after[0] <= 2
+    assert {f for v, b in table.parts([3]) for f in glob.glob(f"{table._folder(v, b)}/*.parquet")} == hot
+    assert sorted(map(tuple, table.current().collect())) == every
+    table.write(7, spark.createDataFrame([(7, "group", 7777, DAY + 5, "late")], schema))  # a late message of a compacted day
+    assert sorted(map(tuple, table.between(DAY, 2 * DAY - 1).where("to_id = 7").collect())) == sorted([x for x in rows if x[0] == 7 and DAY <= x[3] < 2 * DAY] + [(7, "group", 7777, DAY + 5, "late")])
+    assert table.compact(8, before_day=3) and len(table.parts([1])) == 1
+    assert table.sweep() > 0 and table.current().count() == len(rows) + 1
+
+
+def test_snapshot_counts_are_those_of_the_checks(spark, tmp_path):
+    from tidemark.operators import checks as Q
+
+    r = random.Random(3)
+    child = spark.createDataFrame([(k, r.randrange(9), r.choice([None, -1, 1, 2]), r.randrange(60)) for k in range(200)], "id long, parent long, value long, k long")
+    parent = spark.createDataFrame([(p,) for p in (0, 1, 2, 3, 3)], "parent long")
+    rules = {"non_negative": F.col("value") >= 0}
+    flagged = Q.is_unique(Q.has_parent(child, parent, ["parent"], "known"), ["k"], "once", F.col("value") != 2)
+    got = Q.write_snapshot(flagged, {**rules, "known": F.col("known"), "once": F.col("once")}, str(tmp_path / "s"), ["id", "parent", "value", "k"])
+    pairs = Q.duplicates(child, ["k"], F.col("value") != 2).agg(F.sum("n")).first()[0]
+    assert got == {"rows": 200, "non_negative": Q.bad_values(child, "id", rules).count(), "known": Q.missing_parent(child, parent, ["parent"]).count(), "once": pairs}
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    assert stored.columns == ["id", "parent", "value", "k"] and stored.count() == 200

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,32 @@ def revision_jumps(old: DataFrame, new: DataFrame, key: str, revision: str) -> D
     """Updated rows whose revision did not rise by one (Q-14)."""
     j = old.select(key, F.col(revision).alias("a"), F.col("content").alias("x")).join(new.select(key, F.col(revision).alias("b"), F.col("content").alias("y")), key)
     return j.where("not (x <=> y) and b <> a + 1").select(key)
+
+
+def has_parent(child: DataFrame, parent: DataFrame, key: list[str], name: str) -> DataFrame:
+    """`child` with a flag column that is true where the parent exists (Q-15, Q-03, Q-05)."""
+    p = parent.select(*key).distinct().withColumn(name, F.lit(True))
+    return child.join(p, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def is_unique(df: DataFrame, key: list[str], name: str, where: Column | None = None) -> DataFrame:
+    """`df` with a flag column that is true where no other row under the condition has the key (Q-06, Q-10).
+
+    Counts come from an aggregate and join back, so that a key of very many rows is no window of one task."""
+    counted = df if where is None else df.where(where)
+    n = counted.groupBy(*key).agg((F.count("*") == 1).alias(name))
+    flag = F.coalesce(name, F.lit(True)) if where is None else F.when(where, F.coalesce(name, F.lit(True))).otherwise(True)
+    return df.join(n, key, "left").withColumn(name, flag)
+
+
+def write_snapshot(df: DataFrame, rules: dict[str, Column], path: str, columns: list[str] | None = None) -> dict[str, int]:
+    """Writes a snapshot and returns how many of its rows break each rule, and `rows` (Q-01 to Q-15).
+
+    The counts are metrics of the write itself, so a table is read once for all of its rules; a rule whose outcome
+    is unknown passes, as in SQL checks. Rules that ask other rows or tables use flag columns (`has_parent`,
+    `is_unique`). columns: what is stored, all by default.
+    """
+    seen = Observation()
+    counts = [F.count("*").alias("rows"), *[F.count(F.when(~rule, 1)).alias(name) for name, rule in rules.items()]]
+    df.observe(seen, *counts).select(*(columns or df.columns)).write.mode("overwrite").parquet(path)
+    return dict(seen.get)

@@ -243,6 +243,14 @@ def to_hits(hits: DataFrame, index: DataFrame, queries: DataFrame) -> DataFrame:
     return h.withColumn("snippet", snippet("summary", "content", "query")).drop("summary", "content", "query")
 
 
+def hydrate(hits: DataFrame, index: DataFrame, allowed: Column, queries: DataFrame) -> DataFrame:
+    """Recalled ids with title, owner and snippet from the projection (J-09, F-23): ids it lacks, or that are not
+    allowed to be seen, drop out and the rest close up (`place`). hits: query_id, document_id, rank, score, k rows a
+    query; queries: query_id, text, one row of parameters each (J-01)."""
+    shown = to_hits(hits.join(index.where(allowed).select("document_id"), "document_id", "left_semi"), index, queries)
+    return shown.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+
+
 def search_documents(index: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], scope: Column, offset: int = 0, limit: int = 10, window: int = 1000, recall: int = 100) -> DataFrame:
     """Hybrid document search (T-20): scoped keyword window and scoped vector arm, fused, one page, with
     the exact total and whether more follows. Only the `window` best keyword matches are fused; the others

@@ -10,6 +10,7 @@ from tidemark.operators import lifecycle as L
 from tidemark.operators import scope
 from tidemark.plans import fixtures as X
 from tidemark.plans.registry import query
+from tidemark.sources.tables import shared_path
 
 PAIRS = f"""{X.AC}, mb AS (SELECT space_id, subject_key FROM c WHERE NOT revoked), g AS (SELECT * FROM ag WHERE NOT revoked),
 rp AS (SELECT document_id, owner_subject_key AS subject_key FROM ad UNION SELECT document_id, grantee_subject_key FROM g WHERE grantee_subject_key IS NOT NULL UNION SELECT document_id, subject_key FROM g JOIN mb ON grantee_space_id = space_id UNION SELECT document_id, subject_key FROM ad JOIN mb ON owner_space_id = space_id UNION SELECT document_id, subject_key FROM ad, c WHERE is_public AND active)"""
@@ -156,6 +157,25 @@ def q03(spark, d):
     return Q.active_version_broken(docs, X.versions(spark, d))
 
 
+@query("q_observed_snapshots", f"""WITH {X.VE}, o AS (SELECT *, (o_orderkey, o_custkey % 7 + 1) IN (SELECT (document_id, revision) FROM ve WHERE publication = 'published') AS q03, o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 <> 0) AS q15 FROM orders),
+l AS (SELECT *, l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 20 <> 0) AS q15, l_returnflag = 'N' OR count(*) FILTER (l_returnflag <> 'N') OVER (PARTITION BY l_orderkey, l_linenumber) = 1 AS q06 FROM lineitem)
+SELECT 'orders' AS snapshot, unnest(['rows', 'q03', 'q12', 'q15']) AS rule, unnest([count(*), count(*) FILTER (NOT q03), count(*) FILTER (o_totalprice < 50000), count(*) FILTER (NOT q15)]) AS n FROM o
+UNION ALL SELECT 'lineitem', unnest(['rows', 'q06', 'q08', 'q12', 'q15']), unnest([count(*), count(*) FILTER (NOT q06), count(*) FILTER (l_tax > l_discount), count(*) FILTER (l_quantity > 40), count(*) FILTER (NOT q15)]) FROM l""")
+def q_observed(spark, d):
+    """All rules of a table counted by the one job that writes its snapshot."""
+    versions = X.versions(spark, d).where("publication = 'published'").select("document_id", F.col("revision").alias("active_version"))
+    o = X.table(spark, d, "orders").withColumn("document_id", F.col("o_orderkey")).withColumn("active_version", F.col("o_custkey") % 7 + 1).withColumn("c_custkey", F.col("o_custkey"))
+    o = Q.has_parent(Q.has_parent(o, versions, ["document_id", "active_version"], "has_version"), X.table(spark, d, "customer").where("c_custkey % 50 <> 0"), ["c_custkey"], "has_customer")
+    i = X.table(spark, d, "lineitem").withColumn("s_suppkey", F.col("l_suppkey"))
+    i = Q.is_unique(i, ["l_orderkey", "l_linenumber"], "once", F.col("l_returnflag") != "N")
+    i = Q.has_parent(i, X.table(spark, d, "supplier").where("s_suppkey % 20 <> 0"), ["s_suppkey"], "has_supplier")
+    counts = {
+        "orders": Q.write_snapshot(o, {"q03": F.col("has_version"), "q12": F.col("o_totalprice") >= 50000, "q15": F.col("has_customer")}, shared_path(spark), ["o_orderkey", "o_custkey", "o_totalprice"]),
+        "lineitem": Q.write_snapshot(i, {"q06": F.col("once"), "q08": F.col("l_tax") <= F.col("l_discount"), "q12": F.col("l_quantity") <= 40, "q15": F.col("has_supplier")}, shared_path(spark), ["l_orderkey", "l_linenumber", "l_suppkey"]),
+    }
+    return spark.createDataFrame([(t, rule, n) for t, c in counts.items() for rule, n in c.items()], "snapshot string, rule string, n long")
+
+
 @query("q04_q09_immutable_snapshots", "SELECT event_id FROM events WHERE event_id % 37 = 0 OR event_id % 41 = 0")
 def q04(spark, d):
     e = X.table(spark, d, "events").select("event_id", "event_type", "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import storage_key
@@ -10,6 +11,8 @@ from tidemark.operators import chunking as C
 from tidemark.operators import delivery as D
 from tidemark.plans import fixtures as X
 from tidemark.plans.registry import query
+from tidemark.sources.history import History
+from tidemark.sources.tables import shared_path
 
 FAN = f"{X.CH}, mem AS (SELECT DISTINCT to_id, from_id AS member_id FROM ch WHERE NOT (from_id = 'user' AND to_id % 10 = 0)), fo AS (SELECT ch.to_id, message_id, created_at, m.member_id AS recipient_id FROM ch JOIN mem s ON s.to_id = ch.to_id AND s.member_id = ch.from_id JOIN mem m ON m.to_id = ch.to_id)"
 
@@ -57,6 +60,21 @@ def a08(spark, d):
     return X.chat(spark, d).groupBy("to_id").agg(F.count("*").alias("indexed"), F.count(F.when(F.col("retracted"), 1)).alias("retracted"))
 
 
+@query("io17_io18_io19_history_layout", "SELECT to_id, message_id, created_at, length(payload) AS size, row_number() OVER (PARTITION BY to_id ORDER BY created_at DESC, message_id DESC) AS place FROM (SELECT conv_id::BIGINT AS to_id, turn::BIGINT AS message_id, (turn * 40000 + conv_id % 997)::BIGINT AS created_at, text AS payload FROM conversations) WHERE to_id % 50 = 7 AND created_at BETWEEN 40000 AND 250000")
+def io17(spark, d):
+    """Messages appended in three batches and compacted but for the last days; then some recipients' messages of a
+    range of time, newest first."""
+    c = X.chat(spark, d).withColumn("created_at", (F.col("message_id") * 40000 + F.col("to_id") % 997).cast("bigint"))
+    names = ["to_id", "group_type", "message_id", "created_at", "payload"]
+    table = History(spark, shared_path(spark), "to_id long, group_type string, message_id long, created_at long, payload string")
+    for n in range(3):
+        table.write(n, c.where((F.col("message_id") + F.col("to_id")) % 3 == n).select(names))
+    table.compact(3, before_day=max(table.days(), default=0) - 1)
+    found = table.between(40000, 250000).where("to_id % 50 = 7")
+    newest = Window.partitionBy("to_id").orderBy(F.desc("created_at"), F.desc("message_id"))
+    return found.select("to_id", "message_id", "created_at", F.char_length("payload").cast("bigint").alias("size"), F.row_number().over(newest).alias("place"))
+
+
 CONTROLS = f"{X.CH}, st AS (SELECT *, strlen(to_id::VARCHAR)::VARCHAR || ':' || to_id::VARCHAR || strlen(message_id::VARCHAR)::VARCHAR || ':' || message_id::VARCHAR AS storage_id FROM ch), lv AS (SELECT storage_id, archived, retracted, FALSE AS dead FROM st WHERE message_id % 5 <> 0), ct AS (SELECT * FROM lv UNION ALL SELECT storage_id, FALSE, FALSE, TRUE FROM st WHERE message_id % 5 = 0 AND to_id % 2 = 0)"
 
 

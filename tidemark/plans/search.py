@@ -152,6 +152,22 @@ def u06(spark, d):
     return E.compare(parts["k"].where("rank <= 20"), parts["v"].where("rank <= 20"))
 
 
+ASKING = "['is ering', 'der Verein zzz', 'tion']"
+
+
+@query("j01_j09_f23_hydrated_hits", f"""WITH {X.IX}, {DENSE}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds) WHERE rank <= 30),
+h AS (SELECT query_id, chunk_id AS document_id, score, rank, lower({ASKING}[1 + query_id // 100 % 3]) AS need, title, owner_subject_key, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS body FROM t JOIN ix ON chunk_id = document_id WHERE lifecycle = 'active' AND publication = 'published' AND (is_public OR owner_space_id = 'en' OR list_contains(allowed, 'en'))),
+p AS (SELECT *, coalesce(nullif(strpos(lower(body), need), 0), list_filter(list_transform(string_split(need, ' '), lambda w: CASE WHEN length(w) >= 2 THEN strpos(lower(body), w) ELSE 0 END), lambda x: x > 0)[1], 0) AS hit FROM h), q AS (SELECT *, greatest(hit - 81, 0)::BIGINT AS st FROM p)
+SELECT query_id, document_id, score, rank, title, owner_subject_key, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, CASE WHEN body = '' THEN '' WHEN hit > 0 AND length(lower(body)) = length(body) THEN CASE WHEN st > 0 THEN '…' ELSE '' END || trim(regexp_replace(substr(body, st + 1, 240), '\\s+', ' ', 'g')) || CASE WHEN st + 240 < length(body) THEN '…' ELSE '' END
+ ELSE trim(regexp_replace(substr(body, 1, 240), '\\s+', ' ', 'g')) || CASE WHEN length(body) > 240 THEN '…' ELSE '' END END AS snippet FROM q""")
+def j09(spark, d):
+    """Hits of every vector whose id is divisible by 100, each with a query text, shown to a caller of one space."""
+    hits = R.dense_search(vectors(spark, d), vector_queries(spark, d), 30).withColumnRenamed("chunk_id", "document_id")
+    text = F.get(F.array(F.lit("is ering"), F.lit("der Verein zzz"), F.lit("tion")), (F.floor(F.col("query_id") / 100) % 3).cast("int"))
+    asks = vector_queries(spark, d).select("query_id", text.alias("text"))
+    return R.hydrate(hits, X.index(spark, d), scope.live() & scope.in_scope(["en"], public=True), asks)
+
+
 PARA = r"list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 
 

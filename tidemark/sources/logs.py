@@ -1,4 +1,4 @@
-"""Inbound transcripts, change logs as streams, evaluation sets, and the layout of message history."""
+"""Inbound transcripts, change logs as streams, and evaluation sets."""
 
 from __future__ import annotations
 
@@ -36,15 +36,3 @@ def log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = N
     follows (IO-02)."""
     r = spark.readStream.schema(DOCUMENT_EVENT)
     return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).parquet(path)
-
-
-def write_messages(messages: DataFrame, path: str) -> None:
-    """Message history by day, inside a day by recipient and type, newest first (IO-17, IO-19)."""
-    day = messages.withColumn("day", F.floor(F.col("created_at") / 86400))
-    day.repartition("day").sortWithinPartitions("to_id", "group_type", F.desc("created_at")).write.partitionBy("day").mode("append").parquet(path)
-
-
-def compact(spark: SparkSession, path: str, out: str, before_day: int) -> None:
-    """Rewrites cold days clustered by recipient, newest first (IO-18)."""
-    cold = spark.read.parquet(path).where(F.col("day") < before_day)
-    cold.repartition("day", "to_id").sortWithinPartitions("to_id", F.desc("created_at"), F.desc("message_id")).write.partitionBy("day").mode("overwrite").parquet(out)

@@ -41,6 +41,8 @@ class BatchTable:
     buckets; `all()` takes all batches, which makes a log.
     """
 
+    options: dict[str, str] = {}  # of the Parquet writer
+
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 64):
         self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
 
@@ -60,7 +62,11 @@ class BatchTable:
         return f"{self.path}/v={batch}" + ("" if bucket is None else f"/b={bucket}")
 
     def _written(self, batches: list[int]) -> list[tuple[int, int]]:
-        return [(v, b) for v in batches for b in self._names(self._folder(v), r"b=(\d+)")]
+        return [(v, b) for v in batches for b in self._names(self._folder(v), r"b=(-?\d+)")]
+
+    def _dealt(self, rows: DataFrame, n: int) -> DataFrame:
+        """Rows with their bucket `b`, as they are written."""
+        return rows.repartition(n, "b")
 
     def _read(self, parts: list[tuple[int, int]]) -> DataFrame:
         if not parts:
@@ -98,7 +104,8 @@ class BatchTable:
         files.delete(to, True)  # what an attempt that was lost has left
         names = self.spark.createDataFrame([], self.schema).columns
         n = max(1, len(touched)) if touched is not None else self.buckets
-        rows.select(*names, self.bucket().alias("b")).repartition(n, "b").write.partitionBy("b").parquet(self._folder(batch))
+        dealt = self._dealt(rows.select(*names, self.bucket().alias("b")), n)
+        dealt.write.options(**self.options).partitionBy("b").parquet(self._folder(batch))
         for b in touched or ():
             files.mkdirs(_place(self.spark, self._folder(batch, b))[0])
         mark, files = _place(self.spark, f"{self.path}/_done/{batch}")
