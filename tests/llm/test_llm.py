@@ -473,6 +473,7 @@ def test_license_keywords_lose_nothing():
     parse = lambda x: spelled(re._parser.parse(x))
     texts = [t for _, _, name in license_scan.NAMES for t in parse(name)]
     texts += [a + "mit license" + b for pre, post, *_ in license_scan.WAYS for a in parse(pre) for b in parse(post)]
+    texts += ["spdx license identifier " + " ".join(re.findall("[a-z0-9]+", x.lower())) for _, xs in license_scan.SPDX for x in xs.split()]
     texts += [t + end for r in license_scan.rules()[-2:] for t in parse(r.regex.pattern) for end in ("", "s")]
     texts += [t for r in license_scan.sentences() for t in parse(r.regex.pattern)]
     made = license_scan.rules()

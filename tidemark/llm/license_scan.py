@@ -1,18 +1,20 @@
 """License scans by ordered signature rules (operator 3).
 
-Rules are names of licences in the ways to state one, and over eighty written sentences of licence texts and
-notices. A rule is a regex over a text's words (lower-cased A-Z, joined by single spaces), keywords of which every
-match holds one, a priority and a confidence. Keywords are looked up in the words' dictionary, so a text
+Rules are over 130 written sentences of licence texts and notices, the names of licences in the ways to state
+one, and the short names of the SPDX list after their tag. A rule is a regex over a text's words (in lower case
+and without accents, joined by single spaces), keywords of which every match holds one, a priority and a confidence. Keywords are looked up in the words' dictionary, so a text
 without them never meets a regex, and loses nothing by that. Among overlapping detections, one that lies inside a detection of at least
 its priority is suppressed. Three base phrases are always counted by word position.
 
 Defined results: null text is empty: no words, no labels, score 0, null positions. Rows are scanned
-one by one, so ties, repeated rows and extra columns need no rule; texts are scanned whole.
+one by one, so repeated rows and extra columns need no rule; an empty table gives no rows; of detections that tie in
+priority the longer, then the earlier suppresses; texts are scanned whole, whatever their length.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -80,7 +82,9 @@ NAMES = (
 SENTENCES = (
     ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit", "substantial", r"(?:the )?above copyright notice and this permission notice shall be included in all copies or substantial portions"),
-    ("mit-0", "deal", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("mit", "deal", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("mit-0", "furnished", r"permit persons to whom the software is furnished to do so the software is provided as is"),
+    ("0bsd", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
     ("isc", "permission", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd", "redistributions", r"redistributions (?:of source code|in binary form) must (?:retain|reproduce) the above copyright notice"),
@@ -148,20 +152,83 @@ SENTENCES = (
     ("non-commercial", "personal", r"for personal (?:and non ?commercial )?use only"),
     ("academic", "academic", r"for academic (?:and research )?(?:use|purposes) only"),
     ("academic", "research", r"for research (?:use|purposes) only"),
-    ("reserved", "reserved", r"(?:some|no) rights reserved"),
+    ("reserved", "reserved", r"some rights reserved"),
+    ("public-domain", "reserved", r"no rights reserved"),
     ("reserved", "reserves", r"the author reserves all rights"),
     ("reserved", "vorbehalten", r"alle rechte (?:sind )?vorbehalten|nachdruck (?:auch auszugsweise )?(?:nur mit genehmigung|verboten) (?:ist )?vorbehalten"),
-    ("reserved", "reserves", r"tous droits (?:de reproduction )?reserves"),
+    ("reserved", "reserves", r"tous (?:les )?droits (?:de reproduction )?(?:sont )?reserves"),
+    ("reserved", "riservati", r"tutti i diritti (?:sono )?riservati"),
+    ("reserved", "voorbehouden", r"alle rechten voorbehouden"),
+    ("reserved", "urheberrechtlich", r"urheberrechtlich geschutzt"),
+    ("reserved", "auteur", r"protege par le droit d auteur"),
+    ("reserved", "derechos", r"reservados todos los derechos"),
+    ("upl", "universal", r"universal permissive licen[sc]e"),
+    ("ecl", "educational", r"educational community licen[sc]e"),
+    ("afl", "academic", r"licensed under the academic free licen[sc]e"),
+    ("osl", "osl|open", r"licensed under the open software licen[sc]e"),
+    ("cecill", "cecill", r"(?:regi|governed) (?:par|by) (?:la licence|the) cecill"),
+    ("lppl", "latex", r"latex project public licen[sc]e"),
+    ("mulan", "mulan", r"licensed under mulan psl v2"),
+    ("vim", "vim", r"vim licen[sc]e"),
+    ("beerware", "beer", r"(?:you can )?buy me a beer in return"),
+    ("ijg", "independent", r"this software is based in part on the work of the independent jpeg group"),
+    ("curl", "stenberg", r"copyright (?:c )?(?:19|20)\d\d (?:\w+ ){0,4}daniel stenberg"),
+    ("hpnd", "documentation", r"permission to use copy modify and distribute this software and its documentation for any purpose"),
+    ("w3c", "w3c", r"w3c software (?:notice|and document) (?:and )?licen[sc]e"),
+    ("zpl", "zope", r"zope public licen[sc]e"),
+    ("sleepycat", "sleepycat", r"sleepycat licen[sc]e"),
+    ("qpl", "q", r"q public licen[sc]e"),
+    ("ipl", "ibm", r"ibm public licen[sc]e"),
+    ("json", "evil", r"the software shall be used for good not evil"),
+    ("freetype", "freetype", r"portions of this software are copyright .{1,30} the freetype project"),
+    ("icu", "unicode", r"unicode (?:inc )?licen[sc]e agreement data files and software"),
+    ("sspl", "server", r"server side public licen[sc]e"),
+    ("busl", "business", r"business source licen[sc]e"),
+    ("elastic", "elastic", r"(?:licensed under the )?elastic licen[sc]e(?: 2 0| v2)?"),
+    ("cpal", "attribution", r"common public attribution licen[sc]e"),
+    ("mpl", "mozilla", r"the contents of this file are subject to the mozilla public licen[sc]e"),
+    ("apache-2.0", "apache", r"licensed to the apache software foundation asf under one or more contributor licen[sc]e agreements"),
+    ("bsd", "regents", r"regents of the university of california all rights reserved"),
+    ("gpl", "copying", r"see (?:the )?(?:file )?copying for (?:licen[sc]e )?details"),
+    ("gpl", "copying", r"this is free software see the source for copying conditions"),
+    ("lgpl", "linking", r"as a special exception .{1,80} linking"),
+    ("gfdl", "permission", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e"),
+    ("cc-by-sa", "sharealike|alike", r"text is available under the creative commons attribution share ?alike licen[sc]e"),
+    ("cc-by", "unrestricted", r"distributed under the creative commons attribution licen[sc]e which permits unrestricted use"),
+    ("pddl", "dedication", r"public domain dedication and licen[sc]e"),
+    ("odc-by", "commons", r"open data commons attribution licen[sc]e"),
+    ("etalab", "ouverte|etalab", r"licence ouverte(?: v?[12](?: 0)?)?(?: etalab)?|etalab open licen[sc]e"),
+    ("dl-de", "datenlizenz", r"datenlizenz deutschland(?: namensnennung)?"),
+    ("openrail", "rail|openrail", r"open ?rail(?: m)?(?: licen[sc]e)?|responsible ai licenses rail"),
+    ("llama", "llama", r"llama (?:\d (?:\d )?)?community licen[sc]e"),
+    ("proprietary", "consent|approval", r"(?:shall|may|must) not be (?:disclosed|copied|used) (?:in whole or in part )?(?:to third parties )?without (?:the )?prior written (?:consent|approval)"),
+    ("proprietary", "internal", r"for internal use only"),
+    ("proprietary", "redistribution", r"redistribution (?:is )?(?:strictly )?(?:prohibited|forbidden|not permitted)"),
     ("reserved", "reservados", r"(?:todos los derechos|direitos|todos os direitos) reservados"),
     ("proprietary", "reproduction", r"toute reproduction (?:meme partielle )?(?:est )?interdite"),
     ("proprietary", "prohibida", r"prohibida (?:la|su) reproduccion(?: total o parcial)?"),
-    ("proprietary", "vervielfaltigung|vervielfältigung", r"(?:vervielfaltigung|vervielfältigung) (?:ist )?(?:nicht gestattet|untersagt|verboten)"),
+    ("proprietary", "vervielfaltigung", r"vervielfaltigung (?:ist )?(?:nicht gestattet|untersagt|verboten)"),
     ("copyright", "copr", r"copr (?:19|20)\d\d"),
     ("copyright", "copyrighted", r"this (?:work|material|text|article) is copyrighted"),
     ("no-ai", "training", r"may not be used (?:for|in) (?:the )?training (?:of )?(?:artificial intelligence|machine learning|language models?)"),
     ("no-ai", "mining", r"text and data mining (?:is|are) (?:not permitted|prohibited|reserved)"),
 )
 
+#: Short names of the SPDX list and their labels; fixed values.
+SPDX = (
+    ("mit", "MIT X11-distribute-modifications-variant"), ("mit-0", "MIT-0"), ("0bsd", "0BSD"), ("isc", "ISC"), ("x11", "X11"), ("ncsa", "NCSA"), ("zlib", "Zlib zlib-acknowledgement"), ("boost", "BSL-1.0"),
+    ("apache", "Apache-1.0"), ("apache-1.1", "Apache-1.1"), ("apache-2.0", "Apache-2.0"),
+    ("bsd-2-clause", "BSD-2-Clause BSD-2-Clause-Patent BSD-2-Clause-Views"), ("bsd-3-clause", "BSD-3-Clause BSD-3-Clause-Clear BSD-3-Clause-LBNL"), ("bsd-4-clause", "BSD-4-Clause BSD-4-Clause-UC"), ("bsd", "BSD-1-Clause BSD-Source-Code"),
+    ("gpl", "GPL-1.0 GPL-1.0-only GPL-1.0-or-later"), ("gpl-2.0", "GPL-2.0 GPL-2.0-only GPL-2.0-or-later"), ("gpl-3.0", "GPL-3.0 GPL-3.0-only GPL-3.0-or-later"),
+    ("lgpl", "LGPL-2.0 LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later"), ("agpl", "AGPL-1.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later"), ("gfdl", "GFDL-1.1 GFDL-1.2 GFDL-1.3 GFDL-1.3-only GFDL-1.3-or-later"),
+    ("mpl", "MPL-1.0 MPL-1.1"), ("mpl-2.0", "MPL-2.0 MPL-2.0-no-copyleft-exception"), ("epl", "EPL-1.0 EPL-2.0"), ("cddl", "CDDL-1.0 CDDL-1.1"), ("cpl", "CPL-1.0"), ("cpal", "CPAL-1.0"), ("eupl", "EUPL-1.0 EUPL-1.1 EUPL-1.2"), ("ipl", "IPL-1.0"), ("qpl", "QPL-1.0"),
+    ("artistic", "Artistic-1.0 Artistic-1.0-Perl Artistic-2.0"), ("python", "PSF-2.0 Python-2.0"), ("postgresql", "PostgreSQL"), ("openssl", "OpenSSL"), ("php", "PHP-3.0 PHP-3.01"), ("ruby", "Ruby"), ("wtfpl", "WTFPL"), ("unlicense", "Unlicense"),
+    ("cc0", "CC0-1.0"), ("cc-by", "CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0"), ("cc-by-sa", "CC-BY-SA-2.0 CC-BY-SA-2.5 CC-BY-SA-3.0 CC-BY-SA-4.0"), ("cc-by-nc", "CC-BY-NC-2.0 CC-BY-NC-3.0 CC-BY-NC-4.0"), ("cc-by-nd", "CC-BY-ND-3.0 CC-BY-ND-4.0"), ("cc-by-nc-sa", "CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0"), ("cc-by-nc-nd", "CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0"),
+    ("ogl", "OGL-UK-1.0 OGL-UK-2.0 OGL-UK-3.0"), ("odbl", "ODbL-1.0"), ("odc-by", "ODC-By-1.0"), ("pddl", "PDDL-1.0"), ("ofl", "OFL-1.0 OFL-1.1"), ("ms-pl", "MS-PL MS-RL"), ("etalab", "etalab-2.0"),
+    ("upl", "UPL-1.0"), ("ecl", "ECL-1.0 ECL-2.0"), ("afl", "AFL-2.1 AFL-3.0"), ("osl", "OSL-2.1 OSL-3.0"), ("cecill", "CECILL-2.0 CECILL-2.1 CECILL-B CECILL-C"), ("lppl", "LPPL-1.3a LPPL-1.3c"), ("mulan", "MulanPSL-1.0 MulanPSL-2.0"), ("vim", "Vim"), ("beerware", "Beerware"), ("ijg", "IJG"), ("curl", "curl"),
+    ("hpnd", "HPND"), ("w3c", "W3C W3C-20150513"), ("zpl", "ZPL-2.0 ZPL-2.1"), ("sleepycat", "Sleepycat"), ("json", "JSON"), ("freetype", "FTL"), ("icu", "ICU Unicode-3.0"), ("sspl", "SSPL-1.0"), ("busl", "BUSL-1.1"), ("elastic", "Elastic-2.0"), ("blueoak", "BlueOak-1.0.0"),
+)
+
 #: Ways to state a licence: prefix, suffix, keyword, added priority, confidence. A rule is a name in
 #: one of these ways.
 WAYS = (
@@ -190,11 +257,25 @@ def sentences() -> tuple[Rule, ...]:
     return tuple(Rule(label, tuple(keys.split("|")), (), 6000 + len(SENTENCES) - k, 0.95, re.compile(rf"(?<![^ ])(?:{text})(?![^ ])")) for k, (label, keys, text) in enumerate(SENTENCES))
 
 
+def spdx() -> tuple[Rule, ...]:
+    """Short names after a licence identifier tag, and further ones in an expression after it."""
+    tag = r"(?<![^ ])(?:spdx )?licen[sc]e identifier "
+    names = [(label, " ".join(re.findall("[a-z0-9]+", x.lower()))) for label, xs in SPDX for x in xs.split()]
+    forms = (tag + r"{}(?![^ ])", tag + r"(?:[a-z0-9]+ ){{1,9}}?(?P<at>(?:or|and) {})(?![^ ])")
+    return tuple(Rule(label, ("identifier",), (name.split()[0],), 8000, 1.0, re.compile(form.format(name))) for label, name in names for form in forms)
+
+
+def folded(word: str) -> str:
+    """A word in lower case without accents, as the method's rules are written."""
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word.lower()) if unicodedata.category(c) != "Mn")
+
+
 def rules() -> tuple[Rule, ...]:
     """Every name in every way, most specific names first (their order breaks ties of priority), the written
-    sentences, and two notices."""
+    sentences, the short names, and two notices."""
     made = [Rule(label, tuple(keys.split("|")), any_of, add * 100 + len(NAMES) - k, conf, re.compile(rf"(?<![^ ])(?:{pre}(?:{name}){post})(?![^ ])")) for k, (label, keys, name) in enumerate(NAMES) for pre, post, any_of, add, conf in WAYS]
     made += sentences()
+    made += spdx()
     made.append(Rule("copyright", ("copyright",), (), 500, 0.5, re.compile(r"(?<![^ ])copyright(?: c)? (?:19|20)\d\d(?: (?:19|20)\d\d)?(?! [^ ]*licen)")))
     made.append(Rule("no-warranty", ("without",), (), 400, 0.5, re.compile(r"(?<![^ ])without (?:any )?warranty(?: of any kind)?")))
     return tuple(made)
@@ -230,7 +311,8 @@ def scan_words(words: list[str], by_key: dict[str, list[Rule]]) -> list[tuple[in
     for r in {r for key in there & by_key.keys() for r in by_key[key]}:
         if not r.any_of or any(x in there for x in r.any_of):
             for m in r.regex.finditer(text):
-                found.append((bisect_right(at, m.start()) - 1, bisect_left(at, m.end()), r))
+                start, end = m.span("at" if r.regex.groupindex else 0)
+                found.append((bisect_right(at, start) - 1, bisect_left(at, end), r))
     return resolve(found)
 
 
@@ -263,7 +345,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_key = keyed(rules())
-        gates = {x.encode() for x in by_key}
+        gates = by_key.keys()
         for batch in batches:
             for p in tk.pieces(batch):
                 w = tk.Words(p, tk.ALNUM, lower=True)
@@ -283,13 +365,13 @@ def license_scan(docs: DataFrame) -> DataFrame:
                 has = n_base > 0
                 first_word = np.where(has, at[np.minimum(lo, max(len(at) - 1, 0))] - first[:-1] if len(at) else 0, 0)
                 last_word = np.where(has, at[np.maximum(hi - 1, 0)] - first[:-1] if len(at) else 0, 0)
-                gate = np.zeros(len(listed), bool)
-                gate[[names[x] for x in gates & names.keys()]] = True
+                plain = [folded(x.decode()) for x in listed]
+                gate = np.fromiter((x in gates for x in plain), bool, len(plain))
                 all_labels = [set(x) for x in labels]
                 score = np.where(has, 0.6, 0.0)
                 spans: list[list] = [[] for _ in range(n)]
                 for d in np.unique(doc[gate[codes]]).tolist() if len(codes) else []:
-                    text = [listed[c].decode() for c in codes[first[d] : first[d + 1]].tolist()]
+                    text = [plain[c] for c in codes[first[d] : first[d + 1]].tolist()]
                     for a, b, r in scan_words(text, by_key):
                         all_labels[d].add(r.label)
                         score[d] = max(score[d], r.confidence)
