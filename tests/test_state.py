@@ -335,3 +335,13 @@ def test_snapshot_counts_are_those_of_the_checks(spark, tmp_path):
     assert got == {"rows": 200, "non_negative": Q.bad_values(child, "id", rules).count(), "known": Q.missing_parent(child, parent, ["parent"]).count(), "once": pairs}
     stored = spark.read.parquet(str(tmp_path / "s"))
     assert stored.columns == ["id", "parent", "value", "k"] and stored.count() == 200
+
+
+@pytest.mark.parametrize(("ttl", "cap"), [(900, 50), (900, 10_000), (5000, 200), (10, 3), (100_000, 321), (900, 0)])
+def test_ledger_retention_equals_one_order(spark, ttl, cap):
+    r = random.Random(ttl + cap)
+    rows = [(f"op{k:04d}", r.choice([0, r.randrange(8000, 10_000), 9_900, 20_000])) for k in range(600)]
+    inside = [x for x in rows if x[1] == 0 or x[1] >= 10_000 - ttl]
+    want = sorted(sorted(inside, key=lambda x: (x[1], x[0]), reverse=True)[:cap])
+    got = EV.prune_ledger(spark.createDataFrame(rows, "operation_id string, recorded_at long").repartition(3), 10_000, ttl, cap)
+    assert sorted(map(tuple, got.collect())) == want

@@ -189,18 +189,31 @@ def replay(ops: DataFrame) -> DataFrame:
     return ops.withColumn("result", F.when(F.row_number().over(w) == 1, "first").when(F.col("fingerprint") == first, "replayed").otherwise("conflict"))
 
 
+#: Ranges that a ledger's time is cut into to find where its overflow begins.
+RANGES = 1024
+
+
 def prune_ledger(ops: DataFrame, now: int, ttl: int, cap: int) -> DataFrame:
     """Entries inside the window, of those the `cap` latest; undated ones go first (E-11, W-06, A-16).
 
-    The overflow is found by a threshold on (recorded_at, id), from counts by time, so no single task
-    sorts the ledger.
+    Two levels find where the overflow begins: counts by range of time (some more than `RANGES` rows), then
+    counts by time within the one range that is kept in part; only entries of the one time that is kept in part
+    are ranked by id. So no task orders the ledger's times.
     """
     kept = ops.where((F.col("recorded_at") == 0) | (F.col("recorded_at") >= now - ttl))
-    counts = kept.groupBy("recorded_at").agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("recorded_at")).rowsBetween(Window.unboundedPreceding, -1)
-    room = counts.withColumn("room", F.greatest(F.lit(cap) - F.coalesce(F.sum("n").over(w), F.lit(0)), F.lit(0))).select("recorded_at", "room")
-    ranked = kept.join(room, "recorded_at").withColumn("k", F.row_number().over(Window.partitionBy("recorded_at").orderBy(F.desc("operation_id"))))
-    return ranked.where("k <= room").drop("k", "room")
+    width = max(1, -(-ttl // RANGES))
+    place = F.when(F.col("recorded_at") == 0, -1).otherwise(F.least(F.floor((F.col("recorded_at") - (now - ttl)) / width), F.lit(2 * RANGES)))
+    counts = kept.groupBy("recorded_at").agg(F.count("*").alias("_n")).withColumn("_range", place)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counts.groupBy("_range").agg(F.sum("_n").alias("_size"))
+    sizes = sizes.withColumn("_left", cap - F.coalesce(F.sum("_size").over(before(Window.orderBy(F.desc("_range")))), F.lit(0)))  # a bounded number of rows
+    partly = sizes.where("_left > 0 and _left < _size").select("_range", "_left")
+    later = F.coalesce(F.sum("_n").over(before(Window.partitionBy("_range").orderBy(F.desc("recorded_at")))), F.lit(0))
+    times = counts.join(partly, "_range").withColumn("_room", F.col("_left") - later).where("_room > 0").select("recorded_at", "_room", "_n")
+    j = kept.withColumn("_range", place).join(sizes, "_range").join(times, "recorded_at", "left")
+    every = (F.col("_left") >= F.col("_size")) | F.coalesce(F.col("_room") >= F.col("_n"), F.lit(False))
+    last = j.where(~every & (F.col("_room") > 0)).withColumn("_k", F.row_number().over(Window.partitionBy("recorded_at").orderBy(F.desc("operation_id")))).where("_k <= _room")
+    return j.where(every).select(*ops.columns).unionByName(last.select(*ops.columns))
 
 
 def refresh_records(rows: DataFrame, latest: DataFrame) -> DataFrame:
