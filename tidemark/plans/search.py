@@ -235,7 +235,18 @@ def t04(spark, d):
     return R.keyword_arm(X.index(spark, d), "is ering", 50).select("document_id", "score", "rank")
 
 
-@query("t12_hash_embedding", None)
+FNV64 = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(0, (length(hex({0})) // 2)::BIGINT), lambda i: ('0x' || substr(hex({0}), 2 * i + 1, 2))::INT::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) & 18446744073709551615)"
+
+
+def embedded(name: str, keys: str) -> str:
+    """CTEs that embed the token lists `t` of the CTE `name`, one for each `keys`: `{name}_v` has `v`, of norm 1 or 0."""
+    n = name
+    return f"""{n}_f AS (SELECT {keys}, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || chr(0) || t[i + 1]))) AS f FROM {n}), {n}_n AS (SELECT {keys}, f, count(*) AS c FROM {n}_f GROUP BY ALL),
+{n}_h AS (SELECT f, {FNV64.format('f')} AS h FROM (SELECT DISTINCT f FROM {n}_n)), {n}_s AS (SELECT {keys}, (h & 63)::INT AS k, sum(CASE WHEN h >= 9223372036854775808 THEN -c ELSE c END)::DOUBLE AS x FROM {n}_n JOIN {n}_h USING (f) GROUP BY ALL),
+{n}_a AS (SELECT {keys}, list(coalesce(x, 0) ORDER BY k) AS a FROM (SELECT {keys}, k::INT AS k FROM {n}, range(64) r(k)) LEFT JOIN {n}_s USING ({keys}, k) GROUP BY ALL), {n}_v AS (SELECT {keys}, CASE WHEN list_dot_product(a, a) = 0 THEN a ELSE list_transform(a, lambda x: x / sqrt(list_dot_product(a, a))) END AS v FROM {n}_a)"""
+
+
+@query("t12_hash_embedding", f"WITH e AS (SELECT doc_id, {TOK.format('coalesce(text, chr(32))')} AS t FROM documents), {embedded('e', 'doc_id')} SELECT doc_id, round(list_dot_product(v, v), 6) AS same, list_transform(v, lambda x: round(x, 6)) AS vector FROM e_v")
 def t12(spark, d):
     """Both forms of the embedding of every document's text, and whether they agree."""
     t = X.table(spark, d, "documents").select("doc_id", "text")
@@ -248,22 +259,22 @@ def paragraphed(ix):
     return ix.withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n")))
 
 
-@query("t13_document_vectors", None)
+PACKED = f"""pc AS (SELECT doc_id, flatten(list_transform({PARA}, lambda p: list_transform(range(0, (length(p) - 1) // 800 + 1), lambda k: substr(p, k * 800 + 1, 800)))) AS ps FROM documents),
+pk AS (SELECT doc_id, ps, 1 AS i, 0 AS chunk, 0 AS len FROM pc WHERE len(ps) > 0 UNION ALL
+ SELECT doc_id, ps, i + 1, CASE WHEN len > 0 AND len + 2 + length(ps[i]) > 800 THEN chunk + 1 ELSE chunk END, (CASE WHEN len > 0 AND len + 2 + length(ps[i]) > 800 THEN 0 ELSE len END + CASE WHEN i > 1 THEN 2 ELSE 0 END + length(ps[i]))::INT FROM pk WHERE i <= len(ps)),
+px AS (SELECT doc_id, chunk, i - 1 AS k, ps[i - 1] AS p FROM pk WHERE i > 1)"""
+DOCUMENT_VECTORS = f"""{PACKED}, ck AS (SELECT doc_id, chunk AS position, string_agg(p, chr(10) || chr(10) ORDER BY k) AS chunk FROM px WHERE chunk < 200 GROUP BY ALL),
+ft AS (SELECT doc_id, {TOK.format("concat_ws(chr(10), substr(text, 1, 40), substr(text, 1, 100))")} AS first, {TOK.format("coalesce(text, '')")} AS every FROM documents),
+ct AS (SELECT doc_id, position, first, every, CASE WHEN position = 0 THEN list_concat(first, {TOK.format('chunk')}) ELSE {TOK.format('chunk')} END AS t FROM ck JOIN ft USING (doc_id) UNION ALL SELECT doc_id, 0, first, every, [] FROM ft WHERE doc_id NOT IN (SELECT doc_id FROM ck)),
+dv AS (SELECT doc_id, position, CASE WHEN len(t) > 0 THEN t ELSE list_concat(first, every) END AS t FROM ct WHERE len(t) > 0 OR len(first) + len(every) > 0), {embedded('dv', 'doc_id, position')}"""
+
+
+@query("t13_document_vectors", f"WITH RECURSIVE {DOCUMENT_VECTORS} SELECT doc_id AS document_id, position, list_transform(v, lambda x: round(x, 6)) AS vector FROM dv_v")
 def t13(spark, d):
     v = C.document_vectors(paragraphed(X.index(spark, d)))
     return v.select("document_id", "position", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
-@query("t20_hybrid_search", None)
-def t20(spark, d):
-    """Hybrid search of one query in one space, second page, with total and snippet."""
-    ix = X.index(spark, d)
-    chunks = C.document_vectors(paragraphed(ix))
-    q = spark.range(1).select(V.embed(F.lit("is ering")).alias("v")).first()["v"]
-    page = R.search_documents(ix, chunks, "is ering", list(q), scope.live() & scope.in_scope(["en"]), offset=10, limit=10)
-    return R.to_hits(page, ix, spark.createDataFrame([(0, "is ering")], "query_id int, text string"))
-
-
 @query("k05_k06_a01_page_rules", "SELECT doc_id, CASE WHEN doc_id % 150 <= 0 THEN 10 ELSE least(doc_id % 150, 100) END AS size, doc_id % 150 > 100 AS clamped, (doc_id % 40) + CASE WHEN doc_id % 150 <= 0 THEN 10 ELSE least(doc_id % 150, 100) END < (SELECT least(count(*), 2147483647) FROM documents WHERE lang = 'de') AS truncated FROM documents")
 def k05(spark, d):
     t = X.table(spark, d, "documents")
@@ -345,6 +356,25 @@ def t20_page(spark, d):
     return page.select("document_id", "hit_score", "position", "total", "truncated")
 
 
+SCOPED = "lifecycle = 'active' AND publication = 'published' AND (owner_space_id = 'en' OR list_contains(allowed, 'en'))"
+
+
+@query("t20_hybrid_search", f"""WITH RECURSIVE {DOCUMENT_VECTORS}, {KEYWORD.replace("FROM ix)", f"FROM ix WHERE {SCOPED})")}, qe AS (SELECT 0 AS z, ['is', 'ering'] AS t), {embedded('qe', 'z')},
+pt AS (SELECT doc_id AS document_id, position, round(list_dot_product(dv_v.v, qe_v.v), 6) AS score FROM dv_v, qe_v WHERE doc_id IN (SELECT document_id FROM ix WHERE {SCOPED})), nr AS (SELECT document_id, max(score) AS score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, document_id, position) AS r FROM pt) WHERE r <= 100 GROUP BY 1),
+ar AS (SELECT document_id, rank FROM (SELECT document_id, row_number() OVER (ORDER BY score DESC, document_id) AS rank FROM s) WHERE rank <= 1000 UNION ALL SELECT document_id, row_number() OVER (ORDER BY score DESC, document_id) FROM nr), fu AS (SELECT document_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused FROM ar GROUP BY 1),
+al AS (SELECT document_id, 0 AS part, fused AS hit_score, fused AS score FROM fu UNION ALL SELECT document_id, 1, 0.0, score FROM s WHERE document_id NOT IN (SELECT document_id FROM fu)), nu AS (SELECT *, row_number() OVER (ORDER BY part, score DESC, document_id) AS position, count(*) OVER () AS total FROM al), pg AS (SELECT *, count(*) OVER () AS returned FROM nu WHERE position BETWEEN 11 AND 20),
+hb AS (SELECT pg.*, title, owner_subject_key, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS body FROM pg JOIN ix USING (document_id)), hp AS (SELECT *, coalesce(nullif(strpos(lower(body), 'is ering'), 0), nullif(strpos(lower(body), 'is'), 0), strpos(lower(body), 'ering'), 0) AS hit FROM hb)
+SELECT 0 AS query_id, document_id, hit_score, position, total, 10 + returned < total AS truncated, title, owner_subject_key, CASE WHEN body = '' THEN '' WHEN hit > 0 AND length(lower(body)) = length(body) THEN CASE WHEN hit > 81 THEN '…' ELSE '' END || trim(regexp_replace(substr(body, greatest(hit - 81, 0)::BIGINT + 1, 240), '\\s+', ' ', 'g')) || CASE WHEN greatest(hit - 81, 0) + 240 < length(body) THEN '…' ELSE '' END
+ ELSE trim(regexp_replace(substr(body, 1, 240), '\\s+', ' ', 'g')) || CASE WHEN length(body) > 240 THEN '…' ELSE '' END END AS snippet FROM hp""")
+def t20(spark, d):
+    """Hybrid search of one query in one space, second page, with total and snippet."""
+    ix = X.index(spark, d)
+    chunks = C.document_vectors(paragraphed(ix))
+    q = spark.range(1).select(V.embed(F.lit("is ering")).alias("v")).first()["v"]
+    page = R.search_documents(ix, chunks, "is ering", list(q), scope.live() & scope.in_scope(["en"]), offset=10, limit=10)
+    return R.to_hits(page, ix, spark.createDataFrame([(0, "is ering")], "query_id int, text string"))
+
+
 @query("t17_or_search", f"WITH t AS (SELECT doc_id AS chunk_id, {TOK.format('text')} AS t FROM documents), s AS (SELECT 0 AS query_id, chunk_id, round(len(list_filter(t, lambda x: x IN ('license', 'der', 'public'))) / len(t)::DOUBLE, 6) AS score FROM t WHERE list_has_any(t, ['license', 'der', 'public'])) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 50")
 def t17(spark, d):
     return R.or_search(corpus(spark, d), "Public der license, der", 50)
