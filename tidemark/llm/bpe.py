@@ -16,7 +16,8 @@ Both joins are associative, so the trees' shapes do not matter. Decoding concate
 is no size from which on texts are treated in another way.
 
 Defined results: null text is empty and gives no tokens (`ids_sha256` of the empty string). Rows are
-independent: ties, repeated rows and extra columns need no rule; a null doc_id is kept.
+independent: ties, repeated rows and extra columns need no rule; a null doc_id is kept. Texts are encoded whole,
+whatever their length; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ being the phrase are proximity matches (`proximity`).
 A document is keyed by its doc_id and a hash of its text, so rows that repeat a doc_id keep results
 of their own, and identical rows get identical results. Null texts have no words; null doc_ids are
 kept; items without words have no window; rows that repeat an item_id are further texts of that item.
-Empty tables give no hits or no rows. Extra columns are ignored. No list is collected beyond one
+Empty tables give no hits or no rows; ties need no rule, as all matches count; texts are read whole,
+whatever their length. Extra columns are ignored. No list is collected beyond one
 document's item ids; broadcast is left to Spark's own size check, with a shuffle join beyond it.
 """
 

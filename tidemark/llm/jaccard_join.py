@@ -24,7 +24,8 @@ batch, of which at most `max_common` of the commonest are broadcast. Wrong estim
 Defined results: null or wordless texts have no shingles and link with nothing; with fewer words than
 `size` the whole sequence is the one shingle. Rows that repeat a doc_id have their own sets, and their
 components take the least doc_id. A row with a null doc_id links like any other; its component is that of
-its near copies, null if all of them have null doc_ids. Extra columns are ignored.
+its near copies, null if all of them have null doc_ids. A similarity of exactly the threshold is a link.
+Texts of any length take part whole; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

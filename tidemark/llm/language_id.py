@@ -12,7 +12,10 @@ landmarks' n-gram buckets. Every text is scored whole.
 
 Defined results: a null text or one without a letter is `und` with score 0, and is not learned from; a null
 lang or doc_id is never learned from; without any labelled text all rows are `und`; rows that repeat a doc_id
-are scored row by row and count against the bounds of the sample; extra columns are ignored.
+are scored row by row and count against the bounds of the sample; of equal margins the language first in
+alphabetical order is taken; an empty table gives no rows; texts are read whole, whatever their length (the
+presence spaces are bounded, so a text of very many n-grams fills them up and its score falls); extra columns
+are ignored.
 """
 
 from __future__ import annotations

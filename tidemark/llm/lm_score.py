@@ -17,7 +17,8 @@ those of all other words meet the texts' rarer words in a shuffle join.
 
 Defined results: null text is empty: one token (the end). A row with a null doc_id is scored but not
 learned from. Rows are scored one by one, also when a doc_id repeats (each such row is learned from);
-extra columns are ignored. Without training texts N and V are 0.
+extra columns are ignored. Without training texts N and V are 0; an empty table gives no rows; ties need no rule;
+texts are read whole, whatever their length.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ trained on the soft labels of a bounded sample and scores every whole text.
 
 The sample is the `fit_rows` rows of least hash of doc_id and text; repeated rows count against the bound.
 
-Defined results: a null or wordless text has score 0 and is not kept, and is not learned from; rows are
-scored one by one, so ties and repeated rows need no rule; a null doc_id is kept as null; extra columns are
+Defined results: a null or wordless text has score 0 and is not kept, and is not learned from, neither its votes
+nor its words; rows are scored one by one, so ties and repeated rows need no rule; texts are read whole, whatever
+their length; a null doc_id is kept as null; extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -146,7 +147,8 @@ def fit(docs: DataFrame, fit_rows: int) -> tuple[np.ndarray, float] | None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in tk.pieces(batch):
-                k, n = np.unique(pattern(votes(p, tk.Words(p, tk.NOT_SPACE))), return_counts=True)
+                w = tk.Words(p, tk.NOT_SPACE)
+                k, n = np.unique(pattern(votes(p, w))[w.counts > 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["pattern", "n"])
 
     rows = docs.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas().sort_values("pattern")
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, fit_rows: int) -> tuple[np.ndarray, float] | None:
     n_texts = int(rows["n"].sum())
     cut = FINE if n_texts <= 4 * fit_rows else int((2 * fit_rows + 20) / n_texts * FINE)
     hashed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(FINE)).alias("h")).where(F.col("h") < cut)
-    picked = hashed.where(F.octet_length("text") > 0).orderBy("h", "doc_id").limit(fit_rows).select("doc_id", "text")
+    picked = hashed.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).orderBy("h", "doc_id").limit(fit_rows).select("doc_id", "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +184,7 @@ def fit(docs: DataFrame, fit_rows: int) -> tuple[np.ndarray, float] | None:
     weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum())).astype(np.float32)
     beta, bias, speed, was = np.zeros(WIDTH + 2, np.float32), np.float32(0), np.zeros(WIDTH + 2, np.float32), 0.0
     for _ in range(1500):  # momentum descent of the weighted logistic loss
-        g = weight * (1 / (1 + np.exp(-(x @ beta + bias))) - y)
+        g = weight * (1 / (1 + np.exp(-np.clip(x @ beta + bias, -50, 50))) - y)
         speed = 0.9 * speed - 40.0 * (x.T @ g + 1e-6 * beta)
         was = 0.9 * was - 0.5 * float(g.sum())
         beta, bias = beta + speed, bias + np.float32(was)

@@ -7,7 +7,7 @@ repeat is too long, or if a character-class rule fails.
 
 Defined results: null text has no words and fails the base rule; an empty text likewise; rows are
 judged one by one, so repeated rows and ties need no rule; extra columns are ignored; a null doc_id
-stays null. A document is handled as a whole, whatever its length; memory is that of the longest
+stays null; an empty table gives no rows. A document is handled as a whole, whatever its length; memory is that of the longest
 document or of `textkit.PIECE_BYTES` of text.
 """
 

@@ -24,7 +24,8 @@ whole; a document shorter than `length` keeps all.
 Defined results: null text is empty; a row with a null doc_id keeps its bytes and removes none elsewhere;
 rows that repeat a doc_id are the same document for the rule (neither removes bytes of the other) and
 are cut one by one, told apart by numbers that different texts of one doc_id get (2^20 at most; more
-raise an error); other columns pass, whatever their names, but one named like a result is replaced by it.
+raise an error); other columns pass, whatever their names, but one named like a result is replaced by it; of
+copies the least doc_id is the one that keeps its bytes; an empty table gives no rows.
 """
 
 from __future__ import annotations

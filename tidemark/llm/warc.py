@@ -12,7 +12,8 @@ Defined results: a URL without a scheme, an empty and a null one have a null can
 without a canonical URL or time is never matched (a revisit is then `no_earlier`), and takes no part in
 windows or joins; of captures at one time, the smaller record_id counts as earlier; repeated rows are
 resolved alike; null headers are empty; a revisit without validators is `unvalidated` but resolved; other
-columns pass, whatever their names, but one named like a result is replaced by it.
+columns pass, whatever their names, but one named like a result is replaced by it; bodies and headers of any
+length are carried whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
