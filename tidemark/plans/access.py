@@ -208,7 +208,8 @@ def q11(spark, d):
     return t.where("lang = 'fr'").distinct().join(t.where("lang = 'es'").select("source").distinct(), "source")
 
 
-@query("q13_scope_consistency", f"WITH {SCOPES} SELECT k FROM sc WHERE reason IS NULL AND k % 9 = 0")
+@query("q13_scope_consistency", f"""WITH {SCOPES}, r AS (SELECT k, reason, CASE WHEN reason IS NULL THEN private ELSE [] END AS p, CASE WHEN reason IS NOT NULL THEN [] WHEN is_group THEN list_filter(list_distinct(teams), lambda x: x <> space) ELSE list_distinct(teams) END AS o, CASE WHEN reason IS NULL AND is_group THEN [space] ELSE [] END AS t FROM sc),
+u AS (SELECT k, reason, list_distinct(list_concat(p, o, t)) AS u FROM r), m AS (SELECT *, list_concat(u, CASE WHEN reason IS NULL AND k % 9 = 0 THEN ['zz'] ELSE [] END) AS members FROM u) SELECT k FROM m WHERE (reason IS NOT NULL AND len(u) > 0) OR (reason IS NULL AND list_sort(members) <> list_sort(u))""")
 def q13(spark, d):
     s = scope.resolve_scopes(requests(spark, d))
     team = F.when(F.col("current_team").isNotNull(), F.array("current_team")).otherwise(F.array().cast("array<string>"))
@@ -217,7 +218,7 @@ def q13(spark, d):
     return Q.scope_inconsistent(s.withColumn("members", F.concat(members, extra))).select("k")
 
 
-@query("q14_revision_triggers", "SELECT event_id FROM events WHERE event_id % 10 = 0 AND event_id % 3 = 0")
+@query("q14_revision_triggers", "WITH o AS (SELECT event_id, 1 AS revision, event_type AS content FROM events), n AS (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN 1 WHEN event_id % 3 <> 0 THEN 2 ELSE 3 END AS revision, CASE WHEN event_id % 10 = 0 THEN 'x' ELSE event_type END AS content FROM events) SELECT event_id FROM o JOIN n USING (event_id) WHERE o.content IS DISTINCT FROM n.content AND n.revision <> o.revision + 1")
 def q14(spark, d):
     old = X.table(spark, d, "events").select("event_id", F.lit(1).alias("revision"), F.col("event_type").alias("content"))
     i = F.col("event_id")

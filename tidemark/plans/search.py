@@ -9,6 +9,7 @@ from tidemark.functions import vectors as V
 from tidemark.operators import chunking as C
 from tidemark.operators import corpus as V8
 from tidemark.operators import evaluate as E
+from tidemark.operators import keyword as K
 from tidemark.operators import retrieval as R
 from tidemark.operators import scope
 from tidemark.operators.terms import TermStore
@@ -327,7 +328,8 @@ def a15(spark, d):
     return s.withColumn("decision", E.decide({"timeouts": 20, "p95": 130}))
 
 
-@query("t27_stability", f"WITH {ARMS} SELECT query_id, TRUE AS identical, count(k_rank) AS from_keyword, count(v_rank) AS from_vector FROM fu GROUP BY query_id")
+@query("t27_stability", f"""WITH {ARMS}, a1 AS (SELECT query_id, list(document_id ORDER BY fused DESC, document_id) AS a FROM fu GROUP BY 1), ar2 AS (SELECT * FROM ar ORDER BY hash(document_id, query_id, arm)), fu2 AS (SELECT query_id, document_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused FROM ar2 GROUP BY ALL), a2 AS (SELECT query_id, list(document_id ORDER BY fused DESC, document_id) AS b FROM fu2 GROUP BY 1)
+SELECT query_id, a = b AS identical, from_keyword, from_vector FROM a1 JOIN a2 USING (query_id) JOIN (SELECT query_id, count(k_rank) AS from_keyword, count(v_rank) AS from_vector FROM fu GROUP BY 1) USING (query_id)""")
 def t27(spark, d):
     """Two runs over differently partitioned input give the same lists; hits are attributed to arms."""
     parts, _ = arms(spark, d)
@@ -375,6 +377,30 @@ def t20(spark, d):
     return R.to_hits(page, ix, spark.createDataFrame([(0, "is ering")], "query_id int, text string"))
 
 
+ASKED_PAGES = ["is ering", "der und", "the of"]
+
+
+@query("t20_j01_many_searches", f"""WITH {X.IX}, qs AS (SELECT vec_id AS query_id, string_split({ASKED_PAGES}[1 + vec_id // 100 % 3], ' ') AS ws, {ASKED_PAGES}[1 + vec_id // 100 % 3] AS text FROM embeddings WHERE vec_id % 100 = 0), sc AS (SELECT * FROM ix WHERE lifecycle = 'active' AND publication = 'published'),
+v AS (SELECT document_id, lower(title) AS lt, {TOK.format('title')} AS a, {TOK.format('summary')} AS b, {TOK.format('content')} AS c FROM sc), e AS (SELECT document_id, lt, list_concat(a, b, c) AS t, len(a) AS la, len(b) AS lb FROM v), tq AS (SELECT DISTINCT text, ws FROM qs),
+h AS (SELECT text, ws, document_id, lt, unnest(t) AS term, generate_subscripts(t, 1) AS pos, la, lb FROM e, tq WHERE list_has_all(t, ws) OR contains(lt, text)), w AS (SELECT *, CASE WHEN pos <= la THEN 1.0 WHEN pos <= la + lb THEN 0.4 ELSE 0.2 END AS weight FROM h WHERE list_contains(ws, term)),
+p AS (SELECT text, document_id, lt, term, pos, weight, lag(term) OVER o AS pt, lag(pos) OVER o AS pp, lag(weight) OVER o AS pw FROM w WINDOW o AS (PARTITION BY text, document_id ORDER BY pos)),
+s AS (SELECT query_id, document_id, score FROM (SELECT text, document_id, round(2 * coalesce(sum(CASE WHEN term <> pt THEN (weight + pw) / 2 / (pos - pp) END), 0) + CASE WHEN contains(any_value(lt), text) THEN 1 ELSE 0 END, 6)::DOUBLE AS score FROM p GROUP BY text, document_id) JOIN qs USING (text)),
+en AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), vs AS (SELECT query_id, c.vec_id AS document_id, round(list_dot_product(c.v, q.v) / (sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(q.v, q.v))), 6) AS score FROM en c JOIN sc ON c.vec_id = document_id, qs JOIN en q ON q.vec_id = query_id),
+vr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM vs) WHERE rank <= 12), ar AS (SELECT query_id, document_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM s) WHERE rank <= 10 UNION ALL SELECT query_id, document_id, rank FROM vr),
+fu AS (SELECT query_id, document_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused FROM ar GROUP BY ALL), al AS (SELECT query_id, document_id, 0 AS part, fused AS hit_score, fused AS score FROM fu UNION ALL SELECT query_id, document_id, 1, 0.0, score FROM s WHERE (query_id, document_id) NOT IN (SELECT (query_id, document_id) FROM fu)),
+nu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, score DESC, document_id) AS position, count(*) OVER (PARTITION BY query_id) AS total FROM al), pg AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS returned FROM nu WHERE position BETWEEN 9 AND 38)
+SELECT query_id, document_id, hit_score, position, total, 8 + returned < total AS truncated FROM pg""")
+def t20_many(spark, d):
+    """A page for every vector whose id is divisible by 100, each with a text; texts are read once for all."""
+    points = vectors(spark, d).select(F.col("chunk_id").alias("document_id"), F.lit(0).alias("position"), "vector")
+    asks = vector_queries(spark, d)
+    texts = [(r[0], ASKED_PAGES[r[0] // 100 % 3]) for r in asks.select("query_id").orderBy("query_id").collect()]  # the stated query set
+    if not texts:
+        return spark.createDataFrame([], "query_id long, document_id long, hit_score double, position int, total long, truncated boolean")
+    page = K.search_documents(X.index(spark, d), points, texts, asks, scope.live(), offset=8, limit=30, window=10, recall=12)
+    return page.select("query_id", "document_id", "hit_score", "position", "total", "truncated")
+
+
 @query("t17_or_search", f"WITH t AS (SELECT doc_id AS chunk_id, {TOK.format('text')} AS t FROM documents), s AS (SELECT 0 AS query_id, chunk_id, round(len(list_filter(t, lambda x: x IN ('license', 'der', 'public'))) / len(t)::DOUBLE, 6) AS score FROM t WHERE list_has_any(t, ['license', 'der', 'public'])) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 50")
 def t17(spark, d):
     return R.or_search(corpus(spark, d), "Public der license, der", 50)
