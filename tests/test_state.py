@@ -345,3 +345,30 @@ def test_ledger_retention_equals_one_order(spark, ttl, cap):
     want = sorted(sorted(inside, key=lambda x: (x[1], x[0]), reverse=True)[:cap])
     got = EV.prune_ledger(spark.createDataFrame(rows, "operation_id string, recorded_at long").repartition(3), 10_000, ttl, cap)
     assert sorted(map(tuple, got.collect())) == want
+
+
+# ---- keyword search of many queries
+
+
+def test_many_queries_equal_one_by_one(spark):
+    from tidemark.operators import keyword as K
+    from tidemark.operators import retrieval as R
+
+    r = random.Random(9)
+    words = "alpha beta gamma delta x1 Ünïcode 中文 re".split()
+    text = lambda n: " ".join(r.choice(words) for _ in range(r.randrange(n)))
+    rows = [(k, text(5), text(9), text(60)) for k in range(80)] + [(90, None, None, "alpha beta"), (91, "alpha beta", None, None), (92, None, None, None), (93, "", "", "")]
+    index = spark.createDataFrame(rows, "document_id long, title string, summary string, content string").repartition(3)
+    asked = ["alpha", "alpha beta", '"alpha beta"', "alpha OR gamma -beta", '"beta gamma" delta -x1 OR "re re"', "absent", "", "-alpha", "文", "ünïcode Alpha", '"alpha beta" OR beta', "ALPHA BETA"]
+    got = sorted(map(tuple, K.matches_of(index, list(enumerate(asked))).collect()))
+    want = sorted((q, x.document_id, x.score) for q, t in enumerate(asked) if t for x in R.keyword_matches(index, t).collect())
+    assert [g for g in got if asked[g[0]]] == want and len(want) > 200
+    vectors = spark.createDataFrame([(k, 0, [1.0, float(k % 5)]) for k in range(80)], "document_id long, position int, vector array<double>")
+    texts = [(0, "alpha beta"), (1, '"beta gamma"'), (2, "absent")]
+    asks = spark.createDataFrame([(k, [1.0, float(k)]) for k, _ in texts], "query_id long, vector array<double>")
+    many = sorted(map(tuple, K.search_documents(index, vectors, texts, asks, F.lit(True), 3, 12, 8, 9).select("query_id", "document_id", "hit_score", "position", "total", "truncated").collect()))
+    one = []
+    for k, t in texts:
+        page = R.search_documents(index, vectors, t, [1.0, float(k)], F.lit(True), 3, 12, 8, 9)
+        one += [(k, *x) for x in page.select("document_id", "hit_score", "position", "total", "truncated").collect()]
+    assert many == sorted(map(tuple, one))
