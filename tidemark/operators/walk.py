@@ -17,7 +17,7 @@ def walk(log: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
     `rows(key)`, the rows of its final state; a command's row has the key, the order, the outcome and nulls.
 
     Time grows with the commands and memory with the state of one key, never with a key's commands; commands
-    without a key are left out.
+    without a key are left out, and those of equal order follow the order of their other columns.
     """
     key_of, order = columns[:2]
     fields = [(c.split()[0], KINDS[c.split()[1]]) for c in schema.split(", ")]
@@ -44,4 +44,4 @@ def walk(log: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
 
     n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = log.where(F.col(key_of).isNotNull()).select(*columns).repartition(n, key_of)
-    return rows.sortWithinPartitions(key_of, order).mapInArrow(run, schema)
+    return rows.sortWithinPartitions(*columns).mapInArrow(run, schema)

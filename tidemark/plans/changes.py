@@ -212,10 +212,10 @@ def e23(spark, d):
     return L.reduce_reviews(e).select("request_id", "username", "status")
 
 
-@query("io14_io15_io16_chunk_store", "WITH s AS (SELECT vec_id, vec_id % 100 AS document_id, label AS v FROM embeddings), n AS (SELECT vec_id, document_id, v + 100 AS v FROM s WHERE document_id < 20 AND vec_id < 300), x AS (SELECT * FROM s WHERE document_id >= 20 UNION ALL SELECT * FROM n) SELECT vec_id, document_id, v, document_id % 3 AS access FROM x WHERE v NOT IN (3, 4)")
+@query("io14_io15_io16_chunk_store", "WITH s AS (SELECT vec_id, vec_id % 100 AS document_id, label AS v FROM embeddings), n AS (SELECT vec_id, document_id, v + 100 AS v FROM s WHERE document_id < 20 AND vec_id % 3 = 0), x AS (SELECT * FROM s WHERE document_id >= 20 UNION ALL SELECT * FROM n) SELECT vec_id, document_id, v, document_id % 3 AS access FROM x WHERE v NOT IN (3, 4)")
 def io14(spark, d):
     s = X.table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 100).alias("document_id"), F.col("label").alias("v"))
-    new = s.where("document_id < 20 and vec_id < 300").withColumn("v", F.col("v") + 100)
+    new = s.where("document_id < 20 and vec_id % 3 = 0").withColumn("v", F.col("v") + 100)
     held = EV.sync_controls(EV.replace_chunks(s, new), s.select("document_id", (F.col("document_id") % 3).alias("access")).distinct())
     stale = spark.createDataFrame([(3,), (4,)], "generation int")
     return EV.prune_generations(held.withColumn("generation", F.col("v")), stale).drop("generation")

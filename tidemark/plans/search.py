@@ -131,7 +131,7 @@ fu AS (SELECT query_id, document_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS
 
 def arms(spark, d):
     v = vectors(spark, d)
-    kw = v.crossJoin(F.broadcast(vector_queries(spark, d).select("query_id"))).where("(chunk_id + query_id) % 3 = 0").select("query_id", F.col("chunk_id").alias("document_id"), F.round(1.0 / (1 + F.col("label")), 6).alias("score"))
+    kw = v.crossJoin(vector_queries(spark, d).select("query_id")).where("(chunk_id + query_id) % 3 = 0").select("query_id", F.col("chunk_id").alias("document_id"), F.round(1.0 / (1 + F.col("label")), 6).alias("score"))
     vc = R.dense_search(v, vector_queries(spark, d), 40).withColumnRenamed("chunk_id", "document_id")
     return {"k": R.top(kw, 60, F.desc("score"), "document_id"), "v": vc}, kw
 
