@@ -372,3 +372,36 @@ def test_many_queries_equal_one_by_one(spark):
         page = R.search_documents(index, vectors, t, [1.0, float(k)], F.lit(True), 3, 12, 8, 9)
         one += [(k, *x) for x in page.select("document_id", "hit_score", "position", "total", "truncated").collect()]
     assert many == sorted(map(tuple, one))
+
+
+def test_readable_counts_of_people_in_many_spaces(spark):
+    """All ways in, against pairs by hand: subjects in several spaces, documents granted to several."""
+    from tidemark.operators import scope
+
+    r = random.Random(11)
+    docs = [(d, f"u{r.randrange(12)}", f"s{r.randrange(6)}" if r.random() < 0.9 else None, r.random() < 0.2) for d in range(60)]
+    grants = [(r.randrange(64), f"u{r.randrange(14)}" if u else None, None if u else f"s{r.randrange(7)}", r.random() < 0.2) for u in (r.random() < 0.4 for _ in range(150))]
+    members = [(f"s{r.randrange(7)}", f"u{r.randrange(14)}", r.random() < 0.2) for _ in range(45)]
+    subjects = [(f"u{k}", r.random() < 0.7) for k in range(13)]
+    frames = (
+        spark.createDataFrame(docs, "document_id long, owner_subject_key string, owner_space_id string, is_public boolean"),
+        spark.createDataFrame(grants, "document_id long, grantee_subject_key string, grantee_space_id string, revoked boolean"),
+        spark.createDataFrame(members, "space_id string, subject_key string, revoked boolean"),
+        spark.createDataFrame(subjects, "subject_key string, active boolean"),
+    )
+    spaces = {u: {s for s, x, gone in members if x == u and not gone} for u in {f"u{k}" for k in range(14)}}
+    active = {u for u, a in subjects if a}
+    known = {d for d, *_ in docs}
+    reads = {}
+    for u in spaces:
+        own = {d for d, owner, s, public in docs if owner == u or s in spaces[u] or (public and u in active)}
+        reads[u] = own | {d for d, to, s, gone in grants if not gone and (to == u or s in spaces[u])}
+    got = {x.subject_key: (x.n, x.first, x.last) for x in scope.readable_counts(*frames).collect()}
+    assert got == {u: (len(d), min(d), max(d)) for u, d in reads.items() if d}
+    asked = spark.createDataFrame([("u1",), ("u5",), ("u13",), ("nobody",), ("u1",)], "subject_key string")
+    by = sorted(map(tuple, scope.readable_by(asked, *frames).collect()))
+    assert by == sorted((u, d) for u in ("u1", "u5", "u13") for d in reads[u])
+    pairs = [(d, u) for d in range(64) for u in ("u0", "u1", "u2", "u12", "nobody")]
+    facts = scope.access_facts(spark.createDataFrame(pairs * 2, "document_id long, subject_key string"), *frames).collect()
+    assert len(facts) == len({(d, u) for d, u in pairs if d in known})
+    assert {(x.document_id, x.subject_key) for x in facts if x.may_read} == {(d, u) for d, u in pairs if d in reads.get(u, ()) and d in known}

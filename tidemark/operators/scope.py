@@ -77,8 +77,8 @@ def readable_counts(docs: DataFrame, grants: DataFrame, members: DataFrame, subj
     """(subject_key, n, first, last): how many documents each subject may read, and the least and greatest
     (F-14), for all subjects without making their pairs.
 
-    Subjects with the same spaces read the same documents through them, so those are counted once for each
-    set of spaces; public documents are counted once for all active subjects; only documents that a subject
+    Subjects with the same spaces read the same documents through them, and documents of the same spaces are read
+    by the same subjects, so sets of spaces of both sides meet, not subjects and documents; public documents are counted once for all active subjects; only documents that a subject
     owns or was granted in person are pairs, and of those the ones already counted are left out.
     """
     grants = grants.where("not revoked")
@@ -94,7 +94,9 @@ def readable_counts(docs: DataFrame, grants: DataFrame, members: DataFrame, subj
     measure = [F.count("*").alias("n"), F.min("document_id").alias("first"), F.max("document_id").alias("last")]
     left = ~(F.col("active") & F.col("is_public"))
     kinds = who.where("spaces is not null").select("spaces", "active").distinct()
-    in_sets = kinds.withColumn("space_id", F.explode("spaces")).join(by_space, "space_id").where(left).select("spaces", "active", "document_id").distinct().groupBy("spaces", "active").agg(*measure)
+    held = by_space.groupBy("document_id", "is_public").agg(F.array_sort(F.collect_set("space_id")).alias("held")).groupBy("held", "is_public").agg(*measure)
+    met = kinds.withColumn("space_id", F.explode("spaces")).join(held.withColumn("space_id", F.explode("held")), "space_id").where(left).drop("space_id").distinct()
+    in_sets = met.groupBy("spaces", "active").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
     counted = personal.join(m, "subject_key").join(by_space.select("document_id", "space_id"), ["document_id", "space_id"], "left_semi").select("document_id", "subject_key")
     alone = personal.join(counted, ["document_id", "subject_key"], "left_anti").join(who.select("subject_key", "active"), "subject_key").join(flags, "document_id", "left").withColumn("is_public", F.coalesce("is_public", F.lit(False)))
     alone = alone.where(left).groupBy("subject_key").agg(*measure)
