@@ -126,15 +126,17 @@ def search_chat(chunks: DataFrame, control: DataFrame, queries: DataFrame, allow
     """
     may = chunks.join(visible(control), "storage_id", "left_semi")
     owner = may.select("chunk_id", "storage_id")
-    scored = {
-        "sparse": bm25_scores(chunks.select("chunk_id", "text"), queries.select("query_id", "text")).join(owner, "chunk_id"),
-        "dense": dense_scores(may.where("vector is not null").select(F.struct("chunk_id", "storage_id").alias("chunk_id"), "vector"), queries.select("query_id", "vector")).select("query_id", "chunk_id.*", "score"),
-    }
-    ranked = None
-    for name, rows in scored.items():
+    def arm(name: str, rows: DataFrame) -> DataFrame:
         best = rows.groupBy("query_id", "storage_id").agg(F.max("score").alias("score"))
-        arm = top(best, RECALL, F.desc("score"), "storage_id").withColumn("arm", F.lit(name))
-        ranked = arm if ranked is None else ranked.unionByName(arm)
+        return top(best, RECALL, F.desc("score"), "storage_id").withColumn("arm", F.lit(name))
+
+    # queries of one text share its keyword arm, which is computed once
+    texts = queries.groupBy("text").agg(F.min("query_id").alias("first"))
+    sparse = arm("sparse", bm25_scores(chunks.select("chunk_id", "text"), texts.select(F.col("first").alias("query_id"), "text")).join(owner, "chunk_id"))
+    shared = queries.select("query_id", "text").join(texts, "text").select("query_id", "first")
+    sparse = sparse.withColumnRenamed("query_id", "first").join(shared, "first").drop("first")
+    dense = arm("dense", dense_scores(may.where("vector is not null").select(F.struct("chunk_id", "storage_id").alias("chunk_id"), "vector"), queries.select("query_id", "vector")).select("query_id", "chunk_id.*", "score"))
+    ranked = sparse.unionByName(dense)
     messages = chunks.drop("chunk_id", "text", "vector").distinct()
     ruled = ranked.join(queries.drop("text", "vector"), "query_id").join(messages, "storage_id").withColumn("may", F.coalesce(allowed, F.lit(False)))
     return widened(ruled, queries.select("query_id", "k"))
