@@ -405,3 +405,25 @@ def test_readable_counts_of_people_in_many_spaces(spark):
     facts = scope.access_facts(spark.createDataFrame(pairs * 2, "document_id long, subject_key string"), *frames).collect()
     assert len(facts) == len({(d, u) for d, u in pairs if d in known})
     assert {(x.document_id, x.subject_key) for x in facts if x.may_read} == {(d, u) for d, u in pairs if d in reads.get(u, ()) and d in known}
+
+
+# ---- work that grows with the input
+
+
+def test_tokens_are_the_runs_of_their_definition(spark):
+    from tidemark.functions import vectors as V
+
+    r = random.Random(12)
+    texts = ["".join(r.choice("ab9 Zé中文ЖßİΣ٣-_,.\n'\U0001f600\U00020000x") for _ in range(r.randrange(60))) for _ in range(400)] + [None, "", "é" * 50_000 + "a" * 50_000]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_extract_all(F.lower(F.coalesce("t", F.lit(""))), F.lit(r"\p{IsHan}|[\p{L}\p{Nd}&&[^\p{IsHan}]]+"), F.lit(0))
+    assert d.where(V.tokens("t") != plain).count() == 0
+
+
+def test_embedding_query_does_not_walk_a_text_for_each_bucket(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(0, "ab cd ab"), (1, None), (2, "中 x")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = entry.queries()["t12_hash_embedding"](spark, str(tmp_path))
+    assert "conv(" not in df._jdf.queryExecution().optimizedPlan().toString()  # bytes of words in lambda functions
+    assert {x.doc_id: x.same for x in df.collect()} == {0: 1.0, 1: 0.0, 2: 1.0}
