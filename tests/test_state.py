@@ -427,3 +427,45 @@ def test_embedding_query_does_not_walk_a_text_for_each_bucket(spark, tmp_path):
     df = entry.queries()["t12_hash_embedding"](spark, str(tmp_path))
     assert "conv(" not in df._jdf.queryExecution().optimizedPlan().toString()  # bytes of words in lambda functions
     assert {x.doc_id: x.same for x in df.collect()} == {0: 1.0, 1: 0.0, 2: 1.0}
+
+
+def test_dense_search_in_blocks_equals_a_scan(spark, monkeypatch):
+    """Ties of copies, negative and equal scores, halves of a rounded step, vectors without a score."""
+    from tidemark.operators import dense
+    from tidemark.operators import retrieval as R
+
+    r = random.Random(13)
+    some = [[r.choice([-1.0, -0.5, 0.0, 0.5, 1.0, 1 / 128]) for _ in range(6)] for _ in range(40)] + [[0.0] * 6, [0.0078125] + [0.0] * 5, [r.random() for _ in range(6)]]
+    rows = [(k, r.choice(some)) for k in range(900)] + [(900 + k, some[-1]) for k in range(300)] + [(1200, None), (1201, [1.0]), (1202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1203, [float("nan")] * 6)]
+    asks = [(k, v) for k, v in enumerate([*some[:9], *some[-3:], [1.0] + [0.0] * 5, None, [2.0], [1e-3, 0.0, 0.0, 0.0, 0.0, 0.1]])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    queries = spark.createDataFrame(asks, "query_id long, vector array<double>")
+    read = lambda df: sorted(repr(tuple(x)) for x in df.select("query_id", "chunk_id", "score", "rank").collect())
+    shapes = [(65_536, 4_096, 1 << 22), (100, 5, 64), (300, 100, 4096)]
+    scan = R.dense_scores(chunks, queries).cache()
+    for (v, q, p), k in zip(shapes, (7, 40, 1300)):
+        for name, x in (("VECTORS", v), ("QUERIES", q), ("PAIRS", p)):
+            monkeypatch.setattr(dense, name, x)
+        assert read(R.dense_search(chunks, queries, k)) == read(R.top(scan, k, F.desc("score"), "chunk_id"))
+        assert read(R.dense_search(chunks, queries, k, True)) == read(R.top(scan.where("score > 0"), k, F.desc("score"), "chunk_id"))
+    plan = R.dense_search(chunks, queries, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    named = chunks.select(F.struct(F.concat(F.lit("é"), F.col("chunk_id").cast("string")).alias("id"), F.col("chunk_id").alias("n")).alias("chunk_id"), "vector")
+    assert read(R.dense_search(named, queries, 9)) == read(R.top(R.dense_scores(named, queries), 9, F.desc("score"), "chunk_id"))
+
+
+def test_fused_arms_meet_no_product_of_queries_and_rows(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    r = random.Random(14)
+    rows = [(k, [r.random() - 0.5 for _ in range(4)], r.randrange(3)) for k in range(701)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("t18_t19_rank_fusion", "k04_j11_fused_page", "u06_u07_compare_engines", "t27_stability"):
+        df = entry.queries()[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+    page = entry.queries()["k04_j11_fused_page"](spark, str(tmp_path)).collect()
+    for q in range(0, 701, 100):
+        kw = [k for _, k in sorted((lab, k) for k, _, lab in rows if (k + q) % 3 == 0)]
+        tail = [x.document_id for x in sorted(page, key=lambda x: x.position) if x.query_id == q and x.hit_score == 0]
+        assert tail == [k for k in kw if k in set(tail)] and len([x for x in page if x.query_id == q]) == 40

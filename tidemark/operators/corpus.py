@@ -9,7 +9,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.retrieval import dense_scores, top
+from tidemark.operators.retrieval import dense_best, top
 from tidemark.operators.walk import walk
 from tidemark.sources.tables import shared_path
 
@@ -328,5 +328,5 @@ def search_versions(chunks: DataFrame, versions: DataFrame, queries: DataFrame,
     may = versions.where(authorised(spaces, list(documents))).select("document_id", "version_id").distinct()
     shown = F.format_string("%d@%s#%03d", "document_id", "version_id", "position")
     inside = chunks.join(may, ["document_id", "version_id"], "left_semi").select(F.struct(shown.alias("id"), "document_id", "version_id").alias("chunk_id"), "vector")
-    scored = dense_scores(inside, queries).groupBy("query_id", "chunk_id.id", "chunk_id.document_id", "chunk_id.version_id").agg(F.max("score").alias("score"))
+    scored = dense_best(inside, queries, k, ["id", "document_id", "version_id"]).groupBy("query_id", "chunk_id.id", "chunk_id.document_id", "chunk_id.version_id").agg(F.max("score").alias("score"))
     return top(scored, k, F.desc("score"), "id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import trigram_similarity
 from tidemark.functions.vectors import tokens
-from tidemark.operators.retrieval import bm25_scores, cover_rank, dense_scores, fuse_by, parse_query, text_match, top
+from tidemark.operators.retrieval import bm25_scores, cover_rank, dense_best, fuse_by, parse_query, text_match, top
 
 
 def fan_out(messages: DataFrame, members: DataFrame) -> DataFrame:
@@ -135,7 +135,9 @@ def search_chat(chunks: DataFrame, control: DataFrame, queries: DataFrame, allow
     sparse = arm("sparse", bm25_scores(chunks.select("chunk_id", "text"), texts.select(F.col("first").alias("query_id"), "text")).join(owner, "chunk_id"))
     shared = queries.select("query_id", "text").join(texts, "text").select("query_id", "first")
     sparse = sparse.withColumnRenamed("query_id", "first").join(shared, "first").drop("first")
-    dense = arm("dense", dense_scores(may.where("vector is not null").select(F.struct("chunk_id", "storage_id").alias("chunk_id"), "vector"), queries.select("query_id", "vector")).select("query_id", "chunk_id.*", "score"))
+    points = may.where("vector is not null").select(F.struct("chunk_id", "storage_id").alias("chunk_id"), "vector")
+    near = dense_best(points, queries.select("query_id", "vector"), RECALL, ["storage_id"])
+    dense = arm("dense", near.select("query_id", "chunk_id.storage_id", "score"))
     ranked = sparse.unionByName(dense)
     messages = chunks.drop("chunk_id", "text", "vector").distinct()
     ruled = ranked.join(queries.drop("text", "vector"), "query_id").join(messages, "storage_id").withColumn("may", F.coalesce(allowed, F.lit(False)))
