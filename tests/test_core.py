@@ -1,6 +1,7 @@
 """Contract tables, properties and sources; the driver's SQL oracle covers the registered queries."""
 
 import random
+import re
 import zipfile
 
 import pytest
@@ -112,6 +113,32 @@ def test_snippet_and_similarity(spark):
     assert got[0].startswith("…") and "Needle" in got[0] and got[0].endswith("…") and got[1:] == ["only summary", ""]
 
 
+def test_snippet_reads_a_text_once(spark):
+    """The plan strips and lower-cases a text once, and the results are those of the definition."""
+
+    line = lambda x: re.sub(f"[{S.SPACES}]+", " ", x).strip(" ")
+
+    def model(summary, content, query, n=S.SNIPPET):
+        body = content.strip(S.SPACES) or summary.strip(S.SPACES)
+        low, need = body.lower(), query.strip(S.SPACES).lower()
+        at = low.find(need) if need else -1
+        if at < 0:
+            at = next((low.find(w) for w in need.split() if len(w) >= 2 and w in low), -1)
+        if at < 0 or len(low) != len(body):
+            return line(body[:n]) + ("…" if len(body) > n else "")
+        start = max(at - n // 3, 0)
+        return ("…" if start else "") + line(body[start : start + n]) + ("…" if start + n < len(body) else "")
+
+    r = random.Random(8)
+    words = ["one", "Two", "x", "ÉTÉ", "İ", "中文", "needle", " ", "\n\t", "a" * 90]
+    text = lambda: " ".join(r.choice(words) for _ in range(r.choice([0, 1, 5, 60])))
+    rows = [(text(), text(), r.choice(["Needle", " x two", "", "zz été  needle", "İ", "zz"])) for _ in range(300)] + [("s", "end \u2028", "end"), ("s", "\x0b\f", "q")]
+    d = spark.createDataFrame(rows, "summary string, content string, q string").select(S.snippet("summary", "content", "q").alias("s"))
+    assert [x.s for x in d.collect()] == [model(*x) for x in rows]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") <= 2 and plan.count("content#") <= 2
+
+
 def test_pages_join_up(spark):
     fused = spark.createDataFrame([(0, k, 1.0 / k) for k in range(1, 8)], "query_id int, document_id int, fused double")
     keyword = spark.createDataFrame([(0, k, float(k)) for k in range(5, 16)], "query_id int, document_id int, score double")

@@ -8,11 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.vectors import let
+
 #: Prefixes that a status value may carry; fixed values.
 STATUS_PREFIXES = ("content_format_", "lifecycle_status_", "publication_status_")
 #: The name space of derived ledger ids, as hex; a fixed value.
 LEDGER_NAMESPACE = "71712d7365617263682d6c6564676572"
 SNIPPET = 240
+#: White space, as `\\s` has it.
+SPACES = " \t\n\x0b\f\r"
 
 
 def c(x) -> Column:
@@ -75,19 +79,27 @@ def summary(x, n: int = 100) -> Column:
 
 def snippet(summary_, content, query, n: int = SNIPPET) -> Column:
     """n characters around the first match of the query, else of its first word of two characters or
-    more that occurs, else the head; content falls back to summary (S-10)."""
-    strip = lambda x: F.regexp_replace(F.coalesce(c(x), F.lit("")), r"^\s+|\s+$", "")
-    body = F.when(strip(content) != "", strip(content)).otherwise(strip(summary_))
-    low, need = F.lower(body), F.lower(strip(query))
+    more that occurs, else the head; content falls back to summary (S-10).
+
+    The stripped text, its lower case and the place of the match are each computed once for a row."""
+    strip = lambda x: F.btrim(F.coalesce(c(x), F.lit("")), F.lit(SPACES))
+    body = let(strip(content), lambda s: F.when(s != "", s).otherwise(strip(summary_)))
+    texts = let(F.struct(body.alias("body"), F.lower(strip(query)).alias("need")), lambda t: F.struct(t["body"], F.lower(t["body"]).alias("low"), t["need"]))
+    return let(texts, lambda t: _around(t["body"], t["low"], t["need"], n))
+
+
+def _around(body: Column, low: Column, need: Column, n: int) -> Column:
     find = lambda x: F.when(x != "", F.position(x, low)).otherwise(0)
-    words = F.filter(F.transform(F.split(need, r"\s+"), lambda w: F.when(F.char_length(w) >= 2, find(w)).otherwise(0)), lambda k: k > 0)
-    at = F.when(find(need) > 0, find(need)).when(F.size(words) > 0, F.get(words, F.lit(0))).otherwise(0)
-    same = F.char_length(low) == F.char_length(body)
-    start = F.greatest(at - 1 - n // 3, F.lit(0))
-    size = F.char_length(body)
-    around = F.concat(F.when(start > 0, "…").otherwise(""), one_line(F.substring(body, start + 1, F.lit(n))), F.when(start + n < size, "…").otherwise(""))
-    head = F.concat(one_line(F.substring(body, 1, n)), F.when(size > n, "…").otherwise(""))
-    return F.when(body == "", F.lit("")).when(same & (at > 0), around).otherwise(head)
+    words = lambda: F.filter(F.transform(F.split(need, r"\s+"), lambda w: F.when(F.char_length(w) >= 2, find(w)).otherwise(0)), lambda k: k > 0)
+    at = let(find(need), lambda k: F.when(k > 0, k).otherwise(F.coalesce(F.get(words(), F.lit(0)), F.lit(0))))
+
+    def cut(p):
+        start = F.greatest(p["at"] - 1 - n // 3, F.lit(0))
+        around = F.concat(F.when(start > 0, "…").otherwise(""), one_line(F.substring(body, start + 1, F.lit(n))), F.when(start + n < p["size"], "…").otherwise(""))
+        head = F.concat(one_line(F.substring(body, 1, n)), F.when(p["size"] > n, "…").otherwise(""))
+        return F.when((p["at"] > 0) & (F.char_length(low) == p["size"]), around).otherwise(head)
+
+    return F.when(body == "", F.lit("")).otherwise(let(F.struct(at.alias("at"), F.char_length(body).alias("size")), cut))
 
 
 def trigrams(x) -> Column:
