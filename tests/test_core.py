@@ -107,6 +107,14 @@ def test_tokens_and_embedding(spark):
     assert (h["h"]["hi"] << 32 | h["h"]["lo"], h["s"]) == (0x85944171F73967E8, 0xBF9CF968)  # published test values
 
 
+def test_tokens_of_every_character(spark):
+    """As the plain definition has them, for each code point between and beside other characters."""
+    d = spark.range(1, 0x110000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    plain = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"\p{IsHan}|[\p{L}\p{Nd}&&[^\p{IsHan}]]+"), F.lit(0))
+    x = F.concat(F.lit("a"), "c", F.lit("é漢"), "c", "c", F.lit("1 "), "c", F.lit("ж"), "c")
+    assert d.select(x.alias("x")).where(~plain(F.col("x")).eqNullSafe(V.tokens("x"))).count() == 0 and d.count() == 0x110000 - 2049
+
+
 def test_snippet_and_similarity(spark):
     d = spark.createDataFrame([("s", "x" * 100 + " Needle " + "y" * 400, "needle"), ("only  summary", " ", "q"), ("", "", "q")], "summary string, content string, q string")
     got = [r[0] for r in d.select(S.snippet("summary", "content", "q")).collect()]

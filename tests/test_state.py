@@ -265,6 +265,20 @@ def test_sparse_search_without_few_terms(spark, monkeypatch):
     assert sorted(map(tuple, R.sparse_search(chunks, queries, 50).collect())) == few and few
 
 
+def test_sparse_search_passes_texts_once(spark):
+    """One scan of the texts, no shuffle of their tokens, and terms whose hashes collide count together."""
+    from tidemark.functions import vectors as V
+    from tidemark.operators import retrieval as R
+
+    assert spark.range(1).select(V.fnv32(F.lit("costarring")) == V.fnv32(F.lit("liquid"))).first()[0]
+    chunks = spark.createDataFrame([(1, "liquid costarring x"), (2, "x é"), (3, "costarring é é"), (4, None)], "chunk_id long, text string")
+    queries = spark.createDataFrame([(1, "liquid"), (2, "É é x")], "query_id int, text string")
+    found = R.sparse_search(chunks, queries, 5)
+    assert sorted(tuple(x) for x in found.select("query_id", "rank", "chunk_id", "score").collect()) == [(1, 1, 1, 2.0), (1, 2, 3, 1.0), (2, 1, 3, 4.0), (2, 2, 2, 3.0), (2, 3, 1, 1.0)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 2  # scores, then each query's best
+
+
 def test_passages_are_found_as_contains_finds_them(spark):
     from tidemark.operators.evaluate import holding
 
