@@ -155,6 +155,18 @@ def test_operation_ids_count_for_the_whole_store(spark, seed):
     assert sum(w == "conflict" for w in want.values()) > 30 and sum(w.startswith("replayed") for w in want.values()) > 3
 
 
+def test_only_keys_whose_marks_move_are_walked_again(spark, monkeypatch):
+    """The first use of a shared id fails for two documents of forty: the others are walked once."""
+    put = lambda d, seq, op, kind="index", v="v1", rev=1: (d, seq, op, kind, v, "s", v, 1, rev, None, False, [])
+    rows = [put(d, 100 * k + d, f"{d}-{k}", v=f"v{k}") for d in range(40) for k in range(5)]
+    rows += [put(d, 600 + d, f"shared{d // 2}", "activate", "none" if d == 4 else "v1") for d in range(40)]  # 5 takes what 4 could not
+    walk, passed = C.walk, []
+    monkeypatch.setattr(C, "walk", lambda log, *x: passed.append(log.count()) or walk(log, *x))
+    got = C.apply_corpus_commands(spark.createDataFrame(rows, COMMANDS)).where("seq is not null").collect()
+    assert {(x.document_id, x.seq): x.outcome for x in got} == by_one_ledger(rows, C.Document, C.COMMANDS)
+    assert len(got) == len(rows) == passed[0] and sum(passed[1:]) <= 4 * 6
+
+
 def test_an_id_used_for_two_documents_conflicts(spark):
     put = lambda d, seq, op, kind="index", v="v1", rev=1: (d, seq, op, kind, v, "s", v, 1, rev, None, False, [])
     rows = [put(1, 1, "a"), put(2, 2, "a"), put(2, 3, "b"), put(2, 4, "c", "activate"), put(3, 5, "c", "activate"), put(3, 6, "d", "activate"), put(4, 7, "d")]

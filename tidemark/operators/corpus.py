@@ -50,9 +50,9 @@ def fold_commands(log: DataFrame, columns: list[str], make, schema: str) -> Data
     several keys use, the first command that succeeds, by seq and key, takes it, and those of other keys conflict.
 
     Whether a command succeeds hangs on the commands before it, also by way of ids that other keys took. So
-    the keys that share ids are walked until no id changes its taker: each round settles the next
-    commands in order, and rounds end when the outcomes agree with the takers they were made with. Keys
-    without shared ids are walked once.
+    all keys are walked once as if the first use of each shared id took it. Then only keys with a command that
+    the outcomes' takers mark otherwise are walked again, until no mark moves: each round settles the next
+    commands in order, and a key whose marks stay keeps its outcomes.
     """
     key, seq = columns[:2]
     log = log.select(*columns).where(F.col(key).isNotNull())
@@ -64,23 +64,40 @@ def fold_commands(log: DataFrame, columns: list[str], make, schema: str) -> Data
         df.write.parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-    def marked(rows: DataFrame, takers: DataFrame | None) -> DataFrame:
-        if takers is None:
-            return rows.withColumn("taken", F.lit(False))
+    def marked(rows: DataFrame, takers: DataFrame, name: str = "taken") -> DataFrame:
         t = takers.select("operation_id", F.col("first.seq").alias("_seq"), F.col("first.key").alias("_key"))
         other = (F.col(key) != F.col("_key")) & (F.struct(F.col(seq), F.col(key)) > F.struct("_seq", "_key"))
-        return rows.join(t, "operation_id", "left").select(*columns, F.coalesce(other, F.lit(False)).alias("taken"))
+        return rows.join(t, "operation_id", "left").select(*rows.columns, F.coalesce(other, F.lit(False)).alias(name))
+
+    def walked(rows: DataFrame, takers: DataFrame) -> DataFrame:
+        return walk(marked(rows, takers), [*columns, "taken"], make, schema)
+
+    def first(uses: DataFrame) -> DataFrame:
+        return uses.groupBy("operation_id").agg(F.min(F.struct(F.col(seq).alias("seq"), F.col(key).alias("key"))).alias("first"))
+
+    def won(told: DataFrame) -> DataFrame:
+        done = F.col(seq).isNotNull() & ~F.col("outcome").rlike("^(replayed|" + "|".join(REFUSED) + ")")
+        return told.where(done).select(key, seq).join(shared, [key, seq]).select(key, seq, "operation_id")
 
     shared = stored(log.join(ids, "operation_id", "left_semi").select(key, seq, "operation_id"), "shared")
-    keys = shared.select(key).distinct()
-    concerned, takers, state = log.join(keys, key, "left_semi"), None, (0, None)
-    for n in count():
-        told = walk(marked(concerned, takers), [*columns, "taken"], make, schema).where(F.col(seq).isNotNull()).select(key, seq, "outcome")
-        won = told.where(~F.col("outcome").rlike("^(replayed|" + "|".join(REFUSED) + ")")).join(shared, [key, seq])
-        takers = stored(won.groupBy("operation_id").agg(F.min(F.struct(F.col(seq).alias("seq"), F.col(key).alias("key"))).alias("first")), f"takers{n}")
-        before, state = state, tuple(takers.agg(F.count("*"), F.sum(F.xxhash64("operation_id", "first").cast("decimal(38,0)"))).first())
-        if before == state:
-            return walk(marked(log, takers), [*columns, "taken"], make, schema)
+    takers = first(shared)
+    if shared.isEmpty():
+        return walked(log, takers)
+    takers = stored(takers, "takers0")
+    once = stored(walked(log, takers), "once")
+    winners = stored(won(once), "won0")
+    for n in count(1):
+        before, takers = takers, stored(first(winners), f"takers{n}")
+        both = marked(marked(shared, before, "was"), takers, "now")
+        moved = stored(both.where("was <> now").select(key).distinct(), f"moved/{n}")
+        if moved.isEmpty():
+            break
+        told = walked(log.join(moved, key, "left_semi"), takers)
+        winners = stored(winners.join(moved, key, "left_anti").unionByName(won(told)), f"won{n}")
+    if n == 1:
+        return once
+    again = spark.read.schema(moved.schema).parquet(*[f"{path}/moved/{k}" for k in range(1, n)]).distinct()
+    return once.join(again, key, "left_anti").unionByName(walked(log.join(again, key, "left_semi"), takers))
 
 
 @dataclass
