@@ -308,6 +308,31 @@ def test_passages_are_found_as_contains_finds_them(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_quality_of_searches_leaves_texts_and_scores_in_place(spark, monkeypatch):
+    """Scores are added where a chunk's counts lie, texts meet their passages unshuffled, and both forms agree."""
+    from tidemark.operators import evaluate as E
+    from tidemark.operators import retrieval as R
+
+    r = random.Random(9)
+    text = lambda n: " ".join(r.choice("uno dos tres cuatro cinco Seis siete 中文 x".split()) for _ in range(n))
+    rows = [(k, text(r.randrange(40))) for k in range(60)] + [(60, None), (61, "")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string")
+    queries = spark.createDataFrame([(1, "uno dos"), (2, "seis 文"), (3, "none"), (4, "")], "query_id int, text string")
+    found = R.bm25_search(chunks, queries, 9)
+    scored = lambda df: sorted(map(tuple, df.select("query_id", "chunk_id", "score", "rank").collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id#" in plan and not [x for x in plan.split("\n") if "hashpartitioning(query_id#" in x and "chunk_id" in x]
+    docs = spark.createDataFrame(rows, "document_id long, body string")
+    passages = spark.createDataFrame([(k, rows[k][1][4:60]) for k in range(20) if len(rows[k][1]) > 80], "query_id long, passage string")
+    held = E.holding(docs, passages)
+    assert "hashpartitioning(document_id#" not in held._jdf.queryExecution().executedPlan().toString()
+    once, pairs = scored(found), sorted(map(tuple, held.collect()))
+    assert len(once) == 18 and len(pairs) >= passages.count() > 3
+    monkeypatch.setattr(R, "FEW_TERMS", 1)
+    monkeypatch.setattr(E, "FEW_PAIRS", 1)
+    assert scored(R.bm25_search(chunks, queries, 9)) == once and sorted(map(tuple, E.holding(docs, passages).collect())) == pairs
+
+
 # ---- history and snapshots
 
 
