@@ -588,3 +588,23 @@ def test_a_batch_writes_what_it_changes_only(spark, tmp_path):
     got = store.term_counts(spark.createDataFrame([("alpha",), ("w7",), ("w8",), ("w9",)], "term string"))
     want = [(k, 4, "alpha", 1) for d, k, _ in rows if d not in (7, 8)] + [(70, 3, "alpha", 2), (90, 4, "w9", 2), (91, 4, "w9", 2)]
     assert sorted(map(tuple, got.select("chunk_id", "length", "term", "tf").collect())) == sorted(want)
+
+
+def test_a_lost_batch_counts_for_nothing(spark, tmp_path):
+    """Statistics and counts stay as they were until the batch comes again."""
+    from tidemark.operators.terms import TermStore
+
+    frame = lambda *rows: spark.createDataFrame(list(rows), "document_id long, chunk_id long, text string")
+    asked = spark.createDataFrame([("a",), ("b",)], "term string")
+    store = TermStore(spark, str(tmp_path / "s"), buckets=3)
+    store.replace(0, frame((1, 10, "a b b"), (2, 20, "a")))
+    now = lambda: (tuple(store.statistics().first()), sorted(map(tuple, store.term_counts(asked).select("chunk_id", "length", "term", "tf").collect())))
+    before = now()
+    assert before == ((2, 2.0), [(10, 3, "a", 1), (10, 3, "b", 2), (20, 1, "a", 1)])
+    write, store.owners.write = store.owners.write, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError, match="lost"):
+        store.replace(1, frame((1, 10, "b a a a a")))
+    store.owners.write = write
+    assert now() == before
+    assert store.replace(1, frame((1, 10, "b a a a a")))
+    assert now() == ((2, 3.0), [(10, 5, "a", 4), (10, 5, "b", 1), (20, 1, "a", 1)])
